@@ -114,3 +114,163 @@ FROM comp_stats GROUP BY item_id""", "comp_stats")
 ORACLE["ppmi_syntax_raw"] = build(f"""
 SELECT item_id, round(sum({PPMI}), 6) AS score, sum(ab) AS raw_freq, count(*) AS n_parts
 FROM comp_stats GROUP BY item_id""", "comp_stats")
+
+# ------------------------------------------------------------ bigram side
+view("bigrams", ("base", "role_map"), """
+SELECT a1, a2, CAST(sum(f) AS DOUBLE) AS freq FROM (
+  SELECT concat(subj, '@N@NSUBJ') AS a1, concat(verb, '@V@ROOT') AS a2, count(*) AS f FROM base GROUP BY 1, 2
+  UNION ALL SELECT concat(verb, '@V@ROOT'), concat(filler, '@N@', role), count(*)
+    FROM base JOIN role_map USING (raw_rel) WHERE role <> 'NSUBJ' GROUP BY 1, 2
+  UNION ALL SELECT concat(subj, '@N@NSUBJ'), concat(filler, '@N@', role), count(*)
+    FROM base JOIN role_map USING (raw_rel) WHERE role <> 'NSUBJ' GROUP BY 1, 2) u
+GROUP BY a1, a2""")
+
+view("lemma_pos_freqs", ("bigrams",), """
+SELECT lemma_pos, sum(freq) AS freq FROM (
+  SELECT regexp_replace(a1, '@[^@]*$', '') AS lemma_pos, freq FROM bigrams
+  UNION ALL SELECT regexp_replace(a2, '@[^@]*$', ''), freq FROM bigrams) u
+GROUP BY lemma_pos""")
+
+view("nverb", ("lemma_pos_freqs",), """
+SELECT coalesce(sum(freq) FILTER (WHERE lemma_pos LIKE '%@V'), 0.0) AS n_verb FROM lemma_pos_freqs""")
+
+view("bstats", ("bigrams", "lemma_pos_freqs", "nverb"), """
+SELECT g.a1, g.a2, g.freq AS ab, x.freq AS a, y.freq AS b, nverb.n_verb AS n
+FROM bigrams g
+JOIN lemma_pos_freqs x ON x.lemma_pos = regexp_replace(g.a1, '@[^@]*$', '')
+JOIN lemma_pos_freqs y ON y.lemma_pos = regexp_replace(g.a2, '@[^@]*$', '')
+CROSS JOIN nverb""")
+
+# --------------------------------------------------------------- corpus
+view("toks", (), r"""
+SELECT doc_id, CAST(i - 1 AS INTEGER) AS pos, tok FROM (
+  SELECT doc_id, unnest(t) AS tok, generate_subscripts(t, 1) AS i FROM (
+    SELECT doc_id, string_split(trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')), ' ') AS t
+    FROM documents) d) u
+WHERE tok <> ''""")
+
+view("lemmas", ("toks",), """
+SELECT tok AS word, CAST(count(*) AS DOUBLE) AS freq FROM toks GROUP BY tok HAVING count(*) >= 50""")
+
+view("vtoks", ("toks", "lemmas"), """
+SELECT doc_id, pos, tok FROM toks WHERE tok IN (SELECT word FROM lemmas)""")
+
+view("pairs", ("vtoks",), """
+SELECT a.tok AS w1, b.tok AS w2, CAST(count(*) AS DOUBLE) AS freq
+FROM (SELECT doc_id, pos, tok, unnest(range(1, 11)) AS d FROM vtoks) a
+JOIN vtoks b ON b.doc_id = a.doc_id AND b.pos = a.pos + a.d
+GROUP BY 1, 2 HAVING count(*) >= 5""")
+
+view("sents", (), r"""
+SELECT src_key * 1000 + i - 1 AS sent_id, piece AS text,
+       CAST(floor(len(string_split(piece, ' ')) / 2) AS INTEGER) AS word_pos
+FROM (
+  SELECT src_key, unnest(p) AS piece, generate_subscripts(p, 1) AS i FROM (
+    SELECT src_key, string_split(trim(regexp_replace(text, '[ \t\n\r]+', ' ', 'g')), '. ') AS p FROM (
+      SELECT item_id AS src_key, text FROM benchmark
+      UNION ALL SELECT 1000000 + conv_id * 1000 + turn, text FROM conversations) s) q) r
+WHERE piece <> ''""")
+
+view("pitems", ("sents",), r"""
+SELECT sent_id AS item_id, words FROM (
+  SELECT sent_id, list_filter(string_split(trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')), ' '),
+                              lambda x: x <> '') AS words
+  FROM sents) s
+WHERE len(words) >= 2""")
+
+view("pvocab", ("pitems",), "SELECT DISTINCT unnest(words) AS word FROM pitems")
+
+view("ppairs", ("pairs", "pvocab"), """
+SELECT * FROM pairs WHERE w1 IN (SELECT word FROM pvocab) AND w2 IN (SELECT word FROM pvocab)""")
+
+view("pcomps", ("pitems",), """
+SELECT item_id, CAST(i - 1 AS INTEGER) AS part, CASE WHEN i = 1 THEN words[1] ELSE words[2] END AS w1,
+       words[i + 1] AS w2
+FROM (SELECT item_id, words, unnest(range(1, len(words))) AS i FROM pitems) s""")
+
+view("ptot", ("lemmas",), "SELECT sum(freq) AS n, CAST(count(*) AS DOUBLE) AS vocab FROM lemmas")
+
+view("pstats", ("pcomps", "ppairs", "lemmas", "ptot"), """
+SELECT c.item_id, c.part, c.w1, c.w2, coalesce(p.freq, 0.0) AS ab, coalesce(x.freq, 0.0) AS a,
+       coalesce(y.freq, 0.0) AS b, ptot.n, ptot.vocab
+FROM pcomps c CROSS JOIN ptot
+LEFT JOIN ppairs p ON p.w1 = c.w1 AND p.w2 = c.w2
+LEFT JOIN lemmas x ON x.word = c.w1
+LEFT JOIN lemmas y ON y.word = c.w2""")
+
+MI = "CASE WHEN ab > 0 AND a * b > 0 THEN log2(ab / ((a * b) / n)) END"
+MI_STRICT = "CASE WHEN a * b <> 0 AND (ab * n) / (a * b) > 0 THEN log2((ab * n) / (a * b)) END"
+
+
+def r6(x: str) -> str:
+    return f"round({x}, 6)"
+
+
+ORACLE["assoc_mi"] = build(f"SELECT item_id, part, {r6(MI)} AS value FROM comp_stats", "comp_stats")
+ORACLE["assoc_ppmi"] = build(f"SELECT item_id, part, {r6(PPMI)} AS value FROM comp_stats", "comp_stats")
+ORACLE["assoc_laplace"] = build(f"SELECT item_id, part, {r6(LAPLACE)} AS value FROM comp_stats", "comp_stats")
+ORACLE["assoc_mi_strict"] = build(f"SELECT a1, a2, {r6(MI_STRICT)} AS value FROM bstats", "bstats")
+ORACLE["assoc_lmi"] = build(f"SELECT a1, a2, {r6(f'({MI_STRICT}) * ab')} AS value FROM bstats", "bstats")
+ORACLE["assoc_cprob"] = build(f"SELECT a1, a2, {r6('((ab * b) / a) * n')} AS value FROM bstats", "bstats")
+ORACLE["assoc_cprob_simple"] = build(f"SELECT a1, a2, {r6('ab / a')} AS value FROM bstats", "bstats")
+ORACLE["assoc_by_name"] = build(
+    f"SELECT a1, a2, {r6(f'({MI_STRICT}) * ab')} AS lmi, "
+    f"{r6(f'greatest(0.0, coalesce({MI_STRICT}, 0.0))')} AS ppmi FROM bstats", "bstats")
+
+ORACLE["word_role_marginals"] = build("SELECT w, role, f FROM marg", "marg")
+ORACLE["triple_total"] = build("SELECT n, vocab AS v FROM tot", "tot")
+ORACLE["verb_total"] = build("SELECT n_verb FROM nverb", "nverb")
+ORACLE["attested_args"] = build("SELECT a1 AS w FROM bigrams UNION SELECT a2 FROM bigrams", "bigrams")
+ORACLE["corpus_lemma_counts"] = build("SELECT word, freq FROM lemmas", "lemmas")
+ORACLE["corpus_pair_counts"] = build("SELECT w1, w2, freq FROM pairs", "pairs")
+ORACLE["corpus_triple_counts"] = build("SELECT head, dep, raw_rel, freq FROM triples_raw WHERE freq >= 2",
+                                       "triples_raw")
+ORACLE["min_freq"] = ORACLE["corpus_triple_counts"]
+
+ORACLE["pair_ppmi"] = build(f"""
+SELECT item_id, round(sum({LAPLACE}), 6) AS score, sum(ab) AS raw_freq, count(*) AS n_parts
+FROM pstats GROUP BY item_id""", "pstats")
+ORACLE["pair_ppmi_raw"] = build(f"""
+SELECT item_id, round(sum({PPMI}), 6) AS score, sum(ab) AS raw_freq, count(*) AS n_parts
+FROM pstats GROUP BY item_id""", "pstats")
+ORACLE["report_pair_ppmi"] = build(f"""
+SELECT item_id, round(sum({LAPLACE}), 6) AS score FROM pstats GROUP BY item_id ORDER BY item_id""", "pstats")
+ORACLE["src_pairs_vocab"] = build("SELECT w1, w2, freq FROM ppairs", "ppairs")
+ORACLE["item_vocab"] = build("SELECT word FROM pvocab", "pvocab")
+
+ORACLE["report_ppmi"] = build(f"""
+SELECT s.item_id, t.text, string_agg(printf('%.6f', round(val, 6)), ',' ORDER BY part) AS parts,
+       round(sum(val), 6) AS score
+FROM (SELECT *, {LAPLACE} AS val FROM comp_stats) s
+JOIN (SELECT item_id, string_agg(lemma, ' ' ORDER BY slot) AS text FROM items_long GROUP BY item_id) t
+  USING (item_id)
+GROUP BY s.item_id, t.text""", "comp_stats", "items_long")
+
+ORACLE["explain_ppmi"] = build(f"""
+SELECT item_id,
+       string_agg(printf('%s-%s-%s freq:%s ppmi:%s', v, arg, role, printf('%.1f', ab),
+                         printf('%.6f', round(val, 6))), chr(9) ORDER BY part) AS log,
+       CASE WHEN sum(ab) = 0 THEN 'zero_score' ELSE 'score' END AS flag
+FROM (SELECT *, {LAPLACE} AS val FROM comp_stats) s GROUP BY item_id""", "comp_stats")
+
+# ------------------------------------------------------ text functions
+ORACLE["prep_sentence"] = build(r"""
+SELECT sent_id, t AS text, (t LIKE '%.' AND NOT t LIKE '% .') AS valid
+FROM (SELECT sent_id, regexp_replace(text, '\s*\.$', '') || '.' AS t FROM sents) s""", "sents")
+ORACLE["word_count"] = build(r"""
+SELECT sent_id, CAST(len(list_filter(string_split_regex(text, '\s+'), lambda x: x <> '')) AS INTEGER) AS n_words
+FROM sents""", "sents")
+ORACLE["strip_final_period"] = build(r"SELECT sent_id, regexp_replace(text, '\.+$', '') AS text FROM sents", "sents")
+ORACLE["target_word"] = build(r"""
+SELECT sent_id, regexp_replace(w[word_pos + 1], '\.+$', '') AS word, regexp_replace(w[-1], '\.+$', '') AS last_word
+FROM (SELECT sent_id, word_pos, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') AS w FROM sents) s""",
+                                "sents")
+ORACLE["parse_item"] = build("""
+SELECT item_id, slot, lemma, pos, role, split_part(role, ':', 1) AS base_role, concat(lemma, '@', pos) AS key
+FROM items_long""", "items_long")
+ORACLE["item_lemmas"] = build("SELECT item_id, slot, lemma FROM items_long", "items_long")
+ORACLE["role_prefix_match"] = build("""
+SELECT t.target, r.role FROM
+  (SELECT DISTINCT split_part(role, ':', 1) AS target FROM items_long WHERE slot = n_slots - 1) t
+  JOIN (SELECT DISTINCT regexp_extract(a2, '([^@]*)$', 1) AS role FROM bigrams) r
+  ON starts_with(r.role, t.target)""", "items_long", "bigrams")

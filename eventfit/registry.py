@@ -34,3 +34,233 @@ def q_ppmi_syntax(spark, sf_dir):
 @query("ppmi_syntax_raw")
 def q_ppmi_syntax_raw(spark, sf_dir):
     return ppmi.ppmi_syntax(fx.items_wide(spark, sf_dir), mapped_triples(spark, sf_dir), smooth=False)
+
+
+# ------------------------------------------------------------ association
+from pyspark.sql import functions as F  # noqa: E402
+
+from .functions import assoc  # noqa: E402
+from .functions import text as tx  # noqa: E402
+from .operators import counting as cnt  # noqa: E402
+from .operators.ranking import with_scalars  # noqa: E402
+
+
+def _comp_stats(spark, sf_dir):
+    return ppmi.syntax_stats(fx.items_wide(spark, sf_dir), mapped_triples(spark, sf_dir))
+
+
+def _measure_over_components(fn):
+    def q(spark, sf_dir):
+        s = _comp_stats(spark, sf_dir)
+        ab, a, b, n, v = (F.col(c) for c in ("ab", "a", "b", "n", "vocab"))
+        return s.select("item_id", "part", F.round(fn(ab, a, b, n, v), 6).alias("value"))
+    return q
+
+
+QUERIES["assoc_mi"] = _measure_over_components(lambda ab, a, b, n, v: assoc.mi(ab, a, b, n))
+QUERIES["assoc_ppmi"] = _measure_over_components(lambda ab, a, b, n, v: assoc.ppmi(ab, a, b, n))
+QUERIES["assoc_laplace"] = _measure_over_components(assoc.laplace)
+
+
+def bigram_stats(spark, sf_dir):
+    """Every bigram with its two lemma@pos marginals and the verb total
+    (J6, A8): the inputs of the thematic-fit weight functions."""
+    bg = fx.bigrams(spark, sf_dir)
+    lp = fx.lemma_pos_freqs(spark, sf_dir, bg)
+    x = lp.select(F.col("lemma_pos").alias("k1"), F.col("freq").alias("a"))
+    y = lp.select(F.col("lemma_pos").alias("k2"), F.col("freq").alias("b"))
+    s = (bg.withColumn("k1", tx.strip_role(F.col("a1"))).withColumn("k2", tx.strip_role(F.col("a2")))
+         .join(x, "k1").join(y, "k2"))
+    return with_scalars(s, cnt.verb_total(lp)).select(
+        "a1", "a2", F.col("freq").alias("ab"), "a", "b", F.col("n_verb").alias("n"))
+
+
+def _measure_over_bigrams(fn):
+    def q(spark, sf_dir):
+        s = bigram_stats(spark, sf_dir)
+        ab, a, b, n = (F.col(c) for c in ("ab", "a", "b", "n"))
+        return s.select("a1", "a2", F.round(fn(ab, a, b, n), 6).alias("value"))
+    return q
+
+
+QUERIES["assoc_mi_strict"] = _measure_over_bigrams(assoc.mi_strict)
+QUERIES["assoc_lmi"] = _measure_over_bigrams(assoc.lmi)
+QUERIES["assoc_cprob"] = _measure_over_bigrams(lambda ab, a, b, n: assoc.c_prob(ab, b, a, n))
+QUERIES["assoc_cprob_simple"] = _measure_over_bigrams(lambda ab, a, b, n: assoc.c_prob_simple(ab, a))
+
+
+@query("assoc_by_name")
+def q_assoc_by_name(spark, sf_dir):
+    s = bigram_stats(spark, sf_dir)
+    ab, a, b, n = (F.col(c) for c in ("ab", "a", "b", "n"))
+    return s.select("a1", "a2", *[F.round(assoc.by_name(k)(ab, a, b, n), 6).alias(k) for k in ("lmi", "ppmi")])
+
+
+# --------------------------------------------------------------- counting
+@query("word_role_marginals")
+def q_marginals(spark, sf_dir):
+    return cnt.word_role_marginals(mapped_triples(spark, sf_dir))
+
+
+@query("triple_total")
+def q_triple_total(spark, sf_dir):
+    return cnt.triple_totals(mapped_triples(spark, sf_dir))
+
+
+@query("verb_total")
+def q_verb_total(spark, sf_dir):
+    return cnt.verb_total(fx.lemma_pos_freqs(spark, sf_dir))
+
+
+@query("attested_args")
+def q_attested_args(spark, sf_dir):
+    return cnt.attested_args(fx.bigrams(spark, sf_dir))
+
+
+LEMMA_MIN, PAIR_MIN, PAIR_WINDOW, TRIPLE_MIN = 50, 5, 10, 2
+
+
+def corpus_lemmas(spark, sf_dir):
+    return cnt.lemma_counts(fx.toks(spark, sf_dir), LEMMA_MIN)
+
+
+@query("corpus_lemma_counts")
+def q_corpus_lemmas(spark, sf_dir):
+    return corpus_lemmas(spark, sf_dir)
+
+
+@query("corpus_pair_counts")
+def q_corpus_pairs(spark, sf_dir):
+    return cnt.window_pair_counts(fx.toks(spark, sf_dir), corpus_lemmas(spark, sf_dir), PAIR_WINDOW, PAIR_MIN)
+
+
+@query("corpus_triple_counts")
+def q_corpus_triples(spark, sf_dir):
+    return cnt.triple_counts(spark, sf_dir, min_freq=TRIPLE_MIN)
+
+
+@query("min_freq")
+def q_min_freq(spark, sf_dir):
+    return fx.triples_raw(spark, sf_dir).where(F.col("freq") >= TRIPLE_MIN)
+
+
+# -------------------------------------------------------------- pair PPMI
+def pair_inputs(spark, sf_dir):
+    """Items, lemma table and the pair table reduced to the item vocabulary.
+
+    Pairs are only ever looked up for words in both the lemma table and the
+    item vocabulary (S8), so tokens outside both are dropped *before* the
+    windowed pairing; pair counts of the remaining words are unchanged."""
+    s = fx.sents(spark, sf_dir)
+    items = ppmi.pair_items(s.select(F.col("sent_id").alias("item_id"),
+                                     tx.corpus_tokens(F.col("text")).alias("words")))
+    lem = corpus_lemmas(spark, sf_dir)
+    vocab = items.select(F.explode("words").alias("word")).distinct()
+    keep = lem.select("word").join(vocab, "word", "left_semi")
+    pairs = cnt.window_pair_counts(fx.toks(spark, sf_dir), keep, PAIR_WINDOW, PAIR_MIN)
+    return items, lem, pairs
+
+
+@query("pair_ppmi")
+def q_pair_ppmi(spark, sf_dir):
+    return ppmi.pair_ppmi(*pair_inputs(spark, sf_dir), smooth=True)
+
+
+@query("pair_ppmi_raw")
+def q_pair_ppmi_raw(spark, sf_dir):
+    return ppmi.pair_ppmi(*pair_inputs(spark, sf_dir), smooth=False)
+
+
+@query("report_pair_ppmi")
+def q_report_pair_ppmi(spark, sf_dir):
+    return (ppmi.pair_ppmi(*pair_inputs(spark, sf_dir), smooth=True)
+            .select("item_id", "score").orderBy("item_id"))
+
+
+@query("src_pairs_vocab")
+def q_src_pairs_vocab(spark, sf_dir):
+    """S8/F12 on the full pair table: kept only if both words are in the
+    lemma table and in the item vocabulary."""
+    s = fx.sents(spark, sf_dir)
+    items = ppmi.pair_items(s.select(F.col("sent_id").alias("item_id"),
+                                     tx.corpus_tokens(F.col("text")).alias("words")))
+    lem = corpus_lemmas(spark, sf_dir)
+    vocab = items.select(F.explode("words").alias("word")).distinct()
+    pairs = cnt.window_pair_counts(fx.toks(spark, sf_dir), lem, PAIR_WINDOW, PAIR_MIN)
+    for side in ("w1", "w2"):
+        pairs = (pairs.join(lem.select(F.col("word").alias(side)), side, "left_semi")
+                 .join(vocab.select(F.col("word").alias(side)), side, "left_semi"))
+    return pairs.select("w1", "w2", "freq")
+
+
+@query("item_vocab")
+def q_item_vocab(spark, sf_dir):
+    """Distinct words over all items."""
+    s = fx.sents(spark, sf_dir)
+    items = ppmi.pair_items(s.select(F.col("sent_id").alias("item_id"),
+                                     tx.corpus_tokens(F.col("text")).alias("words")))
+    return items.select(F.explode("words").alias("word")).distinct()
+
+
+@query("report_ppmi")
+def q_report_ppmi(spark, sf_dir):
+    return ppmi.report_ppmi(fx.items_wide(spark, sf_dir), mapped_triples(spark, sf_dir))
+
+
+@query("explain_ppmi")
+def q_explain_ppmi(spark, sf_dir):
+    return ppmi.explain_ppmi(fx.items_wide(spark, sf_dir), mapped_triples(spark, sf_dir))
+
+
+# --------------------------------------------------------- text functions
+@query("prep_sentence")
+def q_prep_sentence(spark, sf_dir):
+    s = fx.sents(spark, sf_dir).select("sent_id", tx.normalise_sentence(F.col("text")).alias("text"))
+    return s.withColumn("valid", tx.sentence_valid(F.col("text")))
+
+
+@query("word_count")
+def q_word_count(spark, sf_dir):
+    return fx.sents(spark, sf_dir).select("sent_id", tx.word_count(F.col("text")).alias("n_words"))
+
+
+@query("strip_final_period")
+def q_strip_final_period(spark, sf_dir):
+    return fx.sents(spark, sf_dir).select("sent_id", tx.strip_final_periods(F.col("text")).alias("text"))
+
+
+@query("target_word")
+def q_target_word(spark, sf_dir):
+    s = fx.sents(spark, sf_dir)
+    return s.select("sent_id", tx.target_word(F.col("text"), F.col("word_pos")).alias("word"),
+                    tx.target_word(F.col("text"), F.lit(-1)).alias("last_word"))
+
+
+def _item_strings(spark, sf_dir):
+    return fx.items_long(spark, sf_dir).select(
+        "item_id", "slot", "n_slots", tx.item_string(F.col("lemma"), F.col("pos"), F.col("role")).alias("item"))
+
+
+@query("parse_item")
+def q_parse_item(spark, sf_dir):
+    return _item_strings(spark, sf_dir).select("item_id", "slot", tx.parse_item(F.col("item")).alias("p")).select(
+        "item_id", "slot", "p.lemma", "p.pos", "p.role", "p.base_role", "p.key")
+
+
+@query("item_lemmas")
+def q_item_lemmas(spark, sf_dir):
+    return _item_strings(spark, sf_dir).select("item_id", "slot", tx.item_lemma(F.col("item")).alias("lemma"))
+
+
+@query("role_prefix_match")
+def q_role_prefix_match(spark, sf_dir):
+    """which bigram roles a target role selects under ``startswith``.
+    Both sides are distinct role labels (bounded by the label set); the
+    prefix test is an equi-join on the exploded prefixes of each role."""
+    items = fx.items_long(spark, sf_dir)
+    targets = (items.where(F.col("slot") == F.col("n_slots") - 1)
+               .select(F.substring_index("role", ":", 1).alias("target")).distinct())
+    roles = fx.bigrams(spark, sf_dir).select(tx.role_of(F.col("a2")).alias("role")).distinct()
+    prefixes = roles.select("role", F.explode(F.expr("transform(sequence(1, length(role)), i -> substr(role, 1, i))"))
+                            .alias("target"))
+    return prefixes.join(targets, "target").select("target", "role")
