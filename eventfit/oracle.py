@@ -274,3 +274,184 @@ SELECT t.target, r.role FROM
   (SELECT DISTINCT split_part(role, ':', 1) AS target FROM items_long WHERE slot = n_slots - 1) t
   JOIN (SELECT DISTINCT regexp_extract(a2, '([^@]*)$', 1) AS role FROM bigrams) r
   ON starts_with(r.role, t.target)""", "items_long", "bigrams")
+
+# ------------------------------------------------------- thematic fit
+view("vectors", ("fillers",), """
+SELECT coalesce(f.filler, 'w' || e.vec_id) AS word, CAST(e.embedding AS DOUBLE[]) AS vec
+FROM embeddings e LEFT JOIN fillers f ON f.k = e.vec_id
+WHERE e.label <> 0""")
+
+view("ik", ("items_long",), """
+SELECT item_id,
+       string_agg(lemma || '@' || pos || '@' || role, chr(9) ORDER BY slot) FILTER (WHERE slot < n_slots - 1)
+         || '|' || split_part(max(role) FILTER (WHERE slot = n_slots - 1), ':', 1) AS ctx_key,
+       split_part(max(role) FILTER (WHERE slot = n_slots - 1), ':', 1) AS t_role,
+       max(lemma) FILTER (WHERE slot = n_slots - 1) AS t_lemma,
+       max(pos) FILTER (WHERE slot = n_slots - 1) AS t_pos
+FROM items_long GROUP BY item_id""")
+
+view("kctx", ("ik", "items_long"), """
+SELECT DISTINCT ik.ctx_key, ik.t_role, il.slot AS ci, il.lemma || '@' || il.pos || '@' || il.role AS w
+FROM ik JOIN items_long il USING (item_id) WHERE il.slot < il.n_slots - 1""")
+
+view("attested", ("bigrams",), "SELECT a1 AS w FROM bigrams UNION SELECT a2 FROM bigrams")
+
+view("att", ("kctx", "attested"), """
+SELECT ctx_key, t_role, w, CAST(row_number() OVER (PARTITION BY ctx_key ORDER BY ci) - 1 AS INTEGER) AS li
+FROM kctx WHERE w IN (SELECT w FROM attested)""")
+
+view("adj", ("bigrams",), """
+SELECT a1 AS w, a2 AS o, freq FROM bigrams
+UNION ALL SELECT a2, a1, freq FROM bigrams WHERE a1 <> a2""")
+
+MI_STRICT_XY = ("CASE WHEN x.freq * y.freq <> 0 AND (adj.freq * nverb.n_verb) / (x.freq * y.freq) > 0 "
+                "THEN log2((adj.freq * nverb.n_verb) / (x.freq * y.freq)) END")
+
+view("lists", ("att", "adj", "nverb", "lemma_pos_freqs"), f"""
+SELECT p.w, p.t_role, regexp_replace(adj.o, '@[^@]*$', '') AS filler,
+       regexp_extract(adj.o, '([^@]*)$', 1) AS role,
+       round(({MI_STRICT_XY}) * adj.freq, 9) AS weight
+FROM (SELECT DISTINCT w, t_role FROM att) p JOIN adj ON adj.w = p.w CROSS JOIN nverb
+JOIN lemma_pos_freqs x ON x.lemma_pos = regexp_replace(adj.w, '@[^@]*$', '')
+JOIN lemma_pos_freqs y ON y.lemma_pos = regexp_replace(adj.o, '@[^@]*$', '')
+WHERE starts_with(regexp_extract(adj.o, '([^@]*)$', 1), p.t_role)""")
+
+view("ranked", ("lists",), """
+SELECT *, CAST(row_number() OVER (PARTITION BY w, t_role ORDER BY weight DESC, filler, role) AS INTEGER) AS rk
+FROM lists""")
+
+view("nl", ("att",), "SELECT ctx_key, count(*) AS nl FROM att GROUP BY ctx_key")
+
+
+def tf_views(n: int, m: int, update: str) -> list[tuple[str, str]]:
+    """Parameter-dependent part of the thematic-fit chain (N, M, update)."""
+    comb = "product(t.weight)" if update == "prod" else "sum(t.weight)"
+    return [
+        ("topn", f"""
+SELECT w, t_role, filler, max_by(weight, rk) AS weight FROM ranked WHERE rk <= {n} GROUP BY 1, 2, 3"""),
+        ("upd", f"""
+SELECT a.ctx_key, t.filler, round({comb}, 9) AS score
+FROM att a JOIN nl USING (ctx_key) JOIN topn t ON t.w = a.w AND t.t_role = a.t_role
+WHERE nl.nl >= 2 GROUP BY a.ctx_key, t.filler, nl.nl HAVING count(*) = nl.nl"""),
+        ("upd_in", "SELECT * FROM upd WHERE split_part(filler, '@', 1) IN (SELECT word FROM vectors)"),
+        ("up_cnt", "SELECT ctx_key, count(*) AS n_in_space FROM upd_in GROUP BY ctx_key"),
+        ("upd_top", f"""
+SELECT ctx_key, r, filler, weight FROM (
+  SELECT ctx_key, CAST(row_number() OVER (PARTITION BY ctx_key ORDER BY score DESC, filler) AS INTEGER) AS r,
+         filler, score AS weight FROM upd_in) s WHERE r <= {m}"""),
+        ("ops", """
+SELECT k.ctx_key, nl.nl, up.n_in_space,
+       CASE WHEN nl.nl IS NULL THEN 'no_fillers' WHEN nl.nl = 1 THEN 'one_filler_list'
+            WHEN up.n_in_space > 0 THEN 'update' ELSE 'intersection_empty_get_verbfillers' END AS operation
+FROM (SELECT DISTINCT ctx_key FROM ik) k LEFT JOIN nl USING (ctx_key) LEFT JOIN up_cnt up USING (ctx_key)"""),
+        ("inv", f"""
+SELECT w, t_role, r, filler, weight FROM (
+  SELECT *, CAST(row_number() OVER (PARTITION BY w, t_role ORDER BY weight DESC, filler, role) AS INTEGER) AS r
+  FROM lists WHERE split_part(filler, '@', 1) IN (SELECT word FROM vectors)) s WHERE r <= {m}"""),
+        ("chosen", """
+SELECT o.ctx_key, i.r, i.filler, i.weight FROM ops o
+JOIN att a ON a.ctx_key = o.ctx_key AND a.li = CASE WHEN o.operation = 'one_filler_list' THEN 0 ELSE 1 END
+JOIN inv i ON i.w = a.w AND i.t_role = a.t_role
+WHERE o.operation IN ('one_filler_list', 'intersection_empty_get_verbfillers')
+UNION ALL SELECT u.ctx_key, u.r, u.filler, u.weight FROM ops o JOIN upd_top u USING (ctx_key)
+WHERE o.operation = 'update'"""),
+        ("cvec", """
+SELECT c.ctx_key, c.r, v.vec FROM chosen c JOIN vectors v ON v.word = split_part(c.filler, '@', 1)"""),
+        ("cent", f"""
+SELECT s.ctx_key, c.n_vecs, list(CASE WHEN c.n_vecs = 1 THEN s.s ELSE s.s / {float(m)} END ORDER BY s.i) AS centroid
+FROM (SELECT ctx_key, i, sum(x) AS s FROM (
+        SELECT ctx_key, unnest(vec) AS x, generate_subscripts(vec, 1) AS i FROM cvec) d
+      GROUP BY ctx_key, i) s
+JOIN (SELECT ctx_key, count(*) AS n_vecs FROM cvec GROUP BY ctx_key) c USING (ctx_key)
+GROUP BY s.ctx_key, c.n_vecs"""),
+        ("tfs", """
+SELECT ik.item_id, CASE WHEN c.centroid IS NULL THEN 0.0 ELSE round(
+         list_dot_product(t.vec, c.centroid)
+         / nullif(sqrt(list_dot_product(t.vec, t.vec)) * sqrt(list_dot_product(c.centroid, c.centroid)), 0), 6)
+       END AS score
+FROM ik LEFT JOIN cent c USING (ctx_key) LEFT JOIN vectors t ON t.word = ik.t_lemma"""),
+    ]
+
+
+TF_BASE = ("ik", "att", "lists", "ranked", "nl", "vectors")
+
+
+def tf_build(body: str, n: int, m: int, update: str, *extra: str) -> str:
+    base = build("SELECT 1", *TF_BASE, *extra)
+    head = base[: base.rindex("\nSELECT 1")]
+    tail = ",\n".join(f"{name} AS ({sql}\n)" for name, sql in tf_views(n, m, update))
+    return f"{head},\n{tail}\n{body}"
+
+
+TF_N, TF_M = 20, 5
+COS = ("round(list_dot_product({a}, {b}) / nullif(sqrt(list_dot_product({a}, {a})) "
+       "* sqrt(list_dot_product({b}, {b})), 0), 6)")
+
+ORACLE["attested_contexts"] = build("SELECT ctx_key, li, w FROM att", "att")
+ORACLE["unattested_contexts"] = build(
+    "SELECT ctx_key, t_role, CAST(ci AS INTEGER) AS ci, w FROM kctx WHERE w NOT IN (SELECT w FROM attested)",
+    "kctx", "attested")
+ORACLE["filler_retrieval"] = build("SELECT w, t_role, filler, role, weight FROM lists", "lists")
+ORACLE["filler_rank"] = build("SELECT w, t_role, filler, role, weight, rk FROM ranked", "ranked")
+ORACLE["filler_top_n"] = tf_build("SELECT w, t_role, filler, weight FROM topn", TF_N, TF_M, "prod")
+ORACLE["filler_intersection"] = tf_build("SELECT ctx_key, filler FROM upd", TF_N, TF_M, "prod")
+ORACLE["filler_update_prod"] = tf_build("SELECT ctx_key, filler, score FROM upd", TF_N, TF_M, "prod")
+ORACLE["filler_update_add"] = tf_build("SELECT ctx_key, filler, score FROM upd", TF_N, TF_M, "add")
+ORACLE["prototype_fillers"] = tf_build("SELECT ctx_key, r, filler, weight FROM chosen", TF_N, TF_M, "prod")
+ORACLE["tf_operation"] = tf_build(
+    "SELECT ik.item_id, ops.operation FROM ik JOIN ops USING (ctx_key)", TF_N, TF_M, "prod")
+ORACLE["prototype_centroid"] = tf_build("""
+SELECT ctx_key, n_vecs, CAST(len(centroid) AS INTEGER) AS dim,
+       round(list_sum(centroid), 6) AS c_sum, round(sqrt(list_dot_product(centroid, centroid)), 6) AS c_norm
+FROM cent""", TF_N, TF_M, "prod")
+ORACLE["cosine_pairs"] = tf_build(f"""
+SELECT c.ctx_key, c.r, {COS.format(a='v.vec', b='ce.centroid')} AS cos
+FROM chosen c JOIN vectors v ON v.word = split_part(c.filler, '@', 1) JOIN cent ce USING (ctx_key)""",
+                                  TF_N, TF_M, "prod")
+ORACLE["tf_score"] = tf_build("SELECT item_id, score FROM tfs", TF_N, TF_M, "prod")
+ORACLE["explain_prototype"] = tf_build("""
+SELECT ik.item_id, coalesce(f.fillers, '') AS fillers, ops.operation
+FROM ik JOIN ops USING (ctx_key)
+LEFT JOIN (SELECT ctx_key, string_agg(filler || ' (' || CAST(round(weight, 2) + 0.0 AS VARCHAR) || ')', ',' ORDER BY r)
+             AS fillers FROM chosen GROUP BY ctx_key) f USING (ctx_key)""", TF_N, TF_M, "prod")
+ORACLE["vec_key_lookup"] = build("""
+SELECT item_id, t_lemma AS vkey, t_lemma || '/' || t_pos AS vkey_pos,
+       t_lemma IN (SELECT word FROM vectors) AS in_space
+FROM ik""", "ik", "vectors")
+
+
+def _sweep_sql() -> str:
+    parts = []
+    for n, m, upd in SWEEP:
+        q = tf_build(f"SELECT item_id, {n} AS list_length, {m} AS n_centroid, '{upd}' AS update_fn, score FROM tfs",
+                     n, m, upd)
+        parts.append(f"SELECT * FROM ({q}) s{len(parts)}")
+    return "\nUNION ALL\n".join(parts)
+
+
+SWEEP = [(8, 5, "prod"), (20, 5, "add"), (200, 20, "prod")]
+ORACLE["tf_param_sweep"] = _sweep_sql()
+
+view("lcent", ("lists", "vectors"), f"""
+WITH top AS (
+  SELECT * FROM (
+    SELECT *, row_number() OVER (PARTITION BY w, t_role ORDER BY weight DESC, filler, role) AS r
+    FROM lists WHERE split_part(filler, '@', 1) IN (SELECT word FROM vectors)) s WHERE r <= {TF_M}),
+tv AS (SELECT top.w, top.t_role, v.vec FROM top JOIN vectors v ON v.word = split_part(top.filler, '@', 1)),
+cnt AS (SELECT w, t_role, count(*) AS n FROM tv GROUP BY w, t_role),
+sums AS (SELECT w, t_role, i, sum(x) AS s FROM (
+           SELECT w, t_role, unnest(vec) AS x, generate_subscripts(vec, 1) AS i FROM tv) d GROUP BY w, t_role, i)
+SELECT sums.w, sums.t_role, list(CASE WHEN cnt.n = 1 THEN sums.s ELSE sums.s / {float(TF_M)} END ORDER BY sums.i) AS lc
+FROM sums JOIN cnt USING (w, t_role) GROUP BY sums.w, sums.t_role""")
+
+ORACLE["sdm_combine"] = tf_build(f"""
+SELECT item_id, cos_lc, cos_ac,
+       CASE WHEN cos_lc IS NULL AND cos_ac IS NULL THEN NULL
+            ELSE round(coalesce(cos_lc, 0.0) + coalesce(cos_ac, 0.0), 6) END AS score
+FROM (
+  SELECT ik.item_id, {COS.format(a='t.vec', b='lc.lc')} AS cos_lc, {COS.format(a='t.vec', b='ce.centroid')} AS cos_ac
+  FROM ik
+  JOIN (SELECT ctx_key, t_role, w FROM kctx WHERE ci = 1) vb USING (ctx_key)
+  LEFT JOIN lcent lc ON lc.w = vb.w AND lc.t_role = vb.t_role
+  LEFT JOIN cent ce USING (ctx_key)
+  LEFT JOIN vectors t ON t.word = ik.t_lemma) s""", TF_N, TF_M, "prod", "lcent")

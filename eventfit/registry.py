@@ -264,3 +264,153 @@ def q_role_prefix_match(spark, sf_dir):
     prefixes = roles.select("role", F.explode(F.expr("transform(sequence(1, length(role)), i -> substr(role, 1, i))"))
                             .alias("target"))
     return prefixes.join(targets, "target").select("target", "role")
+
+
+# ----------------------------------------------------------- thematic fit
+from .functions import vectors as vx  # noqa: E402
+from .plans import thematic as tf  # noqa: E402
+
+TF_PARAMS = tf.TFParams(list_length=20, n_centroid=5, weight="lmi", update="prod")
+TF_SWEEP = [tf.TFParams(list_length=8, n_centroid=5, update="prod"),
+            tf.TFParams(list_length=20, n_centroid=5, update="add"),
+            tf.TFParams(list_length=200, n_centroid=20, update="prod")]
+
+
+def tf_inputs(spark, sf_dir) -> tf.TFInputs:
+    bg = fx.bigrams(spark, sf_dir)
+    return tf.TFInputs(fx.items_wide(spark, sf_dir), bg, fx.lemma_pos_freqs(spark, sf_dir, bg),
+                       fx.vectors(spark, sf_dir))
+
+
+def _protos(spark, sf_dir, p=TF_PARAMS):
+    inp = tf_inputs(spark, sf_dir)
+    return inp, tf.prototypes(inp, p)
+
+
+@query("attested_contexts")
+def q_attested_contexts(spark, sf_dir):
+    inp = tf_inputs(spark, sf_dir)
+    keys = tf.distinct_keys(tf.item_keys(inp.items_wide))
+    return tf.attested_contexts(keys, inp.bigrams).select("ctx_key", "li", "w")
+
+
+@query("unattested_contexts")
+def q_unattested_contexts(spark, sf_dir):
+    inp = tf_inputs(spark, sf_dir)
+    keys = tf.distinct_keys(tf.item_keys(inp.items_wide))
+    return tf.unattested_contexts(keys, inp.bigrams).select("ctx_key", "t_role", "ci", "w")
+
+
+@query("filler_retrieval")
+def q_filler_retrieval(spark, sf_dir):
+    _, pr = _protos(spark, sf_dir)
+    return pr.lists
+
+
+@query("filler_rank")
+def q_filler_rank(spark, sf_dir):
+    _, pr = _protos(spark, sf_dir)
+    return tf.ranked(pr.lists)
+
+
+@query("filler_top_n")
+def q_filler_top_n(spark, sf_dir):
+    _, pr = _protos(spark, sf_dir)
+    return tf.top_n_dict(pr.lists, TF_PARAMS.list_length)
+
+
+@query("filler_intersection")
+def q_filler_intersection(spark, sf_dir):
+    _, pr = _protos(spark, sf_dir)
+    return pr.updated.select("ctx_key", "filler")
+
+
+@query("filler_update_prod")
+def q_filler_update_prod(spark, sf_dir):
+    _, pr = _protos(spark, sf_dir)
+    return pr.updated
+
+
+@query("filler_update_add")
+def q_filler_update_add(spark, sf_dir):
+    from dataclasses import replace
+    _, pr = _protos(spark, sf_dir, replace(TF_PARAMS, update="add"))
+    return pr.updated
+
+
+@query("prototype_fillers")
+def q_prototype_fillers(spark, sf_dir):
+    _, pr = _protos(spark, sf_dir)
+    return pr.chosen
+
+
+@query("tf_operation")
+def q_tf_operation(spark, sf_dir):
+    _, pr = _protos(spark, sf_dir)
+    return pr.item_keys.select("item_id", "ctx_key").join(pr.ops, "ctx_key").select("item_id", "operation")
+
+
+@query("prototype_centroid")
+def q_prototype_centroid(spark, sf_dir):
+    inp, pr = _protos(spark, sf_dir)
+    c = tf.centroids(pr, inp.vectors, TF_PARAMS)
+    return c.select("ctx_key", "n_vecs", F.size("centroid").alias("dim"),
+                    F.round(F.aggregate("centroid", F.lit(0.0), lambda a, x: a + x), 6).alias("c_sum"),
+                    F.round(vx.norm(F.col("centroid")), 6).alias("c_norm"))
+
+
+@query("cosine_pairs")
+def q_cosine_pairs(spark, sf_dir):
+    """P7 on every prototype filler: cosine of its vector and the centroid."""
+    inp, pr = _protos(spark, sf_dir)
+    c = tf.centroids(pr, inp.vectors, TF_PARAMS)
+    v = inp.vectors.select(F.col("word").alias("vkey"), "vec")
+    j = (pr.chosen.withColumn("vkey", tf.filler_vkey(F.col("filler"), False)).join(v, "vkey")
+         .join(c, "ctx_key"))
+    return j.select("ctx_key", "r", F.round(vx.cosine(F.col("vec"), F.col("centroid")), 6).alias("cos"))
+
+
+@query("tf_score")
+def q_tf_score(spark, sf_dir):
+    inp, pr = _protos(spark, sf_dir)
+    return tf.tf_scores(inp, TF_PARAMS, pr)
+
+
+@query("tf_param_sweep")
+def q_tf_param_sweep(spark, sf_dir):
+    """The ranked filler lists do not depend on N, M or the update
+    function, so they are computed once (checkpointed into the shared
+    folder) and every parameter set reuses them."""
+    inp = tf_inputs(spark, sf_dir)
+    keys = tf.distinct_keys(tf.item_keys(inp.items_wide))
+    att = tf.attested_contexts(keys, inp.bigrams)
+    lists = tf.filler_lists(att.select("w", "t_role").distinct(), inp, TF_PARAMS).checkpoint()
+    out = None
+    for p in TF_SWEEP:
+        s = tf.tf_scores(inp, p, tf.prototypes(inp, p, lists)).select(
+            "item_id", F.lit(p.list_length).alias("list_length"), F.lit(p.n_centroid).alias("n_centroid"),
+            F.lit(p.update).alias("update_fn"), "score")
+        out = s if out is None else out.unionByName(s)
+    return out
+
+
+@query("explain_prototype")
+def q_explain_prototype(spark, sf_dir):
+    _, pr = _protos(spark, sf_dir)
+    return tf.explain_prototype(pr)
+
+
+@query("vec_key_lookup")
+def q_vec_key_lookup(spark, sf_dir):
+    inp = tf_inputs(spark, sf_dir)
+    ik = tf.item_keys(inp.items_wide)
+    words = inp.vectors.select(F.col("word").alias("vkey"), F.lit(True).alias("in_space"))
+    return (ik.select("item_id", vx.vec_key(F.col("t_lemma"), F.col("t_pos"), False).alias("vkey"),
+                      vx.vec_key(F.col("t_lemma"), F.col("t_pos"), True).alias("vkey_pos"))
+            .join(words, "vkey", "left")
+            .select("item_id", "vkey", "vkey_pos", F.coalesce("in_space", F.lit(False)).alias("in_space")))
+
+
+@query("sdm_combine")
+def q_sdm_combine(spark, sf_dir):
+    return tf.sdm_scores(tf_inputs(spark, sf_dir), TF_PARAMS)
