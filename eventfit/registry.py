@@ -7,9 +7,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .operators.counting import map_triples
 from .plans import ppmi
-from .sources import fixtures as fx
+from .sources import catalog as cat
+from .sources import fixtures as fx  # noqa: F401
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -23,17 +23,17 @@ def query(name: str):
 
 
 def mapped_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return map_triples(fx.triples_raw(spark, sf_dir), fx.role_map(spark, sf_dir), min_freq=2.0)
+    return map_triples(cat.triples_raw(spark, sf_dir), fx.role_map(spark, sf_dir), min_freq=2.0)
 
 
 @query("ppmi_syntax")
 def q_ppmi_syntax(spark, sf_dir):
-    return ppmi.ppmi_syntax(fx.items_wide(spark, sf_dir), mapped_triples(spark, sf_dir), smooth=True)
+    return ppmi.ppmi_syntax(cat.items_wide(spark, sf_dir), mapped_triples(spark, sf_dir), smooth=True)
 
 
 @query("ppmi_syntax_raw")
 def q_ppmi_syntax_raw(spark, sf_dir):
-    return ppmi.ppmi_syntax(fx.items_wide(spark, sf_dir), mapped_triples(spark, sf_dir), smooth=False)
+    return ppmi.ppmi_syntax(cat.items_wide(spark, sf_dir), mapped_triples(spark, sf_dir), smooth=False)
 
 
 # ------------------------------------------------------------ association
@@ -46,7 +46,7 @@ from .operators.ranking import with_scalars  # noqa: E402
 
 
 def _comp_stats(spark, sf_dir):
-    return ppmi.syntax_stats(fx.items_wide(spark, sf_dir), mapped_triples(spark, sf_dir))
+    return ppmi.syntax_stats(cat.items_wide(spark, sf_dir), mapped_triples(spark, sf_dir))
 
 
 def _measure_over_components(fn):
@@ -65,8 +65,8 @@ QUERIES["assoc_laplace"] = _measure_over_components(assoc.laplace)
 def bigram_stats(spark, sf_dir):
     """Every bigram with its two lemma@pos marginals and the verb total
     (J6, A8): the inputs of the thematic-fit weight functions."""
-    bg = fx.bigrams(spark, sf_dir)
-    lp = fx.lemma_pos_freqs(spark, sf_dir, bg)
+    bg = cat.bigrams(spark, sf_dir)
+    lp = cat.lemma_pos_freqs(spark, sf_dir)
     x = lp.select(F.col("lemma_pos").alias("k1"), F.col("freq").alias("a"))
     y = lp.select(F.col("lemma_pos").alias("k2"), F.col("freq").alias("b"))
     s = (bg.withColumn("k1", tx.strip_role(F.col("a1"))).withColumn("k2", tx.strip_role(F.col("a2")))
@@ -109,29 +109,29 @@ def q_triple_total(spark, sf_dir):
 
 @query("verb_total")
 def q_verb_total(spark, sf_dir):
-    return cnt.verb_total(fx.lemma_pos_freqs(spark, sf_dir))
+    return cnt.verb_total(cat.lemma_pos_freqs(spark, sf_dir))
 
 
 @query("attested_args")
 def q_attested_args(spark, sf_dir):
-    return cnt.attested_args(fx.bigrams(spark, sf_dir))
+    return cnt.attested_args(cat.bigrams(spark, sf_dir))
 
 
 LEMMA_MIN, PAIR_MIN, PAIR_WINDOW, TRIPLE_MIN = 50, 5, 10, 2
 
 
 def corpus_lemmas(spark, sf_dir):
-    return cnt.lemma_counts(fx.toks(spark, sf_dir), LEMMA_MIN)
+    return cat.lemmas(spark, sf_dir)
 
 
 @query("corpus_lemma_counts")
 def q_corpus_lemmas(spark, sf_dir):
-    return corpus_lemmas(spark, sf_dir)
+    return cnt.lemma_counts(cat.toks(spark, sf_dir), LEMMA_MIN)
 
 
 @query("corpus_pair_counts")
 def q_corpus_pairs(spark, sf_dir):
-    return cnt.window_pair_counts(fx.toks(spark, sf_dir), corpus_lemmas(spark, sf_dir), PAIR_WINDOW, PAIR_MIN)
+    return cnt.window_pair_counts(cat.toks(spark, sf_dir), corpus_lemmas(spark, sf_dir), PAIR_WINDOW, PAIR_MIN)
 
 
 @query("corpus_triple_counts")
@@ -141,7 +141,7 @@ def q_corpus_triples(spark, sf_dir):
 
 @query("min_freq")
 def q_min_freq(spark, sf_dir):
-    return fx.triples_raw(spark, sf_dir).where(F.col("freq") >= TRIPLE_MIN)
+    return cat.triples_raw(spark, sf_dir).where(F.col("freq") >= TRIPLE_MIN)
 
 
 # -------------------------------------------------------------- pair PPMI
@@ -151,13 +151,13 @@ def pair_inputs(spark, sf_dir):
     Pairs are only ever looked up for words in both the lemma table and the
     item vocabulary (S8), so tokens outside both are dropped *before* the
     windowed pairing; pair counts of the remaining words are unchanged."""
-    s = fx.sents(spark, sf_dir)
+    s = cat.sents(spark, sf_dir)
     items = ppmi.pair_items(s.select(F.col("sent_id").alias("item_id"),
                                      tx.corpus_tokens(F.col("text")).alias("words")))
     lem = corpus_lemmas(spark, sf_dir)
     vocab = items.select(F.explode("words").alias("word")).distinct()
     keep = lem.select("word").join(vocab, "word", "left_semi")
-    pairs = cnt.window_pair_counts(fx.toks(spark, sf_dir), keep, PAIR_WINDOW, PAIR_MIN)
+    pairs = cnt.window_pair_counts(cat.toks(spark, sf_dir), keep, PAIR_WINDOW, PAIR_MIN)
     return items, lem, pairs
 
 
@@ -181,12 +181,12 @@ def q_report_pair_ppmi(spark, sf_dir):
 def q_src_pairs_vocab(spark, sf_dir):
     """S8/F12 on the full pair table: kept only if both words are in the
     lemma table and in the item vocabulary."""
-    s = fx.sents(spark, sf_dir)
+    s = cat.sents(spark, sf_dir)
     items = ppmi.pair_items(s.select(F.col("sent_id").alias("item_id"),
                                      tx.corpus_tokens(F.col("text")).alias("words")))
     lem = corpus_lemmas(spark, sf_dir)
     vocab = items.select(F.explode("words").alias("word")).distinct()
-    pairs = cnt.window_pair_counts(fx.toks(spark, sf_dir), lem, PAIR_WINDOW, PAIR_MIN)
+    pairs = cnt.window_pair_counts(cat.toks(spark, sf_dir), lem, PAIR_WINDOW, PAIR_MIN)
     for side in ("w1", "w2"):
         pairs = (pairs.join(lem.select(F.col("word").alias(side)), side, "left_semi")
                  .join(vocab.select(F.col("word").alias(side)), side, "left_semi"))
@@ -196,7 +196,7 @@ def q_src_pairs_vocab(spark, sf_dir):
 @query("item_vocab")
 def q_item_vocab(spark, sf_dir):
     """Distinct words over all items."""
-    s = fx.sents(spark, sf_dir)
+    s = cat.sents(spark, sf_dir)
     items = ppmi.pair_items(s.select(F.col("sent_id").alias("item_id"),
                                      tx.corpus_tokens(F.col("text")).alias("words")))
     return items.select(F.explode("words").alias("word")).distinct()
@@ -204,40 +204,40 @@ def q_item_vocab(spark, sf_dir):
 
 @query("report_ppmi")
 def q_report_ppmi(spark, sf_dir):
-    return ppmi.report_ppmi(fx.items_wide(spark, sf_dir), mapped_triples(spark, sf_dir))
+    return ppmi.report_ppmi(cat.items_wide(spark, sf_dir), mapped_triples(spark, sf_dir))
 
 
 @query("explain_ppmi")
 def q_explain_ppmi(spark, sf_dir):
-    return ppmi.explain_ppmi(fx.items_wide(spark, sf_dir), mapped_triples(spark, sf_dir))
+    return ppmi.explain_ppmi(cat.items_wide(spark, sf_dir), mapped_triples(spark, sf_dir))
 
 
 # --------------------------------------------------------- text functions
 @query("prep_sentence")
 def q_prep_sentence(spark, sf_dir):
-    s = fx.sents(spark, sf_dir).select("sent_id", tx.normalise_sentence(F.col("text")).alias("text"))
+    s = cat.sents(spark, sf_dir).select("sent_id", tx.normalise_sentence(F.col("text")).alias("text"))
     return s.withColumn("valid", tx.sentence_valid(F.col("text")))
 
 
 @query("word_count")
 def q_word_count(spark, sf_dir):
-    return fx.sents(spark, sf_dir).select("sent_id", tx.word_count(F.col("text")).alias("n_words"))
+    return cat.sents(spark, sf_dir).select("sent_id", tx.word_count(F.col("text")).alias("n_words"))
 
 
 @query("strip_final_period")
 def q_strip_final_period(spark, sf_dir):
-    return fx.sents(spark, sf_dir).select("sent_id", tx.strip_final_periods(F.col("text")).alias("text"))
+    return cat.sents(spark, sf_dir).select("sent_id", tx.strip_final_periods(F.col("text")).alias("text"))
 
 
 @query("target_word")
 def q_target_word(spark, sf_dir):
-    s = fx.sents(spark, sf_dir)
+    s = cat.sents(spark, sf_dir)
     return s.select("sent_id", tx.target_word(F.col("text"), F.col("word_pos")).alias("word"),
                     tx.target_word(F.col("text"), F.lit(-1)).alias("last_word"))
 
 
 def _item_strings(spark, sf_dir):
-    return fx.items_long(spark, sf_dir).select(
+    return cat.items_long(spark, sf_dir).select(
         "item_id", "slot", "n_slots", tx.item_string(F.col("lemma"), F.col("pos"), F.col("role")).alias("item"))
 
 
@@ -257,10 +257,10 @@ def q_role_prefix_match(spark, sf_dir):
     """which bigram roles a target role selects under ``startswith``.
     Both sides are distinct role labels (bounded by the label set); the
     prefix test is an equi-join on the exploded prefixes of each role."""
-    items = fx.items_long(spark, sf_dir)
+    items = cat.items_long(spark, sf_dir)
     targets = (items.where(F.col("slot") == F.col("n_slots") - 1)
                .select(F.substring_index("role", ":", 1).alias("target")).distinct())
-    roles = fx.bigrams(spark, sf_dir).select(tx.role_of(F.col("a2")).alias("role")).distinct()
+    roles = cat.bigrams(spark, sf_dir).select(tx.role_of(F.col("a2")).alias("role")).distinct()
     prefixes = roles.select("role", F.explode(F.expr("transform(sequence(1, length(role)), i -> substr(role, 1, i))"))
                             .alias("target"))
     return prefixes.join(targets, "target").select("target", "role")
@@ -277,9 +277,9 @@ TF_SWEEP = [tf.TFParams(list_length=8, n_centroid=5, update="prod"),
 
 
 def tf_inputs(spark, sf_dir) -> tf.TFInputs:
-    bg = fx.bigrams(spark, sf_dir)
-    return tf.TFInputs(fx.items_wide(spark, sf_dir), bg, fx.lemma_pos_freqs(spark, sf_dir, bg),
-                       fx.vectors(spark, sf_dir))
+    bg = cat.bigrams(spark, sf_dir)
+    return tf.TFInputs(cat.items_wide(spark, sf_dir), bg, cat.lemma_pos_freqs(spark, sf_dir),
+                       cat.vectors(spark, sf_dir))
 
 
 def _protos(spark, sf_dir, p=TF_PARAMS):

@@ -70,6 +70,10 @@ def fillers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def items_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return items_wide_from(spark, sf_dir, fillers(spark, sf_dir))
+
+
+def items_wide_from(spark: SparkSession, sf_dir: str, fl: DataFrame) -> DataFrame:
     """Role-annotated items ``(item_id, slots array<struct<slot, lemma, pos, role>>)``.
 
     One item per order. Slot 0 is the subject, slot 1 the verb, slot 2 the
@@ -141,11 +145,13 @@ def base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bigrams_from(base_counts(spark, sf_dir), role_map(spark, sf_dir))
+
+
+def bigrams_from(b: DataFrame, rm: DataFrame) -> DataFrame:
     """Role-typed argument pairs ``(a1, a2, freq)``, arguments ``l@p@r``:
     subject-verb, verb-filler and subject-filler, with subject relations
     never used as filler roles."""
-    b = base_counts(spark, sf_dir)
-    rm = role_map(spark, sf_dir)
     bm = b.join(F.broadcast(rm), "raw_rel").where(F.col("role") != "NSUBJ")  # bounded: one row per label
     subj = F.concat(F.col("subj"), F.lit("@N@NSUBJ"))
     verb = F.concat(F.col("verb"), F.lit("@V@ROOT"))
@@ -170,8 +176,11 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     of filler ``k``; other embeddings get the word ``w<vec_id>``. Embeddings
     with label 0 are left out of the space, so some fillers are out of
     vocabulary."""
+    return vectors_from(spark, sf_dir, fillers(spark, sf_dir))
+
+
+def vectors_from(spark: SparkSession, sf_dir: str, fl: DataFrame) -> DataFrame:
     emb = table(spark, sf_dir, "embeddings").where(F.col("label") != 0).select("vec_id", "embedding")
-    fl = fillers(spark, sf_dir)
     return (emb.join(fl, emb.vec_id == fl.k, "left")
             .select(F.coalesce(F.col("filler"), F.concat(F.lit("w"), F.col("vec_id").cast("string"))).alias("word"),
                     F.transform("embedding", lambda x: x.cast("double")).alias("vec")))
