@@ -455,3 +455,180 @@ FROM (
   LEFT JOIN lcent lc ON lc.w = vb.w AND lc.t_role = vb.t_role
   LEFT JOIN cent ce USING (ctx_key)
   LEFT JOIN vectors t ON t.word = ik.t_lemma) s""", TF_N, TF_M, "prod", "lcent")
+
+# ----------------------------------------------------------- LM scores
+PRETOK = r"'[\p{L}\p{N}]+|[^\p{L}\p{N}\s]'"
+PIECES_PREFIX = (f"flatten(list_transform(regexp_extract_all(__T__, {PRETOK}), lambda p: list_transform("
+                 "range(0, CAST(ceil(length(p) / 4) AS BIGINT)), lambda j: "
+                 "CASE WHEN j > 0 THEN '##' ELSE '' END || substring(p, j * 4 + 1, 4))))")
+PIECES_MARKER = (f"flatten(list_transform(regexp_extract_all(__T__, {PRETOK}), lambda p, i: list_transform("
+                 "range(0, CAST(ceil(length(p) / 4) AS BIGINT)), lambda j: "
+                 "CASE WHEN j = 0 AND i > 1 AND regexp_matches(p, '^[\\p{L}\\p{N}]') THEN 'Ġ' ELSE '' END "
+                 "|| substring(p, j * 4 + 1, 4))))")
+
+
+def _lmsent(pieces: str) -> str:
+    return rf"""
+SELECT sent_id, t AS text, word_pos,
+       CAST(len(list_filter(string_split_regex(t, '\s+'), lambda x: x <> '')) AS INTEGER) AS n_words,
+       {pieces.replace('__T__', 't')} AS pcs
+FROM (SELECT sent_id, word_pos, regexp_replace(text, '\s*\.$', '') || '.' AS t FROM sents) s"""
+
+
+view("lmsent", ("sents",), _lmsent(PIECES_PREFIX))
+view("lmsent_m", ("sents",), _lmsent(PIECES_MARKER))
+view("dpcs", (), f"SELECT doc_id, {PIECES_PREFIX.replace('__T__', 'text')} AS pcs FROM documents")
+view("puni", ("dpcs",), """
+SELECT w, CAST(count(*) AS DOUBLE) AS c FROM (SELECT unnest(['<s>'] || pcs) AS w FROM dpcs) s GROUP BY w""")
+view("pbi", ("dpcs",), """
+SELECT prev, w, CAST(count(*) AS DOUBLE) AS c FROM (
+  SELECT unnest((['<s>'] || pcs)[1:len(pcs)]) AS prev, unnest(pcs) AS w FROM dpcs WHERE len(pcs) > 0) s
+GROUP BY prev, w""")
+view("ptot2", ("puni",), "SELECT sum(c) AS N, CAST(count(*) AS DOUBLE) AS V FROM puni")
+view("ltok", ("lmsent",), """
+SELECT sent_id, CAST(len(pcs) AS INTEGER) AS n, CAST(i AS INTEGER) AS pos, (['<s>'] || pcs)[i] AS prev,
+       pcs[i] AS token, pcs[i + 1] AS nxt
+FROM (SELECT sent_id, pcs, unnest(range(1, len(pcs) + 1)) AS i FROM lmsent) s""")
+view("tfeat", ("ltok", "puni", "pbi", "ptot2"), """
+SELECT t.sent_id, t.pos, t.token, t.n,
+       ln((coalesce(b1.c, 0) + 1) / (coalesce(up.c, 0) + ptot2.V)) AS left_bi,
+       ln((coalesce(ut.c, 0) + 1) / (ptot2.N + ptot2.V)) AS uni,
+       CASE WHEN t.nxt IS NOT NULL THEN ln((coalesce(b2.c, 0) + 1) / (coalesce(ut.c, 0) + ptot2.V))
+            - ln((coalesce(un.c, 0) + 1) / (ptot2.N + ptot2.V)) END AS right_gain
+FROM ltok t CROSS JOIN ptot2
+LEFT JOIN puni ut ON ut.w = t.token LEFT JOIN puni up ON up.w = t.prev LEFT JOIN puni un ON un.w = t.nxt
+LEFT JOIN pbi b1 ON b1.prev = t.prev AND b1.w = t.token
+LEFT JOIN pbi b2 ON b2.prev = t.token AND b2.w = t.nxt""")
+view("wgp", ("ltok",), """
+SELECT sent_id, pos, token, n,
+       CAST(sum(CASE WHEN token LIKE '##%' THEN 0 ELSE 1 END) OVER (PARTITION BY sent_id ORDER BY pos
+            ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 1 AS INTEGER) AS word_idx
+FROM ltok""")
+view("plan_plain", ("ltok",), "SELECT sent_id, pos AS target_pos, pos AS mask_from, pos AS mask_to FROM ltok")
+view("plan_l2r", ("ltok",), "SELECT sent_id, pos AS target_pos, pos AS mask_from, n AS mask_to FROM ltok")
+view("plan_adapted", ("wgp",), """
+SELECT sent_id, pos AS target_pos, pos AS mask_from,
+       max(pos) OVER (PARTITION BY sent_id, word_idx) AS mask_to FROM wgp""")
+
+LP = ("CASE WHEN p.target_pos = 1 OR p.target_pos - 1 < p.mask_from OR p.target_pos - 1 > p.mask_to "
+      "THEN f.left_bi ELSE f.uni END + CASE WHEN p.target_pos + 1 > p.mask_to AND f.right_gain IS NOT NULL "
+      "THEN f.right_gain ELSE 0.0 END")
+for _k in ("plain", "l2r", "adapted"):
+    view(f"ts_{_k}", (f"plan_{_k}", "tfeat"), f"""
+SELECT p.sent_id, p.target_pos, {LP} AS logprob
+FROM plan_{_k} p JOIN tfeat f ON f.sent_id = p.sent_id AND f.pos = p.target_pos""")
+    view(f"ss_{_k}", (f"ts_{_k}", "lmsent"), f"""
+SELECT s.sent_id, s.text, round(coalesce(t.score, 0.0), 6) AS score,
+       round(coalesce(t.score, 0.0) / nullif(len(s.pcs), 0), 6) AS score_by_tokens,
+       round(coalesce(t.score, 0.0) / nullif(s.n_words, 0), 6) AS score_by_words,
+       CAST(len(s.pcs) AS INTEGER) AS n_tokens, s.n_words
+FROM lmsent s LEFT JOIN (SELECT sent_id, sum(logprob) AS score FROM ts_{_k} GROUP BY sent_id) t USING (sent_id)""")
+    ORACLE[f"mask_plan_{_k}"] = build(f"SELECT sent_id, target_pos, mask_from, mask_to FROM plan_{_k}",
+                                      f"plan_{_k}")
+
+view("causal", ("lmsent", "puni", "pbi", "ptot2"), """
+WITH t AS (
+  SELECT sent_id, unnest(seq[1:len(pcs) + 1]) AS prev, unnest(seq[2:len(pcs) + 2]) AS w
+  FROM (SELECT sent_id, pcs, ['<s>'] || pcs || ['<s>'] AS seq FROM lmsent) s),
+lp AS (
+  SELECT t.sent_id, ln((coalesce(b.c, 0) + 1) / (coalesce(u.c, 0) + ptot2.V)) AS lp
+  FROM t CROSS JOIN ptot2 LEFT JOIN pbi b ON b.prev = t.prev AND b.w = t.w LEFT JOIN puni u ON u.w = t.prev),
+a AS (SELECT sent_id, avg(lp) AS m FROM lp GROUP BY sent_id)
+SELECT s.sent_id, s.text, round(a.m * (len(s.pcs) + 2), 6) AS score, round(a.m, 6) AS score_by_tokens,
+       round(a.m * (len(s.pcs) + 2) / nullif(s.n_words, 0), 6) AS score_by_words,
+       CAST(len(s.pcs) + 2 AS INTEGER) AS n_tokens, s.n_words
+FROM lmsent s JOIN a USING (sent_id)""")
+
+view("surp", ("ltok", "puni", "pbi"), """
+SELECT t.sent_id AS sentence_id, t.pos AS token_id, CASE WHEN uw.c IS NULL THEN 'UNK' ELSE t.token END AS token,
+       round(-log2((coalesce(b.c, 0) + 1) / (coalesce(up.c, 0) + (SELECT CAST(count(*) AS DOUBLE) FROM puni))), 6)
+         AS surprisal
+FROM ltok t LEFT JOIN pbi b ON b.prev = t.prev AND b.w = t.token
+LEFT JOIN puni up ON up.w = t.prev LEFT JOIN puni uw ON uw.w = t.token""")
+
+view("spans", ("lmsent",), rf"""
+SELECT sent_id, k, coalesce(
+    list_filter(cands, lambda i: pcs[i:i + k - 1] = wp)[1], cands[-1]) AS start
+FROM (SELECT sent_id, pcs, wp, len(wp) AS k,
+             list_filter(range(1, greatest(len(pcs), 1) + 1), lambda i: pcs[i] = wp[1]) AS cands
+      FROM (SELECT sent_id, pcs, {PIECES_PREFIX.replace('__T__', 'w')} AS wp
+            FROM (SELECT sent_id, pcs,
+                         regexp_replace(list_filter(string_split_regex(text, '\s+'), lambda x: x <> '')[word_pos + 1],
+                                        '\.+$', '') AS w
+                  FROM lmsent) a) b) c""")
+view("spans_last", ("lmsent",), rf"""
+SELECT sent_id, k, coalesce(
+    list_filter(cands, lambda i: pcs[i:i + k - 1] = wp)[1], cands[-1]) AS start
+FROM (SELECT sent_id, pcs, wp, len(wp) AS k,
+             list_filter(range(1, greatest(len(pcs), 1) + 1), lambda i: pcs[i] = wp[1]) AS cands
+      FROM (SELECT sent_id, pcs, {PIECES_PREFIX.replace('__T__', 'w')} AS wp
+            FROM (SELECT sent_id, pcs,
+                         regexp_replace(list_filter(string_split_regex(text, '\s+'), lambda x: x <> '')[-1],
+                                        '\.+$', '') AS w
+                  FROM lmsent) a) b) c""")
+
+ORACLE["word_groups_prefix"] = build("SELECT sent_id, pos, token, word_idx FROM wgp", "wgp")
+ORACLE["word_groups_marker"] = build("""
+SELECT sent_id, pos, token,
+       CAST(sum(CASE WHEN pos = 1 OR token IN ('[CLS]', '[SEP]', '<s>', '</s>', '.') OR token LIKE 'Ġ%'
+                      OR coalesce(prev, '') = '.' THEN 1 ELSE 0 END)
+            OVER (PARTITION BY sent_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 1 AS INTEGER)
+         AS word_idx
+FROM (SELECT sent_id, CAST(i AS INTEGER) AS pos, pcs[i] AS token, CASE WHEN i > 1 THEN pcs[i - 1] END AS prev
+      FROM (SELECT sent_id, pcs, unnest(range(1, len(pcs) + 1)) AS i FROM lmsent_m) s) t""", "lmsent_m")
+ORACLE["token_count"] = build("""
+SELECT sent_id, CAST(len(pcs) AS INTEGER) AS n_tokens, CAST(len(pcs) + 2 AS INTEGER) AS n_with_markers
+FROM lmsent""", "lmsent")
+ORACLE["locate_span"] = build("SELECT sent_id, start, CAST(k AS INTEGER) AS k FROM spans", "spans")
+ORACLE["span_score"] = build("""
+SELECT s.sent_id, round(sum(t.logprob), 6) AS score
+FROM spans s LEFT JOIN ts_plain t ON t.sent_id = s.sent_id AND t.target_pos BETWEEN s.start AND s.start + s.k - 1
+GROUP BY s.sent_id, s.k""", "spans", "ts_plain")
+view("lg", ("pbi", "ltok"), "SELECT prev, w AS cand, ln(c + 1) AS logit FROM pbi WHERE prev IN (SELECT prev FROM ltok)")
+view("lse", ("lg",), """
+SELECT l.prev, m.m + ln(sum(exp(l.logit - m.m))) AS lse
+FROM lg l JOIN (SELECT prev, max(logit) AS m FROM lg GROUP BY prev) m USING (prev) GROUP BY l.prev, m.m""")
+ORACLE["log_softmax_gather"] = build("""
+SELECT t.sent_id, t.pos, round(g.logit - lse.lse, 6) AS logprob
+FROM ltok t LEFT JOIN lg g ON g.prev = t.prev AND g.cand = t.token LEFT JOIN lse ON lse.prev = t.prev""",
+                                      "ltok", "lg", "lse")
+ORACLE["sentence_pll"] = build("SELECT sent_id, score FROM ss_plain", "ss_plain")
+ORACLE["length_normalise"] = build("""
+SELECT sent_id, 'none' AS norm, score FROM ss_plain
+UNION ALL SELECT sent_id, 'byNrTokens', score_by_tokens FROM ss_plain
+UNION ALL SELECT sent_id, 'byNrWords', score_by_words FROM ss_plain""", "ss_plain")
+ORACLE["pll_plain"] = build("SELECT * FROM ss_plain", "ss_plain")
+ORACLE["pll_l2r"] = build("SELECT * FROM ss_l2r", "ss_l2r")
+ORACLE["pll_adapted"] = build("SELECT sent_id, text, score, n_tokens, n_words FROM ss_adapted", "ss_adapted")
+ORACLE["causal_ll"] = build("SELECT * FROM causal", "causal")
+ORACLE["word_score_at"] = build("""
+SELECT s.sent_id, round(sum(t.logprob) / s.k, 6) AS score
+FROM spans s LEFT JOIN ts_plain t ON t.sent_id = s.sent_id AND t.target_pos BETWEEN s.start AND s.start + s.k - 1
+GROUP BY s.sent_id, s.k""", "spans", "ts_plain")
+ORACLE["word_score_last"] = build("""
+SELECT s.sent_id, round(sum(t.logprob) / s.k, 6) AS score
+FROM spans_last s LEFT JOIN ts_plain t ON t.sent_id = s.sent_id AND t.target_pos BETWEEN s.start AND s.start + s.k - 1
+GROUP BY s.sent_id, s.k""", "spans_last", "ts_plain")
+ORACLE["ngram_surprisal"] = build("SELECT * FROM surp", "surp")
+ORACLE["sentence_surprisal"] = build("""
+SELECT s.sent_id, round(coalesce(x.surprisal, 0.0), 6) AS surprisal
+FROM lmsent s LEFT JOIN (SELECT sentence_id, sum(surprisal) AS surprisal FROM surp GROUP BY sentence_id) x
+  ON x.sentence_id = s.sent_id""", "lmsent", "surp")
+ORACLE["surprisal_report"] = build("""
+SELECT s.sent_id, s.text, round(coalesce(x.surprisal, 0.0), 6) AS surprisal, coalesce(x.sentence, '') AS sentence,
+       CASE WHEN coalesce(x.sentence, '') LIKE '%UNK%' THEN 'unk' ELSE 'nounk' END AS unk
+FROM lmsent s LEFT JOIN (SELECT sentence_id, sum(surprisal) AS surprisal,
+                                string_agg(token, ' ' ORDER BY token_id) AS sentence
+                         FROM surp GROUP BY sentence_id) x ON x.sentence_id = s.sent_id""", "lmsent", "surp")
+ORACLE["score_with_udf"] = build("SELECT sent_id, target_pos, round(logprob, 6) AS logprob FROM ts_plain", "ts_plain")
+ORACLE["sentence_number"] = build(
+    "SELECT sent_id, CAST(row_number() OVER (ORDER BY sent_id) - 1 AS BIGINT) AS idx FROM sents", "sents")
+ORACLE["dedupe_last"] = build("SELECT head, dep, role, freq FROM triples", "triples")
+ORACLE["score_fanout"] = build("""
+SELECT sent_id, m AS metric, nm AS norm, sc AS score FROM (
+  SELECT sent_id, 'sentence-PLL' AS m, score, score_by_tokens, score_by_words FROM ss_adapted
+  UNION ALL SELECT sent_id, 'sentence-l2r-PLL', score, score_by_tokens, score_by_words FROM ss_l2r
+  UNION ALL SELECT sent_id, 'sentence-LL', score, score_by_tokens, score_by_words FROM causal) u,
+  (VALUES ('', 0), ('average_byNrTokens', 1), ('average_byNrWords', 2)) v(nm, j),
+  LATERAL (SELECT CASE v.j WHEN 0 THEN u.score WHEN 1 THEN u.score_by_tokens ELSE u.score_by_words END AS sc) x""",
+                               "ss_adapted", "ss_l2r", "causal")

@@ -414,3 +414,171 @@ def q_vec_key_lookup(spark, sf_dir):
 @query("sdm_combine")
 def q_sdm_combine(spark, sf_dir):
     return tf.sdm_scores(tf_inputs(spark, sf_dir), TF_PARAMS)
+
+
+# ------------------------------------------------------------- LM scores
+from .operators import tokens as tk  # noqa: E402
+from .plans import lmscore as lm  # noqa: E402
+
+
+def _model(spark, sf_dir):
+    return cat.piece_unigrams(spark, sf_dir), cat.piece_bigrams(spark, sf_dir)
+
+
+def _feats(spark, sf_dir):
+    return lm.token_features(cat.lm_sents(spark, sf_dir), *_model(spark, sf_dir))
+
+
+def _plan(spark, sf_dir, kind):
+    return lm.mask_plan_for(cat.lm_sents(spark, sf_dir), kind)
+
+
+def _token_scores(spark, sf_dir, kind):
+    return lm.score_plan(_plan(spark, sf_dir, kind), _feats(spark, sf_dir))
+
+
+@query("word_groups_prefix")
+def q_word_groups_prefix(spark, sf_dir):
+    return tk.word_groups_prefix(tk.explode_tokens(cat.lm_sents(spark, sf_dir), "sent_id", "pcs"))
+
+
+@query("word_groups_marker")
+def q_word_groups_marker(spark, sf_dir):
+    return tk.word_groups_marker(tk.explode_tokens(cat.lm_sents_marker(spark, sf_dir), "sent_id", "pcs"))
+
+
+for _kind in ("plain", "l2r", "adapted"):
+    QUERIES[f"mask_plan_{_kind}"] = (lambda k: lambda spark, sf_dir: _plan(spark, sf_dir, k).select(
+        "sent_id", "target_pos", "mask_from", "mask_to"))(_kind)
+
+
+@query("token_count")
+def q_token_count(spark, sf_dir):
+    n, n2 = tk.token_count(F.col("pcs"))
+    return cat.lm_sents(spark, sf_dir).select("sent_id", n.alias("n_tokens"), n2.alias("n_with_markers"))
+
+
+@query("locate_span")
+def q_locate_span(spark, sf_dir):
+    s = cat.lm_sents(spark, sf_dir)
+    w = s.select("sent_id", "pcs", tk.pieces(tx.target_word(F.col("text"), F.col("word_pos")), "prefix").alias("wp"))
+    return w.select("sent_id", tk.locate_span(F.col("pcs"), F.col("wp")).alias("start"), F.size("wp").alias("k"))
+
+
+@query("span_score")
+def q_span_score(spark, sf_dir):
+    spans = q_locate_span(spark, sf_dir)
+    s = tk.span_score(_token_scores(spark, sf_dir, "plain"), spans, average=False)
+    return s.select("sent_id", F.round("score", 6).alias("score"))
+
+
+@query("log_softmax_gather")
+def q_log_softmax_gather(spark, sf_dir):
+    """T8 over the corpus model: for every sentence piece, the candidates
+    are the corpus continuations of its left neighbour with logit
+    ln(count + 1); the piece's log-softmax is gathered (NULL when the
+    corpus never continues the neighbour with it). The normaliser is
+    computed once per distinct neighbour that occurs in the sentences."""
+    feats = _feats(spark, sf_dir).select("sent_id", "pos", "prev", F.col("token").alias("target"))
+    _, bi = _model(spark, sf_dir)
+    prevs = feats.select("prev").distinct()
+    logits = (bi.join(prevs, "prev", "left_semi")
+              .select("prev", F.col("w").alias("cand"), F.log(F.col("c") + 1).alias("logit")))
+    g = tk.log_softmax_gather(logits, feats.select("prev", "target").distinct(), ["prev"])
+    return (feats.join(g, ["prev", "target"], "left")
+            .select("sent_id", "pos", F.round("logprob", 6).alias("logprob")))
+
+
+@query("sentence_pll")
+def q_sentence_pll(spark, sf_dir):
+    return lm.sentence_scores(cat.lm_sents(spark, sf_dir), _token_scores(spark, sf_dir, "plain")).select(
+        "sent_id", "score")
+
+
+@query("length_normalise")
+def q_length_normalise(spark, sf_dir):
+    s = lm.sentence_scores(cat.lm_sents(spark, sf_dir), _token_scores(spark, sf_dir, "plain"))
+    return s.select("sent_id", F.expr("stack(3, 'none', score, 'byNrTokens', score_by_tokens, "
+                                      "'byNrWords', score_by_words) AS (norm, score)"))
+
+
+@query("pll_plain")
+def q_pll_plain(spark, sf_dir):
+    return lm.sentence_scores(cat.lm_sents(spark, sf_dir), _token_scores(spark, sf_dir, "plain"))
+
+
+@query("pll_l2r")
+def q_pll_l2r(spark, sf_dir):
+    return lm.sentence_scores(cat.lm_sents(spark, sf_dir), _token_scores(spark, sf_dir, "l2r"))
+
+
+@query("pll_adapted")
+def q_pll_adapted(spark, sf_dir):
+    return lm.sentence_scores(cat.lm_sents(spark, sf_dir), _token_scores(spark, sf_dir, "adapted")).select(
+        "sent_id", "text", "score", "n_tokens", "n_words")
+
+
+@query("causal_ll")
+def q_causal_ll(spark, sf_dir):
+    return lm.causal_scores(cat.lm_sents(spark, sf_dir), *_model(spark, sf_dir))
+
+
+@query("word_score_at")
+def q_word_score_at(spark, sf_dir):
+    return lm.word_scores(cat.lm_sents(spark, sf_dir), _token_scores(spark, sf_dir, "plain"), last=False)
+
+
+@query("word_score_last")
+def q_word_score_last(spark, sf_dir):
+    return lm.word_scores(cat.lm_sents(spark, sf_dir), _token_scores(spark, sf_dir, "plain"), last=True)
+
+
+@query("ngram_surprisal")
+def q_ngram_surprisal(spark, sf_dir):
+    return lm.surprisal_table(cat.lm_sents(spark, sf_dir), *_model(spark, sf_dir))
+
+
+@query("sentence_surprisal")
+def q_sentence_surprisal(spark, sf_dir):
+    s = cat.lm_sents(spark, sf_dir)
+    return lm.sentence_surprisal(s, lm.surprisal_table(s, *_model(spark, sf_dir)))
+
+
+@query("surprisal_report")
+def q_surprisal_report(spark, sf_dir):
+    s = cat.lm_sents(spark, sf_dir)
+    return lm.surprisal_report(s, lm.surprisal_table(s, *_model(spark, sf_dir)))
+
+
+@query("score_with_udf")
+def q_score_with_udf(spark, sf_dir):
+    out = lm.score_with_udf(_plan(spark, sf_dir, "plain"), _feats(spark, sf_dir))
+    return out.select("sent_id", "target_pos", F.round("logprob", 6).alias("logprob"))
+
+
+@query("sentence_number")
+def q_sentence_number(spark, sf_dir):
+    return cnt.sentence_index(cat.sents(spark, sf_dir).select("sent_id"), ["sent_id"], "idx")
+
+
+@query("dedupe_last")
+def q_dedupe_last(spark, sf_dir):
+    return cat.triples(spark, sf_dir)
+
+
+@query("score_fanout")
+def q_score_fanout(spark, sf_dir):
+    """Every sentence under every metric and normalisation as one long
+    table (an unpivot of per-sentence score columns - no cross join)."""
+    s = cat.lm_sents(spark, sf_dir)
+    parts = []
+    for metric, df in (("sentence-PLL", lm.sentence_scores(s, _token_scores(spark, sf_dir, "adapted"))),
+                       ("sentence-l2r-PLL", lm.sentence_scores(s, _token_scores(spark, sf_dir, "l2r"))),
+                       ("sentence-LL", lm.causal_scores(s, *_model(spark, sf_dir)))):
+        parts.append(df.select("sent_id", F.lit(metric).alias("metric"), F.expr(
+            "stack(3, '', score, 'average_byNrTokens', score_by_tokens, "
+            "'average_byNrWords', score_by_words) AS (norm, score)")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

@@ -61,3 +61,24 @@ lemmas = _table("lemmas", lambda s, d: cnt.lemma_counts(toks(s, d), LEMMA_MIN))
 
 def items_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.items_long(spark, sf_dir, items_wide(spark, sf_dir))
+
+
+def _piece_counts(spark: SparkSession, sf_dir: str):
+    from ..plans.lmscore import corpus_piece_counts
+    from .tables import table
+    return corpus_piece_counts(table(spark, sf_dir, "documents").select("text"))
+
+
+piece_unigrams = _table("piece_unigrams", lambda s, d: _piece_counts(s, d)[0])
+piece_bigrams = _table("piece_bigrams", lambda s, d: _piece_counts(s, d)[1])
+
+
+def _lm_sents(style: str):
+    def build(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from ..plans.lmscore import lm_sentences
+        return lm_sentences(sents(spark, sf_dir), style)
+    return build
+
+
+lm_sents = _table("lm_sents", _lm_sents("prefix"))
+lm_sents_marker = _table("lm_sents_marker", _lm_sents("marker"))
