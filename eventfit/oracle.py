@@ -632,3 +632,81 @@ SELECT sent_id, m AS metric, nm AS norm, sc AS score FROM (
   (VALUES ('', 0), ('average_byNrTokens', 1), ('average_byNrWords', 2)) v(nm, j),
   LATERAL (SELECT CASE v.j WHEN 0 THEN u.score WHEN 1 THEN u.score_by_tokens ELSE u.score_by_words END AS sc) x""",
                                "ss_adapted", "ss_l2r", "causal")
+
+# ------------------------------------------------------ sources and sinks
+ORACLE["src_sentences"] = build("SELECT sent_id, text, word_pos FROM sents", "sents")
+ORACLE["src_role_items"] = build(
+    "SELECT item_id, slot, lemma, pos, role, slot = n_slots - 1 AS is_target FROM items_long", "items_long")
+ORACLE["src_role_map"] = build("SELECT raw_rel, role FROM role_map", "role_map")
+ORACLE["src_triples_mapped"] = build("SELECT head, dep, role, freq FROM triples", "triples")
+ORACLE["src_lemma_pos"] = build("""
+SELECT split_part(lemma_pos, '@', 1) AS lemma, split_part(lemma_pos, '@', 2) AS pos, freq FROM lemma_pos_freqs""",
+                                "lemma_pos_freqs")
+ORACLE["src_lemma_sum"] = build("""
+SELECT tok AS word, CAST(count(*) AS DOUBLE) AS freq, (SELECT CAST(count(*) AS DOUBLE) FROM toks) AS n_total
+FROM toks GROUP BY tok""", "toks")
+view("raw_bigrams", ("base",), """
+SELECT x1, x2, CAST(sum(c) AS DOUBLE) AS freq FROM (
+  SELECT subj || '@N@' || raw_rel AS x1, verb || '@V@HEAD' AS x2, count(*) AS c
+  FROM base WHERE raw_rel LIKE 'R%' GROUP BY 1, 2
+  UNION ALL SELECT verb || '@V@HEAD', filler || '@N@' || raw_rel, count(*)
+  FROM base WHERE raw_rel NOT LIKE 'R%' GROUP BY 1, 2) u
+GROUP BY x1, x2""")
+ORACLE["src_bigrams_mapped"] = build("""
+SELECT split_part(x1, '@', 1) || '@' || split_part(x1, '@', 2) || '@' || m1.role AS a1,
+       split_part(x2, '@', 1) || '@' || split_part(x2, '@', 2) || '@' || m2.role AS a2,
+       last(freq ORDER BY x1, x2) AS freq
+FROM raw_bigrams JOIN role_map m1 ON m1.raw_rel = split_part(x1, '@', 3)
+JOIN role_map m2 ON m2.raw_rel = split_part(x2, '@', 3)
+GROUP BY 1, 2""", "raw_bigrams", "role_map")
+ORACLE["src_vectors"] = build("""
+SELECT word, CAST(len(v) AS INTEGER) AS dim, round(list_sum(v), 6) AS v_sum, round(v[1], 6) AS v_first
+FROM (SELECT word, list_slice(vec, len(vec) - 31, len(vec)) AS v FROM vectors
+      WHERE word IN (SELECT lemma FROM items_long)) s""", "vectors", "items_long")
+ORACLE["src_surprisal"] = build("SELECT sentence_id, token_id, token, surprisal FROM surp", "surp")
+view("orig", ("items_long", "orders_v"), """
+SELECT i.item_id, string_agg(i.lemma, ' ' ORDER BY i.slot) AS text,
+       CASE WHEN max(o.o_orderstatus) = 'F' THEN 'Plausible' ELSE 'Implausible' END AS label,
+       string_agg(i.lemma || ':' || lower(i.role), ' ' ORDER BY i.slot) || ' ' AS deps
+FROM items_long i JOIN orders_v o ON o.o_orderkey = i.item_id GROUP BY i.item_id""")
+view("orders_v", (), "SELECT o_orderkey, o_orderstatus FROM orders")
+view("ppmi_scores", ("comp_stats",), f"""
+SELECT item_id, round(sum({LAPLACE}), 6) AS score FROM comp_stats GROUP BY item_id""")
+ORACLE["join_original"] = build("""
+SELECT o.item_id, o.text, o.label, o.deps, p.score FROM orig o JOIN ppmi_scores p USING (item_id)""",
+                                "orig", "ppmi_scores")
+view("score_matrix", ("ss_adapted", "ss_l2r", "causal"), """
+SELECT 'sents' AS dataset, 'bigram' AS model, m AS metric, nm AS norm, sent_id AS id, text, sc AS score,
+       n_tokens, n_words
+FROM (
+  SELECT 'sentence-PLL' AS m, * FROM ss_adapted
+  UNION ALL SELECT 'sentence-l2r-PLL', * FROM ss_l2r
+  UNION ALL SELECT 'sentence-LL', * FROM causal) u,
+  (VALUES ('none', 0), ('average_byNrTokens', 1), ('average_byNrWords', 2)) v(nm, j),
+  LATERAL (SELECT CASE v.j WHEN 0 THEN u.score WHEN 1 THEN u.score_by_tokens ELSE u.score_by_words END AS sc) x""")
+view("word_matrix", ("spans", "spans_last", "ts_plain", "lmsent"), """
+SELECT 'sents' AS dataset, 'bigram' AS model, metric, 'none' AS norm, s.sent_id AS id, l.text, s.score,
+       CAST(NULL AS INTEGER) AS n_tokens, CAST(NULL AS INTEGER) AS n_words
+FROM (SELECT 'verb-PLL' AS metric, sp.sent_id, round(sum(t.logprob) / sp.k, 6) AS score
+      FROM spans sp LEFT JOIN ts_plain t ON t.sent_id = sp.sent_id
+        AND t.target_pos BETWEEN sp.start AND sp.start + sp.k - 1 GROUP BY sp.sent_id, sp.k
+      UNION ALL
+      SELECT 'last-word-PLL', sp.sent_id, round(sum(t.logprob) / sp.k, 6)
+      FROM spans_last sp LEFT JOIN ts_plain t ON t.sent_id = sp.sent_id
+        AND t.target_pos BETWEEN sp.start AND sp.start + sp.k - 1 GROUP BY sp.sent_id, sp.k) s
+JOIN lmsent l USING (sent_id)""")
+ORACLE["report_sentence_scores"] = build(
+    "SELECT dataset, model, metric, norm, id, score, n_tokens, n_words FROM score_matrix", "score_matrix")
+ORACLE["report_word_scores"] = build("SELECT metric, id, text, score, n_tokens FROM word_matrix", "word_matrix")
+ORACLE["src_score_matrix"] = build("""
+SELECT dataset, model, metric, norm, id, score, n_tokens, n_words FROM score_matrix
+UNION ALL SELECT dataset, model, metric, norm, id, score, n_tokens, n_words FROM word_matrix""",
+                                   "score_matrix", "word_matrix")
+ORACLE["report_surprisal"] = build("""
+SELECT CAST(row_number() OVER (ORDER BY s.sent_id) - 1 AS BIGINT) AS idx, s.text,
+       round(coalesce(x.surprisal, 0.0), 6) AS surprisal, coalesce(x.sentence, '') AS sentence,
+       CASE WHEN coalesce(x.sentence, '') LIKE '%UNK%' THEN 'unk' ELSE 'nounk' END AS unk
+FROM lmsent s LEFT JOIN (SELECT sentence_id, sum(surprisal) AS surprisal,
+                                string_agg(token, ' ' ORDER BY token_id) AS sentence
+                         FROM surp GROUP BY sentence_id) x ON x.sentence_id = s.sent_id""", "lmsent", "surp")
+ORACLE["report_sentences"] = build("SELECT text FROM lmsent", "lmsent")

@@ -23,7 +23,8 @@ def query(name: str):
 
 
 def mapped_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return map_triples(cat.triples_raw(spark, sf_dir), fx.role_map(spark, sf_dir), min_freq=2.0)
+    """S4 applied to the corpus triple table (materialised once)."""
+    return cat.triples(spark, sf_dir)
 
 
 @query("ppmi_syntax")
@@ -582,3 +583,237 @@ def q_score_fanout(spark, sf_dir):
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+# ------------------------------------------------------ sources and sinks
+# Each source key writes a view derived from the driver tables in the
+# reference's text format into a fresh folder below the shared checkpoint
+# folder, then reads it back with the reader under test.
+from .plans import reports as rp  # noqa: E402
+from .session import scratch_path  # noqa: E402
+from .sources import readers as rd  # noqa: E402
+from .sources.tables import table  # noqa: E402
+
+
+@query("src_sentences")
+def q_src_sentences(spark, sf_dir):
+    path = scratch_path(spark, "src_sentences")
+    s = cat.sents(spark, sf_dir)
+    rp.write_lines(s, rp.tsv_line(F.col("sent_id"), F.col("text"), F.col("word_pos")), path)
+    return rd.read_sentences(spark, path)
+
+
+@query("src_role_items")
+def q_src_role_items(spark, sf_dir):
+    path = scratch_path(spark, "src_role_items")
+    w = cat.items_wide(spark, sf_dir)
+    line = F.concat_ws("\t", F.col("item_id").cast("string"),
+                       F.array_join(F.transform("slots", lambda s: tx.item_string(s["lemma"], s["pos"], s["role"])), "\t"))
+    rp.write_lines(w, line, path)
+    return rd.read_role_items(spark, path)
+
+
+@query("src_role_map")
+def q_src_role_map(spark, sf_dir):
+    path = scratch_path(spark, "src_role_map")
+    rm = cat.role_map(spark, sf_dir)
+    by_role = rm.groupBy("role").agg(F.array_join(F.sort_array(F.collect_list("raw_rel")), ",").alias("raws"))
+    rp.write_lines(by_role, F.concat_ws(" ", "role", "raws"), path)
+    return rd.read_role_map(spark, path)
+
+
+@query("src_triples_mapped")
+def q_src_triples_mapped(spark, sf_dir):
+    """S4 round trip: raw triples written as gzip text in (head, dep,
+    raw_rel) order - so that the later of two lines mapped to one role is
+    the one with the greater raw label - and read back with the relation
+    map and the minimum frequency."""
+    path = scratch_path(spark, "src_triples")
+    t = cat.triples_raw(spark, sf_dir).orderBy("head", "dep", "raw_rel")
+    rp.write_lines(t, F.concat(F.concat_ws(" ", "head", "dep", "raw_rel"), F.lit("\t"), F.col("freq").cast("string")),
+                   path, compression="gzip")
+    return rd.read_triples(spark, path, cat.role_map(spark, sf_dir), min_freq=float(TRIPLE_MIN))
+
+
+@query("src_lemma_pos")
+def q_src_lemma_pos(spark, sf_dir):
+    path = scratch_path(spark, "src_lemma_pos")
+    lp = cat.lemma_pos_freqs(spark, sf_dir)
+    rp.write_lines(lp, F.concat(F.regexp_replace("lemma_pos", "@", " "), F.lit("\t"), F.col("freq").cast("string")),
+                   path, compression="gzip")
+    return rd.read_lemma_pos(spark, path)
+
+
+@query("src_lemma_sum")
+def q_src_lemma_sum(spark, sf_dir):
+    """S6 round trip: per-document token counts (the same word on many
+    lines) are summed back to corpus counts, with the grand total."""
+    path = scratch_path(spark, "src_lemma_sum")
+    per_doc = cat.toks(spark, sf_dir).groupBy("doc_id", "tok").agg(F.count(F.lit(1)).alias("c"))
+    rp.write_lines(per_doc, F.concat(F.col("tok"), F.lit("\t"), F.col("c").cast("string")), path, compression="gzip")
+    df = rd.read_lemma_sum(spark, path)
+    return df.select(F.array_join("words", " ").alias("word"), "freq", "n_total")
+
+
+def raw_bigrams(spark, sf_dir):
+    """Bigrams with raw relation labels (before mapping): subject-verb for
+    subject labels and verb-filler for the others."""
+    b = fx.base_counts(spark, sf_dir)
+    subj = b.where(F.col("raw_rel").startswith("R")).select(
+        F.concat_ws("@", "subj", F.lit("N"), "raw_rel").alias("x1"),
+        F.concat_ws("@", "verb", F.lit("V"), F.lit(fx.HEAD_LABEL)).alias("x2"), "cnt")
+    fill = b.where(~F.col("raw_rel").startswith("R")).select(
+        F.concat_ws("@", "verb", F.lit("V"), F.lit(fx.HEAD_LABEL)).alias("x1"),
+        F.concat_ws("@", "filler", F.lit("N"), "raw_rel").alias("x2"), "cnt")
+    return subj.unionByName(fill).groupBy("x1", "x2").agg(F.sum("cnt").cast("double").alias("freq"))
+
+
+@query("src_bigrams_mapped")
+def q_src_bigrams_mapped(spark, sf_dir):
+    path = scratch_path(spark, "src_bigrams")
+    rb = raw_bigrams(spark, sf_dir).orderBy("x1", "x2")
+    rp.write_lines(rb, F.concat(F.concat_ws(" ", "x1", "x2"), F.lit("\t"), F.col("freq").cast("string")),
+                   path, compression="gzip")
+    return rd.read_bigrams(spark, path, cat.role_map(spark, sf_dir))
+
+
+VEC_K = 32
+
+
+@query("src_vectors")
+def q_src_vectors(spark, sf_dir):
+    """S10 round trip: the vector space written as ``.vec`` text (header
+    ``n dim``), read back restricted to the item vocabulary and truncated to
+    the last ``VEC_K`` dimensions (the text loader's truncation)."""
+    path = scratch_path(spark, "src_vectors")
+    v = cat.vectors(spark, sf_dir)
+    body = v.select(F.concat_ws(" ", F.col("word"), F.array_join(F.transform("vec", lambda x: x.cast("string")), " "))
+                    .alias("value"))
+    head = v.agg(F.concat_ws(" ", F.count(F.lit(1)).cast("string"), F.max(F.size("vec")).cast("string")).alias("value"))
+    rp.write_lines(head.unionByName(body), F.col("value"), path)
+    vocab = cat.items_long(spark, sf_dir).select(F.col("lemma").alias("word")).distinct()
+    r = rd.read_vectors(spark, path, vocab=vocab, k=VEC_K, from_end=True)
+    return r.select("word", F.size("vec").alias("dim"),
+                    F.round(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x), 6).alias("v_sum"),
+                    F.round(F.element_at("vec", 1), 6).alias("v_first"))
+
+
+@query("src_surprisal")
+def q_src_surprisal(spark, sf_dir):
+    """S12 round trip: the U2 surprisal table as TSV with a header plus a
+    trailing terminal-escape line, read back typed."""
+    path = scratch_path(spark, "src_surprisal")
+    s = cat.lm_sents(spark, sf_dir)
+    surp = lm.surprisal_table(s, *_model(spark, sf_dir))
+    cols = ["sentence_id", "token_id", "token", "surprisal"]
+    rows = surp.select(*[F.col(c).cast("string").alias(c) for c in cols])
+    # the terminal escape line the reference's surprisal files end with
+    junk = surp.agg(F.lit("\u001b[0m").alias("sentence_id"),
+                    *[F.lit(None).cast("string").alias(c) for c in cols[1:]])
+    (rows.unionByName(junk).write.mode("overwrite").option("sep", "\t").option("header", "true")
+     .option("quote", "").csv(path))
+    return rd.read_surprisal(spark, path)
+
+
+def original_dataset(spark, sf_dir):
+    """The original dataset of the items: text, a plausibility label taken
+    from the order status, and ``lemma:rel`` dependencies."""
+    w = cat.items_wide(spark, sf_dir)
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("item_id"), "o_orderstatus")
+    return w.join(o, "item_id").select(
+        "item_id", F.array_join(F.transform("slots", lambda s: s["lemma"]), " ").alias("text"),
+        F.when(F.col("o_orderstatus") == "F", "Plausible").otherwise("Implausible").alias("label"),
+        F.concat(F.array_join(F.transform("slots", lambda s: F.concat(s["lemma"], F.lit(":"), F.lower(s["role"]))), " "),
+                 F.lit(" ")).alias("deps"))
+
+
+@query("join_original")
+def q_join_original(spark, sf_dir):
+    """S13 + J11: the original dataset written with CRLF line ends, read
+    back and joined to the syntax PPMI scores by id."""
+    path = scratch_path(spark, "src_original")
+    od = original_dataset(spark, sf_dir)
+    rp.write_lines(od, F.concat_ws("\t", F.col("item_id").cast("string"), "text", "label", "deps"), path,
+                   line_sep="\r\n")
+    back = rd.read_original(spark, path)
+    sc = ppmi.ppmi_syntax(cat.items_wide(spark, sf_dir), mapped_triples(spark, sf_dir))
+    return back.join(sc.select("item_id", "score"), "item_id").select("item_id", "text", "label", "deps", "score")
+
+
+def _score_matrix(spark, sf_dir):
+    s = cat.lm_sents(spark, sf_dir)
+    parts = []
+    for metric, df in (("sentence-PLL", lm.sentence_scores(s, _token_scores(spark, sf_dir, "adapted"))),
+                       ("sentence-l2r-PLL", lm.sentence_scores(s, _token_scores(spark, sf_dir, "l2r"))),
+                       ("sentence-LL", lm.causal_scores(s, *_model(spark, sf_dir)))):
+        parts.append(df.select(F.lit("sents").alias("dataset"), F.lit("bigram").alias("model"),
+                               F.lit(metric).alias("metric"), F.col("sent_id").alias("id"), "text",
+                               F.expr("stack(3, 'none', score, 'average_byNrTokens', score_by_tokens, "
+                                      "'average_byNrWords', score_by_words) AS (norm, score)"),
+                               "n_tokens", "n_words"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@query("report_sentence_scores")
+def q_report_sentence_scores(spark, sf_dir):
+    """K1 written partitioned by dataset/model/metric/norm, read back by
+    S14."""
+    path = scratch_path(spark, "report_sentence_scores")
+    rp.write_sentence_scores(_score_matrix(spark, sf_dir), path)
+    return rd.read_score_matrix(spark, path).drop("text")
+
+
+def _word_score_table(spark, sf_dir):
+    s = cat.lm_sents(spark, sf_dir)
+    ts = _token_scores(spark, sf_dir, "plain")
+    parts = []
+    for metric, last in (("verb-PLL", False), ("last-word-PLL", True)):
+        ws = lm.word_scores(s, ts, last=last)
+        parts.append(s.select("sent_id", "text").join(ws, "sent_id").select(
+            F.lit("sents").alias("dataset"), F.lit("bigram").alias("model"), F.lit(metric).alias("metric"),
+            F.lit("none").alias("norm"), F.col("sent_id").alias("id"), "text", "score"))
+    return parts[0].unionByName(parts[1])
+
+
+@query("report_word_scores")
+def q_report_word_scores(spark, sf_dir):
+    """K2: 3-column word score files, read back by S14."""
+    path = scratch_path(spark, "report_word_scores")
+    rp.write_word_scores(_word_score_table(spark, sf_dir), path)
+    return rd.read_score_matrix(spark, path).select("metric", "id", "text", "score", "n_tokens")
+
+
+@query("src_score_matrix")
+def q_src_score_matrix(spark, sf_dir):
+    """5-column sentence files and 3-column word files in one folder
+    tree, read as one table."""
+    path = scratch_path(spark, "score_matrix")
+    rp.write_sentence_scores(_score_matrix(spark, sf_dir), path + "/sentence")
+    rp.write_word_scores(_word_score_table(spark, sf_dir), path + "/word")
+    return rd.read_score_matrix(spark, path).drop("text")
+
+
+@query("report_surprisal")
+def q_report_surprisal(spark, sf_dir):
+    """K8: the surprisal report with a running 0-based index, written as
+    TSV and read back."""
+    path = scratch_path(spark, "report_surprisal")
+    s = cat.lm_sents(spark, sf_dir)
+    rep = lm.surprisal_report(s, lm.surprisal_table(s, *_model(spark, sf_dir)))
+    rep = cnt.sentence_index(rep, ["sent_id"], "idx")
+    rp.write_surprisal_report(rep, path)
+    c = F.split(F.col("value"), "\t")
+    return spark.read.text(path).select(F.get(c, 0).cast("long").alias("idx"), F.get(c, 1).alias("text"),
+                                        F.get(c, 2).cast("double").alias("surprisal"), F.get(c, 3).alias("sentence"),
+                                        F.get(c, 4).alias("unk"))
+
+
+@query("report_sentences")
+def q_report_sentences(spark, sf_dir):
+    """K9: prepared sentences, one per line."""
+    path = scratch_path(spark, "report_sentences")
+    rp.write_sentences(cat.lm_sents(spark, sf_dir), path)
+    return spark.read.text(path).select(F.col("value").alias("text"))
