@@ -33,21 +33,33 @@ BOS = "<s>"
 
 
 # ------------------------------------------------------------ the corpus model
-def corpus_piece_counts(docs: DataFrame, style: str = "prefix") -> tuple[DataFrame, DataFrame]:
-    """U2 counts: ``(w, c)`` unigrams (with ``<s>`` once per document) and
-    ``(prev, w, c)`` adjacent-piece bigrams (first piece after ``<s>``).
+def corpus_piece_bigrams(docs: DataFrame, style: str = "prefix") -> DataFrame:
+    """U2 counts, one pass over the corpus: ``(prev, w, c)`` adjacent-piece
+    bigrams, the first piece of a document following ``<s>``.
 
     Adjacent pairs are zipped inside each document row, so counting is an
     explode plus a partial aggregate - no self join, no window over a
     document."""
-    p = docs.select(tk.pieces(F.col("text"), style).alias("pcs"))
+    p = docs.select(tk.pieces(F.col("text"), style).alias("pcs")).where(F.size("pcs") > 0)
     seq = F.concat(F.array(F.lit(BOS)), F.col("pcs"))
-    uni = (p.select(F.explode(seq).alias("w")).groupBy("w").agg(F.count(F.lit(1)).cast("double").alias("c")))
     pairs = F.arrays_zip(F.slice(seq, 1, F.size("pcs")).alias("prev"), F.col("pcs").alias("w"))
-    bi = (p.where(F.size("pcs") > 0).select(F.explode(pairs).alias("z"))
-          .groupBy(F.col("z.prev").alias("prev"), F.col("z.w").alias("w"))
-          .agg(F.count(F.lit(1)).cast("double").alias("c")))
-    return uni, bi
+    return (p.select(F.explode(pairs).alias("z"))
+            .groupBy(F.col("z.prev").alias("prev"), F.col("z.w").alias("w"))
+            .agg(F.count(F.lit(1)).cast("double").alias("c")))
+
+
+def corpus_piece_unigrams(bigrams: DataFrame, docs: DataFrame) -> DataFrame:
+    """``(w, c)``: every piece occurrence has exactly one predecessor, so a
+    piece's count is the sum of its bigram counts; ``<s>`` occurs once per
+    document. No second pass over the text."""
+    u = bigrams.groupBy("w").agg(F.sum("c").alias("c"))
+    return u.unionByName(docs.agg(F.count(F.lit(1)).cast("double").alias("c")).select(F.lit(BOS).alias("w"), "c"))
+
+
+def corpus_piece_counts(docs: DataFrame, style: str = "prefix") -> tuple[DataFrame, DataFrame]:
+    """``(unigrams, bigrams)`` of the piece model."""
+    bi = corpus_piece_bigrams(docs, style)
+    return corpus_piece_unigrams(bi, docs), bi
 
 
 def lm_sentences(sents: DataFrame, style: str = "prefix") -> DataFrame:
@@ -58,17 +70,26 @@ def lm_sentences(sents: DataFrame, style: str = "prefix") -> DataFrame:
                         tk.pieces(t, style).alias("pcs"))
 
 
+def neighbours(pcs):
+    """``array<struct<prev, token, nxt>>``: every piece with its left
+    neighbour (``<s>`` first) and right neighbour (NULL last), built by
+    zipping shifted copies of the array. (Exploding the array while carrying
+    the array itself on every output row would copy it once per piece -
+    quadratic in the sentence length.)"""
+    n = F.size(pcs)
+    seq = F.concat(F.array(F.lit(BOS)), pcs)
+    return F.arrays_zip(F.slice(seq, 1, n).alias("prev"), pcs.alias("token"),
+                        F.slice(pcs, 2, F.greatest(n - 1, F.lit(0))).alias("nxt"))
+
+
 def token_features(sent: DataFrame, uni: DataFrame, bi: DataFrame) -> DataFrame:
     """Per sentence piece ``(sent_id, pos, token, n, left_bi, uni,
     right_gain)``: natural-log add-one probabilities from the corpus model.
     Five lookups into the count tables (equi-joins; AQE broadcasts them when
     it measures them small)."""
-    seq = F.concat(F.array(F.lit(BOS)), F.col("pcs"))
-    t = sent.select("sent_id", F.size("pcs").alias("n"), seq.alias("seq"),
-                    F.posexplode("pcs").alias("p0", "token"))
-    t = t.select("sent_id", "n", (F.col("p0") + 1).alias("pos"), "token",
-                 F.element_at("seq", F.col("p0") + 1).alias("prev"),
-                 F.try_element_at("seq", F.col("p0") + 3).alias("nxt"))
+    t = sent.select("sent_id", F.size("pcs").alias("n"), F.posexplode(neighbours(F.col("pcs"))).alias("p0", "z"))
+    t = t.select("sent_id", "n", (F.col("p0") + 1).alias("pos"), F.col("z.token").alias("token"),
+                 F.col("z.prev").alias("prev"), F.col("z.nxt").alias("nxt"))
     tot = uni.agg(F.sum("c").alias("n_total"), F.count(F.lit(1)).cast("double").alias("v_size"))
     u = lambda name: uni.select(F.col("w").alias(name), F.col("c").alias(f"c_{name}"))
     j = (t.join(u("token"), "token", "left").join(u("prev"), "prev", "left").join(u("nxt"), "nxt", "left")
@@ -171,10 +192,9 @@ def surprisal_table(sent: DataFrame, uni: DataFrame, bi: DataFrame) -> DataFrame
     """U2 as a token surprisal file: ``(sentence_id, token_id, token,
     surprisal)`` with ``-log2 p(piece | previous piece)``, 1-based ids;
     pieces never seen in the corpus are written ``UNK``."""
-    seq = F.concat(F.array(F.lit(BOS)), F.col("pcs"))
-    t = sent.select("sent_id", seq.alias("seq"), F.posexplode("pcs").alias("p0", "w"))
-    t = t.select("sent_id", (F.col("p0") + 1).alias("token_id"), "w",
-                 F.element_at("seq", F.col("p0") + 1).alias("prev"))
+    t = sent.select("sent_id", F.posexplode(neighbours(F.col("pcs"))).alias("p0", "z"))
+    t = t.select("sent_id", (F.col("p0") + 1).alias("token_id"), F.col("z.token").alias("w"),
+                 F.col("z.prev").alias("prev"))
     tot = uni.agg(F.count(F.lit(1)).cast("double").alias("v_size"))
     j = (t.join(bi.withColumnRenamed("c", "c_pw"), ["prev", "w"], "left")
          .join(uni.select(F.col("w").alias("prev"), F.col("c").alias("c_p")), "prev", "left")

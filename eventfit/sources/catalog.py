@@ -63,14 +63,23 @@ def items_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.items_long(spark, sf_dir, items_wide(spark, sf_dir))
 
 
-def _piece_counts(spark: SparkSession, sf_dir: str):
-    from ..plans.lmscore import corpus_piece_counts
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .tables import table
-    return corpus_piece_counts(table(spark, sf_dir, "documents").select("text"))
+    return table(spark, sf_dir, "documents").select("text")
 
 
-piece_unigrams = _table("piece_unigrams", lambda s, d: _piece_counts(s, d)[0])
-piece_bigrams = _table("piece_bigrams", lambda s, d: _piece_counts(s, d)[1])
+def _piece_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..plans.lmscore import corpus_piece_bigrams
+    return corpus_piece_bigrams(_docs(spark, sf_dir))
+
+
+def _piece_unigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..plans.lmscore import corpus_piece_unigrams
+    return corpus_piece_unigrams(piece_bigrams(spark, sf_dir), _docs(spark, sf_dir))
+
+
+piece_bigrams = _table("piece_bigrams", _piece_bigrams)
+piece_unigrams = _table("piece_unigrams", _piece_unigrams)
 
 
 def _lm_sents(style: str):
