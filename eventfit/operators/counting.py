@@ -122,6 +122,7 @@ def sentence_index(df: DataFrame, order_cols: list[str], index_col: str = "idx")
     offsets), so no single task sees all rows."""
     d = (df.repartitionByRange(*order_cols).sortWithinPartitions(*order_cols)
          .withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id()))
+    d = d.checkpoint()  # both branches below read the same partitioned copy
     per_part = d.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"), F.min("_m").alias("_m0"))
     offsets = per_part.select("_p", "_m0", F.sum("_n").over(
         Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)).alias("_off"))

@@ -34,6 +34,9 @@ def dense_index(df: DataFrame, value_col: str, index_col: str = "k") -> DataFram
          .repartitionByRange(value_col).sortWithinPartitions(value_col)
          .withColumn("_p", F.spark_partition_id())
          .withColumn("_m", F.monotonically_increasing_id()))
+    # one written copy feeds both branches, so the row ids and the
+    # per-partition counts come from the same partitioning
+    d = d.checkpoint()
     per_part = d.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"), F.min("_m").alias("_m0"))
     # one row per partition: the cumulative count is a tiny single-task window
     offsets = per_part.select(
@@ -75,3 +78,29 @@ def dedupe_last(df: DataFrame, key_cols: list[str], value_cols: list[str], order
 def dedupe_sum(df: DataFrame, key_cols: list[str], value_col: str) -> DataFrame:
     """Repeated key: values are added (the ``defaultdict`` += variant)."""
     return df.groupBy(*key_cols).agg(F.sum(value_col).alias(value_col))
+
+
+def rank_within_spread(df: DataFrame, group_cols: list[str], order_cols: list[Column],
+                       rank_col: str = "rk") -> DataFrame:
+    """``row_number()`` within each group without putting a group into one
+    task: for unbounded ranked lists whose largest group may hold a big
+    share of the table.
+
+    Rows are range-partitioned on (group, order) - a hot group spans several
+    partitions - and sorted inside each partition. A row's rank is its
+    position among its group's rows in its partition plus the number of the
+    group's rows in earlier partitions; the per (partition, group) counts
+    are a table of at most partitions x groups-per-partition rows.
+    The order must be total (ties broken by the last order column) for the
+    ranks to be repeatable.
+    """
+    keys = [F.col(c) for c in group_cols]
+    d = (df.repartitionByRange(*keys, *order_cols).sortWithinPartitions(*keys, *order_cols)
+         .withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id()))
+    d = d.checkpoint()  # both branches below read the same partitioned copy
+    per = d.groupBy("_p", *group_cols).agg(F.count(F.lit(1)).alias("_n"), F.min("_m").alias("_m0"))
+    w = Window.partitionBy(*group_cols).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    off = per.select("_p", *group_cols, "_m0", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
+    return (d.join(off, ["_p", *group_cols])
+            .withColumn(rank_col, (F.col("_off") + F.col("_m") - F.col("_m0") + 1).cast("int"))
+            .drop("_p", "_m", "_m0", "_off"))

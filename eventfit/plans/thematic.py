@@ -38,7 +38,7 @@ from ..functions import assoc
 from ..functions import text as tx
 from ..functions import vectors as vx
 from ..operators.counting import attested_args, verb_total
-from ..operators.ranking import rank_within, with_scalars
+from ..operators.ranking import rank_within, rank_within_spread, with_scalars
 
 UPDATE, ONE_LIST, NO_FILLERS, FALLBACK = ("update", "one_filler_list", "no_fillers",
                                           "intersection_empty_get_verbfillers")
@@ -75,7 +75,8 @@ def item_keys(items_wide: DataFrame) -> DataFrame:
 
 
 def distinct_keys(ik: DataFrame) -> DataFrame:
-    return ik.select("ctx_key", "ctx", "t_role").dropDuplicates(["ctx_key"])
+    # ctx and t_role are functions of ctx_key: a plain hash distinct
+    return ik.select("ctx_key", "ctx", "t_role").distinct()
 
 
 def key_contexts(keys: DataFrame) -> DataFrame:
@@ -129,14 +130,23 @@ def order_cols():
 
 
 def ranked(lists: DataFrame) -> DataFrame:
-    """``rk`` = position in the sorted list (1-based)."""
-    return rank_within(lists, ["w", "t_role"], order_cols(), "rk")
+    """``rk`` = position in the sorted list (1-based), for whole lists.
+    A frequent context can own a large share of all candidates, so the full
+    ranking is spread over range partitions instead of one window task
+    (the top-N uses of the ranking below stay bounded windows)."""
+    return rank_within_spread(lists, ["w", "t_role"], order_cols(), "rk")
+
+
+def ranked_top(lists: DataFrame, n: int) -> DataFrame:
+    """The first ``n`` ranks only: ``row_number() <= n`` gets a partial
+    WindowGroupLimit before the shuffle."""
+    return rank_within(lists, ["w", "t_role"], order_cols(), "rk").where(F.col("rk") <= n)
 
 
 def top_n_dict(lists: DataFrame, n: int) -> DataFrame:
     """W2 + W3: the first N of each list as a filler -> weight dictionary;
     a filler twice in the top N keeps its later (lower) weight."""
-    top = ranked(lists).where(F.col("rk") <= n)
+    top = ranked_top(lists, n)
     return top.groupBy("w", "t_role", "filler").agg(F.max_by("weight", "rk").alias("weight"))
 
 
@@ -249,17 +259,20 @@ def explain_prototype(pr: Prototypes) -> DataFrame:
     return pr.item_keys.select("item_id", "ctx_key").join(per_key, "ctx_key").select("item_id", "fillers", "operation")
 
 
-def sdm_scores(inp: TFInputs, p: TFParams) -> DataFrame:
+def sdm_scores(inp: TFInputs, p: TFParams, lists: DataFrame | None = None) -> DataFrame:
     """P10: cos(target, LC) + cos(target, AC) with NULL parts skipped (NULL
     only when both are). AC is the context-updated prototype of P8; LC the
     prototype of the verb alone (its first M fillers in the vector space)."""
-    pr = prototypes(inp, p)
+    pr = prototypes(inp, p, lists)
     ac = centroids(pr, inp.vectors, p).select("ctx_key", F.col("centroid").alias("ac"))
     ik = pr.item_keys
     verb_probe = ik.select("item_id", "ctx_key", "t_role", "t_lemma", "t_pos",
                            tx.item_string(F.col("ctx")[1]["lemma"], F.col("ctx")[1]["pos"], F.col("ctx")[1]["role"]).alias("w"))
+    # the verb is a context of every item, so its list is among the probe
+    # lists whenever it is attested (an unattested verb has an empty list)
     vp = verb_probe.select("w", "t_role").distinct()
-    inv = first_m_in_space(filler_lists(vp, inp, p), inp.vectors, p.n_centroid, p.with_pos)
+    vl = pr.lists.join(vp, ["w", "t_role"], "left_semi")
+    inv = first_m_in_space(vl, inp.vectors, p.n_centroid, p.with_pos)
     v = inp.vectors.select(F.col("word").alias("vkey"), "vec")
     lc = (inv.withColumn("vkey", filler_vkey(F.col("filler"), p.with_pos)).join(v, "vkey")
           .groupBy("w", "t_role").agg(F.sort_array(F.collect_list(F.struct("r", "vec"))).alias("rv"),

@@ -285,7 +285,7 @@ def tf_inputs(spark, sf_dir) -> tf.TFInputs:
 
 def _protos(spark, sf_dir, p=TF_PARAMS):
     inp = tf_inputs(spark, sf_dir)
-    return inp, tf.prototypes(inp, p)
+    return inp, tf.prototypes(inp, p, cat.tf_lists(spark, sf_dir, p.weight))
 
 
 @query("attested_contexts")
@@ -383,9 +383,7 @@ def q_tf_param_sweep(spark, sf_dir):
     function, so they are computed once (checkpointed into the shared
     folder) and every parameter set reuses them."""
     inp = tf_inputs(spark, sf_dir)
-    keys = tf.distinct_keys(tf.item_keys(inp.items_wide))
-    att = tf.attested_contexts(keys, inp.bigrams)
-    lists = tf.filler_lists(att.select("w", "t_role").distinct(), inp, TF_PARAMS).checkpoint()
+    lists = cat.tf_lists(spark, sf_dir, TF_PARAMS.weight)
     out = None
     for p in TF_SWEEP:
         s = tf.tf_scores(inp, p, tf.prototypes(inp, p, lists)).select(
@@ -414,7 +412,7 @@ def q_vec_key_lookup(spark, sf_dir):
 
 @query("sdm_combine")
 def q_sdm_combine(spark, sf_dir):
-    return tf.sdm_scores(tf_inputs(spark, sf_dir), TF_PARAMS)
+    return tf.sdm_scores(tf_inputs(spark, sf_dir), TF_PARAMS, cat.tf_lists(spark, sf_dir, TF_PARAMS.weight))
 
 
 # ------------------------------------------------------------- LM scores
@@ -427,7 +425,7 @@ def _model(spark, sf_dir):
 
 
 def _feats(spark, sf_dir):
-    return lm.token_features(cat.lm_sents(spark, sf_dir), *_model(spark, sf_dir))
+    return cat.lm_feats(spark, sf_dir)
 
 
 def _plan(spark, sf_dir, kind):

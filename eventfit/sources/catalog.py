@@ -91,3 +91,26 @@ def _lm_sents(style: str):
 
 lm_sents = _table("lm_sents", _lm_sents("prefix"))
 lm_sents_marker = _table("lm_sents_marker", _lm_sents("marker"))
+
+
+def tf_lists(spark: SparkSession, sf_dir: str, weight: str = "lmi") -> DataFrame:
+    """P3 output for every probe (attested context, target role) of the
+    items: ``(w, t_role, filler, role, weight)``. It does not depend on N, M
+    or the update function, so every thematic-fit query and parameter
+    setting reads the same written table."""
+    def build() -> DataFrame:
+        from ..plans import thematic as tf
+        inp = tf.TFInputs(items_wide(spark, sf_dir), bigrams(spark, sf_dir), lemma_pos_freqs(spark, sf_dir),
+                          vectors(spark, sf_dir))
+        keys = tf.distinct_keys(tf.item_keys(inp.items_wide))
+        att = tf.attested_contexts(keys, inp.bigrams)
+        return tf.filler_lists(att.select("w", "t_role").distinct(), inp, tf.TFParams(weight=weight))
+    return materialized(spark, sf_dir, f"tf_lists_{weight}", build)
+
+
+def _lm_feats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..plans.lmscore import token_features
+    return token_features(lm_sents(spark, sf_dir), piece_unigrams(spark, sf_dir), piece_bigrams(spark, sf_dir))
+
+
+lm_feats = _table("lm_feats", _lm_feats)

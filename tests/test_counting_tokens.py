@@ -158,3 +158,13 @@ def test_length_normalisation_property(spark):
     udf = {(r.sent_id, r.target_pos): r.logprob for r in lm.score_with_udf(plan, feats).collect()}
     jvm = {(r.sent_id, r.target_pos): r.logprob for r in lm.score_plan(plan, feats).collect()}
     assert udf.keys() == jvm.keys() and all(udf[k] == pytest.approx(jvm[k]) for k in jvm)
+
+
+def test_rank_within_spread_hot_group(spark):
+    # one group holds most rows, ties broken by the second order column
+    data = [("hot", float(i % 7), f"f{i:03d}") for i in range(300)] + [("cold", 1.0, "a"), ("cold", 2.0, "b")]
+    df = spark.createDataFrame(data, "g string, w double, f string").repartition(5)
+    order = [F.col("w").desc(), F.col("f").asc()]
+    got = rows(rk.rank_within_spread(df, ["g"], order), "g", "f", "rk")
+    exp = rows(rk.rank_within(df, ["g"], order), "g", "f", "rk")
+    assert got == exp
