@@ -105,16 +105,17 @@ def expand(plan: DataFrame, n_col: str = "n", id_col: str = "sent_id") -> DataFr
                     F.col("pos").between(F.col("mask_from"), F.col("mask_to")).alias("masked")))
 
 
-def locate_span(sent_pieces: Column, word_pieces: Column) -> Column:
+def locate_span(sent_pieces: Column, word_pieces: Column, last: bool = False) -> Column:
     """1-based start of the word's pieces in the sentence: the first
-    position where the whole piece sequence matches; if none matches fully,
-    the last position holding the first piece; NULL when that never
+    position where the whole piece sequence matches (the last one with
+    ``last=True``, e.g. for the sentence's last word); if none matches
+    fully, the last position holding the first piece; NULL when that never
     occurs."""
     k = F.size(word_pieces)
     cands = F.filter(F.sequence(F.lit(1), F.greatest(F.size(sent_pieces), F.lit(1))),
                      lambda i: F.try_element_at(sent_pieces, i) == F.try_element_at(word_pieces, F.lit(1)))
     full = F.filter(cands, lambda i: F.slice(sent_pieces, i, k) == word_pieces)
-    return F.coalesce(F.try_element_at(full, F.lit(1)), F.try_element_at(cands, F.lit(-1)))
+    return F.coalesce(F.try_element_at(full, F.lit(-1 if last else 1)), F.try_element_at(cands, F.lit(-1)))
 
 
 def span_score(token_scores: DataFrame, spans: DataFrame, average: bool = True, id_col: str = "sent_id") -> DataFrame:

@@ -710,3 +710,10 @@ FROM lmsent s LEFT JOIN (SELECT sentence_id, sum(surprisal) AS surprisal,
                                 string_agg(token, ' ' ORDER BY token_id) AS sentence
                          FROM surp GROUP BY sentence_id) x ON x.sentence_id = s.sent_id""", "lmsent", "surp")
 ORACLE["report_sentences"] = build("SELECT text FROM lmsent", "lmsent")
+ORACLE["unk_flag"] = build("""
+SELECT s.sent_id, CASE WHEN coalesce(x.sentence, '') LIKE '%UNK%' THEN 'unk' ELSE 'nounk' END AS unk
+FROM lmsent s LEFT JOIN (SELECT sentence_id, string_agg(token, ' ' ORDER BY token_id) AS sentence
+                         FROM surp GROUP BY sentence_id) x ON x.sentence_id = s.sent_id""", "lmsent", "surp")
+ORACLE["rejoin_tokens"] = build("""
+SELECT sentence_id AS sent_id, string_agg(token, ' ' ORDER BY token_id) AS sentence FROM surp GROUP BY sentence_id""",
+                                "surp")

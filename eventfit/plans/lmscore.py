@@ -226,13 +226,16 @@ def surprisal_report(sent: DataFrame, surp: DataFrame) -> DataFrame:
                     sentence.alias("sentence"), tx.unk_flag(sentence).alias("unk"))
 
 
-def word_scores(sent: DataFrame, token_scores: DataFrame, last: bool = False, style: str = "prefix") -> DataFrame:
+def word_scores(sent: DataFrame, token_scores: DataFrame, last: bool = False, style: str = "prefix",
+                last_occurrence: bool = False) -> DataFrame:
     """Mean log-probability of the pieces of the target word (the word
-    at ``word_pos``, or the last word), located by T6, summed by T7."""
+    at ``word_pos``, or the last word), located by T6, summed by T7. As in
+    the reference the first occurrence of the word is used, also for the
+    last word; ``last_occurrence=True`` uses the last one."""
     pos = F.lit(-1) if last else F.col("word_pos")
     w = sent.select("sent_id", "pcs", tx.target_word(F.col("text"), pos).alias("word"))
     w = w.select("sent_id", "pcs", tk.pieces(F.col("word"), style).alias("wp"))
-    spans = w.select("sent_id", tk.locate_span(F.col("pcs"), F.col("wp")).alias("start"),
+    spans = w.select("sent_id", tk.locate_span(F.col("pcs"), F.col("wp"), last_occurrence).alias("start"),
                      F.size("wp").alias("k"))
     s = tk.span_score(token_scores, spans, average=True)
     return s.select("sent_id", F.round("score", 6).alias("score"))

@@ -52,6 +52,8 @@ class TFParams:
     update: str = "prod"        # prod | add
     with_pos: bool = False      # vector keys 'form' or 'form/pos'
     exact_mean: bool = False    # divide by the number of vectors instead of M
+    fallback: str = "second"    # 'second': the second attested list, even when empty (reference);
+                                # 'nonempty': the second list, else the first list with fillers in space
 
 
 @dataclass
@@ -215,8 +217,19 @@ def prototypes(inp: TFInputs, p: TFParams, lists: DataFrame | None = None) -> Pr
            .withColumn("src_li", F.when(F.col("operation") == ONE_LIST, 0)
                        .when(F.col("operation") == FALLBACK, 1)))
     inv = first_m_in_space(lists, inp.vectors, p.n_centroid, p.with_pos)
-    from_list = (ops.where(F.col("src_li").isNotNull()).select("ctx_key", F.col("src_li").alias("li"))
-                 .join(att, ["ctx_key", "li"]).join(inv, ["w", "t_role"])
+    src = ops.where(F.col("src_li").isNotNull()).select("ctx_key", F.col("src_li").alias("li"))
+    if p.fallback == "nonempty":
+        # README variant: with an empty second list take another attested
+        # list that has fillers in the space (the second, else the lowest li)
+        has = att.join(inv.select("w", "t_role").distinct(), ["w", "t_role"], "left_semi")
+        pref = F.when(F.col("li") == 1, F.lit(-1)).otherwise(F.col("li"))
+        alt = (ops.where(F.col("operation") == FALLBACK).select("ctx_key").join(has, "ctx_key")
+               .groupBy("ctx_key").agg(F.min_by("li", pref).alias("li")))
+        src = src.join(alt.withColumnRenamed("li", "alt_li"), "ctx_key", "left").select(
+            "ctx_key", F.coalesce("alt_li", "li").alias("li"))
+    elif p.fallback != "second":
+        raise ValueError(p.fallback)
+    from_list = (src.join(att, ["ctx_key", "li"]).join(inv, ["w", "t_role"])
                  .select("ctx_key", "r", "filler", "weight"))
     from_upd = ops.where(F.col("operation") == UPDATE).select("ctx_key").join(upd_top, "ctx_key")
     chosen = from_list.unionByName(from_upd)

@@ -815,3 +815,19 @@ def q_report_sentences(spark, sf_dir):
     path = scratch_path(spark, "report_sentences")
     rp.write_sentences(cat.lm_sents(spark, sf_dir), path)
     return spark.read.text(path).select(F.col("value").alias("text"))
+
+
+@query("unk_flag")
+def q_unk_flag(spark, sf_dir):
+    """F10 on the model's tokens of every sentence."""
+    s = cat.lm_sents(spark, sf_dir)
+    rep = lm.surprisal_report(s, lm.surprisal_table(s, *_model(spark, sf_dir)))
+    return rep.select("sent_id", "unk")
+
+
+@query("rejoin_tokens")
+def q_rejoin_tokens(spark, sf_dir):
+    """the model's tokens of every sentence joined in token order."""
+    surp = lm.surprisal_table(cat.lm_sents(spark, sf_dir), *_model(spark, sf_dir))
+    return surp.groupBy(F.col("sentence_id").alias("sent_id")).agg(
+        tx.rejoin_tokens(F.collect_list(F.struct("token_id", "token"))).alias("sentence"))

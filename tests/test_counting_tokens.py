@@ -168,3 +168,10 @@ def test_rank_within_spread_hot_group(spark):
     got = rows(rk.rank_within_spread(df, ["g"], order), "g", "f", "rk")
     exp = rows(rk.rank_within(df, ["g"], order), "g", "f", "rk")
     assert got == exp
+
+
+def test_locate_span_last_occurrence(spark):
+    df = spark.createDataFrame([(["a", "x", "y", "a", "x", "y"], ["a", "x"])], "s array<string>, w array<string>")
+    r = df.select(tk.locate_span(F.col("s"), F.col("w")).alias("first"),
+                  tk.locate_span(F.col("s"), F.col("w"), last=True).alias("last")).first()
+    assert (r.first, r.last) == (1, 4)

@@ -166,3 +166,11 @@ def test_partition_count_does_not_change_results(spark, inputs):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
     assert a == b
+
+
+def test_nonempty_fallback_option(spark, inputs):
+    # item 6: both contexts attested, no OBJ fillers at all -> still 0.0;
+    # item 4: the second list has fillers -> same as the reference rule
+    ref = {r.item_id: r.score for r in tf.tf_scores(inputs, tf.TFParams()).collect()}
+    alt = {r.item_id: r.score for r in tf.tf_scores(inputs, tf.TFParams(fallback="nonempty")).collect()}
+    assert alt[6] == 0.0 and alt[4] == pytest.approx(ref[4])
