@@ -64,8 +64,8 @@ def items_long(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .tables import table
-    return table(spark, sf_dir, "documents").select("text")
+    from .tables import spread, table
+    return spread(table(spark, sf_dir, "documents").select("text"))
 
 
 def _piece_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.ranking import dense_index, with_scalars
-from .tables import table
+from .tables import spread, table
 
 # Fixed values of the derivation (shared with the SQL oracle).
 UNATTESTED_SUBJ = "NATION_99"
@@ -84,7 +84,7 @@ def items_wide_from(spark: SparkSession, sf_dir: str, fl: DataFrame) -> DataFram
     fl = fillers(spark, sf_dir)
     nf = fl.agg(F.count(F.lit(1)).alias("nf"))
     ok = F.col("o_orderkey")
-    orders = with_scalars(table(spark, sf_dir, "orders").select("o_orderkey"), nf)
+    orders = with_scalars(spread(table(spark, sf_dir, "orders").select("o_orderkey")), nf)
     orders = orders.select(
         ok.alias("item_id"),
         F.when(ok % 17 == 0, F.lit(UNATTESTED_SUBJ))
@@ -192,7 +192,7 @@ TOKEN_SPLIT = r"[^\p{L}\p{N}]+"
 def toks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Corpus tokens ``(doc_id, pos, tok)``: lower case, every run of
     non-letter/non-digit characters is a separator, whole documents."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     norm = F.trim(F.regexp_replace(F.lower(F.col("text")), TOKEN_SPLIT, " "))
     return (docs.select("doc_id", F.posexplode(F.split(norm, " ")).alias("pos", "tok"))
             .where(F.col("tok") != ""))
@@ -208,7 +208,7 @@ def sents(spark: SparkSession, sf_dir: str) -> DataFrame:
     bench = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("src_key"), "text")
     conv = table(spark, sf_dir, "conversations").select(
         (F.lit(1_000_000) + F.col("conv_id") * 1000 + F.col("turn")).alias("src_key"), "text")
-    u = bench.unionByName(conv)
+    u = spread(bench.unionByName(conv))
     pieces = u.select("src_key", F.posexplode(F.split(F.trim(F.regexp_replace("text", ws, " ")), r"\. ")).alias("i", "text"))
     pieces = pieces.where(F.col("text") != "")
     nwords = F.size(F.split(F.col("text"), " "))
