@@ -257,9 +257,14 @@ def tf_scores(inp: TFInputs, p: TFParams, pr: Prototypes | None = None) -> DataF
     tv = inp.vectors.select(F.col("word").alias("tkey"), F.col("vec").alias("tvec"))
     it = pr.item_keys.select("item_id", "ctx_key",
                              vx.vec_key(F.col("t_lemma"), F.col("t_pos"), p.with_pos).alias("tkey"))
-    j = it.join(cents, "ctx_key", "left").join(tv, "tkey", "left")
+    # the score depends on (context key, target word) only: vectors are
+    # joined and cosines computed once per distinct pair, then the small
+    # score table is joined back to the items
+    pairs = it.select("ctx_key", "tkey").distinct()
+    j = pairs.join(cents, "ctx_key", "left").join(tv, "tkey", "left")
     score = F.when(F.col("centroid").isNull(), F.lit(0.0)).otherwise(F.round(vx.cosine(F.col("tvec"), F.col("centroid")), 6))
-    return j.select("item_id", score.alias("score"))
+    scored = j.select("ctx_key", "tkey", score.alias("score"))
+    return it.join(scored, ["ctx_key", "tkey"], "left").select("item_id", "score")
 
 
 def explain_prototype(pr: Prototypes) -> DataFrame:
@@ -294,10 +299,15 @@ def sdm_scores(inp: TFInputs, p: TFParams, lists: DataFrame | None = None) -> Da
                    .otherwise(vx.scale(vx.vec_sum(F.transform("rv", lambda x: x["vec"])), F.lit(float(p.n_centroid))))
                    .alias("lc"))
     tv = inp.vectors.select(F.col("word").alias("tkey"), F.col("vec").alias("tvec"))
-    j = (verb_probe.withColumn("tkey", vx.vec_key(F.col("t_lemma"), F.col("t_pos"), p.with_pos))
+    vp_items = verb_probe.withColumn("tkey", vx.vec_key(F.col("t_lemma"), F.col("t_pos"), p.with_pos))
+    keys = ["ctx_key", "w", "t_role", "tkey"]
+    # cosines once per distinct (context key, verb probe, target), then joined back
+    j = (vp_items.select(*keys).distinct()
          .join(lc, ["w", "t_role"], "left").join(ac, "ctx_key", "left").join(tv, "tkey", "left"))
     c_lc = F.round(vx.cosine(F.col("tvec"), F.col("lc")), 6)
     c_ac = F.round(vx.cosine(F.col("tvec"), F.col("ac")), 6)
-    total = F.when(c_lc.isNull() & c_ac.isNull(), F.lit(None).cast("double")).otherwise(
-        F.round(F.coalesce(c_lc, F.lit(0.0)) + F.coalesce(c_ac, F.lit(0.0)), 6))
-    return j.select("item_id", c_lc.alias("cos_lc"), c_ac.alias("cos_ac"), total.alias("score"))
+    scored = j.select(*keys, c_lc.alias("cos_lc"), c_ac.alias("cos_ac"))
+    total = F.when(F.col("cos_lc").isNull() & F.col("cos_ac").isNull(), F.lit(None).cast("double")).otherwise(
+        F.round(F.coalesce("cos_lc", F.lit(0.0)) + F.coalesce("cos_ac", F.lit(0.0)), 6))
+    return vp_items.select("item_id", *keys).join(scored, keys, "left").select(
+        "item_id", "cos_lc", "cos_ac", total.alias("score"))
