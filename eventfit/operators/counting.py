@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpoint_base
+
 from ..sources.tables import table
 
 
@@ -122,6 +124,7 @@ def sentence_index(df: DataFrame, order_cols: list[str], index_col: str = "idx")
     offsets), so no single task sees all rows."""
     d = (df.repartitionByRange(*order_cols).sortWithinPartitions(*order_cols)
          .withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id()))
+    checkpoint_base(df.sparkSession)  # the shared folder, read from the session
     d = d.checkpoint()  # both branches below read the same partitioned copy
     per_part = d.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"), F.min("_m").alias("_m0"))
     offsets = per_part.select("_p", "_m0", F.sum("_n").over(

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpoint_base
+
 
 def with_scalars(df: DataFrame, scalars: DataFrame) -> DataFrame:
     """Attach the columns of a global aggregate (exactly one row by
@@ -36,6 +38,7 @@ def dense_index(df: DataFrame, value_col: str, index_col: str = "k") -> DataFram
          .withColumn("_m", F.monotonically_increasing_id()))
     # one written copy feeds both branches, so the row ids and the
     # per-partition counts come from the same partitioning
+    checkpoint_base(df.sparkSession)  # the shared folder, read from the session
     d = d.checkpoint()
     per_part = d.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"), F.min("_m").alias("_m0"))
     # one row per partition: the cumulative count is a tiny single-task window
@@ -97,6 +100,7 @@ def rank_within_spread(df: DataFrame, group_cols: list[str], order_cols: list[Co
     keys = [F.col(c) for c in group_cols]
     d = (df.repartitionByRange(*keys, *order_cols).sortWithinPartitions(*keys, *order_cols)
          .withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id()))
+    checkpoint_base(df.sparkSession)  # the shared folder, read from the session
     d = d.checkpoint()  # both branches below read the same partitioned copy
     per = d.groupBy("_p", *group_cols).agg(F.count(F.lit(1)).alias("_n"), F.min("_m").alias("_m0"))
     w = Window.partitionBy(*group_cols).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
