@@ -579,7 +579,7 @@ FROM (SELECT sent_id, CAST(i AS INTEGER) AS pos, pcs[i] AS token, CASE WHEN i >
 ORACLE["token_count"] = build("""
 SELECT sent_id, CAST(len(pcs) AS INTEGER) AS n_tokens, CAST(len(pcs) + 2 AS INTEGER) AS n_with_markers
 FROM lmsent""", "lmsent")
-ORACLE["locate_span"] = build("SELECT sent_id, start, CAST(k AS INTEGER) AS k FROM spans", "spans")
+ORACLE["locate_span"] = build("SELECT sent_id, CAST(start AS INTEGER) AS start, CAST(k AS INTEGER) AS k FROM spans", "spans")
 ORACLE["span_score"] = build("""
 SELECT s.sent_id, round(sum(t.logprob), 6) AS score
 FROM spans s LEFT JOIN ts_plain t ON t.sent_id = s.sent_id AND t.target_pos BETWEEN s.start AND s.start + s.k - 1
