@@ -24,14 +24,14 @@ def toks(spark):
                                  "doc_id long, pos int, tok string")
 
 
-@pytest.mark.parametrize("window", [1, 3, 10])
-def test_window_pairs_brute_force(spark, toks, window):
+@pytest.mark.parametrize("window,chunk", [(1, 1024), (3, 1024), (10, 1024), (3, 4), (10, 7)])
+def test_window_pairs_brute_force(spark, toks, window, chunk):
     exp = Counter()
     for _, ws in DOCS:
         for i, a in enumerate(ws):
             for j in range(i + 1, min(len(ws), i + window + 1)):
                 exp[(a, ws[j])] += 1
-    got = {(r.w1, r.w2): r.freq for r in cnt.window_pair_counts(toks, None, window).collect()}
+    got = {(r.w1, r.w2): r.freq for r in cnt.window_pair_counts(toks, None, window, chunk=chunk).collect()}
     assert got == {k: float(v) for k, v in exp.items()}
 
 
