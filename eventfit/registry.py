@@ -6,10 +6,23 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-
+from pyspark.sql import functions as F
+
+from .functions import assoc
+from .functions import text as tx
+from .functions import vectors as vx
+from .operators import counting as cnt
+from .operators import tokens as tk
+from .operators.ranking import with_scalars
+from .plans import lmscore as lm
 from .plans import ppmi
+from .plans import reports as rp
+from .plans import thematic as tf
+from .session import scratch_path
 from .sources import catalog as cat
-from .sources import fixtures as fx  # noqa: F401
+from .sources import fixtures as fx
+from .sources import readers as rd
+from .sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -38,12 +51,7 @@ def q_ppmi_syntax_raw(spark, sf_dir):
 
 
 # ------------------------------------------------------------ association
-from pyspark.sql import functions as F  # noqa: E402
 
-from .functions import assoc  # noqa: E402
-from .functions import text as tx  # noqa: E402
-from .operators import counting as cnt  # noqa: E402
-from .operators.ranking import with_scalars  # noqa: E402
 
 
 def _comp_stats(spark, sf_dir):
@@ -268,8 +276,6 @@ def q_role_prefix_match(spark, sf_dir):
 
 
 # ----------------------------------------------------------- thematic fit
-from .functions import vectors as vx  # noqa: E402
-from .plans import thematic as tf  # noqa: E402
 
 TF_PARAMS = tf.TFParams(list_length=20, n_centroid=5, weight="lmi", update="prod")
 TF_SWEEP = [tf.TFParams(list_length=8, n_centroid=5, update="prod"),
@@ -416,8 +422,6 @@ def q_sdm_combine(spark, sf_dir):
 
 
 # ------------------------------------------------------------- LM scores
-from .operators import tokens as tk  # noqa: E402
-from .plans import lmscore as lm  # noqa: E402
 
 
 def _model(spark, sf_dir):
@@ -587,10 +591,6 @@ def q_score_fanout(spark, sf_dir):
 # Each source key writes a view derived from the driver tables in the
 # reference's text format into a fresh folder below the shared checkpoint
 # folder, then reads it back with the reader under test.
-from .plans import reports as rp  # noqa: E402
-from .session import scratch_path  # noqa: E402
-from .sources import readers as rd  # noqa: E402
-from .sources.tables import table  # noqa: E402
 
 
 @query("src_sentences")
