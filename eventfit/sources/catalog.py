@@ -10,7 +10,9 @@ and gives the scans of these tables column pruning and filter pushdown.
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,17 +21,24 @@ from ..session import scratch_path
 from . import fixtures as fx
 
 _WRITTEN: dict[tuple[str, str, str], str] = {}
+_LOCKS: dict[tuple[str, str, str], threading.Lock] = {}
+_REGISTRY_LOCK = threading.Lock()
 
 LEMMA_MIN, PAIR_MIN, PAIR_WINDOW, TRIPLE_MIN = 50, 5, 10, 2
 
 
 def materialized(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
     key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), name)
-    path = _WRITTEN.get(key)
-    if path is None:
-        path = scratch_path(spark, f"tables/{name}")
-        build().write.mode("overwrite").parquet(path)
-        _WRITTEN[key] = path
+    with _REGISTRY_LOCK:
+        lock = _LOCKS.setdefault(key, threading.Lock())
+    # one builder per table; a thread needing a table another thread is
+    # building waits for it (tables depend on each other as a DAG)
+    with lock:
+        path = _WRITTEN.get(key)
+        if path is None:
+            path = scratch_path(spark, f"tables/{name}")
+            build().write.mode("overwrite").parquet(path)
+            _WRITTEN[key] = path
     return spark.read.parquet(path)
 
 
@@ -114,3 +123,13 @@ def _lm_feats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 lm_feats = _table("lm_feats", _lm_feats)
+
+
+def prepare(spark: SparkSession, sf_dir: str, threads: int = 4) -> None:
+    """Build every shared table, independent ones as concurrent Spark jobs
+    (many of the builds are short jobs whose latency then overlaps)."""
+    getters = [toks, piece_unigrams, items_wide, bigrams, triples, sents, vectors, lemma_pos_freqs, lemmas,
+               lm_sents, lm_feats, tf_lists]
+    with ThreadPoolExecutor(max_workers=threads) as ex:
+        for f in [ex.submit(g, spark, sf_dir) for g in getters]:
+            f.result()
