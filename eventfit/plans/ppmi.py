@@ -111,6 +111,21 @@ def pair_items(sentence_tokens: DataFrame) -> DataFrame:
     return sentence_tokens.where(F.size("words") >= 2)
 
 
+def item_vocab(items: DataFrame) -> DataFrame:
+    """Distinct words over all items."""
+    return items.select(F.explode("words").alias("word")).distinct()
+
+
+def pairs_in_vocab(pairs: DataFrame, lemmas: DataFrame, vocab: DataFrame) -> DataFrame:
+    """A pair is kept only if each word is in the lemma table and in
+    the item vocabulary. One semi join per side against the (small)
+    intersection of both word sets."""
+    keep = lemmas.select("word").join(vocab, "word", "left_semi")
+    for side in ("w1", "w2"):
+        pairs = pairs.join(keep.select(F.col("word").alias(side)), side, "left_semi")
+    return pairs
+
+
 def pair_stats(items: DataFrame, lemmas: DataFrame, pairs: DataFrame) -> DataFrame:
     """Components ``(item_id, part, w1, w2, ab, a, b, n, vocab)`` of P2.
 
@@ -123,12 +138,8 @@ def pair_stats(items: DataFrame, lemmas: DataFrame, pairs: DataFrame) -> DataFra
             lambda i: F.when(i == 1, F.struct(F.col("words")[0].alias("w1"), F.col("words")[1].alias("w2")))
             .otherwise(F.struct(F.col("words")[1].alias("w1"), F.col("words")[i].alias("w2"))))).alias("part", "c"))
     comps = comps.select("item_id", "part", "c.w1", "c.w2")
-    vocab = items.select(F.explode("words").alias("word")).distinct()
     lem = lemmas.select("word", "freq")
-    p = pairs
-    for side in ("w1", "w2"):
-        p = (p.join(lem.select(F.col("word").alias(side)), side, "left_semi")
-             .join(vocab.select(F.col("word").alias(side)), side, "left_semi"))
+    p = pairs_in_vocab(pairs, lem, item_vocab(items))
     tot = lem.agg(F.sum("freq").alias("n"), F.count(F.lit(1)).cast("double").alias("vocab"))
     c = (comps.join(p.select("w1", "w2", F.col("freq").alias("ab")), ["w1", "w2"], "left")
          .join(lem.select(F.col("word").alias("w1"), F.col("freq").alias("a")), "w1", "left")

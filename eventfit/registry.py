@@ -155,19 +155,12 @@ def q_min_freq(spark, sf_dir):
 
 # -------------------------------------------------------------- pair PPMI
 def pair_inputs(spark, sf_dir):
-    """Items, lemma table and the pair table reduced to the item vocabulary.
-
-    Pairs are only ever looked up for words in both the lemma table and the
-    item vocabulary (S8), so tokens outside both are dropped *before* the
-    windowed pairing; pair counts of the remaining words are unchanged."""
+    """Items (whole sentences as lemma lists), the lemma table and the
+    corpus pair table (S8 restricts it to the item vocabulary)."""
     s = cat.sents(spark, sf_dir)
     items = ppmi.pair_items(s.select(F.col("sent_id").alias("item_id"),
                                      tx.corpus_tokens(F.col("text")).alias("words")))
-    lem = corpus_lemmas(spark, sf_dir)
-    vocab = items.select(F.explode("words").alias("word")).distinct()
-    keep = lem.select("word").join(vocab, "word", "left_semi")
-    pairs = cnt.window_pair_counts(cat.toks(spark, sf_dir), keep, PAIR_WINDOW, PAIR_MIN)
-    return items, lem, pairs
+    return items, corpus_lemmas(spark, sf_dir), cat.pairs(spark, sf_dir)
 
 
 @query("pair_ppmi")
@@ -188,18 +181,10 @@ def q_report_pair_ppmi(spark, sf_dir):
 
 @query("src_pairs_vocab")
 def q_src_pairs_vocab(spark, sf_dir):
-    """S8/F12 on the full pair table: kept only if both words are in the
+    """The corpus pair table kept only where both words are in the
     lemma table and in the item vocabulary."""
-    s = cat.sents(spark, sf_dir)
-    items = ppmi.pair_items(s.select(F.col("sent_id").alias("item_id"),
-                                     tx.corpus_tokens(F.col("text")).alias("words")))
-    lem = corpus_lemmas(spark, sf_dir)
-    vocab = items.select(F.explode("words").alias("word")).distinct()
-    pairs = cnt.window_pair_counts(cat.toks(spark, sf_dir), lem, PAIR_WINDOW, PAIR_MIN)
-    for side in ("w1", "w2"):
-        pairs = (pairs.join(lem.select(F.col("word").alias(side)), side, "left_semi")
-                 .join(vocab.select(F.col("word").alias(side)), side, "left_semi"))
-    return pairs.select("w1", "w2", "freq")
+    items, lem, pairs = pair_inputs(spark, sf_dir)
+    return ppmi.pairs_in_vocab(pairs, lem, ppmi.item_vocab(items)).select("w1", "w2", "freq")
 
 
 @query("item_vocab")

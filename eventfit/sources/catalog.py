@@ -66,6 +66,9 @@ vectors = _table("vectors", lambda s, d: fx.vectors_from(s, d, fillers(s, d)))
 toks = _table("toks", fx.toks)
 sents = _table("sents", fx.sents)
 lemmas = _table("lemmas", lambda s, d: cnt.lemma_counts(toks(s, d), LEMMA_MIN))
+# the pair table the pair baseline loads: forward pairs within PAIR_WINDOW
+# of lemmas with at least LEMMA_MIN occurrences, kept from PAIR_MIN on
+pairs = _table("pairs", lambda s, d: cnt.window_pair_counts(toks(s, d), lemmas(s, d), PAIR_WINDOW, PAIR_MIN))
 
 
 def items_long(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,7 +132,7 @@ def prepare(spark: SparkSession, sf_dir: str, threads: int = 4) -> None:
     """Build every shared table, independent ones as concurrent Spark jobs
     (many of the builds are short jobs whose latency then overlaps)."""
     getters = [toks, piece_unigrams, items_wide, bigrams, triples, sents, vectors, lemma_pos_freqs, lemmas,
-               lm_sents, lm_feats, tf_lists]
+               pairs, lm_sents, lm_feats, tf_lists]
     with ThreadPoolExecutor(max_workers=threads) as ex:
         for f in [ex.submit(g, spark, sf_dir) for g in getters]:
             f.result()
