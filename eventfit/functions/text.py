@@ -8,12 +8,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..constants import FINAL_PERIOD_PATTERN, NO_UNK_FLAG, UNK_FLAG, UNK_MARK
+
 TOKEN_SPLIT = r"[^\p{L}\p{N}]+"
 
 
 def normalise_sentence(text: Column) -> Column:
     """drop trailing blanks plus a final period, then add one period."""
-    return F.concat(F.regexp_replace(text, r"\s*\.$", ""), F.lit("."))
+    return F.concat(F.regexp_replace(text, FINAL_PERIOD_PATTERN, ""), F.lit("."))
 
 
 def sentence_valid(prepared: Column) -> Column:
@@ -83,7 +85,7 @@ def role_of(arg: Column) -> Column:
 
 def unk_flag(sentence: Column) -> Column:
     """F10."""
-    return F.when(sentence.contains("UNK"), F.lit("unk")).otherwise(F.lit("nounk"))
+    return F.when(sentence.contains(UNK_MARK), F.lit(UNK_FLAG)).otherwise(F.lit(NO_UNK_FLAG))
 
 
 def rejoin_tokens(pairs: Column) -> Column:

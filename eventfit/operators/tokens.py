@@ -18,11 +18,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..constants import CONT_PREFIX, SPECIAL_TOKENS, WORD_MARKER
+
 PRETOKEN = r"[\p{L}\p{N}]+|[^\p{L}\p{N}\s]"
 PIECE_LEN = 4
-CONT_PREFIX = "##"
-WORD_MARKER = "Ġ"  # the byte-level BPE word-start marker
-SPECIALS = ("[CLS]", "[SEP]", "<s>", "</s>")
+SPECIALS = SPECIAL_TOKENS
 
 
 def pretokens(text: Column) -> Column:

@@ -25,6 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..constants import UNK_MARK
 from ..functions import text as tx
 from ..operators import tokens as tk
 from ..operators.ranking import with_scalars
@@ -201,7 +202,7 @@ def surprisal_table(sent: DataFrame, uni: DataFrame, bi: DataFrame) -> DataFrame
          .join(uni.select("w", F.col("c").alias("c_w")), "w", "left"))
     j = with_scalars(j, tot)
     p = (F.coalesce("c_pw", F.lit(0.0)) + 1) / (F.coalesce("c_p", F.lit(0.0)) + F.col("v_size"))
-    tok = F.when(F.col("c_w").isNull(), F.lit("UNK")).otherwise(F.col("w"))
+    tok = F.when(F.col("c_w").isNull(), F.lit(UNK_MARK)).otherwise(F.col("w"))
     return j.select(F.col("sent_id").alias("sentence_id"), F.col("token_id").cast("int").alias("token_id"),
                     tok.alias("token"), F.round(-F.log2(p), 6).alias("surprisal"))
 

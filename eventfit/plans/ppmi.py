@@ -22,6 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..constants import PPMI_LOG_FORMAT, SCORE_FLAG, ZERO_SCORE_FLAG
 from ..functions import assoc
 from ..operators.counting import triple_totals, word_role_marginals
 from ..operators.ranking import with_scalars
@@ -95,13 +96,13 @@ def explain_ppmi(items_wide: DataFrame, triples: DataFrame, smooth: bool = True)
     """K4: per item the log line: one ``head-dep-role freq:x ppmi:y`` per
     component, and ``zero_score`` when all raw frequencies are 0."""
     scored = component_scores(syntax_stats(items_wide, triples), smooth)
-    line = F.format_string("%s-%s-%s freq:%s ppmi:%s", F.col("v"), F.col("arg"), F.col("role"),
+    line = F.format_string(PPMI_LOG_FORMAT, F.col("v"), F.col("arg"), F.col("role"),
                            F.format_string("%.1f", F.col("ab")), _fmt(F.col("value")))
     agg = scored.groupBy("item_id").agg(
         F.sort_array(F.collect_list(F.struct("part", line.alias("line")))).alias("pl"),
         F.sum("ab").alias("raw"))
     return agg.select("item_id", F.concat_ws("\t", F.transform("pl", lambda x: x["line"])).alias("log"),
-                      F.when(F.col("raw") == 0, "zero_score").otherwise("score").alias("flag"))
+                      F.when(F.col("raw") == 0, ZERO_SCORE_FLAG).otherwise(SCORE_FLAG).alias("flag"))
 
 
 # ---------------------------------------------------------------- P2

@@ -38,18 +38,19 @@ from ..functions import assoc
 from ..functions import text as tx
 from ..functions import vectors as vx
 from ..operators.counting import attested_args, verb_total
+from ..constants import (FILLER_FORMAT, OP_FALLBACK, OP_NO_FILLERS, OP_ONE_LIST, OP_UPDATE, TF_CENTROID_SIZE,
+                         TF_LIST_LENGTH, TF_UPDATE, TF_WEIGHT)
 from ..operators.ranking import rank_within, rank_within_spread, with_scalars
 
-UPDATE, ONE_LIST, NO_FILLERS, FALLBACK = ("update", "one_filler_list", "no_fillers",
-                                          "intersection_empty_get_verbfillers")
+UPDATE, ONE_LIST, NO_FILLERS, FALLBACK = OP_UPDATE, OP_ONE_LIST, OP_NO_FILLERS, OP_FALLBACK
 
 
 @dataclass(frozen=True)
 class TFParams:
-    list_length: int = 200      # N: fillers per list before the intersection
-    n_centroid: int = 20        # M: fillers in the prototype
-    weight: str = "lmi"         # association measure
-    update: str = "prod"        # prod | add
+    list_length: int = TF_LIST_LENGTH   # N: fillers per list before the intersection
+    n_centroid: int = TF_CENTROID_SIZE  # M: fillers in the prototype
+    weight: str = TF_WEIGHT             # association measure
+    update: str = TF_UPDATE             # prod | add
     with_pos: bool = False      # vector keys 'form' or 'form/pos'
     exact_mean: bool = False    # divide by the number of vectors instead of M
     fallback: str = "second"    # 'second': the second attested list, even when empty (reference);
@@ -271,7 +272,7 @@ def explain_prototype(pr: Prototypes) -> DataFrame:
     """K7: per item ``fillers`` = ``filler (weight rounded to 2)`` in
     prototype order, comma separated, and the operation."""
     lst = pr.chosen.groupBy("ctx_key").agg(F.sort_array(F.collect_list(F.struct("r", "filler", "weight"))).alias("fl"))
-    fmt = F.transform("fl", lambda x: F.format_string("%s (%s)", x["filler"], (F.round(x["weight"], 2) + F.lit(0.0)).cast("string")))
+    fmt = F.transform("fl", lambda x: F.format_string(FILLER_FORMAT, x["filler"], (F.round(x["weight"], 2) + F.lit(0.0)).cast("string")))
     per_key = pr.ops.join(lst, "ctx_key", "left").select(
         "ctx_key", "operation", F.coalesce(F.concat_ws(",", fmt), F.lit("")).alias("fillers"))
     return pr.item_keys.select("item_id", "ctx_key").join(per_key, "ctx_key").select("item_id", "fillers", "operation")

@@ -126,7 +126,7 @@ def q_attested_args(spark, sf_dir):
     return cnt.attested_args(cat.bigrams(spark, sf_dir))
 
 
-LEMMA_MIN, PAIR_MIN, PAIR_WINDOW, TRIPLE_MIN = 50, 5, 10, 2
+LEMMA_MIN, PAIR_MIN, PAIR_WINDOW, TRIPLE_MIN = cat.LEMMA_MIN, cat.PAIR_MIN, cat.PAIR_WINDOW, cat.TRIPLE_MIN
 
 
 def corpus_lemmas(spark, sf_dir):

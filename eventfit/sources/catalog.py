@@ -16,6 +16,8 @@ from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..constants import LEMMA_MIN_FREQ, PAIR_MIN_FREQ, TRIPLE_MIN_FREQ
+from ..constants import PAIR_WINDOW as PAIR_WINDOW_
 from ..operators import counting as cnt
 from ..session import scratch_path
 from . import fixtures as fx
@@ -24,7 +26,7 @@ _WRITTEN: dict[tuple[str, str, str], str] = {}
 _LOCKS: dict[tuple[str, str, str], threading.Lock] = {}
 _REGISTRY_LOCK = threading.Lock()
 
-LEMMA_MIN, PAIR_MIN, PAIR_WINDOW, TRIPLE_MIN = 50, 5, 10, 2
+LEMMA_MIN, PAIR_MIN, PAIR_WINDOW, TRIPLE_MIN = LEMMA_MIN_FREQ, PAIR_MIN_FREQ, PAIR_WINDOW_, TRIPLE_MIN_FREQ
 
 
 def materialized(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
