@@ -18,10 +18,12 @@ def with_scalars(df: DataFrame, scalars: DataFrame) -> DataFrame:
     """Attach the columns of a global aggregate (exactly one row by
     construction: ``agg`` without ``groupBy``) to every row of ``df``.
 
-    The one-row side is broadcast, so ``df`` is neither shuffled nor
-    multiplied.
+    Each column becomes a scalar subquery (``DataFrame.scalar()``): Spark
+    runs the aggregate once - subqueries over the same aggregate are merged
+    into one - and uses the values as constants. There is no join, ``df`` is
+    neither shuffled nor multiplied.
     """
-    return df.join(F.broadcast(scalars), how="cross")
+    return df.select("*", *[scalars.select(c).scalar().alias(c) for c in scalars.columns])
 
 
 def dense_index(df: DataFrame, value_col: str, index_col: str = "k") -> DataFrame:
