@@ -145,7 +145,7 @@ def span_score(token_scores: DataFrame, spans: DataFrame, average: bool = True,
     j = s.join(t, (F.col(f"s.{id_col}") == F.col("_sid")) &
                F.col("pos").between(F.col("s.start"), F.col("s.start") + F.col("s.k") - 1), "left")
     agg = j.groupBy(F.col(f"s.{id_col}").alias(id_col), "s.k").agg(F.sum("logprob").alias("total"))
-    val = F.col("total") / F.col("k") if average else F.col("total")
+    val = F.try_divide(F.col("total"), F.col("k")) if average else F.col("total")
     return agg.select(id_col, val.alias("score"))
 
 
