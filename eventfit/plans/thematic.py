@@ -278,11 +278,20 @@ def explain_prototype(pr: Prototypes) -> DataFrame:
     return pr.item_keys.select("item_id", "ctx_key").join(per_key, "ctx_key").select("item_id", "fillers", "operation")
 
 
-def sdm_scores(inp: TFInputs, p: TFParams, lists: DataFrame | None = None) -> DataFrame:
+def with_model(inp: TFInputs, p: TFParams, lists: DataFrame, ops: DataFrame, chosen: DataFrame) -> Prototypes:
+    """Prototypes whose operations and chosen fillers come from a written
+    model (``catalog.tf_model``); the cheap per-item parts are derived."""
+    ik = item_keys(inp.items_wide)
+    keys = distinct_keys(ik)
+    return Prototypes(keys, ik, None, lists, ops, chosen, None)
+
+
+def sdm_scores(inp: TFInputs, p: TFParams, lists: DataFrame | None = None,
+               pr: Prototypes | None = None) -> DataFrame:
     """P10: cos(target, LC) + cos(target, AC) with NULL parts skipped (NULL
     only when both are). AC is the context-updated prototype of P8; LC the
     prototype of the verb alone (its first M fillers in the vector space)."""
-    pr = prototypes(inp, p, lists)
+    pr = pr or prototypes(inp, p, lists)
     ac = centroids(pr, inp.vectors, p).select("ctx_key", F.col("centroid").alias("ac"))
     ik = pr.item_keys
     verb_probe = ik.select("item_id", "ctx_key", "t_role", "t_lemma", "t_pos",

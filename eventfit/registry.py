@@ -279,6 +279,14 @@ def _protos(spark, sf_dir, p=TF_PARAMS):
     return inp, tf.prototypes(inp, p, cat.tf_lists(spark, sf_dir, p.weight))
 
 
+def _tfmodel(spark, sf_dir, p=TF_PARAMS):
+    """Prototypes read from the written thematic-fit model (the operation
+    and chosen fillers per context key)."""
+    inp = tf_inputs(spark, sf_dir)
+    ops, chosen = cat.tf_model(spark, sf_dir, p)
+    return inp, tf.with_model(inp, p, cat.tf_lists(spark, sf_dir, p.weight), ops, chosen)
+
+
 @query("attested_contexts")
 def q_attested_contexts(spark, sf_dir):
     inp = tf_inputs(spark, sf_dir)
@@ -332,19 +340,19 @@ def q_filler_update_add(spark, sf_dir):
 
 @query("prototype_fillers")
 def q_prototype_fillers(spark, sf_dir):
-    _, pr = _protos(spark, sf_dir)
+    _, pr = _tfmodel(spark, sf_dir)
     return pr.chosen
 
 
 @query("tf_operation")
 def q_tf_operation(spark, sf_dir):
-    _, pr = _protos(spark, sf_dir)
+    _, pr = _tfmodel(spark, sf_dir)
     return pr.item_keys.select("item_id", "ctx_key").join(pr.ops, "ctx_key").select("item_id", "operation")
 
 
 @query("prototype_centroid")
 def q_prototype_centroid(spark, sf_dir):
-    inp, pr = _protos(spark, sf_dir)
+    inp, pr = _tfmodel(spark, sf_dir)
     c = tf.centroids(pr, inp.vectors, TF_PARAMS)
     return c.select("ctx_key", "n_vecs", F.size("centroid").alias("dim"),
                     F.round(F.aggregate("centroid", F.lit(0.0), lambda a, x: a + x), 6).alias("c_sum"),
@@ -354,7 +362,7 @@ def q_prototype_centroid(spark, sf_dir):
 @query("cosine_pairs")
 def q_cosine_pairs(spark, sf_dir):
     """P7 on every prototype filler: cosine of its vector and the centroid."""
-    inp, pr = _protos(spark, sf_dir)
+    inp, pr = _tfmodel(spark, sf_dir)
     c = tf.centroids(pr, inp.vectors, TF_PARAMS)
     v = inp.vectors.select(F.col("word").alias("vkey"), "vec")
     j = (pr.chosen.withColumn("vkey", tf.filler_vkey(F.col("filler"), False)).join(v, "vkey")
@@ -364,7 +372,7 @@ def q_cosine_pairs(spark, sf_dir):
 
 @query("tf_score")
 def q_tf_score(spark, sf_dir):
-    inp, pr = _protos(spark, sf_dir)
+    inp, pr = _tfmodel(spark, sf_dir)
     return tf.tf_scores(inp, TF_PARAMS, pr)
 
 
@@ -386,7 +394,7 @@ def q_tf_param_sweep(spark, sf_dir):
 
 @query("explain_prototype")
 def q_explain_prototype(spark, sf_dir):
-    _, pr = _protos(spark, sf_dir)
+    _, pr = _tfmodel(spark, sf_dir)
     return tf.explain_prototype(pr)
 
 
@@ -403,7 +411,8 @@ def q_vec_key_lookup(spark, sf_dir):
 
 @query("sdm_combine")
 def q_sdm_combine(spark, sf_dir):
-    return tf.sdm_scores(tf_inputs(spark, sf_dir), TF_PARAMS, cat.tf_lists(spark, sf_dir, TF_PARAMS.weight))
+    inp, pr = _tfmodel(spark, sf_dir)
+    return tf.sdm_scores(inp, TF_PARAMS, pr.lists, pr)
 
 
 # ------------------------------------------------------------- LM scores

@@ -138,3 +138,25 @@ def prepare(spark: SparkSession, sf_dir: str, threads: int = 4) -> None:
     with ThreadPoolExecutor(max_workers=threads) as ex:
         for f in [ex.submit(g, spark, sf_dir) for g in getters]:
             f.result()
+
+
+def tf_model(spark: SparkSession, sf_dir: str, params) -> tuple[DataFrame, DataFrame]:
+    """The thematic-fit model of the items for one parameter set, written
+    once: ``(ops, chosen)`` - the operation per context key and the chosen
+    prototype fillers. Scores, filler reports, centroids and the combined
+    score all read it."""
+    from ..plans import thematic as tf
+    sig = (f"{params.list_length}_{params.n_centroid}_{params.weight}_{params.update}_"
+           f"{int(params.with_pos)}_{params.fallback}")
+    inp = tf.TFInputs(items_wide(spark, sf_dir), bigrams(spark, sf_dir), lemma_pos_freqs(spark, sf_dir),
+                      vectors(spark, sf_dir))
+    state: dict = {}
+
+    def pr():
+        if "pr" not in state:
+            state["pr"] = tf.prototypes(inp, params, tf_lists(spark, sf_dir, params.weight))
+        return state["pr"]
+
+    ops = materialized(spark, sf_dir, f"tf_ops_{sig}", lambda: pr().ops)
+    chosen = materialized(spark, sf_dir, f"tf_chosen_{sig}", lambda: pr().chosen)
+    return ops, chosen
