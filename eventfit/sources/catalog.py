@@ -44,11 +44,6 @@ def materialized(spark: SparkSession, sf_dir: str, name: str, build: Callable[[]
     return spark.read.parquet(path)
 
 
-def forget(spark: SparkSession | None = None) -> None:
-    """Drop the registry (tests that want a cold build)."""
-    _WRITTEN.clear()
-
-
 def _table(name: str, build: Callable[[SparkSession, str], DataFrame]):
     def get(spark: SparkSession, sf_dir: str) -> DataFrame:
         return materialized(spark, sf_dir, name, lambda: build(spark, sf_dir))
