@@ -21,7 +21,7 @@ OP1 = f"""
 with recursive v as (
   select vec_id, embedding::double[] as e from embeddings
   where embedding is not null and len(embedding) > 0
-    and len(list_filter(embedding, x -> x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(embedding, x -> x <> 0)) > 0),
+    and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
 links as (
   select a.vec_id as a, b.vec_id as b from v a join v b on a.vec_id <> b.vec_id
   where list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) >= 0.95),
@@ -63,7 +63,7 @@ lines as (
   select doc_id, count(*) as n_lines, count(*) - count(distinct line) as dup
   from (select doc_id, unnest(string_split(t, chr(10))) as line from w) where regexp_matches(line, '[^\\x20\\x09-\\x0D]') group by doc_id),
 counts as (
-  select w.doc_id, lang, source, len(ws)::bigint as n_words, coalesce(list_sum(list_transform(ws, x -> length(x))), 0)::bigint as word_chars,
+  select w.doc_id, lang, source, len(ws)::bigint as n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::bigint as word_chars,
     length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols, coalesce(lines.dup, 0)::bigint as n_dup_lines,
     coalesce(covered.n, 0)::bigint as n_repeat_words, length(regexp_replace(t, '[^A-Z]', '', 'g'))::bigint as n_upper,
     coalesce(lines.n_lines, 0)::bigint as n_lines
@@ -106,8 +106,8 @@ def _spans(number: int, kind: str, pattern: str, group: int, least: int) -> str:
     p = pattern.replace("'", "''")
     return f"""
   select doc_id, {number} as k, '{kind}' as kind, base + sum(gap) over w + coalesce(sum(size) over before, 0) as s, size, held >= {least} as ok from (
-    select doc_id, 0 as base, unnest(range(1, len(found) + 1)) as i, unnest(list_transform(gaps[:len(found)], x -> length(x))) as gap,
-      unnest(list_transform(found, x -> length(x))) as size, unnest(list_transform(held, x -> length(x))) as held
+    select doc_id, 0 as base, unnest(range(1, len(found) + 1)) as i, unnest(list_transform(gaps[:len(found)], lambda x: length(x))) as gap,
+      unnest(list_transform(found, lambda x: length(x))) as size, unnest(list_transform(held, lambda x: length(x))) as held
     from (select doc_id, regexp_extract_all(t, '{p}') as found, regexp_extract_all(t, '{p}', {group}) as held, regexp_split_to_array(t, '{p}') as gaps from d))
   window w as (partition by doc_id order by i), before as (partition by doc_id order by i rows between unbounded preceding and 1 preceding)"""
 

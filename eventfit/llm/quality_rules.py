@@ -78,7 +78,8 @@ def measure(docs: DataFrame, out: str = "counts") -> DataFrame:
         F.coalesce(F.when(at.isNotNull(), covered), F.lit(0)).cast("long").alias("n_repeat_words"),
         (size - F.length(F.translate(text, UPPER, ""))).cast("long").alias("n_upper"),
         F.size(lines).cast("long").alias("n_lines"))
-    return df.withColumn(out, counts).drop(*step)
+    # generated rather than projected, so that no later filter copies these expressions into itself
+    return df.select(*docs.columns, F.explode_outer(F.array(counts)).alias(out))
 
 
 def base_failed(counts: str = "counts") -> Column:

@@ -64,7 +64,7 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     scanned = secret_scan.scan_documents(_docs(spark, sf_dir))
-    counts = [F.size(F.filter("spans", lambda s, i=i: s["kind"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(secret_scan.KINDS[:3])]
+    counts = [F.expr(f"size(filter(spans, s -> s.kind = {i}))").cast("long").alias(f"n_{k}") for i, k in enumerate(secret_scan.KINDS[:3])]
     return scanned.select("doc_id", *counts, F.sha2(secret_scan.spans_text(F.col("spans"), base_only=True).cast("binary"), 256).alias("base_sha256"),
                           secret_scan.spans_text(F.col("spans")).alias("spans"))
 
