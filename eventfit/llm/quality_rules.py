@@ -44,7 +44,7 @@ class Metric:
 METRICS = (
     Metric("symbols", "n_symbols * 1000000 div greatest(word_chars, 1)", 10_000),
     Metric("upper", "n_upper * 1000000 div greatest(word_chars, 1)", 25_000),
-    Metric("dup_lines", "n_dup_lines * 1000000 div greatest(n_lines, 1)", 75_000),
+    Metric("dup_lines", "n_dup_lines * 1000000 div greatest(n_lines, 1)", 150_000),
     Metric("word_length", "word_chars * 1000000 div greatest(n_words, 1)", 600_000, True),
 )
 

@@ -37,13 +37,14 @@ LETTERS = 28
 TERMS, MAX_LABELLED, PRIOR = 1 << 20, 200_000, 6.0
 #: Terms whose share can't raise a score are not kept.
 LEAST_SHARE = 0.15
-LONGEST, REMEMBERED = 40, 300_000
+LONGEST, REMEMBERED = 40, 400_000
 PREFIXES = (4, 5, 6, 8)
 FEATURES = 4
 NEWTON_STEPS, RIDGE = 10, 1.0
 
 _EDGE = re.compile(r"^[^\w$@*!|+(€]+|[^\w$@]+$")
 _ODD = re.compile(r"[0-9@$!|+(*#%€]|([^\W\d_])\1\1")
+_SHORT_RUN = re.compile(r"(?<!\S)\S{1,2}\s+\S{1,2}\s+\S{1,2}(?!\S)")
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -122,8 +123,11 @@ class Restorer:
 
 def split_tokens(text: str) -> tuple[list[str], list[str]]:
     """Tokens of a text in lower case, and its runs of three or more tokens of one letter."""
-    tokens = text.lower().split()
+    text = text.lower()
+    tokens = text.split()
     runs, run = [], []
+    if not _SHORT_RUN.search(text):
+        return tokens, runs
     for t in tokens:
         if len(t) <= 2 and len(b := _EDGE.sub("", t) if len(t) == 2 else t) == 1 and (b.isalnum() or b in LOOK_ALIKES):
             run.append(b)
@@ -232,15 +236,18 @@ def _evidence(costs, table):
     """Features of each text; a training row (``y`` not null) is left out of the shares it is judged by."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer, known, shares = Restorer(costs.value), {}, {}
-        toxic, held, base = table.value
+        evidence, base = table.value
         schema = pa.schema([("doc_id", pa.int64()), ("y", pa.int32()), *((f"x{i}", pa.float64()) for i in range(FEATURES))])
 
         def best(word: str, y: int | None) -> float:
-            at = term_ids(word)
-            n, t = held[at], toxic[at]
-            if y is not None:
-                n, t = np.maximum(n - 1, 0), np.maximum(t - y, 0)
-            return float(((t + PRIOR * base) / (n + PRIOR)).max()) if at else base
+            top = base
+            for t in term_ids(word):
+                if t in evidence:
+                    toxic, held = evidence[t]
+                    if y is not None:
+                        toxic, held = max(toxic - y, 0), held - 1
+                    top = max(top, (toxic + PRIOR * base) / (held + PRIOR))
+            return top
 
         for part in slices(batches):
             if len(shares) > REMEMBERED:
@@ -310,14 +317,13 @@ def score_documents(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_
     counts = (train.select("text", "y").mapInArrow(_term_counter(costs), "term long, toxic long, held long")
               .groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("held").alias("held"))
               .where(f"held >= 2 and (toxic + {PRIOR * base}) / (held + {PRIOR}) >= {LEAST_SHARE}")).toPandas()
-    toxic, held = np.zeros(TERMS, np.float32), np.zeros(TERMS, np.float32)
-    at = counts["term"].to_numpy(dtype=np.int64)
-    toxic[at], held[at] = counts["toxic"].to_numpy(dtype=np.float32), counts["held"].to_numpy(dtype=np.float32)
-    table = spark.sparkContext.broadcast((toxic, held, base))
+    # at most TERMS entries, whatever the number of documents
+    evidence = {t: (x, n) for t, x, n in zip(*(counts[c].tolist() for c in ("term", "toxic", "held")), strict=True)}
+    table = spark.sparkContext.broadcast((evidence, base))
     xs = [f"x{i}" for i in range(FEATURES)]
-    evidence = settle(train.select("doc_id", "text", F.col("y").cast("int").alias("y"))
+    trained = settle(train.select("doc_id", "text", F.col("y").cast("int").alias("y"))
                       .mapInArrow(_evidence(costs, table), _EVIDENCE_SCHEMA), "toxicity_training")
-    w = fit_logistic(evidence, xs, base)
+    w = fit_logistic(trained, xs, base)
     z = F.lit(float(w[0]))
     for a, x in zip(w[1:], xs, strict=True):
         z = z + F.lit(float(a)) * F.col(x)
