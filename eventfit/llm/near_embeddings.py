@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import block_pairs, blocked, blocks, settle
 from .graph import components
 
 THRESHOLD = 0.95
@@ -37,6 +37,7 @@ CELL_ROWS, CELL_DIMS = 64, 64
 SAME_CELL, MISS = 0.596, 0.004
 #: Standard deviations of the estimate that its bounds allow for.
 SIGMAS = 6.0
+CELL_KEYS = ["dims", "table", "cell"]
 
 
 def tables_for(rows: int) -> tuple[int, int]:
@@ -111,14 +112,11 @@ def _coder(k: int, tables: int, kind: pa.DataType):
 
 def _compare_block(rows: dict, threshold: float) -> list[tuple[int, int, int]]:
     """``(cid, links, root)`` for the rows of a block that have links in it."""
-    x = rows["x"]
-    t, left, right = rows["table"], *((np.flatnonzero(rows["sub"] == s) for s in (rows["bi"], rows["bj"])))
+    x, t = rows["x"], rows["table"]
+    left, right = (np.flatnonzero(rows["sub"] == s) for s in (rows["bi"], rows["bj"]))
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
     near = estimate(rows["code"][left], rows["factor"][left], unit[right]) >= threshold - slack(rows["factor"][left], x.shape[1], threshold)[:, None]
-    if rows["bi"] == rows["bj"]:
-        near = np.triu(near, 1)
-    i, j = np.nonzero(near)
-    i, j = left[i], right[j]
+    i, j = block_pairs(near, left, right, rows["bi"] == rows["bj"])
     if not len(i):
         return []
     if t:
@@ -147,47 +145,16 @@ def _compare_block(rows: dict, threshold: float) -> list[tuple[int, int, int]]:
 
 
 def _comparer(threshold: float):
-    """Blocks arrive sorted, one after the other; a block is at most two blocks' rows."""
-    keys = ("dims", "table", "cell", "bi", "bj")
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: pa.Table | None = None
-
-        def compared(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-            rows = rows.combine_chunks()
-            key = np.stack([rows.column(c).to_numpy().astype(np.int64) for c in keys], axis=1)
-            starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(axis=1)])
-            cols = {c: rows.column(c).to_numpy() for c in ("sub", "cid", "copies", "factor")}
-            out = []
-            for s, e in zip(starts, np.r_[starts[1:], len(key)], strict=True):
-                if e - s < 2:
-                    continue
-                part = rows.slice(s, e - s)
-                block = {c: v[s:e] for c, v in cols.items()} | {"table": int(key[s, 1]), "bi": int(key[s, 3]), "bj": int(key[s, 4])}
-                block["x"] = np.array(part.column("embedding").to_pylist(), dtype=np.float64)
-                block["cells"] = np.array(part.column("cells").to_pylist(), dtype=np.int64)
-                code = part.column("code").to_pylist()
-                block["code"] = np.frombuffer(b"".join(code), np.uint8).reshape(len(code), -1)
-                out += _compare_block(block, threshold)
-            if out:
+        for part in blocks(batches, CELL_KEYS):
+            rows = {c: part.column(c).to_numpy() for c in ("sub", "cid", "copies", "factor")}
+            rows |= {c: part.column(c)[0].as_py() for c in ("table", "bi", "bj")}
+            rows["x"] = np.array(part.column("embedding").to_pylist(), dtype=np.float64)
+            rows["cells"] = np.array(part.column("cells").to_pylist(), dtype=np.int64)
+            rows["code"] = np.frombuffer(b"".join(part.column("code").to_pylist()), np.uint8).reshape(part.num_rows, -1)
+            if out := _compare_block(rows, threshold):
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["cid", "links", "root"])
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows = pa.Table.from_batches([batch])
-            rows = rows if rest is None else pa.concat_tables([rest, rows])
-            last = np.ones(len(rows), bool)  # rows of the block that may go on in the next batch
-            for c in keys:
-                v = rows.column(c).to_numpy()
-                last &= v == v[-1]
-            cut = int(np.flatnonzero(~last)[-1]) + 1 if not last.all() else 0
-            if cut:
-                yield from compared(rows.slice(0, cut))
-            rest = rows.slice(cut)
-        if rest is not None and len(rest):
-            yield from compared(rest)
-
     return run
 
 
@@ -218,16 +185,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, rows: int
     name = kind.simpleString()
     coded = settle(classes.select("cid", "copies", "embedding").mapInArrow(
         _coder(k, tables, arrow), f"cid long, copies long, embedding array<{name}>, cells array<long>, code binary, factor double"), "codes")
-    placed = coded.select(F.size("embedding").alias("dims"), F.posexplode("cells").alias("table", "cell"))
-    full = settle(placed.groupBy("dims", "table", "cell").agg(F.count("*").alias("n")).where("n > 1"), "cells")
-    met = coded.select("*", F.size("embedding").alias("dims"), F.posexplode("cells").alias("table", "cell")).join(full, ["dims", "table", "cell"])
-    blocks = F.ceil(F.col("n") / BLOCK_ROWS).cast("int")
-    met = met.withColumn("sub", F.pmod(F.xxhash64("cid", "table"), blocks).cast("int")) \
-        .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))) \
-        .withColumns({"bi": F.least("sub", "other"), "bj": F.greatest("sub", "other")})
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = ["dims", "table", "cell", "bi", "bj"]
-    met = met.select(*keys, "sub", "cid", "copies", "embedding", "cells", "code", "factor").repartition(parts, *keys).sortWithinPartitions(*keys)
+    placed = coded.select("cid", "copies", "embedding", "cells", "code", "factor", F.size("embedding").alias("dims"), F.posexplode("cells").alias("table", "cell"))
+    met = blocked(placed, CELL_KEYS, "cid", BLOCK_ROWS)
     found = settle(met.mapInArrow(_comparer(threshold), "cid long, links long, root long"), "vector_links")
     links = found.groupBy("cid").agg(F.sum("links").alias("links"))
     label = components(found.select(F.col("cid").alias("a"), F.col("root").alias("b")))

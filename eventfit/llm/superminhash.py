@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from fractions import Fraction
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,17 +26,21 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, settle, slices
+from .common import block_pairs, blocked, blocks, mix64, settle, slices
 from .graph import components
 
 SHINGLE_WORDS = 5
 SLOTS = 128
 BAND_ROWS = 4
 #: Share of equal slots below which a pair can't have the wanted similarity:
-#: the threshold less six standard deviations of the estimate.
-SIGMAS = 6.0
+#: the threshold less 4.5 standard deviations of the estimate.
+SIGMAS = 4.5
 #: Hub rounds before the remaining pairs are compared one by one.
-HUB_ROUNDS = 2
+HUB_ROUNDS = 4
+#: Rows of a bucket that one block holds; larger buckets are compared block against block.
+BLOCK_ROWS = 512
+#: Characters whose shingles are signed at once: a shingle's shuffle takes a byte per slot.
+SIGN_CHARS = 1_000_000
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 SIGNATURE_SCHEMA = "doc_id long, text_hash long, n_shingles long, set_hash long, bands array<long>, signature binary"
@@ -118,7 +123,7 @@ def band_hashes(signatures: np.ndarray, rows: int = BAND_ROWS) -> np.ndarray:
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_shingles", pa.int64()), ("set_hash", pa.int64()),
                         ("bands", pa.list_(pa.int64())), ("signature", pa.binary())])
-    for part in slices(batches):
+    for part in slices(batches, most=SIGN_CHARS):
         sets = shingle_hashes(part.column("text").to_pylist())
         sig = superminhash(sets)
         bands = band_hashes(sig).view(np.int64)
@@ -137,9 +142,27 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(_sign, SIGNATURE_SCHEMA)
 
 
-def _alike(threshold: float):
-    least = threshold - SIGMAS * (threshold * (1 - threshold) / SLOTS) ** 0.5
+@cache
+def variance_factor(slots: int = SLOTS, most: int = 4096) -> np.ndarray:
+    """By the size of the union: the estimate's variance as a share of that of independent minima (Ertl 2017, theorem 1)."""
+    step = np.arange(1, slots) / slots
+    out = np.ones(most + 1)
+    for u in range(2, most + 1):
+        part = (np.arange(1, slots) / (slots - 1)) ** u * ((step + 1 / slots) ** u + (step - 1 / slots) ** u - 2 * step ** u)
+        out[u] = 1 - (slots - 1) / (u - 1) * part.sum()
+    out[1] = out[2]
+    return out
+
+
+def _least_share(threshold: float, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
+    """Equal slots that pairs of sets with ``na`` and ``nb`` elements have, if they have the wanted similarity."""
+    factor = variance_factor()
+    union = np.ceil((na + nb) / (1 + threshold)).astype(np.int64)  # of a pair at the threshold; it is no larger beyond
+    alpha = np.where(union < len(factor), factor[np.minimum(union, len(factor) - 1)], 1.0)
+    return threshold - SIGMAS * np.sqrt(alpha * threshold * (1 - threshold) / SLOTS)
 
+
+def _alike(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
@@ -147,7 +170,7 @@ def _alike(threshold: float):
             na, nb = (batch.column(c).to_numpy() for c in ("na", "nb"))
             keep = np.minimum(na, nb) >= threshold * np.maximum(na, nb)
             sa, sb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, SLOTS) for c in ("sa", "sb"))
-            keep &= (sa == sb).mean(axis=1) >= least
+            keep &= (sa == sb).mean(axis=1) >= _least_share(threshold, na, nb)
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
     return run
@@ -213,16 +236,16 @@ def _links(docs: DataFrame, classes: DataFrame, banded: DataFrame, threshold: fl
     links = None
     for turn in range(HUB_ROUNDS + 1):
         if turn < HUB_ROUNDS:
-            hubs = settle(live.groupBy("band").agg(F.min(F.struct("label", "set_hash")).alias("hub")).select("band", "hub.*")
-                          .select("band", F.col("label").alias("hub_label"), F.col("set_hash").alias("hub")), "hubs")
+            # a hub drawn for each bucket and round: members of a group meet as many hubs as they share buckets
+            draw = F.xxhash64("set_hash", "band", F.lit(turn))
+            hubs = settle(live.groupBy("band").agg(F.min(F.struct(draw.alias("draw"), "label", "set_hash")).alias("hub"))
+                          .select("band", F.col("hub.label").alias("hub_label"), F.col("hub.set_hash").alias("hub")), "hubs")
             pairs = live.join(hubs, "band").where("label <> hub_label").select(F.least("hub", "set_hash").alias("a"), F.greatest("hub", "set_hash").alias("b"))
         else:
-            pairs = _across(live)
+            pairs = _across(live, classes, threshold)
         found = settle(_check(pairs.distinct(), classes, texts, threshold), "links")
         links = found if links is None else links.unionByName(found)
-        if turn == HUB_ROUNDS or found.isEmpty() and turn == HUB_ROUNDS - 1:
-            if turn < HUB_ROUNDS:
-                links = links.unionByName(settle(_check(_across(live).distinct(), classes, texts, threshold), "links"))
+        if turn == HUB_ROUNDS:
             break
         label = components(links)
         moved = live.select("band", "set_hash").join(label.withColumnRenamed("id", "set_hash"), "set_hash", "left") \
@@ -233,14 +256,40 @@ def _links(docs: DataFrame, classes: DataFrame, banded: DataFrame, threshold: fl
     return links
 
 
-def _across(live: DataFrame) -> DataFrame:
-    """All pairs of classes that share a bucket but not a group."""
-    groups = settle(live.select("band", "label").distinct(), "bucket_groups")
-    two = groups.alias("x").join(groups.alias("y"), "band").where("x.label < y.label") \
-        .select("band", F.col("x.label").alias("lx"), F.col("y.label").alias("ly"))
-    x = live.select("band", F.col("label").alias("lx"), F.col("set_hash").alias("sx"))
-    y = live.select("band", F.col("label").alias("ly"), F.col("set_hash").alias("sy"))
-    return two.join(x, ["band", "lx"]).join(y, ["band", "ly"]).select(F.least("sx", "sy").alias("a"), F.greatest("sx", "sy").alias("b"))
+def _across(live: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of classes that share a bucket but not a group and are alike by their signatures.
+
+    Compared in blocks of bounded size, so that a bucket of many unlike texts
+    (they share a passage) sends no pairs of them on. A pair that shares several
+    buckets is sent on from the first; all of them hold both groups, so it is there.
+    """
+    sides = classes.select("set_hash", "n", "signature", "bands")
+    return blocked(live.select("band", "set_hash", "label").join(sides, "set_hash"), ["band"], "set_hash", BLOCK_ROWS) \
+        .mapInArrow(_alike_in_block(threshold), "a long, b long")
+
+
+def _alike_in_block(threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in blocks(batches, ["band"]):
+            n, label, sub, key = (part.column(c).to_numpy() for c in ("n", "label", "sub", "set_hash"))
+            sig = np.frombuffer(b"".join(part.column("signature").to_pylist()), np.uint16).reshape(part.num_rows, -1)
+            bi, bj = part.column("bi")[0].as_py(), part.column("bj")[0].as_py()
+            left, right = np.flatnonzero(sub == bi), np.flatnonzero(sub == bj)
+            a, b = n[left][:, None], n[right][None]
+            near = (label[left][:, None] != label[right][None]) & (np.minimum(a, b) >= threshold * np.maximum(a, b))
+            i, j = block_pairs(near, left, right, bi == bj)
+            keep = np.concatenate([(sig[i[s:s + 8192]] == sig[j[s:s + 8192]]).mean(axis=1) >= _least_share(threshold, n[i[s:s + 8192]], n[j[s:s + 8192]])
+                                   for s in range(0, len(i), 8192)] or [[]])
+            i, j = i[keep.astype(bool)], j[keep.astype(bool)]
+            if len(i):  # a pair counts in the first band that its two share
+                bands = np.array(part.column("bands").to_pylist(), dtype=np.int64)
+                first = (bands[i] == bands[j]).argmax(axis=1)
+                new = bands[i, first] == part.column("band")[0].as_py()
+                i, j = i[new], j[new]
+            if len(i):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(key[i], key[j])), pa.array(np.maximum(key[i], key[j]))], names=["a", "b"])
+
+    return run
 
 
 def _check(pairs: DataFrame, classes: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:

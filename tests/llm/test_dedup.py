@@ -166,3 +166,8 @@ def test_embeddings_empty(spark):
 def test_cells_grow_with_the_table(rows, least):
     k, tables = near_embeddings.tables_for(rows)
     assert k >= least and (1 - near_embeddings.SAME_CELL**k) ** tables <= near_embeddings.MISS
+
+
+def test_variance_factor():
+    factor = superminhash.variance_factor()
+    assert (factor > 0).all() and (factor <= 1).all() and (np.diff(factor[2:]) > -1e-9).all() and factor[-1] > 0.95
