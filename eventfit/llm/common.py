@@ -48,7 +48,8 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, max_rows: int) -> D
     n = y.count()
     if n > max_rows:
         y = y.where(F.pmod(F.xxhash64(F.lit("label sample"), "doc_id"), F.lit(1 << 30)) < int(max_rows / n * (1 << 30)))
-    return docs.select("doc_id", "text").join(y, "doc_id")
+    # at most about max_rows ids and labels: bounded, so the texts stay where they are
+    return docs.select("doc_id", "text").join(F.broadcast(y), "doc_id")
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SLICE_CHARS) -> Iterator[pa.RecordBatch]:

@@ -22,7 +22,7 @@ from .common import labelled, settle, slices
 STATISTICS = ("log_words", "word_length", "upper", "symbols", "marks", "digits", "other", "distinct_words", "repeated_neighbours",
               "line_repeats", "log_line_words", "top_word")
 #: Fourier features, kernel width (standardised units), ridge, bins of the calibration, labelled rows at most, seed.
-FEATURES, WIDTH, RIDGE, BINS, MAX_LABELLED, SEED = 192, 3.0, 1.0, 1000, 200_000, 7
+FEATURES, WIDTH, RIDGE, BINS, MAX_LABELLED, SEED = 192, 3.0, 1.0, 1000, 60_000, 7
 #: Standardised statistics are cut off here, so that one odd text can't leave the range seen in training.
 REACH = 6.0
 _SYMBOLS = frozenset("#*$%&|<>~^_=\\{}[]@")

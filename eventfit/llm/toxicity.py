@@ -34,7 +34,7 @@ SWAP, DROP, SQUEEZE, GAP = 1.0, 3.0, 0.5, 0.2
 #: Letters of the model: 0 a word's end, 1-26 a-z without accents, 27 any other letter.
 LETTERS = 28
 #: Buckets of hashed terms, labelled documents at most, weight of the prior share.
-TERMS, MAX_LABELLED, PRIOR = 1 << 20, 200_000, 6.0
+TERMS, MAX_LABELLED, PRIOR = 1 << 20, 60_000, 6.0
 #: Terms whose share can't raise a score are not kept.
 LEAST_SHARE = 0.15
 LONGEST, REMEMBERED = 40, 400_000
@@ -141,10 +141,18 @@ def split_tokens(text: str) -> tuple[list[str], list[str]]:
 
 
 def term_ids(word: str) -> list[int]:
-    """Hashed terms of a word: itself and its beginnings."""
-    if len(word) < 3:
+    """Hashed terms of a word: itself and its beginnings of some lengths, in bytes."""
+    raw = word.encode("utf-8", "surrogatepass")
+    if len(raw) < 3:
         return []
-    return [zlib.crc32(x.encode("utf-8", "surrogatepass")) % TERMS for x in ("=" + word, *("^" + word[:n] for n in PREFIXES if n <= len(word)))]
+    out, at, crc = [zlib.crc32(raw, 1) % TERMS], 0, 2
+    for n in PREFIXES:
+        if n > len(raw):
+            break
+        crc = zlib.crc32(raw[at:n], crc)
+        out.append(crc % TERMS)
+        at = n
+    return out
 
 
 def run_words(restored: str) -> list[str]:
@@ -235,7 +243,8 @@ def _term_counter(costs):
 def _evidence(costs, table):
     """Features of each text; a training row (``y`` not null) is left out of the shares it is judged by."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restorer, known, shares = Restorer(costs.value), {}, {}
+        restorer, known = Restorer(costs.value), {}
+        shares: dict = {None: {}, 0: {}, 1: {}}  # of words, by the label that is left out
         evidence, base = table.value
         schema = pa.schema([("doc_id", pa.int64()), ("y", pa.int32()), *((f"x{i}", pa.float64()) for i in range(FEATURES))])
 
@@ -250,18 +259,15 @@ def _evidence(costs, table):
             return top
 
         for part in slices(batches):
-            if len(shares) > REMEMBERED:
-                shares.clear()
+            for s in shares.values():
+                if len(s) > REMEMBERED:
+                    s.clear()
             rows = []
             for words, y in zip(_slice_words(part, restorer, known), part.column("y").to_pylist(), strict=True):
-                got = []
-                for w in words:
-                    s = shares.get((w, y))
-                    if s is None:
-                        s = shares[w, y] = best(w, y)
-                    if s > base:
-                        got.append(s)
-                got.sort(reverse=True)
+                mine = shares[y]
+                for w in (w for w in words if w not in mine):
+                    mine[w] = best(w, y)
+                got = sorted((s for s in map(mine.__getitem__, words) if s > base), reverse=True)
                 one, two = (got + [base, base])[:2]
                 rows.append((math.log(one / (1 - one)), math.log(two / (1 - two)), math.log1p(sum(s > 0.6 for s in got)), math.log1p(len(words))))
             x = np.array(rows)
