@@ -19,8 +19,10 @@ TRIPLE_MIN_FREQ = 2
 PAIR_MIN_FREQ = 5
 PAIR_WINDOW = 10
 LEMMA_MIN_FREQ = 50
-# sub-word continuation prefix, byte-level word-start marker, special tokens
-CONT_PREFIX = "##"
+# prefix by which pieces are grouped into words, prefix that the piece cutter
+# writes, byte-level word-start marker, special tokens
+CONT_PREFIX = "#"
+PIECE_PREFIX = "##"
 WORD_MARKER = "Ġ"
 SPECIAL_TOKENS = ("[CLS]", "[SEP]", "<s>", "</s>")
 # unknown-word marker in surprisal tokens and the report flags

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..constants import CONT_PREFIX, SPECIAL_TOKENS, WORD_MARKER
+from ..constants import CONT_PREFIX, PIECE_PREFIX, SPECIAL_TOKENS, WORD_MARKER
 
 PRETOKEN = r"[\p{L}\p{N}]+|[^\p{L}\p{N}\s]"
 PIECE_LEN = 4
@@ -51,7 +51,7 @@ def _prefix_pieces(text: Column) -> Column:
     marked = F.regexp_replace(F.regexp_replace(text, m, ""), r"(?<![\p{L}\p{N}])(?=[\p{L}\p{N}])", m)
     chunks = F.regexp_extract_all(marked, F.lit(m + r"?[\p{L}\p{N}]{1," + str(PIECE_LEN) + r"}|[^\p{L}\p{N}\s" + m + "]"), 0)
     return F.transform(chunks, lambda c: F.when(c.startswith(m), F.substring(c, 2, PIECE_LEN))
-                       .when(c.rlike(r"^[\p{L}\p{N}]"), F.concat(F.lit(CONT_PREFIX), c)).otherwise(c))
+                       .when(c.rlike(r"^[\p{L}\p{N}]"), F.concat(F.lit(PIECE_PREFIX), c)).otherwise(c))
 
 
 def pieces(text: Column, style: str = "prefix") -> Column:

@@ -162,13 +162,13 @@ JOIN vtoks b ON b.doc_id = a.doc_id AND b.pos = a.pos + a.d
 GROUP BY 1, 2 HAVING count(*) >= 5""")
 
 view("sents", (), r"""
-SELECT src_key * 1000 + i - 1 AS sent_id, piece AS text,
+SELECT (src_key * 1000000 + i - 1) * 2 + kind AS sent_id, piece AS text,
        CAST(floor(len(string_split(piece, ' ')) / 2) AS INTEGER) AS word_pos
 FROM (
-  SELECT src_key, unnest(p) AS piece, generate_subscripts(p, 1) AS i FROM (
-    SELECT src_key, string_split(trim(regexp_replace(text, '[ \t\n\r]+', ' ', 'g')), '. ') AS p FROM (
-      SELECT item_id AS src_key, text FROM benchmark
-      UNION ALL SELECT 1000000 + conv_id * 1000 + turn, text FROM conversations) s) q) r
+  SELECT kind, src_key, unnest(p) AS piece, generate_subscripts(p, 1) AS i FROM (
+    SELECT kind, src_key, string_split(trim(regexp_replace(text, '[ \t\n\r]+', ' ', 'g')), '. ') AS p FROM (
+      SELECT 0 AS kind, item_id AS src_key, text FROM benchmark
+      UNION ALL SELECT 1, CAST(conv_id AS BIGINT) * 1000000 + turn, text FROM conversations) s) q) r
 WHERE piece <> ''""")
 
 view("pitems", ("sents",), r"""
@@ -383,7 +383,7 @@ def tf_build(body: str, n: int, m: int, update: str, *extra: str) -> str:
     return f"{head},\n{tail}\n{body}"
 
 
-TF_N, TF_M = 20, 5
+TF_N, TF_M = 200, 20
 COS = ("round(list_dot_product({a}, {b}) / nullif(sqrt(list_dot_product({a}, {a})) "
        "* sqrt(list_dot_product({b}, {b})), 0), 6)")
 
@@ -501,7 +501,7 @@ LEFT JOIN pbi b1 ON b1.prev = t.prev AND b1.w = t.token
 LEFT JOIN pbi b2 ON b2.prev = t.token AND b2.w = t.nxt""")
 view("wgp", ("ltok",), """
 SELECT sent_id, pos, token, n,
-       CAST(sum(CASE WHEN token LIKE '##%' THEN 0 ELSE 1 END) OVER (PARTITION BY sent_id ORDER BY pos
+       CAST(sum(CASE WHEN token LIKE '#%' THEN 0 ELSE 1 END) OVER (PARTITION BY sent_id ORDER BY pos
             ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 1 AS INTEGER) AS word_idx
 FROM ltok""")
 view("plan_plain", ("ltok",), "SELECT sent_id, pos AS target_pos, pos AS mask_from, pos AS mask_to FROM ltok")
@@ -541,8 +541,7 @@ FROM lmsent s JOIN a USING (sent_id)""")
 
 view("surp", ("ltok", "puni", "pbi"), """
 SELECT t.sent_id AS sentence_id, t.pos AS token_id, CASE WHEN uw.c IS NULL THEN 'UNK' ELSE t.token END AS token,
-       round(-log2((coalesce(b.c, 0) + 1) / (coalesce(up.c, 0) + (SELECT CAST(count(*) AS DOUBLE) FROM puni))), 6)
-         AS surprisal
+       -log2((coalesce(b.c, 0) + 1) / (coalesce(up.c, 0) + (SELECT CAST(count(*) AS DOUBLE) FROM puni))) AS surprisal
 FROM ltok t LEFT JOIN pbi b ON b.prev = t.prev AND b.w = t.token
 LEFT JOIN puni up ON up.w = t.prev LEFT JOIN puni uw ON uw.w = t.token""")
 
@@ -609,7 +608,7 @@ ORACLE["word_score_last"] = build("""
 SELECT s.sent_id, round(sum(t.logprob) / s.k, 6) AS score
 FROM spans_last s LEFT JOIN ts_plain t ON t.sent_id = s.sent_id AND t.target_pos BETWEEN s.start AND s.start + s.k - 1
 GROUP BY s.sent_id, s.k""", "spans_last", "ts_plain")
-ORACLE["ngram_surprisal"] = build("SELECT * FROM surp", "surp")
+ORACLE["ngram_surprisal"] = build("SELECT sentence_id, token_id, token, round(surprisal, 6) AS surprisal FROM surp", "surp")
 ORACLE["sentence_surprisal"] = build("""
 SELECT s.sent_id, round(coalesce(x.surprisal, 0.0), 6) AS surprisal
 FROM lmsent s LEFT JOIN (SELECT sentence_id, sum(surprisal) AS surprisal FROM surp GROUP BY sentence_id) x
@@ -663,7 +662,7 @@ ORACLE["src_vectors"] = build("""
 SELECT word, CAST(len(v) AS INTEGER) AS dim, round(list_sum(v), 6) AS v_sum, round(v[1], 6) AS v_first
 FROM (SELECT word, list_slice(vec, len(vec) - 31, len(vec)) AS v FROM vectors
       WHERE word IN (SELECT lemma FROM items_long)) s""", "vectors", "items_long")
-ORACLE["src_surprisal"] = build("SELECT sentence_id, token_id, token, surprisal FROM surp", "surp")
+ORACLE["src_surprisal"] = build("SELECT sentence_id, token_id, token, round(surprisal, 6) AS surprisal FROM surp", "surp")
 view("orig", ("items_long", "orders_v"), """
 SELECT i.item_id, string_agg(i.lemma, ' ' ORDER BY i.slot) AS text,
        CASE WHEN max(o.o_orderstatus) = 'F' THEN 'Plausible' ELSE 'Implausible' END AS label,

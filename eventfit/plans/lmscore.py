@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import UNK_MARK
+from ..constants import UNK_MARK, WORD_MARKER
 from ..functions import text as tx
 from ..operators import tokens as tk
 from ..operators.ranking import with_scalars
@@ -204,7 +204,7 @@ def surprisal_table(sent: DataFrame, uni: DataFrame, bi: DataFrame) -> DataFrame
     p = (F.coalesce("c_pw", F.lit(0.0)) + 1) / (F.coalesce("c_p", F.lit(0.0)) + F.col("v_size"))
     tok = F.when(F.col("c_w").isNull(), F.lit(UNK_MARK)).otherwise(F.col("w"))
     return j.select(F.col("sent_id").alias("sentence_id"), F.col("token_id").cast("int").alias("token_id"),
-                    tok.alias("token"), F.round(-F.log2(p), 6).alias("surprisal"))
+                    tok.alias("token"), (-F.log2(p)).alias("surprisal"))
 
 
 def sentence_surprisal(sent: DataFrame, surp: DataFrame) -> DataFrame:
@@ -235,7 +235,10 @@ def word_scores(sent: DataFrame, token_scores: DataFrame, last: bool = False, st
     last word; ``last_occurrence=True`` uses the last one."""
     pos = F.lit(-1) if last else F.col("word_pos")
     w = sent.select("sent_id", "pcs", tx.target_word(F.col("text"), pos).alias("word"))
-    w = w.select("sent_id", "pcs", tk.pieces(F.col("word"), style).alias("wp"))
+    wp = tk.pieces(F.col("word"), style)
+    if style == "marker":  # the word is looked up with the blank before it
+        wp = F.when(F.size(wp) > 0, F.concat(F.array(F.concat(F.lit(WORD_MARKER), F.get(wp, 0))), F.slice(wp, 2, 2**31 - 1))).otherwise(wp)
+    w = w.select("sent_id", "pcs", wp.alias("wp"))
     spans = w.select("sent_id", tk.locate_span(F.col("pcs"), F.col("wp"), last_occurrence).alias("start"),
                      F.size("wp").alias("k"))
     s = tk.span_score(token_scores, spans, average=True)

@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .constants import TF_CENTROID_SIZE, TF_LIST_LENGTH, TF_UPDATE, TF_WEIGHT
 from .functions import assoc
 from .functions import text as tx
 from .functions import vectors as vx
@@ -262,7 +263,7 @@ def q_role_prefix_match(spark, sf_dir):
 
 # ----------------------------------------------------------- thematic fit
 
-TF_PARAMS = tf.TFParams(list_length=20, n_centroid=5, weight="lmi", update="prod")
+TF_PARAMS = tf.TFParams(list_length=TF_LIST_LENGTH, n_centroid=TF_CENTROID_SIZE, weight=TF_WEIGHT, update=TF_UPDATE)
 TF_SWEEP = [tf.TFParams(list_length=8, n_centroid=5, update="prod"),
             tf.TFParams(list_length=20, n_centroid=5, update="add"),
             tf.TFParams(list_length=200, n_centroid=20, update="prod")]
@@ -532,7 +533,8 @@ def q_word_score_last(spark, sf_dir):
 
 @query("ngram_surprisal")
 def q_ngram_surprisal(spark, sf_dir):
-    return lm.surprisal_table(cat.lm_sents(spark, sf_dir), *_model(spark, sf_dir))
+    surp = lm.surprisal_table(cat.lm_sents(spark, sf_dir), *_model(spark, sf_dir))
+    return surp.withColumn("surprisal", F.round("surprisal", 6))
 
 
 @query("sentence_surprisal")
@@ -704,7 +706,7 @@ def q_src_surprisal(spark, sf_dir):
                     *[F.lit(None).cast("string").alias(c) for c in cols[1:]])
     (rows.unionByName(junk).write.mode("overwrite").option("sep", "\t").option("header", "true")
      .option("quote", "").csv(path))
-    return rd.read_surprisal(spark, path)
+    return rd.read_surprisal(spark, path).withColumn("surprisal", F.round("surprisal", 6))
 
 
 def original_dataset(spark, sf_dir):

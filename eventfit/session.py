@@ -59,6 +59,8 @@ def checkpoint_base(spark: SparkSession) -> str:
         if current.isDefined():
             base = os.path.dirname(current.get())
     if not base:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
         base = tempfile.mkdtemp(prefix="eventfit-ckpt-")
         spark.conf.set("spark.checkpoint.dir", base)
     if not sc._jsc.sc().getCheckpointDir().isDefined():

@@ -19,7 +19,7 @@ scale-growing data:
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.ranking import dense_index, with_scalars
@@ -81,7 +81,6 @@ def items_wide_from(spark: SparkSession, sf_dir: str, fl: DataFrame) -> DataFram
     Every 17th subject and every 13th verb is one that the corpus never
     attests, so all fallbacks of the thematic-fit model are reached.
     """
-    fl = fillers(spark, sf_dir)
     nf = fl.agg(F.count(F.lit(1)).alias("nf"))
     ok = F.col("o_orderkey")
     orders = with_scalars(spread(table(spark, sf_dir, "orders").select("o_orderkey")), nf)
@@ -201,16 +200,26 @@ def toks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences ``(sent_id, text, word_pos)`` from ``benchmark`` and
     ``conversations``: blank runs become one blank, the text is split on
-    ``'. '``. ``sent_id`` = source key * 1000 + piece number (benchmark keys
-    are item ids, conversation keys are ``1e6 + conv_id * 1000 + turn``);
+    ``'. '``. ``sent_id`` packs the source (its lowest bit), the source's key
+    and the piece number; turns and pieces of a million or more, which would
+    make two sentences share an id, fail the query instead.
     ``word_pos`` is the middle word."""
+    return sentences_of(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "conversations"))
+
+
+def sentences_of(benchmark: DataFrame, conversations: DataFrame) -> DataFrame:
+    """``sents`` of the two tables."""
     ws = r"[ \t\n\r]+"
-    bench = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("src_key"), "text")
-    conv = table(spark, sf_dir, "conversations").select(
-        (F.lit(1_000_000) + F.col("conv_id") * 1000 + F.col("turn")).alias("src_key"), "text")
+    room = 1_000_000
+
+    def below(c: Column) -> Column:
+        return F.when((c >= 0) & (c < room), c).otherwise(F.raise_error(F.lit("sentence ids have no room for this turn or piece")))
+
+    bench = benchmark.select(F.lit(0).alias("kind"), F.col("item_id").cast("long").alias("src_key"), "text")
+    conv = conversations.select(F.lit(1).alias("kind"), (F.col("conv_id").cast("long") * room + below(F.col("turn"))).alias("src_key"), "text")
     u = spread(bench.unionByName(conv))
-    pieces = u.select("src_key", F.posexplode(F.split(F.trim(F.regexp_replace("text", ws, " ")), r"\. ")).alias("i", "text"))
+    pieces = u.select("kind", "src_key", F.posexplode(F.split(F.trim(F.regexp_replace("text", ws, " ")), r"\. ")).alias("i", "text"))
     pieces = pieces.where(F.col("text") != "")
     nwords = F.size(F.split(F.col("text"), " "))
-    return pieces.select((F.col("src_key") * 1000 + F.col("i")).alias("sent_id"), "text",
+    return pieces.select(((F.col("src_key") * room + below(F.col("i"))) * 2 + F.col("kind")).alias("sent_id"), "text",
                          (F.floor(nwords / 2)).cast("int").alias("word_pos"))

@@ -1,24 +1,18 @@
 """Every registered query against its DuckDB oracle on the smallest driver
 tables (the driver runs the same comparison at sf0.01), the entry smoke
-check, and the streaming counter against the batch counter."""
+check."""
 
 import math
-import os
-import tempfile
 
 import duckdb
 import pytest
-from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from eventfit.operators import counting as cnt
-from eventfit.sources.tables import TABLES, table
-from eventfit.streaming import corpus_counts as sc
+from eventfit.oracle import ORACLE
+from eventfit.registry import QUERIES
+from eventfit.sources.tables import TABLES
 
-from conftest import SF_SMALL, rows
-
-QUERIES = entry.queries()
-ORACLE = entry.oracle_sql()
+from conftest import SF_SMALL
 
 
 def _norm(v):
@@ -46,6 +40,7 @@ def duck():
 
 def test_every_query_has_an_oracle():
     assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLE) <= set(entry.oracle_sql())
 
 
 @pytest.mark.parametrize("key", sorted(QUERIES))
@@ -63,31 +58,3 @@ def test_entry_smoke(spark):
     df = entry.entry(spark)
     assert df.columns == ["item_id", "score", "raw_freq", "n_parts"]
     assert df.count() > 0
-
-
-def test_streaming_counts_equal_batch(spark):
-    src = tempfile.mkdtemp(prefix="eventfit-stream-src-")
-    li = table(spark, SF_SMALL, "lineitem").select(*sc.LINEITEM_COLS)
-    # two arrivals of fact files
-    li.where(F.col("l_partkey") % 2 == 0).write.mode("overwrite").parquet(os.path.join(src, "a"))
-    li.where(F.col("l_partkey") % 2 == 1).write.mode("overwrite").parquet(os.path.join(src, "b"))
-    q = sc.start_triple_counts(spark, os.path.join(src, "*"), SF_SMALL, "triple_counts_test")
-    q.awaitTermination(300)
-    got = rows(spark.table("triple_counts_test"))
-    exp = rows(cnt.triple_counts(spark, SF_SMALL))
-    assert got == exp and len(got) > 0
-
-
-def test_streaming_counts_resume_from_checkpoint(spark):
-    base = tempfile.mkdtemp(prefix="eventfit-stream-resume-")
-    src, ckpt = os.path.join(base, "src"), os.path.join(base, "ckpt")
-    li = table(spark, SF_SMALL, "lineitem").select(*sc.LINEITEM_COLS)
-    li.where(F.col("l_partkey") % 2 == 0).write.parquet(os.path.join(src, "a"))
-    q1 = sc.start_triple_counts(spark, os.path.join(src, "*"), SF_SMALL, "resume_counts", checkpoint=ckpt)
-    q1.awaitTermination(300)
-    first = rows(spark.table("resume_counts"))
-    # more fact files arrive while the query is down; the restart resumes from the checkpoint
-    li.where(F.col("l_partkey") % 2 == 1).write.parquet(os.path.join(src, "b"))
-    q2 = sc.start_triple_counts(spark, os.path.join(src, "*"), SF_SMALL, "resume_counts", checkpoint=ckpt)
-    q2.awaitTermination(300)
-    assert rows(spark.table("resume_counts")) == rows(cnt.triple_counts(spark, SF_SMALL)) != first
