@@ -36,7 +36,7 @@ BAND_ROWS = 4
 #: the threshold less 4.5 standard deviations of the estimate.
 SIGMAS = 4.5
 #: Hub rounds before the remaining pairs are compared one by one.
-HUB_ROUNDS = 4
+HUB_ROUNDS = 2
 #: Rows of a bucket that one block holds; larger buckets are compared block against block.
 BLOCK_ROWS = 512
 #: Characters whose shingles are signed at once: a shingle's shuffle takes a byte per slot.
