@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import CONT_PREFIX, PIECE_PREFIX, SPECIAL_TOKENS, WORD_MARKER
+from ..session import written
 
 PRETOKEN = r"[\p{L}\p{N}]+|[^\p{L}\p{N}\s]"
 PIECE_LEN = 4
@@ -97,6 +98,28 @@ def word_groups_marker(toks: DataFrame, marker: str = WORD_MARKER, id_col: str =
             .withColumn("word_idx", (F.sum("_s").over(w) - 1).cast("int")).drop("_s"))
 
 
+def word_ends(toks: DataFrame, style: str = "prefix", id_col: str = "sent_id") -> DataFrame:
+    """``toks(pos, token, n, ...)`` with ``word_end``, the position of the last
+    piece of the token's own word (T1 or T2): the piece before the next one
+    that starts a word. One window that runs backward over the sentence."""
+    w = Window.partitionBy(id_col).orderBy(F.col("pos").desc())
+    if style == "prefix":
+        start = ~F.col("token").startswith(CONT_PREFIX)
+    else:
+        start = F.col("token").isin(*SPECIALS, ".") | F.col("token").startswith(WORD_MARKER) \
+            | (F.coalesce(F.lead("token", 1).over(w), F.lit("")) == ".")
+    t = toks.withColumn("_at", F.when(start, F.col("pos")))
+    nxt = F.min("_at").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    return t.withColumn("word_end", F.coalesce(nxt - 1, F.col("n"))).drop("_at")
+
+
+def mask_range_end(kind: str) -> Column:
+    """T3-T5 over rows ``(pos, n, word_end)``: the last position masked for the
+    target at ``pos``, which is the first one."""
+    ends = {"plain": "pos", "l2r": "n", "adapted": "word_end"}
+    return F.col(ends[kind])
+
+
 def mask_plan(toks_with_words: DataFrame, kind: str, id_col: str = "sent_id") -> DataFrame:
     """T3/T4/T5 (and T10): one variant per target piece,
     ``(sent_id, target_pos, token, mask_from, mask_to)``."""
@@ -104,7 +127,7 @@ def mask_plan(toks_with_words: DataFrame, kind: str, id_col: str = "sent_id") ->
     if kind == "plain":
         to = F.col("pos")
     elif kind == "l2r":
-        to = F.max("pos").over(Window.partitionBy(id_col))
+        to = F.col("n") if "n" in t.columns else F.max("pos").over(Window.partitionBy(id_col))
     elif kind == "adapted":
         to = F.max("pos").over(Window.partitionBy(id_col, "word_idx"))
     else:
@@ -153,12 +176,16 @@ def log_softmax_gather(logits: DataFrame, targets: DataFrame, keys: list[str]) -
     """``logit(target) - log sum exp(logit)`` per key, max-shifted.
 
     ``logits`` is ``(keys..., cand, logit)``, ``targets`` ``(keys...,
-    target)``; the normaliser is a partial aggregate per key, then one join
-    gathers the target's logit (NULL when the target is not a candidate)."""
-    mx = logits.groupBy(*keys).agg(F.max("logit").alias("_m"))
-    lse = (logits.join(mx, keys).groupBy(*keys, "_m")
-           .agg(F.sum(F.exp(F.col("logit") - F.col("_m"))).alias("_s"))
-           .select(*keys, (F.col("_m") + F.log(F.col("_s"))).alias("_lse")))
+    target)``. The normaliser is summed in two levels: per key and whole part
+    of the logit (shifted by it, so nothing overflows; a hot key is combined
+    inside the map tasks), then over the parts of a key, as many as its logits
+    have whole parts. It is written, so that a hot key can be split in the
+    join. NULL when the target is not a candidate."""
+    parts = (logits.withColumn("_e", F.floor("logit").cast("double")).groupBy(*keys, "_e")
+             .agg(F.sum(F.exp(F.col("logit") - F.col("_e"))).alias("_s"))
+             .groupBy(*keys).agg(F.max("_e").alias("_m"), F.collect_list(F.struct("_e", "_s")).alias("_p")))
+    shifted = F.aggregate("_p", F.lit(0.0), lambda acc, x: acc + x["_s"] * F.exp(x["_e"] - F.col("_m")))
+    lse = written(parts.select(*keys, (F.col("_m") + F.log(shifted)).alias("_lse")), "log_sum_exp")
     tl = targets.join(logits.withColumnRenamed("cand", "target"), keys + ["target"], "left")
     return tl.join(lse, keys, "left").select(*keys, "target", (F.col("logit") - F.col("_lse")).alias("logprob"))
 

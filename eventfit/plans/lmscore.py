@@ -10,8 +10,9 @@ DataFrame boundary ``(sent_id, target_pos, logprob)`` with two providers:
   visible in that variant, the association of target and right neighbour
   (``ln p(next | target) - ln p(next)``) - so plain, left-to-right and
   adapted masking give different scores, as they do with a real model.
-* U1: any user function applied to Arrow batches of the same token rows
-  (``mapInPandas``), e.g. a real model's batch inference.
+* U1: any user function applied to Arrow batches of whole sentences, with
+  the masked range of every target (``mapInPandas``), e.g. a real model's
+  batch inference.
 
 Everything downstream - sums, length normalisation, spans, surprisal
 reports - is plain DataFrame work.
@@ -19,13 +20,14 @@ reports - is plain DataFrame work.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import UNK_MARK, WORD_MARKER
+from ..constants import CONT_PREFIX, UNK_MARK, WORD_MARKER
 from ..functions import text as tx
 from ..operators import tokens as tk
 from ..operators.ranking import with_scalars
@@ -83,14 +85,16 @@ def neighbours(pcs):
                         F.slice(pcs, 2, F.greatest(n - 1, F.lit(0))).alias("nxt"))
 
 
-def token_features(sent: DataFrame, uni: DataFrame, bi: DataFrame) -> DataFrame:
-    """Per sentence piece ``(sent_id, pos, token, n, left_bi, uni,
-    right_gain)``: natural-log add-one probabilities from the corpus model.
+def token_features(sent: DataFrame, uni: DataFrame, bi: DataFrame, style: str = "prefix") -> DataFrame:
+    """Per sentence piece ``(sent_id, pos, token, n, word_end, left_bi, uni,
+    right_gain)``: natural-log add-one probabilities from the corpus model, and
+    what the mask ranges need (``n``, ``word_end``).
     Five lookups into the count tables (equi-joins; AQE broadcasts them when
     it measures them small)."""
     t = sent.select("sent_id", F.size("pcs").alias("n"), F.posexplode(neighbours(F.col("pcs"))).alias("p0", "z"))
     t = t.select("sent_id", "n", (F.col("p0") + 1).alias("pos"), F.col("z.token").alias("token"),
                  F.col("z.prev").alias("prev"), F.col("z.nxt").alias("nxt"))
+    t = tk.word_ends(t, style)
     tot = uni.agg(F.sum("c").alias("n_total"), F.count(F.lit(1)).cast("double").alias("v_size"))
     u = lambda name: uni.select(F.col("w").alias(name), F.col("c").alias(f"c_{name}"))
     j = (t.join(u("token"), "token", "left").join(u("prev"), "prev", "left").join(u("nxt"), "nxt", "left")
@@ -104,51 +108,89 @@ def token_features(sent: DataFrame, uni: DataFrame, bi: DataFrame) -> DataFrame:
     right = F.when(F.col("nxt").isNotNull(),
                    F.log((z("c_tn") + 1) / (z("c_token") + F.col("v_size")))
                    - F.log((z("c_nxt") + 1) / (F.col("n_total") + F.col("v_size"))))
-    return j.select("sent_id", "pos", "token", "n", "prev", "nxt", left_bi.alias("left_bi"),
+    return j.select("sent_id", "pos", "token", "n", "word_end", "prev", "nxt", left_bi.alias("left_bi"),
                     unigram.alias("uni"), right.alias("right_gain"), z("c_token").alias("c_token"))
 
 
-def score_plan(plan: DataFrame, feats: DataFrame) -> DataFrame:
-    """U2 applied to a compact mask plan: ``(sent_id, target_pos,
-    logprob)``."""
-    j = plan.join(feats.withColumnRenamed("pos", "target_pos").drop("token"), ["sent_id", "target_pos"])
-    prev_vis = (F.col("target_pos") == 1) | (F.col("target_pos") - 1 < F.col("mask_from")) | \
-        (F.col("target_pos") - 1 > F.col("mask_to"))
-    next_vis = F.col("target_pos") + 1 > F.col("mask_to")
-    lp = F.when(prev_vis, F.col("left_bi")).otherwise(F.col("uni")) + \
-        F.when(next_vis & F.col("right_gain").isNotNull(), F.col("right_gain")).otherwise(F.lit(0.0))
-    return j.select("sent_id", "target_pos", lp.alias("logprob"))
-
-
-def score_with_udf(plan: DataFrame, feats: DataFrame,
-                   fn: Callable[[pd.DataFrame], pd.Series] | None = None) -> DataFrame:
-    """The batch-inference hook. ``fn`` receives an Arrow batch of plan
-    rows (with the token features) as pandas and returns one log-probability
-    per row. Rows of a sentence are contiguous (they come from one exploded
-    sentence row), so a model sees whole sentences per batch. The default
-    ``fn`` is the U2 arithmetic written in numpy."""
-    import numpy as np
-
-    def default(pdf: pd.DataFrame) -> pd.Series:
-        prev_vis = (pdf.target_pos == 1) | (pdf.target_pos - 1 < pdf.mask_from) | (pdf.target_pos - 1 > pdf.mask_to)
-        next_vis = (pdf.target_pos + 1 > pdf.mask_to) & pdf.right_gain.notna()
-        return pd.Series(np.where(prev_vis, pdf.left_bi, pdf.uni) + np.where(next_vis, pdf.right_gain.fillna(0.0), 0.0))
-
-    f = fn or default
-    j = plan.join(feats.withColumnRenamed("pos", "target_pos").drop("token"), ["sent_id", "target_pos"])
-    cols = ["sent_id", "target_pos", "mask_from", "mask_to", "left_bi", "uni", "right_gain"]
-
-    def run(batches):
+def target_logprob(kind: str) -> F.Column:
+    """U2 over feature rows: the target's log-probability under a mask plan.
+    Masked is ``pos .. mask_range_end``, so the left neighbour is always
+    visible and the right one beyond the range."""
+    visible = (F.col("pos") + 1 > tk.mask_range_end(kind)) & F.col("right_gain").isNotNull()
+    return F.col("left_bi") + F.when(visible, F.col("right_gain")).otherwise(F.lit(0.0))
+
+
+def token_scores(feats: DataFrame, kind: str) -> DataFrame:
+    """``(sent_id, target_pos, logprob)``: the features already hold all that a
+    mask plan needs, so there is neither a join nor a shuffle."""
+    return feats.select("sent_id", F.col("pos").alias("target_pos"), target_logprob(kind).alias("logprob"))
+
+
+def sentence_features(feats: DataFrame) -> DataFrame:
+    """One row per sentence ``(sent_id, pcs, left_bi, right_gain)``, the arrays
+    in the order of its pieces: the input of ``corpus_model``."""
+    cols = ["token", "left_bi", "right_gain"]
+    g = feats.groupBy("sent_id").agg(F.sort_array(F.collect_list(F.struct("pos", *cols))).alias("z"))
+    return g.select("sent_id", F.col("z.token").alias("pcs"), "z.left_bi", "z.right_gain")
+
+
+def mask_ends(pcs: list[str], kind: str, style: str = "prefix") -> np.ndarray:
+    """Last masked position (1-based) for each piece of a sentence as target."""
+    n = len(pcs)
+    if kind == "plain":
+        return np.arange(1, n + 1)
+    if kind == "l2r":
+        return np.full(n, n)
+    if style == "prefix":
+        start = [not p.startswith(CONT_PREFIX) for p in pcs]
+    else:
+        start = [i == 0 or p in (*tk.SPECIALS, ".") or p.startswith(WORD_MARKER) or pcs[i - 1] == "." for i, p in enumerate(pcs)]
+    at = np.flatnonzero(start)
+    nxt = np.searchsorted(at, np.arange(n), side="right")
+    return np.append(at, n)[nxt]
+
+
+def corpus_model(sentences: pd.DataFrame) -> list[np.ndarray]:
+    """The U2 arithmetic in numpy, as a model for ``score_with_udf``."""
+    out = []
+    for left, right, to in zip(sentences.left_bi, sentences.right_gain, sentences.mask_to, strict=True):
+        gain = np.asarray(right, dtype=np.float64)
+        visible = (np.arange(len(to)) + 2 > to) & ~np.isnan(gain)
+        out.append(np.asarray(left, dtype=np.float64) + np.where(visible, gain, 0.0))
+    return out
+
+
+def score_with_udf(sent: DataFrame, fn: Callable[[pd.DataFrame], list] = corpus_model, kind: str = "plain",
+                   style: str = "prefix") -> DataFrame:
+    """The batch-inference hook, ``(sent_id, target_pos, logprob)``.
+
+    ``sent`` has one row per sentence: ``sent_id``, its pieces ``pcs`` and any
+    columns the model wants. ``fn`` receives a batch of them as pandas with
+    ``mask_from`` and ``mask_to`` added (for each piece as target the masked
+    range, 1-based) and returns for each sentence the log-probabilities of
+    its pieces. A sentence is a row, so a model always sees it whole, and
+    nothing is shuffled. Sentences without pieces give no rows."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"sent_id": pdf.sent_id, "target_pos": pdf.target_pos,
-                                "logprob": f(pdf).astype("float64").values})
+            pdf = pdf[pdf.pcs.map(lambda p: p is not None and len(p) > 0)].reset_index(drop=True)
+            if not len(pdf):
+                continue
+            n = pdf.pcs.map(len).to_numpy()
+            pdf["mask_from"] = [np.arange(1, k + 1) for k in n]
+            pdf["mask_to"] = [mask_ends(list(p), kind, style) for p in pdf.pcs]
+            scores = fn(pdf)
+            if [len(s) for s in scores] != n.tolist():
+                raise ValueError("the model must return one log-probability per piece")
+            yield pd.DataFrame({"sent_id": np.repeat(pdf.sent_id.to_numpy(), n), "target_pos": np.concatenate(list(pdf.mask_from)),
+                                "logprob": np.concatenate([np.asarray(s, dtype=np.float64) for s in scores])})
 
-    return j.select(*cols).mapInPandas(run, "sent_id long, target_pos int, logprob double")
+    return sent.mapInPandas(run, "sent_id long, target_pos int, logprob double")
 
 
 # ------------------------------------------------------------------ plans
 def mask_plan_for(sent: DataFrame, kind: str, style: str = "prefix") -> DataFrame:
-    toks = tk.explode_tokens(sent, "sent_id", "pcs")
+    toks = sent.select("sent_id", F.size("pcs").alias("n"), F.posexplode("pcs").alias("p0", "token")) \
+        .select("sent_id", "n", (F.col("p0") + 1).alias("pos"), "token")
     if kind == "adapted":
         toks = tk.word_groups_prefix(toks) if style == "prefix" else tk.word_groups_marker(toks)
     return tk.mask_plan(toks, kind)
@@ -166,6 +208,19 @@ def sentence_scores(sent: DataFrame, token_scores: DataFrame) -> DataFrame:
                     "n_tokens", "n_words")
 
 
+def sentence_score_columns(sent: DataFrame, feats: DataFrame, kinds: dict[str, str]) -> DataFrame:
+    """``(sent_id, text, metric, score, score_by_tokens, score_by_words,
+    n_tokens, n_words)`` for several mask plans (metric name -> plan): all sums
+    of a sentence come from one aggregate over its features."""
+    g = feats.groupBy("sent_id").agg(*[F.sum(target_logprob(kind)).alias(f"s_{i}") for i, kind in enumerate(kinds.values())])
+    j = sent.select("sent_id", "text", F.size("pcs").alias("n_tokens"), "n_words").join(g, "sent_id", "left")
+    per = F.array(*[F.struct(F.lit(m).alias("metric"), F.coalesce(f"s_{i}", F.lit(0.0)).alias("s")) for i, m in enumerate(kinds)])
+    j = j.select("sent_id", "text", "n_tokens", "n_words", F.inline(per))
+    return j.select("sent_id", "text", "metric", F.round("s", 6).alias("score"),
+                    F.round(F.try_divide("s", "n_tokens"), 6).alias("score_by_tokens"),
+                    F.round(F.try_divide("s", "n_words"), 6).alias("score_by_words"), "n_tokens", "n_words")
+
+
 def causal_scores(sent: DataFrame, uni: DataFrame, bi: DataFrame, exact: bool = False) -> DataFrame:
     """A3: sequence ``<s> pieces <s>``; n counts both markers, the mean
     log-probability covers the n-1 predictions; score = mean * n (or the

@@ -14,7 +14,9 @@ frequency, ``V`` = number of lemmas.
 Plan notes: the items are the streamed side; the triple, marginal and pair
 tables are corpus-sized and joined by shuffle (AQE turns any of them into a
 broadcast only after measuring it small, and splits skewed keys). The
-one-row totals are attached by broadcast.
+one-row totals are attached by broadcast. The marginals and the kept
+vocabulary are aggregates; they are written first, as Spark could not split a
+frequent verb or word in a join with an aggregate.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ from ..constants import PPMI_LOG_FORMAT, SCORE_FLAG, ZERO_SCORE_FLAG
 from ..functions import assoc
 from ..operators.counting import triple_totals, word_role_marginals
 from ..operators.ranking import with_scalars
+from ..session import written
 
 
 def components(items_wide: DataFrame) -> DataFrame:
@@ -64,7 +67,7 @@ def ppmi_syntax(items_wide: DataFrame, triples: DataFrame, smooth: bool = True)
 
 
 def syntax_stats(items_wide: DataFrame, triples: DataFrame) -> DataFrame:
-    marg = word_role_marginals(triples)
+    marg = written(word_role_marginals(triples), "marginals")
     tot = triple_totals(triples).withColumnRenamed("v", "v_total")
     t = triples.select(F.col("head").alias("v"), F.col("dep").alias("arg"), "role", F.col("freq").alias("ab"))
     ma = marg.select(F.col("w").alias("arg"), "role", F.col("f").alias("a"))
@@ -121,7 +124,7 @@ def pairs_in_vocab(pairs: DataFrame, lemmas: DataFrame, vocab: DataFrame) -> Dat
     """A pair is kept only if each word is in the lemma table and in
     the item vocabulary. One semi join per side against the (small)
     intersection of both word sets."""
-    keep = lemmas.select("word").join(vocab, "word", "left_semi")
+    keep = written(lemmas.select("word").join(vocab, "word", "left_semi"), "kept_words")
     for side in ("w1", "w2"):
         pairs = pairs.join(keep.select(F.col("word").alias(side)), side, "left_semi")
     return pairs

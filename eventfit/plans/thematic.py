@@ -41,6 +41,7 @@ from ..operators.counting import attested_args, verb_total
 from ..constants import (FILLER_FORMAT, OP_FALLBACK, OP_NO_FILLERS, OP_ONE_LIST, OP_UPDATE, TF_CENTROID_SIZE,
                          TF_LIST_LENGTH, TF_UPDATE, TF_WEIGHT)
 from ..operators.ranking import rank_within, rank_within_spread, with_scalars
+from ..session import written
 
 UPDATE, ONE_LIST, NO_FILLERS, FALLBACK = OP_UPDATE, OP_ONE_LIST, OP_NO_FILLERS, OP_FALLBACK
 
@@ -89,16 +90,21 @@ def key_contexts(keys: DataFrame) -> DataFrame:
                     tx.item_string(F.col("s.lemma"), F.col("s.pos"), F.col("s.role")).alias("w")))
 
 
+def _attested(bigrams: DataFrame) -> DataFrame:
+    """Written, so that a frequent context can be split in the joins with it."""
+    return written(attested_args(bigrams), "attested_args")
+
+
 def attested_contexts(keys: DataFrame, bigrams: DataFrame) -> DataFrame:
     """J7 + W6: ``(ctx_key, t_role, li, w)`` - contexts seen in the bigram
     table, ``li`` counted over attested contexts only."""
-    att = key_contexts(keys).join(attested_args(bigrams), "w", "left_semi")
+    att = key_contexts(keys).join(_attested(bigrams), "w", "left_semi")
     return rank_within(att, ["ctx_key"], [F.col("ci")], "li").withColumn("li", F.col("li") - 1).drop("ci")
 
 
 def unattested_contexts(keys: DataFrame, bigrams: DataFrame) -> DataFrame:
     """J8."""
-    return key_contexts(keys).join(attested_args(bigrams), "w", "left_anti")
+    return key_contexts(keys).join(_attested(bigrams), "w", "left_anti")
 
 
 # ----------------------------------------------------------------- lists

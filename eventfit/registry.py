@@ -432,7 +432,7 @@ def _plan(spark, sf_dir, kind):
 
 
 def _token_scores(spark, sf_dir, kind):
-    return lm.score_plan(_plan(spark, sf_dir, kind), _feats(spark, sf_dir))
+    return lm.token_scores(_feats(spark, sf_dir), kind)
 
 
 @query("word_groups_prefix")
@@ -551,7 +551,7 @@ def q_surprisal_report(spark, sf_dir):
 
 @query("score_with_udf")
 def q_score_with_udf(spark, sf_dir):
-    out = lm.score_with_udf(_plan(spark, sf_dir, "plain"), _feats(spark, sf_dir))
+    out = lm.score_with_udf(lm.sentence_features(_feats(spark, sf_dir)))
     return out.select("sent_id", "target_pos", F.round("logprob", 6).alias("logprob"))
 
 
@@ -565,22 +565,21 @@ def q_dedupe_last(spark, sf_dir):
     return cat.triples(spark, sf_dir)
 
 
+def _sentence_metrics(spark, sf_dir):
+    """Per sentence and metric: the masked ones from one aggregate, and the causal one."""
+    s = cat.lm_sents(spark, sf_dir)
+    masked = lm.sentence_score_columns(s, _feats(spark, sf_dir), {"sentence-PLL": "adapted", "sentence-l2r-PLL": "l2r"})
+    return masked, lm.causal_scores(s, *_model(spark, sf_dir)).withColumn("metric", F.lit("sentence-LL"))
+
+
 @query("score_fanout")
 def q_score_fanout(spark, sf_dir):
     """Every sentence under every metric and normalisation as one long
     table (an unpivot of per-sentence score columns - no cross join)."""
-    s = cat.lm_sents(spark, sf_dir)
-    parts = []
-    for metric, df in (("sentence-PLL", lm.sentence_scores(s, _token_scores(spark, sf_dir, "adapted"))),
-                       ("sentence-l2r-PLL", lm.sentence_scores(s, _token_scores(spark, sf_dir, "l2r"))),
-                       ("sentence-LL", lm.causal_scores(s, *_model(spark, sf_dir)))):
-        parts.append(df.select("sent_id", F.lit(metric).alias("metric"), F.expr(
-            "stack(3, '', score, 'average_byNrTokens', score_by_tokens, "
-            "'average_byNrWords', score_by_words) AS (norm, score)")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    masked, causal = _sentence_metrics(spark, sf_dir)
+    return masked.unionByName(causal).select("sent_id", "metric", F.expr(
+        "stack(3, '', score, 'average_byNrTokens', score_by_tokens, "
+        "'average_byNrWords', score_by_words) AS (norm, score)"))
 
 
 # ------------------------------------------------------ sources and sinks
@@ -735,20 +734,11 @@ def q_join_original(spark, sf_dir):
 
 
 def _score_matrix(spark, sf_dir):
-    s = cat.lm_sents(spark, sf_dir)
-    parts = []
-    for metric, df in (("sentence-PLL", lm.sentence_scores(s, _token_scores(spark, sf_dir, "adapted"))),
-                       ("sentence-l2r-PLL", lm.sentence_scores(s, _token_scores(spark, sf_dir, "l2r"))),
-                       ("sentence-LL", lm.causal_scores(s, *_model(spark, sf_dir)))):
-        parts.append(df.select(F.lit("sents").alias("dataset"), F.lit("bigram").alias("model"),
-                               F.lit(metric).alias("metric"), F.col("sent_id").alias("id"), "text",
-                               F.expr("stack(3, 'none', score, 'average_byNrTokens', score_by_tokens, "
-                                      "'average_byNrWords', score_by_words) AS (norm, score)"),
-                               "n_tokens", "n_words"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    masked, causal = _sentence_metrics(spark, sf_dir)
+    return masked.unionByName(causal).select(
+        F.lit("sents").alias("dataset"), F.lit("bigram").alias("model"), "metric", F.col("sent_id").alias("id"), "text",
+        F.expr("stack(3, 'none', score, 'average_byNrTokens', score_by_tokens, "
+               "'average_byNrWords', score_by_words) AS (norm, score)"), "n_tokens", "n_words")
 
 
 @query("report_sentence_scores")

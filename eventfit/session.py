@@ -11,7 +11,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
@@ -71,3 +71,26 @@ def checkpoint_base(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new, unique folder below the shared checkpoint folder."""
     return f"{checkpoint_base(spark).rstrip('/')}/eventfit-scratch/{name}-{uuid.uuid4().hex}"
+
+
+_WRITTEN: dict[str, list[tuple[DataFrame, str]]] = {}
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back.
+
+    AQE splits a skewed join only if both sides come straight from a shuffle;
+    an aggregate, a ``distinct`` or another join on the same key does not.
+    Written first, such a side is a plain scan. A plan already written in this
+    session under this name is read again instead of computed again.
+    """
+    spark = df.sparkSession
+    known = _WRITTEN.setdefault(f"{spark.sparkContext.applicationId}/{name}", [])
+    for plan, path in known:
+        if plan.sameSemantics(df):
+            break
+    else:
+        path = scratch_path(spark, f"written/{name}")
+        df.write.parquet(path)
+        known.append((df, path))
+    return spark.read.schema(df.schema).parquet(path)

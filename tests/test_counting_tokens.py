@@ -150,14 +150,47 @@ def test_length_normalisation_property(spark):
     s = lm.lm_sentences(spark.createDataFrame([(1, "a b a b", 1), (2, "b", 0)], "sent_id long, text string, word_pos int"))
     uni, bi = lm.corpus_piece_counts(spark.createDataFrame([("a b a",), ("b a",)], "text string"))
     feats = lm.token_features(s, uni, bi)
-    plan = lm.mask_plan_for(s, "plain")
-    sc = lm.sentence_scores(s, lm.score_plan(plan, feats))
+    sc = lm.sentence_scores(s, lm.token_scores(feats, "plain"))
     for r in sc.collect():
         assert r.score_by_tokens * r.n_tokens == pytest.approx(r.score, abs=1e-5)
         assert r.score_by_words * r.n_words == pytest.approx(r.score, abs=1e-5)
-    udf = {(r.sent_id, r.target_pos): r.logprob for r in lm.score_with_udf(plan, feats).collect()}
-    jvm = {(r.sent_id, r.target_pos): r.logprob for r in lm.score_plan(plan, feats).collect()}
-    assert udf.keys() == jvm.keys() and all(udf[k] == pytest.approx(jvm[k]) for k in jvm)
+
+
+def test_udf_scores_equal_jvm_scores_under_every_plan(spark):
+    s = lm.lm_sentences(spark.createDataFrame([(1, "abcdefghij ab. abcdef", 1), (2, "b", 0), (3, "", 0)],
+                                              "sent_id long, text string, word_pos int"))
+    uni, bi = lm.corpus_piece_counts(spark.createDataFrame([("abcdefghij ab",), ("b abcdef",)], "text string"))
+    feats = lm.token_features(s, uni, bi)
+    for kind in ("plain", "l2r", "adapted"):
+        jvm = {(r.sent_id, r.target_pos): r.logprob for r in lm.token_scores(feats, kind).collect()}
+        udf = {(r.sent_id, r.target_pos): r.logprob for r in lm.score_with_udf(lm.sentence_features(feats), kind=kind).collect()}
+        assert udf.keys() == jvm.keys() and all(udf[k] == pytest.approx(jvm[k]) for k in jvm)
+
+
+@pytest.mark.parametrize("style", ["prefix", "marker"])
+def test_mask_ranges_agree_in_all_three_forms(spark, style):
+    """Window plan, feature rows and the ranges a user model receives."""
+    pcs = {"prefix": ["##a", "b", "##c", "##d", ".", "#", "e"], "marker": ["a", "b", "\u0120c", "d", ".", "e", "f", "[SEP]"]}[style]
+    s = spark.createDataFrame([(1, pcs), (2, pcs[:1]), (3, [])], "sent_id long, pcs array<string>")
+    n = s.select("sent_id", F.size("pcs").alias("n"))
+    toks = tk.explode_tokens(s, "sent_id", "pcs").join(n, "sent_id")
+    for kind in ("plain", "l2r", "adapted"):
+        want = rows(lm.mask_plan_for(s, kind, style), "sent_id", "target_pos", "mask_to")
+        assert rows(tk.word_ends(toks, style).select("sent_id", "pos", tk.mask_range_end(kind).alias("to")), "sent_id", "pos", "to") == want
+        assert [(i, j + 1, int(e)) for i, p in ((1, pcs), (2, pcs[:1])) for j, e in enumerate(lm.mask_ends(p, kind, style))] == want
+
+
+def test_user_model_sees_whole_sentences(spark):
+    """Batches of one row: a model that needs all pieces of its sentence still gets them, whatever the partitions."""
+    s = spark.range(200).selectExpr("id AS sent_id", "transform(sequence(0, cast(id % 7 as int)), i -> concat('w', id, '_', i)) AS pcs").repartition(4)
+
+    def model(pdf):
+        for sid, p, lo, hi in zip(pdf.sent_id, pdf.pcs, pdf.mask_from, pdf.mask_to, strict=True):
+            assert list(p) == [f"w{sid}_{i}" for i in range(sid % 7 + 1)] and list(lo) == list(range(1, len(p) + 1)) and set(hi) == {len(p)}
+        return [[float(len(p))] * len(p) for p in pdf.pcs]
+
+    got = lm.score_with_udf(s, model, "l2r").collect()
+    assert sorted((r.sent_id, r.target_pos, r.logprob) for r in got) == [(i, j + 1, i % 7 + 1.0) for i in range(200) for j in range(i % 7 + 1)]
 
 
 def test_rank_within_spread_hot_group(spark):
