@@ -120,13 +120,14 @@ def filler_lists(probes: DataFrame, inp: TFInputs, p: TFParams) -> DataFrame:
     """P3 (J5, J6, M6/M9): ``(w, t_role, filler, role, weight)`` for every
     probe ``(w, t_role)``; weights rounded to 9 places so that ties are
     stable across engines."""
+    lp = inp.lemma_pos_freqs
+    # the context's own frequency belongs to the few probes, not to every candidate
+    probes = (probes.withColumn("wk", tx.strip_role(F.col("w")))
+              .join(lp.select(F.col("lemma_pos").alias("wk"), F.col("freq").alias("fw")), "wk").drop("wk"))
     cand = (both_directions(inp.bigrams).join(probes, "w")
             .where(tx.role_of(F.col("o")).startswith(F.col("t_role"))))
-    lp = inp.lemma_pos_freqs
-    cand = (cand.withColumn("wk", tx.strip_role(F.col("w")))
-            .withColumn("filler", tx.strip_role(F.col("o")))
+    cand = (cand.withColumn("filler", tx.strip_role(F.col("o")))
             .withColumn("role", tx.role_of(F.col("o")))
-            .join(lp.select(F.col("lemma_pos").alias("wk"), F.col("freq").alias("fw")), "wk")
             .join(lp.select(F.col("lemma_pos").alias("filler"), F.col("freq").alias("fo")), "filler"))
     cand = with_scalars(cand, verb_total(lp))
     wfn = assoc.by_name(p.weight)
