@@ -11,6 +11,7 @@ turns a document's strongest evidence into its score.
 from __future__ import annotations
 
 import math
+import os
 import re
 import unicodedata
 import zlib
@@ -39,6 +40,8 @@ TERMS, MAX_LABELLED, PRIOR = 1 << 20, 60_000, 6.0
 LEAST_SHARE = 0.15
 LONGEST, REMEMBERED = 40, 400_000
 PREFIXES = (4, 5, 6, 8)
+#: Letters of what is read from a letter inside a run; more than the longest word beginning.
+PIECE = 24
 FEATURES = 4
 NEWTON_STEPS, RIDGE = 10, 1.0
 
@@ -59,6 +62,8 @@ class Restorer:
 
     def __init__(self, costs: np.ndarray):
         self.costs = costs.tolist()
+        # the last two letters change the cost of what follows by at most this
+        self.spread = 2 * float(costs.max()) + 1e-6
         self.folded: dict[str, int] = {}
 
     def _fold(self, c: str) -> int:
@@ -71,11 +76,13 @@ class Restorer:
     def arcs(self, chars: str) -> list[list[tuple[int, str, float]]]:
         """For each place the arcs ``(next place, what is read, cost)``. A blank may be closed."""
         out: list[list[tuple[int, str, float]]] = []
+        ends = list(range(1, len(chars) + 1))
+        for i in range(len(chars) - 2, -1, -1):
+            if chars[i] == chars[i + 1]:
+                ends[i] = ends[i + 1]
         for i, c in enumerate(chars):
             here: list[tuple[int, str, float]] = []
-            end = i + 1
-            while end < len(chars) and chars[end] == c:
-                end += 1
+            end = ends[i]
             if c == " ":
                 here += [(i + 1, " ", 0.0), (i + 1, "", GAP)]
             elif _LETTER.match(c):
@@ -92,12 +99,28 @@ class Restorer:
         return out
 
     def restore(self, chars: str) -> str:
-        """The cheapest reading of ``chars``; of equal ones the first in order."""
-        costs, lattice = self.costs, self.arcs(chars)
-        states: list[dict[tuple[int, int], tuple[float, str]]] = [{} for _ in range(len(chars) + 1)]
-        states[0][0, 0] = (0.0, "")
-        for i, here in enumerate(lattice):
-            for (a, b), (cost, read) in states[i].items():
+        """The cheapest reading of ``chars``, of any length; of equal ones the first in order.
+
+        What all open readings begin with is put aside now and then, and
+        readings that no continuation can make the cheapest are dropped, so
+        the work grows with the length. Neither changes the result.
+        """
+        costs = self.costs
+        states: dict[int, dict[tuple[int, int], tuple[float, str]]] = {0: {(0, 0): (0.0, "")}}
+        agreed = []
+        for i, here in enumerate(self.arcs(chars)):
+            now = states.pop(i, None)
+            if now is None:
+                continue
+            # every way on from here leads through the furthest end
+            meet = max(end for end, _, _ in here)
+            least = min(now.values())[0]
+            if meet in states:
+                least = min(least, min(states[meet].values())[0])
+            least += self.spread
+            for (a, b), (cost, read) in now.items():
+                if cost > least:
+                    continue
                 for end, c, price in here:
                     if not c:
                         key, total, text = (a, b), cost + price, read
@@ -106,10 +129,16 @@ class Restorer:
                     else:
                         x = self._fold(c)
                         key, total, text = (b, x), cost + price + costs[a][b][x], read + c
-                    old = states[end].get(key)
+                    there = states.setdefault(end, {})
+                    old = there.get(key)
                     if old is None or (total, text) < old:
-                        states[end][key] = (total, text)
-        return min((cost + costs[a][b][0], read) for (a, b), (cost, read) in states[-1].items())[1]
+                        there[key] = (total, text)
+            if i % 64 == 63:
+                n = len(start := os.path.commonprefix([read for there in states.values() for _, read in there.values()]))
+                agreed.append(start)
+                states = {end: {key: (cost, read[n:]) for key, (cost, read) in there.items()} for end, there in states.items()}
+        rest = min((cost + costs[a][b][0], read) for (a, b), (cost, read) in states[len(chars)].items())[1]
+        return "".join(agreed) + rest
 
     def word(self, token: str) -> str:
         """A token without its outer marks, restored if it may be disguised."""
@@ -156,8 +185,14 @@ def term_ids(word: str) -> list[int]:
 
 
 def run_words(restored: str) -> list[str]:
-    """Words that a restored run of single letters may hold: its parts, and what starts at each letter of a closed part."""
-    return [part[i:] for part in restored[:200].split() if len(part) >= 3 for i in range(min(len(part) - 2, 60))]
+    """Words that a restored run of single letters may hold: its parts, and what starts at each letter of a closed part.
+
+    Every letter of a run of any length is a start. What starts inside a part
+    is read for ``PIECE`` letters, which hold all word beginnings of
+    ``term_ids``; only whole words of more letters are known by their
+    beginnings alone there.
+    """
+    return [w for part in restored.split() if len(part) >= 3 for w in (part, *(part[i:i + PIECE] for i in range(1, len(part) - 2)))]
 
 
 def _letters_counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,7 +246,7 @@ def _slice_words(part: pa.RecordBatch, restorer: Restorer, known: dict) -> Itera
                 w = known[t] = restorer.word(t)
             out.add(w)
         for r in runs:
-            out.update(run_words(restorer.restore(r) if len(r) <= 400 else r.replace(" ", "")))
+            out.update(run_words(restorer.restore(r)))
         out.discard("")
         yield out
 

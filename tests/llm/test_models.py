@@ -57,6 +57,42 @@ def test_viterbi_equals_enumeration():
         assert r.restore(chars) == brute_restore(r, chars)[1]
 
 
+def test_long_runs_are_read_to_their_end():
+    r = restorer(["idiot", "moron", "stupid", "trash", "the", "of", "committee", "pathetic"] * 50)
+    rng = random.Random(3)
+    beginnings = set(toxicity.term_ids("badword")[1:])
+    for n in (70, 250, 5000):
+        found = {t for w in toxicity.run_words("".join(rng.choice("aeiorstln") for _ in range(n)) + "zzbadword") for t in toxicity.term_ids(w)}
+        assert beginnings <= found and toxicity.term_ids("badword")[0] in found
+    long = " ".join("thecommitteeof" * 40 + "1d10t" + "thecommitteeof" * 40)
+    (run,) = toxicity.split_tokens(long)[1]
+    read = toxicity.run_words(r.restore(run))
+    assert len(run) > 2000 and any(w.startswith("idiot") for w in read)
+    part = toxicity.pa.RecordBatch.from_pydict({"text": [f"so {long} it"]})
+    assert any(w.startswith("idiot") for w in next(toxicity._slice_words(part, r, {})))
+
+
+def test_long_lattices_equal_the_plain_viterbi():
+    def plain(r, chars):
+        states = [{} for _ in range(len(chars) + 1)]
+        states[0][0, 0] = (0.0, "")
+        for i, here in enumerate(r.arcs(chars)):
+            for (a, b), (cost, read) in states[i].items():
+                for end, c, price in here:
+                    x = toxicity.fold(c) if c.strip() else 0
+                    key = (a, b) if not c else (0, 0) if c == " " else (b, x)
+                    new = (cost + price + (r.costs[a][b][x] if c else 0), read + c)
+                    states[end][key] = min(new, states[end].get(key, new))
+        return min((cost + r.costs[a][b][0], read) for (a, b), (cost, read) in states[-1].items())[1]
+
+    r = restorer(["idiot", "tilt", "till", "a", "toot", "stupid"] * 20)
+    rng = random.Random(2)
+    for n in (60, 64, 65, 130, 300, 300, 300):
+        chars = "".join(rng.choice("idot10!*. ls") * rng.choice((1, 1, 1, 2, 9)) for _ in range(n)).strip()
+        assert r.restore(chars) == plain(r, chars)
+    assert len(r.restore("u" * 100_000)) < 100 and r.restore("*" * 100_000).isalpha()
+
+
 def docs_of(spark, rows):
     return spark.createDataFrame(rows, "doc_id long, text string, lang string, score string")
 
