@@ -1,7 +1,7 @@
 """Toxicity scores of texts restored through a noisy channel.
 
-A token that may be disguised (look-alike characters, letters drawn out, or
-spaced apart) becomes a lattice of the letters it may stand for. The Viterbi
+A token that may be disguised (look-alike characters, letters drawn out or
+doubled, spaced apart or with marks between them) becomes a lattice of the letters it may stand for. The Viterbi
 path under a character trigram model, counted over all documents, restores
 it. Words and word beginnings of restored texts get the share of toxic
 documents among the training documents that hold them, and a logistic model
@@ -17,6 +17,7 @@ import unicodedata
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +39,10 @@ LETTERS = 28
 TERMS, MAX_LABELLED, PRIOR = 1 << 20, 60_000, 6.0
 #: Terms whose share can't raise a score are not kept.
 LEAST_SHARE = 0.15
+#: Disguised tokens longer than this are words joined, looked at from each letter and not remembered.
 LONGEST, REMEMBERED = 40, 400_000
+#: Words (by hash) counted less often are unknown; a doubled letter is squeezed into a word this many times as frequent.
+KNOWN, DOUBLED_PLACES = 4, 6
 PREFIXES = (4, 5, 6, 8)
 #: Letters of what is read from a letter inside a run; more than the longest word beginning.
 PIECE = 24
@@ -47,6 +51,8 @@ NEWTON_STEPS, RIDGE = 10, 1.0
 
 _EDGE = re.compile(r"^[^\w$@*!|+(€]+|[^\w$@]+$")
 _ODD = re.compile(r"[0-9@$!|+(*#%€]|([^\W\d_])\1\1")
+_MARKED = re.compile(r"([^\W\d_])([\W_]+)(?=[^\W\d_])")
+_DOUBLED = re.compile(r"([^\W\d_])\1")
 _SHORT_RUN = re.compile(r"(?<!\S)\S{1,2}\s+\S{1,2}\s+\S{1,2}(?!\S)")
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -58,9 +64,13 @@ def fold(c: str) -> int:
 
 
 class Restorer:
-    """Viterbi decoding of character lattices under a trigram model, given as costs ``[a, b, c]``."""
+    """Viterbi decoding of character lattices under a trigram model, given as costs ``[a, b, c]``.
 
-    def __init__(self, costs: np.ndarray):
+    ``words`` are the counts of plain words by ``word_bucket``, if known.
+    """
+
+    def __init__(self, costs: np.ndarray, words: np.ndarray | None = None):
+        self.words = words
         self.costs = costs.tolist()
         # the last two letters change the cost of what follows by at most this
         self.spread = 2 * float(costs.max()) + 1e-6
@@ -145,9 +155,51 @@ class Restorer:
         token = _EDGE.sub("", token)
         if not token or not _LETTER.search(token):
             return ""
-        if len(token) <= LONGEST and _ODD.search(token):
-            return self.restore(token)
-        return token
+        return self.restore(token) if _ODD.search(token) else token
+
+    def readings(self, token: str) -> tuple[str, ...]:
+        """The words that a token may hold.
+
+        Marks between letters and doubled letters also stand in honest words,
+        so there the token as written is kept beside what the lattice reads.
+        """
+        token = _EDGE.sub("", token)
+        if not token or not _LETTER.search(token):
+            return ()
+        if _ODD.search(token):
+            written, read = (), self.restore(token)
+        elif is_marked(token):
+            written, read = (token,), self.restore(token)
+        else:
+            read = self.undoubled(token)
+            return (token, read) if read else (token,)
+        return (*written, read, *(run_words(read) if len(token) > LONGEST else ()))
+
+    def undoubled(self, token: str) -> str:
+        """The most frequent word that a plain token is with letters doubled, or nothing if the token is known well enough itself.
+
+        All ways to squeeze are tried with up to ``DOUBLED_PLACES`` doubled
+        letters; with more, the lattice's reading alone.
+        """
+        if self.words is None or not _DOUBLED.search(token):
+            return ""
+        places = [m.start() for m in _DOUBLED.finditer(token)]
+        maybe = [self.restore(token)]
+        if len(places) <= DOUBLED_PLACES:
+            for k in range(1, len(places) + 1):
+                for out in combinations(places, k):
+                    maybe.append("".join(c for i, c in enumerate(token) if i not in out))
+        n, word = max((int(self.words[word_bucket(w)]), w) for w in maybe if w != token) if maybe != [token] else (0, "")
+        return word if n >= KNOWN * max(1, int(self.words[word_bucket(token)])) else ""
+
+
+def word_bucket(word: str) -> int:
+    return zlib.crc32(word.encode("utf-8", "surrogatepass")) % TERMS
+
+
+def is_marked(token: str) -> bool:
+    """Whether marks stand between letters. Combining marks count after a-z only, as other scripts spell with them."""
+    return any(fold(m[1]) < LETTERS - 1 or any(unicodedata.category(c)[0] != "M" for c in m[2]) for m in _MARKED.finditer(token))
 
 
 def split_tokens(text: str) -> tuple[list[str], list[str]]:
@@ -196,7 +248,7 @@ def run_words(restored: str) -> list[str]:
 
 
 def _letters_counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros(LETTERS**3)
+    counts, held = np.zeros(LETTERS**3), np.zeros(TERMS, np.int64)
     known: dict[str, int] = {}
     for part in slices(batches):
         words = Counter(w for t in part.column("text").to_pylist() if t for w in t.lower().split())
@@ -211,6 +263,7 @@ def _letters_counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         first = np.cumsum(sizes) - sizes
         word = np.repeat(np.arange(len(sizes)), sizes)
         weight = np.fromiter(plain.values(), float, len(plain))[word]
+        np.add.at(held, np.fromiter(map(word_bucket, plain), np.int64, len(plain)), np.fromiter(plain.values(), np.int64, len(plain)))
         at = np.arange(len(code)) - first[word]
         use = np.flatnonzero(at >= 2)
         counts += np.bincount((code[use - 2] * LETTERS + code[use - 1]) * LETTERS + code[use], weights=weight[use], minlength=LETTERS**3)
@@ -218,47 +271,57 @@ def _letters_counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             known = {}
     hit = np.flatnonzero(counts)
     yield pa.RecordBatch.from_arrays([pa.array(hit, pa.int64()), pa.array(counts[hit].astype(np.int64))], names=["code", "n"])
+    # words by hash follow the letters
+    hit = np.flatnonzero(held)
+    yield pa.RecordBatch.from_arrays([pa.array(hit + LETTERS**3, pa.int64()), pa.array(held[hit], pa.int64())], names=["code", "n"])
+
 
+def letter_model(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Costs of the trigram model and counts of known words by hash, counted over all texts.
 
-def letter_costs(docs: DataFrame) -> np.ndarray:
-    """Costs of the trigram model, counted over all texts; at most ``LETTERS**3`` counts reach the driver."""
-    rows = docs.select("text").mapInArrow(_letters_counter, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros(LETTERS**3)
-    counts[rows["code"].to_numpy(dtype=np.int64)] = rows["n"].to_numpy(dtype=float)
-    tri = counts.reshape(LETTERS, LETTERS, LETTERS)
+    At most ``LETTERS**3 + TERMS`` counts reach the driver.
+    """
+    rows = (docs.select("text").mapInArrow(_letters_counter, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+            .where(f"code < {LETTERS**3} or n >= {KNOWN}")).toArrow()
+    counts = np.zeros(LETTERS**3 + TERMS)
+    counts[rows.column("code").to_numpy()] = rows.column("n").to_numpy()
+    words = counts[LETTERS**3:].astype(np.int64)
+    tri = counts[:LETTERS**3].reshape(LETTERS, LETTERS, LETTERS)
     bi, uni = tri.sum(axis=0), tri.sum(axis=(0, 1))
     p1 = (uni + 1) / (uni.sum() + LETTERS)
     p2 = (bi + 20 * p1) / (bi.sum(axis=1, keepdims=True) + 20)
     p3 = (tri + 20 * p2) / (tri.sum(axis=2, keepdims=True) + 20)
-    return -np.log(p3)
+    return -np.log(p3), words
 
 
 def _slice_words(part: pa.RecordBatch, restorer: Restorer, known: dict) -> Iterator[set]:
     """For each text of a slice the set of its distinct restored words."""
-    if len(known) > REMEMBERED:
-        known.clear()
     for text in part.column("text").to_pylist():
+        if len(known) > REMEMBERED:
+            known.clear()
         tokens, runs = split_tokens(text or "")
         out = set()
         for t in set(tokens):
             w = known.get(t)
             if w is None:
-                w = known[t] = restorer.word(t)
-            out.add(w)
+                w = restorer.readings(t)
+                if len(t) <= LONGEST:
+                    known[t] = w
+            out.update(w)
         for r in runs:
             out.update(run_words(restorer.restore(r)))
         out.discard("")
         yield out
 
 
-def _term_counter(costs):
+def _term_counter(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restorer, known, ids = Restorer(costs.value), {}, {}
+        restorer, known, ids = Restorer(*model.value), {}, {}
         toxic, held = np.zeros(TERMS, np.int32), np.zeros(TERMS, np.int32)
         for part in slices(batches):
-            if len(ids) > REMEMBERED:
-                ids.clear()
             for words, y in zip(_slice_words(part, restorer, known), part.column("y").to_pylist(), strict=True):
+                if len(ids) > REMEMBERED:
+                    ids.clear()
                 terms = set()
                 for w in words:
                     t = ids.get(w)
@@ -275,10 +338,10 @@ def _term_counter(costs):
     return run
 
 
-def _evidence(costs, table):
+def _evidence(model, table):
     """Features of each text; a training row (``y`` not null) is left out of the shares it is judged by."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restorer, known = Restorer(costs.value), {}
+        restorer, known = Restorer(*model.value), {}
         shares: dict = {None: {}, 0: {}, 1: {}}  # of words, by the label that is left out
         evidence, base = table.value
         schema = pa.schema([("doc_id", pa.int64()), ("y", pa.int32()), *((f"x{i}", pa.float64()) for i in range(FEATURES))])
@@ -294,12 +357,11 @@ def _evidence(costs, table):
             return top
 
         for part in slices(batches):
-            for s in shares.values():
-                if len(s) > REMEMBERED:
-                    s.clear()
             rows = []
             for words, y in zip(_slice_words(part, restorer, known), part.column("y").to_pylist(), strict=True):
                 mine = shares[y]
+                if len(mine) > REMEMBERED:
+                    mine.clear()
                 for w in (w for w in words if w not in mine):
                     mine[w] = best(w, y)
                 got = sorted((s for s in map(mine.__getitem__, words) if s > base), reverse=True)
@@ -351,11 +413,11 @@ def score_documents(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    costs = spark.sparkContext.broadcast(letter_costs(docs))
+    model = spark.sparkContext.broadcast(letter_model(docs))
     train = labelled(docs, labels, "toxic", max_labelled)
     base_row = train.agg(F.avg("y").alias("p")).first()
     base = min(max(base_row["p"] or 0.01, 0.001), 0.9)
-    counts = (train.select("text", "y").mapInArrow(_term_counter(costs), "term long, toxic long, held long")
+    counts = (train.select("text", "y").mapInArrow(_term_counter(model), "term long, toxic long, held long")
               .groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("held").alias("held"))
               .where(f"held >= 2 and (toxic + {PRIOR * base}) / (held + {PRIOR}) >= {LEAST_SHARE}")).toPandas()
     # at most TERMS entries, whatever the number of documents
@@ -363,12 +425,12 @@ def score_documents(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_
     table = spark.sparkContext.broadcast((evidence, base))
     xs = [f"x{i}" for i in range(FEATURES)]
     trained = settle(train.select("doc_id", "text", F.col("y").cast("int").alias("y"))
-                      .mapInArrow(_evidence(costs, table), _EVIDENCE_SCHEMA), "toxicity_training")
+                      .mapInArrow(_evidence(model, table), _EVIDENCE_SCHEMA), "toxicity_training")
     w = fit_logistic(trained, xs, base)
     z = F.lit(float(w[0]))
     for a, x in zip(w[1:], xs, strict=True):
         z = z + F.lit(float(a)) * F.col(x)
-    rows = docs.select("doc_id", "text", F.lit(None).cast("int").alias("y")).mapInArrow(_evidence(costs, table), _EVIDENCE_SCHEMA)
+    rows = docs.select("doc_id", "text", F.lit(None).cast("int").alias("y")).mapInArrow(_evidence(model, table), _EVIDENCE_SCHEMA)
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
     out = rows.select("doc_id", held_out.alias("held_out"), (1 / (1 + F.exp(-z))).alias("score"))
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

@@ -72,6 +72,25 @@ def test_long_runs_are_read_to_their_end():
     assert any(w.startswith("idiot") for w in next(toxicity._slice_words(part, r, {})))
 
 
+def test_marked_doubled_and_long_tokens_are_restored():
+    r = restorer(["idiot", "moron", "stupid", "trash", "the", "of", "committee", "pathetic"] * 50)
+    words = np.zeros(toxicity.TERMS, np.int64)
+    for w, n in (("idiot", 50), ("stupid", 50), ("committee", 50), ("comite", 90), ("asshole", 50), ("idiiot", 2)):
+        words[toxicity.word_bucket(w)] = n
+    r = toxicity.Restorer(np.array(r.costs), words)
+
+    def found(text):
+        return next(toxicity._slice_words(toxicity.pa.RecordBatch.from_pydict({"text": [text]}), r, {}))
+
+    for seen in ("s.t.u.p.i.d", "s-t-u-p-i-d", "s_t_u_p_i_d", "stu-pid", "stuupid", "ssttupidd", "st" + "u" * 40 + "pid", "s\u0336tupid", "s.t.u.p.1.d"):
+        assert "stupid" in found(f"so {seen}, then"), seen
+    assert {"idiiot", "idiot"} <= found("idiiot") and "asshole" in found("aasshoole")
+    assert found("committee") == {"committee"}
+    joined = "th3c0mm1tt33" * 5 + "1d10t" + "th3c0mm1tt33" * 5
+    assert any(w.startswith("idiot") for w in found(joined))
+    assert not toxicity.is_marked("हिन्दी") and toxicity.is_marked("well-known")
+
+
 def test_long_lattices_equal_the_plain_viterbi():
     def plain(r, chars):
         states = [{} for _ in range(len(chars) + 1)]
