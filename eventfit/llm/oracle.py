@@ -61,7 +61,7 @@ rep as (select doc_id, i from (select doc_id, i, count(*) over (partition by doc
 covered as (select doc_id, count(*) as n from (select distinct doc_id, i + unnest(generate_series(0, 7)) as j from rep) group by doc_id),
 lines as (
   select doc_id, count(*) as n_lines, count(*) - count(distinct line) as dup
-  from (select doc_id, unnest(string_split(t, chr(10))) as line from w) where regexp_matches(line, '[^\\x20\\x09-\\x0D]') group by doc_id),
+  from (select doc_id, unnest(string_split(t, chr(10))) as line from w) where regexp_matches(line, '[^\x20\x09-\x0D]') group by doc_id),
 counts as (
   select w.doc_id, lang, source, len(ws)::bigint as n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::bigint as word_chars,
     length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols, coalesce(lines.dup, 0)::bigint as n_dup_lines,
@@ -86,7 +86,7 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 OP4 = f"""
 with recursive w as (
-  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as ws from documents),
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws from documents),
 s as (
   select distinct doc_id, sh from (
     select doc_id, list_slice(ws, i, i + 4) as sh from (select doc_id, ws, unnest(generate_series(1, greatest(len(ws) - 4, 1))) as i from w where len(ws) > 0))),
@@ -125,9 +125,41 @@ select d.doc_id, coalesce(n_assign, 0)::bigint as n_assign, coalesce(n_access, 0
 from d left join joined on joined.doc_id = d.doc_id
 """
 
+OP12 = r"""
+with d as (select doc_id, coalesce(lang, '') as part, coalesce(text, '') as t from documents),
+w as (select *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') as words from d),
+f as (
+  select doc_id, part, case when len(words) < 200 then 'A' else '' end || case when 100 * len(list_distinct(words)) < 50 * len(words) then 'B' else '' end
+    || case when 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t) then 'C' else '' end
+    || case when regexp_matches(t, '[#$%&*|]') then 'D' else '' end
+    || case when doc_id > min(doc_id) over (partition by t) then 'E' else '' end as fails
+  from w),
+l as (select doc_id, max(case when quality = 1 then 1 else 0 end) as good, max(case when toxic = 1 then 1 else 0 end) as toxic from labels group by doc_id),
+cells as (
+  select part, fails, count(*) as n, sum(coalesce(good, 0)) as good, sum(coalesce(toxic, 0)) as toxic
+  from f left join l on l.doc_id = f.doc_id group by part, fails),
+x as (select unnest(['A', 'B', 'C', 'D', 'E']) as l),
+orders as (
+  select a.l || b.l || c.l || d.l || e.l as o from x a join x b on b.l <> a.l join x c on c.l not in (a.l, b.l)
+    join x d on d.l not in (a.l, b.l, c.l) join x e on e.l not in (a.l, b.l, c.l, d.l)),
+steps as (select o, s, substr(o, s, 1) as own, substr(o, 1, s - 1) as before from orders, (select unnest(range(1, 6)) as s)),
+seen as (
+  select part, o, s, own, n, good, toxic, fails, contains(fails, own) as failing, translate(fails, before, '') = fails as there from steps, cells),
+summed as (
+  select part, o as filter_order, s::int as step, own, sum(case when there and not failing then n else 0 end) as kept,
+    sum(case when there and failing then n else 0 end) as removed, sum(case when failing and not there then n else 0 end) as redundant,
+    sum(case when fails = own then n else 0 end) as unique_fails, sum(case when there and failing then good else 0 end) as good_lost,
+    sum(case when there and failing then toxic else 0 end) as toxic_lost
+  from seen group by all)
+select part, filter_order, step, kept::bigint as kept, removed::bigint as removed, redundant::bigint as redundant, unique_fails::bigint as unique_fails,
+  good_lost::bigint as good_lost, toxic_lost::bigint as toxic_lost, (sum(removed) over (partition by part, own))::bigint as shapley
+from summed
+"""
+
 ORACLE: dict[str, str] = {
     "op1_embedding_near_dedup": OP1,
     "op2_quality_rules": OP2,
     "op4_minhash_near_dedup": OP4,
     "op8_secret_scan": OP8,
+    "op12_filter_audit": OP12,
 }

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import near_embeddings, nbest, packing, quality_model, quality_rules, secret_scan, sharding, superminhash, token_count, toxicity
+from . import (byte_bpe, filter_audit, near_embeddings, nbest, packing, quality_model, quality_rules, secret_scan, sharding, superminhash, token_alignment,
+               token_count, toxicity)
 
 PIECE_MODEL = "piece_bpe_32k.model"
 BYTE_MODEL = "byte_bpe_50k.json"
@@ -77,6 +78,24 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.score_documents(_docs(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align_documents(_docs(spark, sf_dir), public_tokenizers.path(BYTE_MODEL), public_tokenizers.path(PIECE_MODEL))
+
+
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_filters(_docs(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document digests of its ids and of the text that they decode to."""
+    file = public_tokenizers.path(BYTE_MODEL)
+    back = byte_bpe.decode_documents(byte_bpe.encode_documents(_docs(spark, sf_dir), file), file)
+    return back.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")).cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_near_dedup": op1,
     "op2_quality_rules": op2,
@@ -88,4 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scan": op8,
     "op9_token_counts": op9,
     "op10_quality_classifier": op10,
+    "op11_token_alignment": op11,
+    "op12_filter_audit": op12,
+    "op13_byte_bpe": op13,
 }

@@ -18,7 +18,7 @@ def test_queries_are_registered():
 @pytest.mark.parametrize("key", sorted(ORACLE))
 def test_query_equals_sql(spark, key):
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "labels"):
         con.execute(f"create view {t} as select * from read_parquet('{SF}/{t}.parquet')")
     df = QUERIES[key](spark, SF)
     cols = sorted(df.columns)
