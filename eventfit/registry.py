@@ -18,6 +18,7 @@ from .operators.ranking import with_scalars
 from .plans import lmscore as lm
 from .plans import ppmi
 from .plans import reports as rp
+from .plans import sweep
 from .plans import thematic as tf
 from .session import scratch_path
 from .sources import catalog as cat
@@ -270,9 +271,7 @@ TF_SWEEP = [tf.TFParams(list_length=8, n_centroid=5, update="prod"),
 
 
 def tf_inputs(spark, sf_dir) -> tf.TFInputs:
-    bg = cat.bigrams(spark, sf_dir)
-    return tf.TFInputs(cat.items_wide(spark, sf_dir), bg, cat.lemma_pos_freqs(spark, sf_dir),
-                       cat.vectors(spark, sf_dir))
+    return cat.tf_inputs(spark, sf_dir)
 
 
 def _protos(spark, sf_dir, p=TF_PARAMS):
@@ -284,8 +283,9 @@ def _tfmodel(spark, sf_dir, p=TF_PARAMS):
     """Prototypes read from the written thematic-fit model (the operation
     and chosen fillers per context key)."""
     inp = tf_inputs(spark, sf_dir)
-    ops, chosen = cat.tf_model(spark, sf_dir, p)
-    return inp, tf.with_model(inp, p, cat.tf_lists(spark, sf_dir, p.weight), ops, chosen)
+    model = cat.tf_model(spark, sf_dir, p)
+    chosen = model.select("ctx_key", F.inline("chosen"))
+    return inp, tf.with_model(inp, p, cat.tf_lists(spark, sf_dir, p.weight), model.select("ctx_key", "operation", "nl", "n_in_space"), chosen)
 
 
 @query("attested_contexts")
@@ -316,8 +316,8 @@ def q_filler_rank(spark, sf_dir):
 
 @query("filler_top_n")
 def q_filler_top_n(spark, sf_dir):
-    _, pr = _protos(spark, sf_dir)
-    return tf.top_n_dict(pr.lists, TF_PARAMS.list_length)
+    """W2 + W3 from the impact-ordered blocks (best fillers by threshold)."""
+    return sweep.dictionaries(cat.tf_ranked(spark, sf_dir, TF_PARAMS.weight), [TF_PARAMS]).select("w", "t_role", "filler", "weight")
 
 
 @query("filler_intersection")
@@ -373,24 +373,18 @@ def q_cosine_pairs(spark, sf_dir):
 
 @query("tf_score")
 def q_tf_score(spark, sf_dir):
-    inp, pr = _tfmodel(spark, sf_dir)
-    return tf.tf_scores(inp, TF_PARAMS, pr)
+    items = tf.item_keys(cat.items_wide(spark, sf_dir))
+    return sweep.scores(items, cat.tf_model(spark, sf_dir, TF_PARAMS), cat.vectors(spark, sf_dir)).select("item_id", "score")
 
 
 @query("tf_param_sweep")
 def q_tf_param_sweep(spark, sf_dir):
-    """The ranked filler lists do not depend on N, M or the update
-    function, so they are computed once (checkpointed into the shared
-    folder) and every parameter set reuses them."""
-    inp = tf_inputs(spark, sf_dir)
-    lists = cat.tf_lists(spark, sf_dir, TF_PARAMS.weight)
-    out = None
-    for p in TF_SWEEP:
-        s = tf.tf_scores(inp, p, tf.prototypes(inp, p, lists)).select(
-            "item_id", F.lit(p.list_length).alias("list_length"), F.lit(p.n_centroid).alias("n_centroid"),
-            F.lit(p.update).alias("update_fn"), "score")
-        out = s if out is None else out.unionByName(s)
-    return out
+    """Every setting from prefixes of the same ranked arrays, in one pass."""
+    items = tf.item_keys(cat.items_wide(spark, sf_dir))
+    model = cat.tf_models(spark, sf_dir, TF_SWEEP)
+    cols = {k: F.element_at(F.array(*[F.lit(getattr(p, a)) for p in TF_SWEEP]), F.col("setting") + 1)
+            for k, a in (("list_length", "list_length"), ("n_centroid", "n_centroid"), ("update_fn", "update"))}
+    return sweep.scores(items, model, cat.vectors(spark, sf_dir)).select("item_id", *[c.alias(k) for k, c in cols.items()], "score")
 
 
 @query("explain_prototype")

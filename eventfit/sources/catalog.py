@@ -15,8 +15,9 @@ from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..constants import LEMMA_MIN_FREQ, PAIR_MIN_FREQ, TRIPLE_MIN_FREQ
+from ..constants import LEMMA_MIN_FREQ, PAIR_MIN_FREQ, TF_CENTROID_SIZE, TF_LIST_LENGTH, TRIPLE_MIN_FREQ
 from ..constants import PAIR_WINDOW as PAIR_WINDOW_
 from ..operators import counting as cnt
 from ..session import scratch_path
@@ -102,21 +103,63 @@ lm_sents = _table("lm_sents", _lm_sents("prefix"))
 lm_sents_marker = _table("lm_sents_marker", _lm_sents("marker"))
 
 
+def _tf_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..plans import sweep
+    from ..plans import thematic as tf
+    keys = tf.distinct_keys(tf.item_keys(items_wide(spark, sf_dir)))
+    return sweep.key_table(keys, tf.attested_contexts(keys, bigrams(spark, sf_dir)))
+
+
+def tf_inputs(spark: SparkSession, sf_dir: str):
+    from ..plans import thematic as tf
+    return tf.TFInputs(items_wide(spark, sf_dir), bigrams(spark, sf_dir), lemma_pos_freqs(spark, sf_dir), vectors(spark, sf_dir))
+
+
+#: Context keys with their attested contexts; the probes and every model read it.
+tf_keys = _table("tf_keys", _tf_keys)
+
+
+def tf_probes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tf_keys(spark, sf_dir).select("t_role", F.explode("ws").alias("w")).distinct()
+
+
 def tf_lists(spark: SparkSession, sf_dir: str, weight: str = "lmi") -> DataFrame:
     """P3 output for every probe (attested context, target role) of the
-    items: ``(w, t_role, filler, role, weight)``. It does not depend on N, M
-    or the update function, so every thematic-fit query and parameter
-    setting reads the same written table."""
+    items: ``(w, t_role, filler, role, weight)``, whole lists."""
     def build() -> DataFrame:
         from ..plans import thematic as tf
-        inp = tf.TFInputs(items_wide(spark, sf_dir), bigrams(spark, sf_dir), lemma_pos_freqs(spark, sf_dir),
-                          vectors(spark, sf_dir))
-        keys = tf.distinct_keys(tf.item_keys(inp.items_wide))
-        att = tf.attested_contexts(keys, inp.bigrams)
-        return tf.filler_lists(att.select("w", "t_role").distinct(), inp, tf.TFParams(weight=weight))
+        return tf.filler_lists(tf_probes(spark, sf_dir), tf_inputs(spark, sf_dir), tf.TFParams(weight=weight))
     return materialized(spark, sf_dir, f"tf_lists_{weight}", build)
 
 
+def _tf_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..plans import fillers
+    from ..plans import thematic as tf
+    return fillers.candidate_index(bigrams(spark, sf_dir), lemma_pos_freqs(spark, sf_dir), tf.vector_words(vectors(spark, sf_dir)),
+                                   lambda c: tf.filler_vkey(c, False))[0]
+
+
+def _tf_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..plans import fillers as fl
+    return fl.block_headers(tf_index(spark, sf_dir))
+
+
+tf_index = _table("tf_index", _tf_index)
+tf_headers = _table("tf_headers", _tf_headers)
+
+
+def tf_ranked(spark: SparkSession, sf_dir: str, weight: str = "lmi", n: int = TF_LIST_LENGTH, m: int = TF_CENTROID_SIZE) -> DataFrame:
+    """The best ``n`` fillers of every probe and the best ``m`` with a vector,
+    as ranked arrays (``plans.fillers``). Every setting up to these sizes reads
+    prefixes of them."""
+    def build() -> DataFrame:
+        from ..plans import fillers as fl
+        best, _ = fl.best_fillers(tf_index(spark, sf_dir), tf_headers(spark, sf_dir), tf_probes(spark, sf_dir),
+                                  lemma_pos_freqs(spark, sf_dir), weight, n, m)
+        return fl.ranked_arrays(best)
+    return materialized(spark, sf_dir, f"tf_ranked_{weight}_{n}_{m}", build)
+
+
 def _lm_feats(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..plans.lmscore import token_features
     return token_features(lm_sents(spark, sf_dir), piece_unigrams(spark, sf_dir), piece_bigrams(spark, sf_dir))
@@ -129,29 +172,23 @@ def prepare(spark: SparkSession, sf_dir: str, threads: int = 4) -> None:
     """Build every shared table, independent ones as concurrent Spark jobs
     (many of the builds are short jobs whose latency then overlaps)."""
     getters = [toks, piece_unigrams, items_wide, bigrams, triples, sents, vectors, lemma_pos_freqs, lemmas,
-               pairs, lm_sents, lm_feats, tf_lists]
+               pairs, lm_sents, lm_feats, tf_lists, tf_ranked]
     with ThreadPoolExecutor(max_workers=threads) as ex:
         for f in [ex.submit(g, spark, sf_dir) for g in getters]:
             f.result()
 
 
-def tf_model(spark: SparkSession, sf_dir: str, params) -> tuple[DataFrame, DataFrame]:
+def tf_models(spark: SparkSession, sf_dir: str, params) -> DataFrame:
+    """The thematic-fit models of several settings of one weight function, from one pass (``plans.sweep``)."""
+    from ..plans import sweep
+    weight, = {p.weight for p in params}
+    n, m = max(TF_LIST_LENGTH, *(p.list_length for p in params)), max(TF_CENTROID_SIZE, *(p.n_centroid for p in params))
+    return sweep.models(tf_keys(spark, sf_dir), tf_ranked(spark, sf_dir, weight, n, m), params)
+
+
+def tf_model(spark: SparkSession, sf_dir: str, params) -> DataFrame:
     """The thematic-fit model of the items for one parameter set, written
-    once: ``(ops, chosen)`` - the operation per context key and the chosen
-    prototype fillers. Scores, filler reports, centroids and the combined
-    score all read it."""
-    from ..plans import thematic as tf
-    sig = (f"{params.list_length}_{params.n_centroid}_{params.weight}_{params.update}_"
-           f"{int(params.with_pos)}_{params.fallback}")
-    inp = tf.TFInputs(items_wide(spark, sf_dir), bigrams(spark, sf_dir), lemma_pos_freqs(spark, sf_dir),
-                      vectors(spark, sf_dir))
-    state: dict = {}
-
-    def pr():
-        if "pr" not in state:
-            state["pr"] = tf.prototypes(inp, params, tf_lists(spark, sf_dir, params.weight))
-        return state["pr"]
-
-    ops = materialized(spark, sf_dir, f"tf_ops_{sig}", lambda: pr().ops)
-    chosen = materialized(spark, sf_dir, f"tf_chosen_{sig}", lambda: pr().chosen)
-    return ops, chosen
+    once: per context key the operation and the chosen prototype fillers.
+    Scores, filler reports, centroids and the combined score all read it."""
+    sig = f"{params.list_length}_{params.n_centroid}_{params.weight}_{params.update}_{int(params.exact_mean)}"
+    return materialized(spark, sf_dir, f"tf_model_{sig}", lambda: tf_models(spark, sf_dir, [params]))
