@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_base
-
 from ..sources.tables import table
+from .pairs import window_pair_counts as window_pair_counts
 
 
 def triple_counts(spark: SparkSession, sf_dir: str, min_freq: int = 0) -> DataFrame:
@@ -92,39 +92,6 @@ def lemma_counts(toks: DataFrame, min_freq: int = 1) -> DataFrame:
             .where(F.col("freq") >= min_freq))
 
 
-def window_pair_counts(toks: DataFrame, vocab: DataFrame | None = None, window: int = 10,
-                       min_freq: int = 1, chunk: int = 1024) -> DataFrame:
-    """Ordered pairs ``(w1, w2)`` with ``w2`` at most ``window`` tokens
-    after ``w1`` in the same document, counted.
-
-    Tokens outside ``vocab`` (e.g. lemmas below the lemma minimum) are
-    dropped *before* the pairs are made, keeping their positions, which is
-    what prunes the quadratic blow-up. Each document is cut into chunks of
-    ``chunk`` positions and every chunk also receives a copy of the first
-    ``window`` positions of the next one, so every pair lies inside one
-    ``(doc_id, chunk)`` group with its left token owned by that chunk. Inside
-    a group (at most ``chunk + window`` tokens, however long the document)
-    ``lead(1..window)`` yields the partners. One shuffle of about
-    ``n * (1 + window / chunk)`` token rows - a third of a self join on
-    buckets - and the count aggregate is partial map-side.
-    """
-    chunk = max(chunk, window)  # a partner must lie in the same or the next chunk
-    t = toks.select("doc_id", "pos", F.col("tok").alias("w"))
-    if vocab is not None:
-        t = t.join(vocab.select(F.col("word").alias("w")), "w", "left_semi")
-    c = F.floor(F.col("pos") / chunk)
-    own = t.select("doc_id", c.alias("chunk"), "pos", "w", F.lit(True).alias("own"))
-    head_of_next = t.where(((F.col("pos") % chunk) < window) & (F.col("pos") >= chunk)).select(
-        "doc_id", (c - 1).alias("chunk"), "pos", "w", F.lit(False).alias("own"))
-    wd = Window.partitionBy("doc_id", "chunk").orderBy("pos")
-    nxt = F.array(*[F.lead(F.struct("pos", "w"), d).over(wd) for d in range(1, window + 1)])
-    pairs = (own.unionByName(head_of_next).select("own", "pos", "w", nxt.alias("nx")).where("own")
-             .select(F.col("pos").alias("p1"), F.col("w").alias("w1"), F.explode("nx").alias("n"))
-             .where(F.col("n").isNotNull() & (F.col("n.pos") - F.col("p1") <= window)))
-    out = pairs.groupBy("w1", F.col("n.w").alias("w2")).agg(F.count(F.lit(1)).cast("double").alias("freq"))
-    return out.where(F.col("freq") >= min_freq)
-
-
 def sentence_index(df: DataFrame, order_cols: list[str], index_col: str = "idx") -> DataFrame:
     """0-based running number over the whole table in ``order_cols``
     order, computed as in ``ranking.dense_index`` (range partitions plus
