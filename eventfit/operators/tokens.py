@@ -172,20 +172,26 @@ def span_score(token_scores: DataFrame, spans: DataFrame, average: bool = True,
     return agg.select(id_col, val.alias("score"))
 
 
-def log_softmax_gather(logits: DataFrame, targets: DataFrame, keys: list[str]) -> DataFrame:
-    """``logit(target) - log sum exp(logit)`` per key, max-shifted.
-
-    ``logits`` is ``(keys..., cand, logit)``, ``targets`` ``(keys...,
-    target)``. The normaliser is summed in two levels: per key and whole part
-    of the logit (shifted by it, so nothing overflows; a hot key is combined
-    inside the map tasks), then over the parts of a key, as many as its logits
-    have whole parts. It is written, so that a hot key can be split in the
-    join. NULL when the target is not a candidate."""
+def log_normaliser(logits: DataFrame, keys: list[str]) -> DataFrame:
+    """``(keys..., _lse)``: ``log sum exp(logit)`` per key, summed in two
+    levels: per key and whole part of the logit (shifted by it, so nothing
+    overflows; a hot key is combined inside the map tasks), then over the parts
+    of a key, as many as its logits have whole parts."""
     parts = (logits.withColumn("_e", F.floor("logit").cast("double")).groupBy(*keys, "_e")
              .agg(F.sum(F.exp(F.col("logit") - F.col("_e"))).alias("_s"))
              .groupBy(*keys).agg(F.max("_e").alias("_m"), F.collect_list(F.struct("_e", "_s")).alias("_p")))
     shifted = F.aggregate("_p", F.lit(0.0), lambda acc, x: acc + x["_s"] * F.exp(x["_e"] - F.col("_m")))
-    lse = written(parts.select(*keys, (F.col("_m") + F.log(shifted)).alias("_lse")), "log_sum_exp")
+    return parts.select(*keys, (F.col("_m") + F.log(shifted)).alias("_lse"))
+
+
+def log_softmax_gather(logits: DataFrame, targets: DataFrame, keys: list[str], normaliser: DataFrame | None = None) -> DataFrame:
+    """``logit(target) - log sum exp(logit)`` per key, max-shifted.
+
+    ``logits`` is ``(keys..., cand, logit)``, ``targets`` ``(keys...,
+    target)``. The normaliser (``log_normaliser``) is written, here or by the
+    caller, so that a hot key can be split in the join. NULL when the target
+    is not a candidate."""
+    lse = written(log_normaliser(logits, keys), "log_sum_exp") if normaliser is None else normaliser
     tl = targets.join(logits.withColumnRenamed("cand", "target"), keys + ["target"], "left")
     return tl.join(lse, keys, "left").select(*keys, "target", (F.col("logit") - F.col("_lse")).alias("logprob"))
 

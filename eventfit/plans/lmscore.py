@@ -22,15 +22,17 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import CONT_PREFIX, UNK_MARK, WORD_MARKER
+from ..constants import UNK_MARK, WORD_MARKER
 from ..functions import text as tx
 from ..operators import tokens as tk
-from ..operators.ranking import with_scalars
+from ..operators.ranking import dense_index, with_scalars
+from ..session import scratch_path
+from .batching import BATCH_TOKENS, corpus_model, runner
+from .batching import mask_ends as mask_ends
 
 BOS = "<s>"
 
@@ -85,31 +87,64 @@ def neighbours(pcs):
                         F.slice(pcs, 2, F.greatest(n - 1, F.lit(0))).alias("nxt"))
 
 
-def token_features(sent: DataFrame, uni: DataFrame, bi: DataFrame, style: str = "prefix") -> DataFrame:
-    """Per sentence piece ``(sent_id, pos, token, n, word_end, left_bi, uni,
-    right_gain)``: natural-log add-one probabilities from the corpus model, and
-    what the mask ranges need (``n``, ``word_end``).
-    Five lookups into the count tables (equi-joins; AQE broadcasts them when
-    it measures them small)."""
+def sentence_tokens(sent: DataFrame) -> DataFrame:
+    """``(sent_id, n, pos, token, prev, nxt)``: every piece with its neighbours; ``nxt`` is '' at the end."""
     t = sent.select("sent_id", F.size("pcs").alias("n"), F.posexplode(neighbours(F.col("pcs"))).alias("p0", "z"))
-    t = t.select("sent_id", "n", (F.col("p0") + 1).alias("pos"), F.col("z.token").alias("token"),
-                 F.col("z.prev").alias("prev"), F.col("z.nxt").alias("nxt"))
-    t = tk.word_ends(t, style)
+    return t.select("sent_id", "n", (F.col("p0") + 1).alias("pos"), F.col("z.token").alias("token"),
+                    F.col("z.prev").alias("prev"), F.coalesce("z.nxt", F.lit("")).alias("nxt"))
+
+
+def context_table(tokens: DataFrame, uni: DataFrame, bi: DataFrame) -> DataFrame:
+    """One row per distinct ``(prev, token, nxt)`` with its natural-log add-one
+    probabilities ``left_bi, uni, right_gain`` and the piece's count.
+
+    Text repeats itself, so there are far fewer of these than tokens. Their
+    pieces are numbered by the unigram table and the bigrams looked up by two
+    integers packed into one; unknown pieces have no number."""
     tot = uni.agg(F.sum("c").alias("n_total"), F.count(F.lit(1)).cast("double").alias("v_size"))
-    u = lambda name: uni.select(F.col("w").alias(name), F.col("c").alias(f"c_{name}"))
-    j = (t.join(u("token"), "token", "left").join(u("prev"), "prev", "left").join(u("nxt"), "nxt", "left")
-         .join(bi.select(F.col("prev"), F.col("w").alias("token"), F.col("c").alias("c_pt")), ["prev", "token"], "left")
-         .join(bi.select(F.col("prev").alias("token"), F.col("w").alias("nxt"), F.col("c").alias("c_tn")),
-               ["token", "nxt"], "left"))
+    ids = written_ids(uni)
+    pack = lambda a, b: F.shiftleft(F.col(a), 32).bitwiseOR(F.col(b))
+    by = lambda name: ids.select(F.col("w").alias(name), F.col("k").alias(f"k_{name}"), F.col("c").alias(f"c_{name}"))
+    pairs = bi.join(by("prev"), "prev").join(ids.select("w", F.col("k").alias("k_w")), "w").select(pack("k_prev", "k_w").alias("pair"), "c")
+    j = tokens.select("prev", "token", "nxt").distinct()
+    for name in ("prev", "token", "nxt"):
+        j = j.join(by(name), name, "left")
+    j = j.withColumns({"left_pair": pack("k_prev", "k_token"), "right_pair": pack("k_token", "k_nxt")})
+    j = j.join(pairs.select(F.col("pair").alias("left_pair"), F.col("c").alias("c_pt")), "left_pair", "left") \
+         .join(pairs.select(F.col("pair").alias("right_pair"), F.col("c").alias("c_tn")), "right_pair", "left")
     j = with_scalars(j, tot)
     z = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     left_bi = F.log((z("c_pt") + 1) / (z("c_prev") + F.col("v_size")))
     unigram = F.log((z("c_token") + 1) / (F.col("n_total") + F.col("v_size")))
-    right = F.when(F.col("nxt").isNotNull(),
-                   F.log((z("c_tn") + 1) / (z("c_token") + F.col("v_size")))
+    right = F.when(F.col("nxt") != "", F.log((z("c_tn") + 1) / (z("c_token") + F.col("v_size")))
                    - F.log((z("c_nxt") + 1) / (F.col("n_total") + F.col("v_size"))))
-    return j.select("sent_id", "pos", "token", "n", "word_end", "prev", "nxt", left_bi.alias("left_bi"),
-                    unigram.alias("uni"), right.alias("right_gain"), z("c_token").alias("c_token"))
+    return j.select("prev", "token", "nxt", left_bi.alias("left_bi"), unigram.alias("uni"), right.alias("right_gain"), z("c_token").alias("c_token"))
+
+
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    path = scratch_path(df.sparkSession, f"lm/{name}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def written_ids(uni: DataFrame) -> DataFrame:
+    """``(w, c, k)``: the pieces of the unigram table with a number each, written."""
+    k = dense_index(uni.select("w"), "w")
+    return _stored(uni.join(k, "w"), "piece_ids")
+
+
+def token_features(sent: DataFrame, uni: DataFrame, bi: DataFrame, style: str = "prefix", contexts: DataFrame | None = None) -> DataFrame:
+    """Per sentence piece ``(sent_id, pos, token, n, word_end, prev, nxt, left_bi,
+    uni, right_gain, c_token)``: log add-one probabilities from the corpus
+    model, and what the mask ranges need (``n``, ``word_end``).
+
+    One join on the token rows, with the (written) table of their distinct
+    contexts, so that a frequent context can be split."""
+    t = sentence_tokens(sent)
+    contexts = _stored(context_table(t, uni, bi), "contexts") if contexts is None else contexts
+    j = tk.word_ends(t.join(contexts, ["prev", "token", "nxt"]), style)
+    return j.select("sent_id", "pos", "token", "n", "word_end", "prev", F.nullif("nxt", F.lit("")).alias("nxt"),
+                    "left_bi", "uni", "right_gain", "c_token")
 
 
 def target_logprob(kind: str) -> F.Column:
@@ -134,57 +169,20 @@ def sentence_features(feats: DataFrame) -> DataFrame:
     return g.select("sent_id", F.col("z.token").alias("pcs"), "z.left_bi", "z.right_gain")
 
 
-def mask_ends(pcs: list[str], kind: str, style: str = "prefix") -> np.ndarray:
-    """Last masked position (1-based) for each piece of a sentence as target."""
-    n = len(pcs)
-    if kind == "plain":
-        return np.arange(1, n + 1)
-    if kind == "l2r":
-        return np.full(n, n)
-    if style == "prefix":
-        start = [not p.startswith(CONT_PREFIX) for p in pcs]
-    else:
-        start = [i == 0 or p in (*tk.SPECIALS, ".") or p.startswith(WORD_MARKER) or pcs[i - 1] == "." for i, p in enumerate(pcs)]
-    at = np.flatnonzero(start)
-    nxt = np.searchsorted(at, np.arange(n), side="right")
-    return np.append(at, n)[nxt]
-
-
-def corpus_model(sentences: pd.DataFrame) -> list[np.ndarray]:
-    """The U2 arithmetic in numpy, as a model for ``score_with_udf``."""
-    out = []
-    for left, right, to in zip(sentences.left_bi, sentences.right_gain, sentences.mask_to, strict=True):
-        gain = np.asarray(right, dtype=np.float64)
-        visible = (np.arange(len(to)) + 2 > to) & ~np.isnan(gain)
-        out.append(np.asarray(left, dtype=np.float64) + np.where(visible, gain, 0.0))
-    return out
-
-
 def score_with_udf(sent: DataFrame, fn: Callable[[pd.DataFrame], list] = corpus_model, kind: str = "plain",
-                   style: str = "prefix") -> DataFrame:
+                   style: str = "prefix", batch_tokens: int = BATCH_TOKENS) -> DataFrame:
     """The batch-inference hook, ``(sent_id, target_pos, logprob)``.
 
     ``sent`` has one row per sentence: ``sent_id``, its pieces ``pcs`` and any
     columns the model wants. ``fn`` receives a batch of them as pandas with
-    ``mask_from`` and ``mask_to`` added (for each piece as target the masked
-    range, 1-based) and returns for each sentence the log-probabilities of
-    its pieces. A sentence is a row, so a model always sees it whole, and
-    nothing is shuffled. Sentences without pieces give no rows."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            pdf = pdf[pdf.pcs.map(lambda p: p is not None and len(p) > 0)].reset_index(drop=True)
-            if not len(pdf):
-                continue
-            n = pdf.pcs.map(len).to_numpy()
-            pdf["mask_from"] = [np.arange(1, k + 1) for k in n]
-            pdf["mask_to"] = [mask_ends(list(p), kind, style) for p in pdf.pcs]
-            scores = fn(pdf)
-            if [len(s) for s in scores] != n.tolist():
-                raise ValueError("the model must return one log-probability per piece")
-            yield pd.DataFrame({"sent_id": np.repeat(pdf.sent_id.to_numpy(), n), "target_pos": np.concatenate(list(pdf.mask_from)),
-                                "logprob": np.concatenate([np.asarray(s, dtype=np.float64) for s in scores])})
-
-    return sent.mapInPandas(run, "sent_id long, target_pos int, logprob double")
+    ``mask_from`` and ``mask_to`` added (for each target asked for the masked
+    range, 1-based) and returns for each row the log-probabilities of its
+    targets. A row always holds its whole sentence. Targets times the longest
+    sentence of a batch are at most ``batch_tokens``; partitions are sorted by
+    length, so that batches need little padding, and nothing is shuffled.
+    Sentences without pieces give no rows."""
+    return sent.sortWithinPartitions(F.size("pcs")).mapInPandas(
+        runner(fn, kind, style, batch_tokens), "sent_id long, target_pos int, logprob double")
 
 
 # ------------------------------------------------------------------ plans
@@ -221,45 +219,37 @@ def sentence_score_columns(sent: DataFrame, feats: DataFrame, kinds: dict[str, s
                     F.round(F.try_divide("s", "n_words"), 6).alias("score_by_words"), "n_tokens", "n_words")
 
 
-def causal_scores(sent: DataFrame, uni: DataFrame, bi: DataFrame, exact: bool = False) -> DataFrame:
+def causal_scores(sent: DataFrame, feats: DataFrame, uni: DataFrame, exact: bool = False) -> DataFrame:
     """A3: sequence ``<s> pieces <s>``; n counts both markers, the mean
     log-probability covers the n-1 predictions; score = mean * n (or the
     exact sum with ``exact=True``), per token = mean, per word = mean * n /
-    words."""
-    seq = F.concat(F.array(F.lit(BOS)), F.col("pcs"), F.array(F.lit(BOS)))
-    pairs = F.arrays_zip(F.slice(seq, 1, F.size("pcs") + 1).alias("prev"),
-                         F.slice(seq, 2, F.size("pcs") + 1).alias("w"))
-    t = sent.select("sent_id", F.explode(pairs).alias("z")).select("sent_id", "z.prev", "z.w")
-    tot = uni.agg(F.sum("c").alias("n_total"), F.count(F.lit(1)).cast("double").alias("v_size"))
-    j = (t.join(bi.withColumnRenamed("c", "c_pw"), ["prev", "w"], "left")
-         .join(uni.select(F.col("w").alias("prev"), F.col("c").alias("c_p")), "prev", "left"))
+    words.
+
+    All predictions but the last are the features' ``left_bi``; the corpus
+    never continues a piece with the marker, so the last one needs only the
+    count of the sentence's last piece. No token row is joined again."""
+    tot = uni.agg(F.count(F.lit(1)).cast("double").alias("v_size"),
+                  F.coalesce(F.max(F.when(F.col("w") == BOS, F.col("c"))), F.lit(0.0)).alias("c_bos"))
+    g = feats.groupBy("sent_id").agg(F.sum("left_bi").alias("s"), F.max_by("c_token", "pos").alias("c_last"))
+    j = sent.select("sent_id", "text", (F.size("pcs") + 2).alias("n_tokens"), "n_words").join(g, "sent_id", "left")
     j = with_scalars(j, tot)
-    lp = F.log((F.coalesce("c_pw", F.lit(0.0)) + 1) / (F.coalesce("c_p", F.lit(0.0)) + F.col("v_size")))
-    agg = j.groupBy("sent_id").agg(F.avg(lp).alias("mean_lp"), F.sum(lp).alias("sum_lp"))
-    s = sent.select("sent_id", "text", (F.size("pcs") + 2).alias("n_tokens"), "n_words").join(agg, "sent_id")
+    total = F.coalesce("s", F.lit(0.0)) - F.log(F.coalesce("c_last", "c_bos") + F.col("v_size"))
+    j = j.withColumns({"sum_lp": total, "mean_lp": total / (F.col("n_tokens") - 1)})
     score = F.col("sum_lp") if exact else F.col("mean_lp") * F.col("n_tokens")
-    return s.select("sent_id", "text", F.round(score, 6).alias("score"),
+    return j.select("sent_id", "text", F.round(score, 6).alias("score"),
                     F.round(F.col("mean_lp"), 6).alias("score_by_tokens"),
                     F.round(F.try_divide(score, F.col("n_words")), 6).alias("score_by_words"),
                     "n_tokens", "n_words")
 
 
-def surprisal_table(sent: DataFrame, uni: DataFrame, bi: DataFrame) -> DataFrame:
+def surprisal_table(feats: DataFrame) -> DataFrame:
     """U2 as a token surprisal file: ``(sentence_id, token_id, token,
     surprisal)`` with ``-log2 p(piece | previous piece)``, 1-based ids;
-    pieces never seen in the corpus are written ``UNK``."""
-    t = sent.select("sent_id", F.posexplode(neighbours(F.col("pcs"))).alias("p0", "z"))
-    t = t.select("sent_id", (F.col("p0") + 1).alias("token_id"), F.col("z.token").alias("w"),
-                 F.col("z.prev").alias("prev"))
-    tot = uni.agg(F.count(F.lit(1)).cast("double").alias("v_size"))
-    j = (t.join(bi.withColumnRenamed("c", "c_pw"), ["prev", "w"], "left")
-         .join(uni.select(F.col("w").alias("prev"), F.col("c").alias("c_p")), "prev", "left")
-         .join(uni.select("w", F.col("c").alias("c_w")), "w", "left"))
-    j = with_scalars(j, tot)
-    p = (F.coalesce("c_pw", F.lit(0.0)) + 1) / (F.coalesce("c_p", F.lit(0.0)) + F.col("v_size"))
-    tok = F.when(F.col("c_w").isNull(), F.lit(UNK_MARK)).otherwise(F.col("w"))
-    return j.select(F.col("sent_id").alias("sentence_id"), F.col("token_id").cast("int").alias("token_id"),
-                    tok.alias("token"), (-F.log2(p)).alias("surprisal"))
+    pieces never seen in the corpus are written ``UNK``. A projection of the
+    features."""
+    tok = F.when(F.col("c_token") == 0, F.lit(UNK_MARK)).otherwise(F.col("token"))
+    return feats.select(F.col("sent_id").alias("sentence_id"), F.col("pos").cast("int").alias("token_id"), tok.alias("token"),
+                        (-F.col("left_bi") / F.log(F.lit(2.0))).alias("surprisal"))
 
 
 def sentence_surprisal(sent: DataFrame, surp: DataFrame) -> DataFrame:

@@ -413,10 +413,6 @@ def q_sdm_combine(spark, sf_dir):
 # ------------------------------------------------------------- LM scores
 
 
-def _model(spark, sf_dir):
-    return cat.piece_unigrams(spark, sf_dir), cat.piece_bigrams(spark, sf_dir)
-
-
 def _feats(spark, sf_dir):
     return cat.lm_feats(spark, sf_dir)
 
@@ -469,14 +465,11 @@ def q_log_softmax_gather(spark, sf_dir):
     """T8 over the corpus model: for every sentence piece, the candidates
     are the corpus continuations of its left neighbour with logit
     ln(count + 1); the piece's log-softmax is gathered (NULL when the
-    corpus never continues the neighbour with it). The normaliser is
-    computed once per distinct neighbour that occurs in the sentences."""
+    corpus never continues the neighbour with it). The normaliser of every
+    piece is one of the written tables."""
     feats = _feats(spark, sf_dir).select("sent_id", "pos", "prev", F.col("token").alias("target"))
-    _, bi = _model(spark, sf_dir)
-    prevs = feats.select("prev").distinct()
-    logits = (bi.join(prevs, "prev", "left_semi")
-              .select("prev", F.col("w").alias("cand"), F.log(F.col("c") + 1).alias("logit")))
-    g = tk.log_softmax_gather(logits, feats.select("prev", "target").distinct(), ["prev"])
+    g = tk.log_softmax_gather(cat.continuation_logits(spark, sf_dir), feats.select("prev", "target").distinct(), ["prev"],
+                              cat.lm_normaliser(spark, sf_dir))
     return (feats.join(g, ["prev", "target"], "left")
             .select("sent_id", "pos", F.round("logprob", 6).alias("logprob")))
 
@@ -512,7 +505,7 @@ def q_pll_adapted(spark, sf_dir):
 
 @query("causal_ll")
 def q_causal_ll(spark, sf_dir):
-    return lm.causal_scores(cat.lm_sents(spark, sf_dir), *_model(spark, sf_dir))
+    return lm.causal_scores(cat.lm_sents(spark, sf_dir), _feats(spark, sf_dir), cat.piece_unigrams(spark, sf_dir))
 
 
 @query("word_score_at")
@@ -527,20 +520,20 @@ def q_word_score_last(spark, sf_dir):
 
 @query("ngram_surprisal")
 def q_ngram_surprisal(spark, sf_dir):
-    surp = lm.surprisal_table(cat.lm_sents(spark, sf_dir), *_model(spark, sf_dir))
+    surp = lm.surprisal_table(_feats(spark, sf_dir))
     return surp.withColumn("surprisal", F.round("surprisal", 6))
 
 
 @query("sentence_surprisal")
 def q_sentence_surprisal(spark, sf_dir):
     s = cat.lm_sents(spark, sf_dir)
-    return lm.sentence_surprisal(s, lm.surprisal_table(s, *_model(spark, sf_dir)))
+    return lm.sentence_surprisal(s, lm.surprisal_table(_feats(spark, sf_dir)))
 
 
 @query("surprisal_report")
 def q_surprisal_report(spark, sf_dir):
     s = cat.lm_sents(spark, sf_dir)
-    return lm.surprisal_report(s, lm.surprisal_table(s, *_model(spark, sf_dir)))
+    return lm.surprisal_report(s, lm.surprisal_table(_feats(spark, sf_dir)))
 
 
 @query("score_with_udf")
@@ -563,7 +556,7 @@ def _sentence_metrics(spark, sf_dir):
     """Per sentence and metric: the masked ones from one aggregate, and the causal one."""
     s = cat.lm_sents(spark, sf_dir)
     masked = lm.sentence_score_columns(s, _feats(spark, sf_dir), {"sentence-PLL": "adapted", "sentence-l2r-PLL": "l2r"})
-    return masked, lm.causal_scores(s, *_model(spark, sf_dir)).withColumn("metric", F.lit("sentence-LL"))
+    return masked, lm.causal_scores(s, _feats(spark, sf_dir), cat.piece_unigrams(spark, sf_dir)).withColumn("metric", F.lit("sentence-LL"))
 
 
 @query("score_fanout")
@@ -690,8 +683,7 @@ def q_src_surprisal(spark, sf_dir):
     """S12 round trip: the U2 surprisal table as TSV with a header plus a
     trailing terminal-escape line, read back typed."""
     path = scratch_path(spark, "src_surprisal")
-    s = cat.lm_sents(spark, sf_dir)
-    surp = lm.surprisal_table(s, *_model(spark, sf_dir))
+    surp = lm.surprisal_table(_feats(spark, sf_dir))
     cols = ["sentence_id", "token_id", "token", "surprisal"]
     rows = surp.select(*[F.col(c).cast("string").alias(c) for c in cols])
     # the terminal escape line the reference's surprisal files end with
@@ -780,7 +772,7 @@ def q_report_surprisal(spark, sf_dir):
     TSV and read back."""
     path = scratch_path(spark, "report_surprisal")
     s = cat.lm_sents(spark, sf_dir)
-    rep = lm.surprisal_report(s, lm.surprisal_table(s, *_model(spark, sf_dir)))
+    rep = lm.surprisal_report(s, lm.surprisal_table(_feats(spark, sf_dir)))
     rep = cnt.sentence_index(rep, ["sent_id"], "idx")
     rp.write_surprisal_report(rep, path)
     c = F.split(F.col("value"), "\t")
@@ -801,13 +793,13 @@ def q_report_sentences(spark, sf_dir):
 def q_unk_flag(spark, sf_dir):
     """F10 on the model's tokens of every sentence."""
     s = cat.lm_sents(spark, sf_dir)
-    rep = lm.surprisal_report(s, lm.surprisal_table(s, *_model(spark, sf_dir)))
+    rep = lm.surprisal_report(s, lm.surprisal_table(_feats(spark, sf_dir)))
     return rep.select("sent_id", "unk")
 
 
 @query("rejoin_tokens")
 def q_rejoin_tokens(spark, sf_dir):
     """the model's tokens of every sentence joined in token order."""
-    surp = lm.surprisal_table(cat.lm_sents(spark, sf_dir), *_model(spark, sf_dir))
+    surp = lm.surprisal_table(_feats(spark, sf_dir))
     return surp.groupBy(F.col("sentence_id").alias("sent_id")).agg(
         tx.rejoin_tokens(F.collect_list(F.struct("token_id", "token"))).alias("sentence"))

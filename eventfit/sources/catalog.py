@@ -160,19 +160,37 @@ def tf_ranked(spark: SparkSession, sf_dir: str, weight: str = "lmi", n: int = TF
     return materialized(spark, sf_dir, f"tf_ranked_{weight}_{n}_{m}", build)
 
 
+def _lm_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..plans import lmscore as lm
+    return lm.context_table(lm.sentence_tokens(lm_sents(spark, sf_dir)), piece_unigrams(spark, sf_dir), piece_bigrams(spark, sf_dir))
+
+
 def _lm_feats(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..plans.lmscore import token_features
-    return token_features(lm_sents(spark, sf_dir), piece_unigrams(spark, sf_dir), piece_bigrams(spark, sf_dir))
+    return token_features(lm_sents(spark, sf_dir), piece_unigrams(spark, sf_dir), piece_bigrams(spark, sf_dir),
+                          contexts=lm_contexts(spark, sf_dir))
+
+
+def _lm_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.tokens import log_normaliser
+    return log_normaliser(continuation_logits(spark, sf_dir), ["prev"])
+
+
+def continuation_logits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(prev, cand, logit)``: the corpus continuations of every piece, logit ln(count + 1)."""
+    return piece_bigrams(spark, sf_dir).select("prev", F.col("w").alias("cand"), F.log(F.col("c") + 1).alias("logit"))
 
 
+lm_contexts = _table("lm_contexts", _lm_contexts)
 lm_feats = _table("lm_feats", _lm_feats)
+lm_normaliser = _table("lm_normaliser", _lm_normaliser)
 
 
 def prepare(spark: SparkSession, sf_dir: str, threads: int = 4) -> None:
     """Build every shared table, independent ones as concurrent Spark jobs
     (many of the builds are short jobs whose latency then overlaps)."""
     getters = [toks, piece_unigrams, items_wide, bigrams, triples, sents, vectors, lemma_pos_freqs, lemmas,
-               pairs, lm_sents, lm_feats, tf_lists, tf_ranked]
+               pairs, lm_sents, lm_feats, lm_normaliser, tf_lists, tf_ranked]
     with ThreadPoolExecutor(max_workers=threads) as ex:
         for f in [ex.submit(g, spark, sf_dir) for g in getters]:
             f.result()

@@ -134,7 +134,7 @@ def test_piece_model_counts_and_surprisal(spark):
     assert {(r.prev, r.w): r.c for r in bi.collect()} == {("<s>", "a"): 1.0, ("a", "b"): 1.0, ("b", "a"): 2.0,
                                                           ("<s>", "b"): 1.0}
     s = lm.lm_sentences(spark.createDataFrame([(1, "a b zz", 1), (2, "", 0)], "sent_id long, text string, word_pos int"))
-    surp = lm.surprisal_table(s, uni, bi)
+    surp = lm.surprisal_table(lm.token_features(s, uni, bi))
     got = {(r.sentence_id, r.token_id): (r.token, r.surprisal) for r in surp.collect()}
     v = 3.0
     assert got[(1, 1)] == ("a", pytest.approx(-math.log2((1 + 1) / (3 + v)), abs=1e-6))
