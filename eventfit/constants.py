@@ -19,6 +19,8 @@ TRIPLE_MIN_FREQ = 2
 PAIR_MIN_FREQ = 5
 PAIR_WINDOW = 10
 LEMMA_MIN_FREQ = 50
+# minimum frequency of a lemma with its part of speech in the thematic-fit lists
+LEMMA_POS_MIN_FREQ = 60
 # prefix by which pieces are grouped into words, prefix that the piece cutter
 # writes, byte-level word-start marker, special tokens
 CONT_PREFIX = "#"

@@ -622,7 +622,9 @@ FROM lmsent s LEFT JOIN (SELECT sentence_id, sum(surprisal) AS surprisal,
 ORACLE["score_with_udf"] = build("SELECT sent_id, target_pos, round(logprob, 6) AS logprob FROM ts_plain", "ts_plain")
 ORACLE["sentence_number"] = build(
     "SELECT sent_id, CAST(row_number() OVER (ORDER BY sent_id) - 1 AS BIGINT) AS idx FROM sents", "sents")
-ORACLE["dedupe_last"] = build("SELECT head, dep, role, freq FROM triples", "triples")
+ORACLE["dedupe_last"] = build("""
+SELECT head, dep, role, max_by(freq, raw_rel) AS freq FROM triples_raw JOIN role_map USING (raw_rel)
+GROUP BY head, dep, role""", "triples_raw", "role_map")
 ORACLE["score_fanout"] = build("""
 SELECT sent_id, m AS metric, nm AS norm, sc AS score FROM (
   SELECT sent_id, 'sentence-PLL' AS m, score, score_by_tokens, score_by_words FROM ss_adapted
@@ -662,6 +664,11 @@ ORACLE["src_vectors"] = build("""
 SELECT word, CAST(len(v) AS INTEGER) AS dim, round(list_sum(v), 6) AS v_sum, round(v[1], 6) AS v_first
 FROM (SELECT word, list_slice(vec, len(vec) - 31, len(vec)) AS v FROM vectors
       WHERE word IN (SELECT lemma FROM items_long)) s""", "vectors", "items_long")
+ORACLE["src_vectors_full"] = build("""
+SELECT word, CAST(len(vec) AS INTEGER) AS dim, round(list_sum(vec), 6) AS v_sum, round(vec[1], 6) AS v_first FROM vectors""", "vectors")
+ORACLE["src_vectors_first"] = build("""
+SELECT word, CAST(len(v) AS INTEGER) AS dim, round(list_sum(v), 6) AS v_sum, round(v[1], 6) AS v_first
+FROM (SELECT word, list_slice(vec, 1, 32) AS v FROM vectors) s""", "vectors")
 ORACLE["src_surprisal"] = build("SELECT sentence_id, token_id, token, round(surprisal, 6) AS surprisal FROM surp", "surp")
 view("orig", ("items_long", "orders_v"), """
 SELECT i.item_id, string_agg(i.lemma, ' ' ORDER BY i.slot) AS text,
@@ -716,3 +723,49 @@ FROM lmsent s LEFT JOIN (SELECT sentence_id, string_agg(token, ' ' ORDER BY toke
 ORACLE["rejoin_tokens"] = build("""
 SELECT sentence_id AS sent_id, string_agg(token, ' ' ORDER BY token_id) AS sentence FROM surp GROUP BY sentence_id""",
                                 "surp")
+
+ORACLE["src_score_matrix_pruned"] = build("""
+SELECT dataset, model, metric, norm, id, score, n_tokens, n_words FROM score_matrix
+WHERE metric = 'sentence-l2r-PLL' AND norm = 'average_byNrWords'""", "score_matrix")
+ORACLE["src_score_matrix_files"] = build("""
+SELECT dataset, model, metric, norm, id, score, n_tokens, n_words FROM score_matrix
+WHERE metric = 'sentence-PLL' AND norm IN ('none', 'average_byNrTokens')
+UNION ALL SELECT dataset, model, metric, norm, id, score, n_tokens, n_words FROM word_matrix WHERE metric = 'verb-PLL'""",
+                                         "score_matrix", "word_matrix")
+
+ORACLE["vec_key_lookup_pos"] = build("""
+SELECT item_id, t_lemma || '/' || t_pos AS vkey_pos, v.vec IS NOT NULL AS in_space, round(sqrt(list_dot_product(v.vec, v.vec)), 6) AS norm
+FROM ik LEFT JOIN vectors v ON v.word || '/N' = t_lemma || '/' || t_pos""", "ik", "vectors")
+
+view("frequent", ("lemma_pos_freqs",), "SELECT lemma_pos FROM lemma_pos_freqs WHERE freq >= 60")
+ORACLE["filler_dropped"] = build("""
+, probes AS (
+  SELECT w, t_role, regexp_replace(w, '@[^@]*$', '') IN (SELECT lemma_pos FROM frequent) AS kept FROM (SELECT DISTINCT w, t_role FROM att) s),
+cands AS (
+  SELECT regexp_replace(adj.o, '@[^@]*$', '') IN (SELECT lemma_pos FROM frequent) AS kept
+  FROM probes JOIN adj ON adj.w = probes.w WHERE probes.kept AND starts_with(regexp_extract(adj.o, '([^@]*)$', 1), probes.t_role))
+SELECT 'probes' AS what, count(*) AS seen, count(*) FILTER (WHERE NOT kept) AS dropped FROM probes
+UNION ALL SELECT 'candidates', count(*), count(*) FILTER (WHERE NOT kept) FROM cands""", "att", "adj", "frequent")
+
+# ------------------------------------------------- K3-K7 as ordered files
+
+
+def _line_report(key: str, line: str) -> str:
+    return f"SELECT CAST(row_number() OVER (ORDER BY item_id) - 1 AS BIGINT) AS line_no, {line} AS line FROM ({ORACLE[key]}) r"
+
+
+_ID = "CAST(r.item_id AS VARCHAR)"
+_SIX = "printf('%.6f', score + 0.0)"
+ORACLE["report_ppmi_file"] = _line_report("report_ppmi", f"concat_ws(chr(9), {_ID}, text, parts, {_SIX})")
+ORACLE["explain_ppmi_file"] = _line_report("explain_ppmi", f"concat_ws(' ', {_ID}, log, flag)")
+ORACLE["report_pair_ppmi_file"] = _line_report("pair_ppmi", f"concat_ws(chr(9), {_ID}, {_SIX})")
+_TEXTS = "(SELECT item_id, string_agg(lemma, ' ' ORDER BY slot) AS text, string_agg(lemma || '@' || pos || '@' || role, chr(9) ORDER BY slot) AS slots FROM ({0}) i GROUP BY item_id)".format(
+    build("SELECT * FROM items_long", "items_long"))
+ORACLE["report_tf_file"] = f"""
+SELECT CAST(row_number() OVER (ORDER BY r.item_id) - 1 AS BIGINT) AS line_no,
+       concat_ws(chr(9), {_ID}, t.text, CASE WHEN score IS NULL THEN 'None' ELSE {_SIX} END) AS line
+FROM ({ORACLE["tf_score"]}) r JOIN {_TEXTS} t ON t.item_id = r.item_id"""
+ORACLE["explain_tf_file"] = f"""
+SELECT CAST(row_number() OVER (ORDER BY r.item_id) - 1 AS BIGINT) AS line_no,
+       concat_ws(chr(9), {_ID}, t.slots, fillers, operation) AS line
+FROM ({ORACLE["explain_prototype"]}) r JOIN {_TEXTS} t ON t.item_id = r.item_id"""

@@ -1,4 +1,4 @@
-"""Report sinks (K1, K2, K8, K9) and the text writers used by the source
+"""Report sinks (K1, K2, K8, K9), the ordered writer of K3-K7, and the text writers used by the source
 round trips.
 
 All writes go below the shared checkpoint folder; score tables are written
@@ -22,9 +22,9 @@ def tsv_line(*cols: Column) -> Column:
 
 
 def write_lines(df: DataFrame, line: Column, path: str, compression: str | None = None,
-                line_sep: str | None = None, partition_by: list[str] | None = None) -> str:
+                line_sep: str | None = None, partition_by: list[str] | None = None, mode: str = "overwrite") -> str:
     cols = [line.alias("value")] + [F.col(c) for c in (partition_by or [])]
-    w = df.select(*cols).write.mode("overwrite")
+    w = df.select(*cols).write.mode(mode)
     if compression:
         w = w.option("compression", compression)
     if line_sep:
@@ -35,17 +35,24 @@ def write_lines(df: DataFrame, line: Column, path: str, compression: str | None
     return path
 
 
-def write_sentence_scores(scores: DataFrame, path: str) -> str:
+def write_ordered(df: DataFrame, line: Column, keys: list[str], path: str) -> str:
+    """A report whose lines are in the order of ``keys`` over all part files:
+    rows are range-partitioned and sorted, and part numbers follow the ranges."""
+    df.repartitionByRange(*keys).sortWithinPartitions(*keys).select(line.alias("value")).write.mode("overwrite").text(path)
+    return path
+
+
+def write_sentence_scores(scores: DataFrame, path: str, mode: str = "overwrite") -> str:
     """K1: ``id, text, score, n_tokens, n_words`` per dataset x model x
     metric x norm folder."""
     line = tsv_line(F.col("id"), F.col("text"), F.col("score"), F.col("n_tokens"), F.col("n_words"))
-    return write_lines(scores, line, path, partition_by=["dataset", "model", "metric", "norm"])
+    return write_lines(scores, line, path, partition_by=["dataset", "model", "metric", "norm"], mode=mode)
 
 
-def write_word_scores(scores: DataFrame, path: str) -> str:
+def write_word_scores(scores: DataFrame, path: str, mode: str = "overwrite") -> str:
     """K2: ``id, text, score``."""
     line = tsv_line(F.col("id"), F.col("text"), F.col("score"))
-    return write_lines(scores, line, path, partition_by=["dataset", "model", "metric", "norm"])
+    return write_lines(scores, line, path, partition_by=["dataset", "model", "metric", "norm"], mode=mode)
 
 
 def write_surprisal_report(report: DataFrame, path: str) -> str:

@@ -31,7 +31,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import assoc
@@ -116,19 +116,29 @@ def both_directions(bigrams: DataFrame) -> DataFrame:
     return fwd.unionByName(bwd)
 
 
-def filler_lists(probes: DataFrame, inp: TFInputs, p: TFParams) -> DataFrame:
+def filler_lists(probes: DataFrame, inp: TFInputs, p: TFParams, dropped: tuple[Observation, Observation] | None = None) -> DataFrame:
     """P3 (J5, J6, M6/M9): ``(w, t_role, filler, role, weight)`` for every
     probe ``(w, t_role)``; weights rounded to 9 places so that ties are
-    stable across engines."""
+    stable across engines.
+
+    J6 leaves out contexts and candidates without a frequency. With two
+    observations in ``dropped`` their numbers (``dropped`` of ``seen``, probes and
+    candidates) are gathered by the same job that computes the lists."""
     lp = inp.lemma_pos_freqs
+
+    def watched(df: DataFrame, col: str, i: int) -> DataFrame:
+        if dropped is not None:
+            df = df.observe(dropped[i], F.count(F.lit(1)).alias("seen"), F.count(F.when(F.col(col).isNull(), 1)).alias("dropped"))
+        return df.where(F.col(col).isNotNull())
+
     # the context's own frequency belongs to the few probes, not to every candidate
-    probes = (probes.withColumn("wk", tx.strip_role(F.col("w")))
-              .join(lp.select(F.col("lemma_pos").alias("wk"), F.col("freq").alias("fw")), "wk").drop("wk"))
+    probes = watched(probes.withColumn("wk", tx.strip_role(F.col("w")))
+                     .join(lp.select(F.col("lemma_pos").alias("wk"), F.col("freq").alias("fw")), "wk", "left").drop("wk"), "fw", 0)
     cand = (both_directions(inp.bigrams).join(probes, "w")
             .where(tx.role_of(F.col("o")).startswith(F.col("t_role"))))
-    cand = (cand.withColumn("filler", tx.strip_role(F.col("o")))
-            .withColumn("role", tx.role_of(F.col("o")))
-            .join(lp.select(F.col("lemma_pos").alias("filler"), F.col("freq").alias("fo")), "filler"))
+    cand = watched(cand.withColumn("filler", tx.strip_role(F.col("o")))
+                   .withColumn("role", tx.role_of(F.col("o")))
+                   .join(lp.select(F.col("lemma_pos").alias("filler"), F.col("freq").alias("fo")), "filler", "left"), "fo", 1)
     cand = with_scalars(cand, verb_total(lp))
     wfn = assoc.by_name(p.weight)
     weight = F.round(wfn(F.col("freq"), F.col("fw"), F.col("fo"), F.col("n_verb")), 9)

@@ -1,30 +1,45 @@
 """Text-format sources of the reference (S1-S14), read with Spark readers.
 
-Every reader is a scan plus column expressions; "the later line wins" rules
-use the line order ``(file path, monotonically increasing id)`` taken right
-at the scan: part files sort by name, and inside a file Spark assigns ids in
-increasing partition order, which follows the file offset.
+Every reader is a scan plus column expressions. "The later line wins" rules
+use the line order taken right at the scan: folder, number of the part file
+(as a number, so that part 100000 follows part 99999), file name, offset of
+the block in its file, and the running id inside the block.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.counting import sentence_index
 from ..operators.ranking import with_scalars
+from ..session import written
 
 SENTENCE_SCHEMA = T.StructType([T.StructField("sent_id", T.LongType()), T.StructField("text", T.StringType()),
                                 T.StructField("word_pos", T.IntegerType())])
 
 
+def line_order() -> Column:
+    """The place of a text line among all lines of a path, as a struct that sorts."""
+    name, path = F.col("_metadata.file_name"), F.col("_metadata.file_path")
+    return F.struct(F.regexp_replace(path, "/[^/]*$", "").alias("folder"),
+                    F.regexp_extract(name, r"(\d+)", 1).try_cast("long").alias("number"), name.alias("name"),
+                    F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+
+
 def lines(spark: SparkSession, path: str, **opts) -> DataFrame:
     """``(line, ord)``: text lines with their file order (gz read
     transparently)."""
-    df = spark.read.options(**opts).text(path)
-    return df.select(F.col("value").alias("line"),
-                     F.struct(F.col("_metadata.file_path").alias("f"),
-                              F.monotonically_increasing_id().alias("i")).alias("ord"))
+    return spark.read.options(**opts).text(path).select(F.col("value").alias("line"), line_order().alias("ord"))
+
+
+def read_numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``(line_no, line)``: the lines of a report numbered from 0 in file
+    order, by range partitions and offsets (no task sees them all)."""
+    return sentence_index(lines(spark, path), ["ord"], "line_no").select("line_no", "line")
 
 
 def read_sentences(spark: SparkSession, path: str) -> DataFrame:
@@ -83,12 +98,13 @@ def read_lemma_pos(spark: SparkSession, path: str) -> DataFrame:
 def read_lemma_sum(spark: SparkSession, path: str) -> DataFrame:
     """``word[ word] \\t freq`` -> ``(words array<string>, freq,
     n_total)``: repeated keys are added; a key with a blank is a tuple; the
-    grand total comes along as a column."""
+    grand total comes along as a column. The text is scanned once: the total
+    is that of the grouped table, which is written."""
     parts = F.split(F.col("line"), "\t")
     df = lines(spark, path).select(F.split(F.element_at(parts, 1), " ").alias("words"),
                                    F.element_at(parts, 2).cast("double").alias("freq"))
-    g = df.groupBy("words").agg(F.sum("freq").alias("freq"))
-    return with_scalars(g, df.agg(F.sum("freq").alias("n_total")))
+    g = written(df.groupBy("words").agg(F.sum("freq").alias("freq")), "lemma_sum")
+    return with_scalars(g, g.agg(F.sum("freq").alias("n_total")))
 
 
 def read_bigrams(spark: SparkSession, path: str, role_map: DataFrame) -> DataFrame:
@@ -110,21 +126,48 @@ def read_bigrams(spark: SparkSession, path: str, role_map: DataFrame) -> DataFra
     return m.groupBy(F.col("x1").alias("a1"), F.col("x2").alias("a2")).agg(F.max_by("freq", "ord").alias("freq"))
 
 
+def vector_header(spark: SparkSession, path: str) -> tuple[str, int] | None:
+    """The first line ``n dim`` of the first file and its ``dim``; None for an
+    empty path. One row is read."""
+    def place(file: str) -> tuple:
+        folder, _, name = file.rpartition("/")
+        number = re.search(r"\d+", name)
+        return folder, -1 if number is None else int(number[0]), name
+
+    for file in sorted(spark.read.text(path).inputFiles(), key=place):
+        first = spark.read.text(file).first()
+        if first is not None:
+            fields = first[0].split()
+            if len(fields) != 2 or not all(x.isdigit() for x in fields):
+                raise ValueError(f"no header 'n dim' in {file}")
+            return first[0], int(fields[1])
+    return None
+
+
 def read_vectors(spark: SparkSession, path: str, vocab: DataFrame | None = None, k: int = -1,
                  from_end: bool = False) -> DataFrame:
     """Text vectors with a ``n dim`` header; a word may contain blanks
     (everything before the last ``dim`` fields); optional vocabulary filter
     (semi join); optional truncation to ``k`` dimensions - the first ``k``
     by default, the last ``k`` with ``from_end=True`` (what the original text
-    loader does); lines whose numbers do not parse are dropped."""
-    ln = lines(spark, path).select(F.split(F.trim("line"), " ").alias("t"))
-    header = ln.where((F.size("t") == 2) & F.forall("t", lambda x: x.rlike(r"^[0-9]+$")))
-    dim = header.agg(F.max(F.element_at("t", 2).cast("int")).alias("dim"))
-    body = with_scalars(ln.where(~((F.size("t") == 2) & F.forall("t", lambda x: x.rlike(r"^[0-9]+$")))), dim)
-    n = F.size("t")
-    body = body.select(
-        F.array_join(F.slice("t", 1, n - F.col("dim")), " ").alias("word"),
-        F.transform(F.slice("t", n - F.col("dim") + 1, F.col("dim")), lambda x: x.try_cast("double")).alias("vec"))
+    loader does); lines whose numbers do not parse are dropped.
+
+    The header is the first line and read as such. Among vectors it is no
+    candidate, as it leaves no word before its numbers; only a space of one
+    dimension can hold a vector line that looks like it, so there the first
+    of the equal lines is left out by its place."""
+    head = vector_header(spark, path)
+    if head is None:
+        return spark.createDataFrame([], "word string, vec array<double>")
+    header, dim = head
+    ln = lines(spark, path)
+    if dim == 1:
+        first = ln.where(F.col("line") == header).agg(F.min("ord").alias("o"))
+        ln = ln.where((F.col("line") != header) | (F.col("ord") > first.select("o").scalar()))
+    t = F.split(F.trim("line"), " ")
+    body = ln.select(t.alias("t")).where(F.size("t") > dim).select(
+        F.array_join(F.slice("t", 1, F.size("t") - dim), " ").alias("word"),
+        F.transform(F.slice("t", F.size("t") - dim + 1, F.lit(dim)), lambda x: x.try_cast("double")).alias("vec"))
     body = body.where(F.forall("vec", lambda x: x.isNotNull()) & (F.col("word") != ""))
     if vocab is not None:
         body = body.join(vocab.select(F.col("word")), "word", "left_semi")
@@ -152,24 +195,32 @@ def read_original(spark: SparkSession, path: str) -> DataFrame:
         F.element_at(parts, 3).alias("label"), F.element_at(parts, 4).alias("deps"))
 
 
+MATRIX_KEYS = ("dataset", "model", "metric", "norm")
+
+
 def read_score_matrix(spark: SparkSession, path: str) -> DataFrame:
-    """Many score files as one table. Dataset, model, metric and
-    normalisation come from the path - either partition folders
-    ``dataset=../model=../metric=../norm=..`` or a file name
-    ``dataset.model.metric[.norm].txt``; files have 3 (``id, text, score``)
-    or 5 columns (plus ``n_tokens, n_words``)."""
-    df = spark.read.option("recursiveFileLookup", "true").text(path)
-    fp = F.col("_metadata.file_path")
-    part = lambda k: F.regexp_extract(fp, f"/{k}=([^/]*)/", 1)
-    fname = F.regexp_extract(fp, r"([^/]*)\.txt$", 1)
-    nm = F.split(fname, r"\.")
-    is_part = fp.contains("/dataset=")
+    """Many score files as one table, with 3 (``id, text, score``) or 5
+    columns (plus ``n_tokens, n_words``).
+
+    Below partition folders ``dataset=../model=../metric=../norm=..`` those four
+    are the source's own partition columns, so a filter on them skips whole
+    folders. Without such folders they are taken from the name of the file, or
+    of the folder that holds its parts: ``dataset.model.metric[.norm].txt``."""
+    df = spark.read.text(path)
+    if all(k in df.columns for k in MATRIX_KEYS):
+        # names stay as they are written, also those that look like numbers
+        schema = T.StructType([T.StructField(c, T.StringType()) for c in ("value", *MATRIX_KEYS)])
+        df, keys = spark.read.schema(schema).text(path), [F.col(k) for k in MATRIX_KEYS]
+    else:
+        if not path.endswith(".txt") and not df.inputFiles():
+            df = spark.read.text(f"{path.rstrip('/')}/*.txt")
+        fp = F.col("_metadata.file_path")
+        held = F.regexp_extract(fp, r"([^/]*)\.txt/[^/]*$", 1)
+        nm = F.split(F.when(held != "", held).otherwise(F.regexp_extract(fp, r"([^/]*)\.txt$", 1)), r"\.")
+        keys = [F.get(nm, i) for i in range(3)] + [F.coalesce(F.get(nm, 3), F.lit("none"))]
     c = F.split(F.col("value"), "\t")
     return df.where(F.trim("value") != "").select(
-        F.when(is_part, part("dataset")).otherwise(F.get(nm, 0)).alias("dataset"),
-        F.when(is_part, part("model")).otherwise(F.get(nm, 1)).alias("model"),
-        F.when(is_part, part("metric")).otherwise(F.get(nm, 2)).alias("metric"),
-        F.when(is_part, part("norm")).otherwise(F.coalesce(F.get(nm, 3), F.lit("none"))).alias("norm"),
+        *[v.alias(k) for k, v in zip(MATRIX_KEYS, keys, strict=True)],
         F.get(c, 0).cast("long").alias("id"), F.get(c, 1).alias("text"),
         F.get(c, 2).try_cast("double").alias("score"),
         F.get(c, 3).try_cast("int").alias("n_tokens"), F.get(c, 4).try_cast("int").alias("n_words"))
