@@ -1,15 +1,18 @@
 """Secret scans with a trigram inverted index, with DataFrame operations only.
 
-Every rule is a regular expression. The rule's literals are turned into a
-Boolean trigram query (an OR over alternatives of ANDs over trigrams). The
-index maps those trigrams to the texts that hold them; postings are
-intersected to find candidate texts, and only those are verified by the
-expression. A rule without mandatory trigrams scans all texts.
+Every rule is a regular expression. A Boolean trigram query is derived from
+the expression itself: an OR over alternatives of ANDs over the trigrams that
+each match of the alternative must hold. The index maps those trigrams to the
+texts that hold them; postings are intersected to find candidate texts, and
+only those are verified by the expression. A rule without mandatory trigrams
+scans all texts.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import re._constants as sre
+from dataclasses import dataclass
+from re._parser import parse
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,48 +22,114 @@ from .common import settle
 
 @dataclass(frozen=True)
 class Rule:
-    """``literals``: alternatives, each a tuple of strings that a match must contain (in lower case).
-
-    ``group``/``least``: a match counts if that group has so many characters.
-    """
+    """``group``/``least``: a match counts if that group has so many characters."""
 
     kind: str
     pattern: str
-    literals: tuple[tuple[str, ...], ...] = ()
     group: int = 0
     least: int = 0
-    base: bool = field(default=False)
+    base: bool = False
 
 
 #: The base kinds first, then those that the method adds, in the order of ties.
 RULES = (
-    Rule("assign", r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
-         (("password",), ("passwd",), ("secret",), ("token",), ("api", "key")), 2, 8, True),
+    Rule("assign", r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8, True),
     # of one class of characters, so the least length can stand in the expression without changing any span
-    Rule("access", r"AKIA[A-Z0-9]{12,}", (("akia",),), base=True),
-    Rule("hex", r"[0-9a-f]{32,}", (), base=True),
-    Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}", (("ghp_",), ("gho_",), ("ghu_",), ("ghs_",), ("ghr_",))),
-    Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}", (("xoxa-",), ("xoxb-",), ("xoxp-",), ("xoxr-",), ("xoxs-",))),
-    Rule("google", r"AIza[A-Za-z0-9_-]{35}", (("aiza",),)),
-    Rule("stripe", r"[sr]k_live_[A-Za-z0-9]{16,}", (("k_live_",),)),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", (("eyj", ".eyj"),)),
-    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", (("-----begin ", "private key-----"),)),
+    Rule("access", r"AKIA[A-Z0-9]{12,}", base=True),
+    Rule("hex", r"[0-9a-f]{32,}", base=True),
+    Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
+    Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
+    Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
+    Rule("stripe", r"[sr]k_live_[A-Za-z0-9]{16,}"),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
 )
 KINDS = tuple(r.kind for r in RULES)
 PLACEHOLDER = "[SECRET]"
 
 
-def trigrams(literal: str) -> tuple[str, ...]:
-    return tuple(sorted({literal[i:i + 3] for i in range(len(literal) - 2)}))
+def trigrams(literal: str) -> set[str]:
+    return {literal[i:i + 3] for i in range(len(literal) - 2)}
+
+
+#: A class of at most so many letters is spelt out; so many alternatives are followed at most, and so many repetitions.
+CLASS_LETTERS, ALTERNATIVES, REPEATS = 8, 64, 4
+_GAP = None  # any characters, or none: trigrams don't reach across
+
+
+def _runs(spelt: tuple) -> list[str]:
+    return "".join("\0" if c is _GAP else c for c in spelt).split("\0")
+
+
+def _longest(alternatives: list[tuple]) -> int:
+    """The letters in a row that every alternative holds at least."""
+    return min(max(map(len, _runs(a))) for a in alternatives)
+
+
+def _joined(left: list[tuple], right: list[tuple]) -> list[tuple]:
+    """Every alternative of one part followed by every one of the next; of too many, the part that asks for less becomes a gap."""
+    if len(left) * len(right) > ALTERNATIVES:
+        left, right = (left, [(_GAP,)]) if _longest(left) >= _longest(right) else ([(_GAP,)], right)
+    return list(dict.fromkeys(a + b for a in left for b in right))
+
+
+def _letters(items: list) -> list[tuple]:
+    """The letters of a character class, if they are few."""
+    found: set[str] = set()
+    for op, value in items:
+        if op is sre.LITERAL:
+            found.add(chr(value).lower())
+        elif op is sre.RANGE and value[1] - value[0] < 2 * CLASS_LETTERS:
+            found |= {chr(c).lower() for c in range(value[0], value[1] + 1)}
+        else:
+            return [(_GAP,)]
+    return [(c,) for c in sorted(found)] if len(found) <= CLASS_LETTERS else [(_GAP,)]
+
+
+def _alternatives(nodes) -> list[tuple]:
+    """What the matches of a parsed expression spell in lower case: alternatives of letters and gaps."""
+    out: list[tuple] = [()]
+    for op, value in nodes:
+        if op is sre.LITERAL:
+            own = [(chr(value).lower(),)]
+        elif op is sre.IN:
+            own = _letters(value)
+        elif op is sre.SUBPATTERN:
+            own = _alternatives(value[3])
+        elif op is sre.BRANCH:
+            own = [a for branch in value[1] for a in _alternatives(branch)]
+        elif op in (sre.MAX_REPEAT, sre.MIN_REPEAT, sre.POSSESSIVE_REPEAT):
+            least, most, inner = value
+            once = _alternatives(inner)
+            own = [()]
+            for _ in range(min(least, REPEATS)):
+                own = _joined(own, once)
+            if (least, most) == (0, 1):
+                own = [(), *once]
+            elif most > least or least > REPEATS:
+                own = _joined(own, [(_GAP,)])
+        elif op is sre.ATOMIC_GROUP:
+            own = _alternatives(value)
+        elif op in (sre.AT, sre.ASSERT, sre.ASSERT_NOT):
+            own = [()]  # matches no characters
+        else:
+            own = [(_GAP,)]
+        out = _joined(out, own if len(own) <= ALTERNATIVES else [(_GAP,)])
+    return out
 
 
 def query_of(rule: Rule) -> tuple[tuple[str, ...], ...]:
-    """The rule's trigram query: alternatives, each the trigrams that must all occur.
+    """The rule's trigram query, derived from its expression: alternatives, each the trigrams that must all occur.
 
     Empty if some alternative has no trigram: the rule is then scanned in full.
+    Trigrams are of lower-cased text, whether or not the rule minds the case.
     """
-    out = tuple(tuple(sorted({t for s in alternative for t in trigrams(s)})) for alternative in rule.literals)
-    return out if out and all(out) else ()
+    found = []
+    for spelt in _alternatives(parse(rule.pattern)):
+        found.append(tuple(sorted(set().union(*map(trigrams, _runs(spelt))))))
+    # an alternative whose trigrams hold another's asks for nothing beyond it
+    least = [q for q in dict.fromkeys(found) if not any(set(o) < set(q) for o in found)]
+    return tuple(sorted(least)) if all(least) else ()
 
 
 def postings(texts: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -158,10 +227,16 @@ def spans_text(spans: Column, base_only: bool = False) -> Column:
 
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, placeholder: str = PLACEHOLDER) -> DataFrame:
-    """``docs`` with every secret replaced; overlapping spans become one placeholder. Other columns are unchanged."""
-    texts, hits = find_secrets(docs, rules)
-    hits = hits.select("row_key", F.col("spans").alias("secret_spans"))
-    joined = texts.join(hits, "row_key", "left")
+    """``docs`` with every secret replaced; overlapping spans become one placeholder.
+
+    Other columns are unchanged, whatever their names. Null texts stay null,
+    empty ones empty; rows with null or repeated ids are each answered; very
+    long texts are one row's work, as their secrets are found by expressions;
+    of spans that begin together the longer one counts; an empty table stays empty.
+    """
+    whole = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole_row"))
+    texts, hits = find_secrets(whole, rules)
+    joined = texts.join(hits.select("row_key", F.col("spans").alias("secret_spans")), "row_key", "left")
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(a: Column, s: Column) -> Column:
@@ -171,4 +246,5 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, placeholder: str =
                 .otherwise(F.struct(s["end"].alias("at"), F.concat(a["out"], gap, F.lit(placeholder)).alias("out"))))
 
     clean = F.aggregate("secret_spans", start, step, lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.lit(2**31 - 1))))
-    return joined.withColumn("text", F.when(F.col("secret_spans").isNotNull(), clean).otherwise(F.col("text"))).select(*docs.columns)
+    text = F.when(F.col("secret_spans").isNotNull(), clean).otherwise(F.col("text"))
+    return joined.select(*[text.alias(c) if c == "text" else F.col("whole_row").getField(c).alias(c) for c in docs.columns])

@@ -245,10 +245,50 @@ def test_redaction(spark):
         assert r.text == (None if t is None else want + t[at:])
 
 
+def test_redaction_keeps_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "password=abcdefgh!", "a", 5, "k"), (None, None, "b", None, None)],
+                                 "doc_id long, text string, secret_spans string, row_key int, whole_row string")
+    got = secret_scan.redact(docs)
+    assert got.columns == docs.columns
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, "[SECRET]!", "a", 5, "k"), (None, None, "b", None, None)], key=str)
+
+
 def test_trigram_queries():
     q = {r.kind: secret_scan.query_of(r) for r in secret_scan.RULES}
-    assert q["hex"] == () and q["assign"][2] == ("cre", "ecr", "ret", "sec") and ("api", "key") in q["assign"]
-    assert secret_scan.query_of(secret_scan.Rule("x", "ab|cdef", (("ab",), ("cdef",)))) == ()
+    assert q["hex"] == () and ("cre", "ecr", "ret", "sec") in q["assign"]
+    assert ("aki", "kia") in q["access"] and tuple(sorted(["api", "pik", "ike", "key"])) in q["assign"]
+    assert q["github"] == tuple(sorted(tuple(sorted({"gh" + c, "h" + c + "_"})) for c in "pousr"))
+    for pattern in ("ab|cdef", "(abc)?", "abc|", "[a-z]{9}", "a.c", "ab[cd]*ef", r"\d{4}"):
+        assert secret_scan.query_of(secret_scan.Rule("x", pattern)) == (), pattern
+    assert secret_scan.query_of(secret_scan.Rule("x", "(?i)A(bc|XY)D+e")) == (("abc", "bcd"), ("axy", "xyd"))
+
+
+def pattern_text():
+    piece = st.one_of(st.sampled_from(list("abcdeXY_-")), st.sampled_from(["[ab]", "[a-e]", "[^a]", ".", r"\d", "[A-Z0-9]"]))
+    return st.recursive(piece, lambda inner: st.one_of(
+        st.lists(inner, min_size=1, max_size=5).map("".join),
+        st.lists(inner, min_size=2, max_size=3).map(lambda x: f"({'|'.join(x)})"),
+        st.tuples(inner, st.sampled_from(["?", "*", "+", "{2}", "{1,3}", "{5}"])).map(lambda x: f"(?:{x[0]}){x[1]}")), max_leaves=10)
+
+
+@settings(max_examples=400, deadline=None)
+@given(pattern_text(), st.data())
+def test_every_match_fulfils_the_derived_query(pattern, data):
+    match = data.draw(st.from_regex(pattern, fullmatch=True))
+    q = secret_scan.query_of(secret_scan.Rule("x", pattern))
+    assert not q or any(all(t in match.lower() for t in alternative) for alternative in q)
+
+
+@pytest.mark.parametrize("rule", secret_scan.RULES, ids=lambda r: r.kind)
+def test_every_secret_fulfils_its_query(rule):
+    @settings(max_examples=60, deadline=None)
+    @given(st.from_regex(rule.pattern, fullmatch=True))
+    def check(match):
+        q = secret_scan.query_of(rule)
+        assert bool(q) == (rule.kind != "hex")
+        assert not q or any(all(t in match.lower() for t in alternative) for alternative in q)
+
+    check()
 
 
 # ---- quality rules ------------------------------------------------------------------------------------------
