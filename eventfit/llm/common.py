@@ -76,20 +76,22 @@ def mix64(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def blocked(rows: DataFrame, keys: list[str], number: str, block_rows: int) -> DataFrame:
+def blocked(rows: DataFrame, keys: list[str], number: str, block_rows: int, weight: str | None = None, block_weight: int = 1) -> DataFrame:
     """Deal ``rows`` into blocks of bounded size in which all rows of equal ``keys`` meet.
 
     ``number``: an id that tells the rows of a key apart. A key with more than
-    ``block_rows`` rows is cut into parts by a hash of it; the parts meet two
-    by two in the blocks (``bi``, ``bj``), and ``sub`` is a row's own part.
+    ``block_rows`` rows is cut into parts by a hash of it, as is one whose
+    ``weight`` (a column) sums up to more than ``block_weight``; the parts meet
+    two by two in the blocks (``bi``, ``bj``), and ``sub`` is a row's own part.
     Keys of a single row are left out. Blocks come sorted, one after the other.
     """
-    full = settle(rows.groupBy(*keys).agg(F.count("*").alias("key_rows")).where("key_rows > 1"), "full_keys")
+    heavy = F.sum(weight) if weight else F.lit(0)
+    full = settle(rows.groupBy(*keys).agg(F.count("*").alias("key_rows"), heavy.alias("key_weight")).where("key_rows > 1"), "full_keys")
     met = rows.join(full, keys)
-    parts = F.ceil(F.col("key_rows") / block_rows).cast("int")
+    parts = F.ceil(F.greatest(F.col("key_rows") / block_rows, F.least(F.col("key_weight") / block_weight, F.col("key_rows")))).cast("int")
     met = met.withColumn("sub", F.pmod(F.xxhash64(number, *keys), parts).cast("int")) \
         .withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1))) \
-        .withColumns({"bi": F.least("sub", "other"), "bj": F.greatest("sub", "other")}).drop("other", "key_rows")
+        .withColumns({"bi": F.least("sub", "other"), "bj": F.greatest("sub", "other")}).drop("other", "key_rows", "key_weight")
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     by = [*keys, "bi", "bj"]
     return met.repartition(n, *by).sortWithinPartitions(*by)

@@ -18,7 +18,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from fractions import Fraction
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +38,8 @@ SIGMAS = 4.5
 HUB_ROUNDS = 2
 #: Rows of a bucket that one block holds; larger buckets are compared block against block.
 BLOCK_ROWS = 512
+#: Shingles of a block, as far as its rows are not longer by themselves.
+BLOCK_SHINGLES = 4_000_000
 #: Characters whose shingles are signed at once: a shingle's shuffle takes a byte per slot.
 SIGN_CHARS = 1_000_000
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -142,7 +143,6 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(_sign, SIGNATURE_SCHEMA)
 
 
-@cache
 def variance_factor(slots: int = SLOTS, most: int = 4096) -> np.ndarray:
     """By the size of the union: the estimate's variance as a share of that of independent minima (Ertl 2017, theorem 1)."""
     step = np.arange(1, slots) / slots
@@ -154,15 +154,16 @@ def variance_factor(slots: int = SLOTS, most: int = 4096) -> np.ndarray:
     return out
 
 
-def _least_share(threshold: float, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
+def _least_share(threshold: float, factor: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
     """Equal slots that pairs of sets with ``na`` and ``nb`` elements have, if they have the wanted similarity."""
-    factor = variance_factor()
     union = np.ceil((na + nb) / (1 + threshold)).astype(np.int64)  # of a pair at the threshold; it is no larger beyond
     alpha = np.where(union < len(factor), factor[np.minimum(union, len(factor) - 1)], 1.0)
     return threshold - SIGMAS * np.sqrt(alpha * threshold * (1 - threshold) / SLOTS)
 
 
 def _alike(threshold: float):
+    factor = variance_factor()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
@@ -170,7 +171,7 @@ def _alike(threshold: float):
             na, nb = (batch.column(c).to_numpy() for c in ("na", "nb"))
             keep = np.minimum(na, nb) >= threshold * np.maximum(na, nb)
             sa, sb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, SLOTS) for c in ("sa", "sb"))
-            keep &= (sa == sb).mean(axis=1) >= _least_share(threshold, na, nb)
+            keep &= (sa == sb).mean(axis=1) >= _least_share(threshold, factor, na, nb)
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
     return run
@@ -242,7 +243,7 @@ def _links(docs: DataFrame, classes: DataFrame, banded: DataFrame, threshold: fl
                           .select("band", F.col("hub.label").alias("hub_label"), F.col("hub.set_hash").alias("hub")), "hubs")
             pairs = live.join(hubs, "band").where("label <> hub_label").select(F.least("hub", "set_hash").alias("a"), F.greatest("hub", "set_hash").alias("b"))
         else:
-            pairs = _across(live, classes, threshold)
+            pairs = _across(live, classes, texts, threshold)
         found = settle(_check(pairs.distinct(), classes, texts, threshold), "links")
         links = found if links is None else links.unionByName(found)
         if turn == HUB_ROUNDS:
@@ -256,19 +257,45 @@ def _links(docs: DataFrame, classes: DataFrame, banded: DataFrame, threshold: fl
     return links
 
 
-def _across(live: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of classes that share a bucket but not a group and are alike by their signatures.
+def _shingle_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part in slices(batches, most=SIGN_CHARS):
+        lists = [np.unique((h >> np.uint64(32)).astype(np.uint32)).tobytes() for h in shingle_hashes(part.column("text").to_pylist())]
+        yield pa.RecordBatch.from_arrays([part.column("set_hash"), pa.array(lists, pa.binary())], names=["set_hash", "shingles"])
+
+
+def _across(live: DataFrame, classes: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of classes that share a bucket but not a group and are alike.
 
-    Compared in blocks of bounded size, so that a bucket of many unlike texts
-    (they share a passage) sends no pairs of them on. A pair that shares several
-    buckets is sent on from the first; all of them hold both groups, so it is there.
+    Compared in blocks of bounded size, first by their signatures, then by
+    short hashes of all their shingles, so that of a bucket of many texts that
+    share a passage and stay below the threshold hardly any pair leaves its
+    task. A pair that shares several buckets is sent on from the first; all of
+    them hold both groups, so it is there.
     """
     sides = classes.select("set_hash", "n", "signature", "bands")
-    return blocked(live.select("band", "set_hash", "label").join(sides, "set_hash"), ["band"], "set_hash", BLOCK_ROWS) \
-        .mapInArrow(_alike_in_block(threshold), "a long, b long")
+    lists = settle(texts.join(live.select("set_hash").distinct(), "set_hash").select("set_hash", "text")
+                   .mapInArrow(_shingle_lists, "set_hash long, shingles binary"), "shingle_lists")
+    rows = live.select("band", "set_hash", "label").join(sides, "set_hash").join(lists, "set_hash")
+    return blocked(rows, ["band"], "set_hash", BLOCK_ROWS, "n", BLOCK_SHINGLES).mapInArrow(_alike_in_block(threshold), "a long, b long")
+
+
+def _common(i: np.ndarray, j: np.ndarray, lists: list[np.ndarray]) -> np.ndarray:
+    """Equal hashes of each pair of lists, all partners of a list at once; ``i`` ascends."""
+    out = np.zeros(len(i), np.int64)
+    starts = np.flatnonzero(np.r_[True, i[1:] != i[:-1]])
+    for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(i)], strict=True):
+        own = lists[i[s]]
+        for k in range(s, e, 512):
+            others = [lists[x] for x in j[k:min(k + 512, e)]]
+            flat = np.concatenate(others)
+            hit = own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat
+            out[k:min(k + 512, e)] = np.add.reduceat(hit, np.cumsum([0, *map(len, others[:-1])]), dtype=np.int64)
+    return out
 
 
 def _alike_in_block(threshold: float):
+    factor = variance_factor()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in blocks(batches, ["band"]):
             n, label, sub, key = (part.column(c).to_numpy() for c in ("n", "label", "sub", "set_hash"))
@@ -278,7 +305,7 @@ def _alike_in_block(threshold: float):
             a, b = n[left][:, None], n[right][None]
             near = (label[left][:, None] != label[right][None]) & (np.minimum(a, b) >= threshold * np.maximum(a, b))
             i, j = block_pairs(near, left, right, bi == bj)
-            keep = np.concatenate([(sig[i[s:s + 8192]] == sig[j[s:s + 8192]]).mean(axis=1) >= _least_share(threshold, n[i[s:s + 8192]], n[j[s:s + 8192]])
+            keep = np.concatenate([(sig[i[s:s + 8192]] == sig[j[s:s + 8192]]).mean(axis=1) >= _least_share(threshold, factor, n[i[s:s + 8192]], n[j[s:s + 8192]])
                                    for s in range(0, len(i), 8192)] or [[]])
             i, j = i[keep.astype(bool)], j[keep.astype(bool)]
             if len(i):  # a pair counts in the first band that its two share
@@ -286,6 +313,13 @@ def _alike_in_block(threshold: float):
                 first = (bands[i] == bands[j]).argmax(axis=1)
                 new = bands[i, first] == part.column("band")[0].as_py()
                 i, j = i[new], j[new]
+            if len(i):
+                lists = [np.frombuffer(x, np.uint32) for x in part.column("shingles").to_pylist()]
+                sizes = np.array([len(x) for x in lists])
+                # shingles of a set that fall on one hash may all be shared, though they count once
+                both = _common(i, j, lists) + np.minimum(n[i] - sizes[i], n[j] - sizes[j])
+                new = both >= threshold * (n[i] + n[j] - both) - 1e-6
+                i, j = i[new], j[new]
             if len(i):
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(key[i], key[j])), pa.array(np.maximum(key[i], key[j]))], names=["a", "b"])
 

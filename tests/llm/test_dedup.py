@@ -171,3 +171,59 @@ def test_cells_grow_with_the_table(rows, least):
 def test_variance_factor():
     factor = superminhash.variance_factor()
     assert (factor > 0).all() and (factor <= 1).all() and (np.diff(factor[2:]) > -1e-9).all() and factor[-1] > 0.95
+
+
+def sharers(n, shared=240, own=60):
+    passage = " ".join(f"p{i}" for i in range(shared + 4))
+    return [(i, f"{passage} {' '.join(f'd{i}w{k}' for k in range(own))}") for i in range(n)]
+
+
+@pytest.mark.parametrize("n", [300, 900])
+def test_passage_sharers_below_the_threshold_send_no_pairs(spark, monkeypatch, n):
+    """All pairs are at two thirds; the signatures let most of them pass, the blocks none."""
+    sent = []
+    across = superminhash._across
+
+    def spy(*args):
+        df = superminhash.settle(across(*args), "spy")
+        sent.append(df.count())
+        return df
+
+    monkeypatch.setattr(superminhash, "_across", spy)
+    docs = spark.createDataFrame([*sharers(n), (n, sharers(1)[0][1] + " more")], "doc_id long, text string")
+    got = {r.doc_id: r for r in superminhash.near_duplicates(docs).collect()}
+    assert {i for i, r in got.items() if not r.kept} == {n} and got[n].component_id == 0
+    assert sent[0] <= 20
+
+
+def test_blocks_are_bounded_by_weight(spark):
+    from eventfit.llm import common
+    rows = spark.range(60).selectExpr("1L as k", "id", "if(id = 0, 1000L, 10L) as n")
+    got = common.blocked(rows, ["k"], "id", 512, "n", 400).collect()
+    met = {(r.bi, r.bj): [] for r in got}
+    for r in got:
+        met[r.bi, r.bj].append(r.id)
+    pairs = {(a, b) for ids in met.values() for a in ids for b in ids}
+    assert len(pairs) == 60 * 60 and len(met) > 3
+    assert len(common.blocked(rows, ["k"], "id", 512).select("bi", "bj").distinct().collect()) == 1
+
+
+def test_worker_functions_need_no_package(tmp_path):
+    """A task unpickles them where the package is not installed."""
+    import subprocess
+    import sys
+    from types import SimpleNamespace
+
+    from pyspark import cloudpickle
+
+    from eventfit.llm import byte_bpe, filter_audit, nbest, packing, token_alignment, token_count, toxicity
+    box = SimpleNamespace(value=None)
+    functions = [superminhash._sign, superminhash._alike(0.75), superminhash._alike_in_block(0.75), superminhash._confirm(0.75), superminhash._shingle_lists,
+                 near_embeddings._coder(2, 2, None), near_embeddings._comparer(0.95), byte_bpe._encode(box), byte_bpe._decode(box, "ids"),
+                 token_alignment._aligner(box, box), token_alignment._scorer, filter_audit._flags, filter_audit._audit, nbest._segmenter(box, 3),
+                 nbest._decoder(box, "best"), token_count._counter(box), toxicity._letters_counter, toxicity._term_counter(box), toxicity._evidence(box, box),
+                 packing._encoder(box, 2048)]
+    (tmp_path / "functions.pickle").write_bytes(cloudpickle.dumps(functions))
+    code = "import pickle; print(len(pickle.load(open('functions.pickle', 'rb'))))"
+    out = subprocess.run([sys.executable, "-I", "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=120)
+    assert out.stdout.strip() == str(len(functions)), out.stderr
