@@ -8,6 +8,8 @@ dependency order.
 
 from __future__ import annotations
 
+import re
+
 # name -> (dependencies, SQL)
 VIEWS: dict[str, tuple[tuple[str, ...], str]] = {}
 
@@ -162,13 +164,13 @@ JOIN vtoks b ON b.doc_id = a.doc_id AND b.pos = a.pos + a.d
 GROUP BY 1, 2 HAVING count(*) >= 5""")
 
 view("sents", (), r"""
-SELECT (src_key * 1000000 + i - 1) * 2 + kind AS sent_id, piece AS text,
+SELECT CAST(row_number() OVER (ORDER BY kind, src_key, turn, i, piece) - 1 AS BIGINT) AS sent_id, piece AS text,
        CAST(floor(len(string_split(piece, ' ')) / 2) AS INTEGER) AS word_pos
 FROM (
-  SELECT kind, src_key, unnest(p) AS piece, generate_subscripts(p, 1) AS i FROM (
-    SELECT kind, src_key, string_split(trim(regexp_replace(text, '[ \t\n\r]+', ' ', 'g')), '. ') AS p FROM (
-      SELECT 0 AS kind, item_id AS src_key, text FROM benchmark
-      UNION ALL SELECT 1, CAST(conv_id AS BIGINT) * 1000000 + turn, text FROM conversations) s) q) r
+  SELECT kind, src_key, turn, unnest(p) AS piece, generate_subscripts(p, 1) AS i FROM (
+    SELECT kind, src_key, turn, string_split(trim(regexp_replace(text, '[ \t\n\r]+', ' ', 'g')), '. ') AS p FROM (
+      SELECT 0 AS kind, item_id AS src_key, 0 AS turn, text FROM benchmark
+      UNION ALL SELECT 1, conv_id, turn, text FROM conversations) s) q) r
 WHERE piece <> ''""")
 
 view("pitems", ("sents",), r"""
@@ -769,3 +771,37 @@ ORACLE["explain_tf_file"] = f"""
 SELECT CAST(row_number() OVER (ORDER BY r.item_id) - 1 AS BIGINT) AS line_no,
        concat_ws(chr(9), {_ID}, t.slots, fillers, operation) AS line
 FROM ({ORACLE["explain_prototype"]}) r JOIN {_TEXTS} t ON t.item_id = r.item_id"""
+
+# ------------------------------------------------- the same model with pieces in marker style
+_MARKER = ("lmsent", "dpcs", "puni", "pbi", "ptot2", "ltok", "tfeat", "plan_plain", "plan_adapted", "ts_plain", "ts_adapted")
+
+
+def _marker(sql: str) -> str:
+    return re.sub(r"\b(" + "|".join((*_MARKER, "wgp")) + r")\b", lambda m: m[1] + "_m", sql)
+
+
+view("dpcs_m", (), f"SELECT doc_id, {PIECES_MARKER.replace('__T__', 'text')} AS pcs FROM documents")
+view("wgp_m", ("ltok_m",), """
+SELECT sent_id, pos, token, n, CAST(sum(CASE WHEN pos = 1 OR token IN ('[CLS]', '[SEP]', '<s>', '</s>', '.') OR token LIKE 'Ġ%'
+                      OR prev = '.' THEN 1 ELSE 0 END)
+            OVER (PARTITION BY sent_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 1 AS INTEGER) AS word_idx
+FROM ltok_m""")
+for _v in _MARKER[2:]:
+    view(f"{_v}_m", tuple(_marker(d) for d in VIEWS[_v][0]), _marker(VIEWS[_v][1]))
+ORACLE["pll_adapted_marker"] = build("""
+SELECT s.sent_id, round(coalesce(t.score, 0.0), 6) AS score, CAST(len(s.pcs) AS INTEGER) AS n_tokens, s.n_words
+FROM lmsent_m s LEFT JOIN (SELECT sent_id, sum(logprob) AS score FROM ts_adapted_m GROUP BY sent_id) t USING (sent_id)""",
+                                     "lmsent_m", "ts_adapted_m")
+view("spans_m", ("lmsent_m",), rf"""
+SELECT sent_id, k, coalesce(list_filter(cands, lambda i: pcs[i:i + k - 1] = wp)[1], cands[-1]) AS start
+FROM (SELECT sent_id, pcs, wp, len(wp) AS k, list_filter(range(1, greatest(len(pcs), 1) + 1), lambda i: pcs[i] = wp[1]) AS cands
+      FROM (SELECT sent_id, pcs, CASE WHEN len(bare) > 0 THEN list_concat(['Ġ' || bare[1]], bare[2:]) ELSE bare END AS wp
+            FROM (SELECT sent_id, pcs, {PIECES_MARKER.replace('__T__', 'w')} AS bare
+                  FROM (SELECT sent_id, pcs,
+                               regexp_replace(list_filter(string_split_regex(text, '\s+'), lambda x: x <> '')[word_pos + 1],
+                                              '\.+$', '') AS w
+                        FROM lmsent_m) a) b) c) d""")
+ORACLE["word_score_at_marker"] = build("""
+SELECT s.sent_id, round(sum(t.logprob) / s.k, 6) AS score
+FROM spans_m s LEFT JOIN ts_plain_m t ON t.sent_id = s.sent_id AND t.target_pos BETWEEN s.start AND s.start + s.k - 1
+GROUP BY s.sent_id, s.k""", "spans_m", "ts_plain_m")

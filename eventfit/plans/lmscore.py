@@ -133,20 +133,23 @@ def written_ids(uni: DataFrame) -> DataFrame:
     return _stored(uni.join(k, "w"), "piece_ids")
 
 
-def token_features(sent: DataFrame, uni: DataFrame, bi: DataFrame, style: str = "prefix", contexts: DataFrame | None = None) -> DataFrame:
+def token_features(sent: DataFrame, contexts: DataFrame, style: str = "prefix") -> DataFrame:
     """Per sentence piece ``(sent_id, pos, token, n, word_end, prev, nxt, left_bi,
     uni, right_gain, c_token)``: log add-one probabilities from the corpus
     model, and what the mask ranges need (``n``, ``word_end``).
 
     One join on the token rows, with the (written) table of their distinct
     contexts, so that a frequent context can be split."""
-    t = sentence_tokens(sent)
-    contexts = _stored(context_table(t, uni, bi), "contexts") if contexts is None else contexts
-    j = tk.word_ends(t.join(contexts, ["prev", "token", "nxt"]), style)
+    j = tk.word_ends(sentence_tokens(sent).join(contexts, ["prev", "token", "nxt"]), style)
     return j.select("sent_id", "pos", "token", "n", "word_end", "prev", F.nullif("nxt", F.lit("")).alias("nxt"),
                     "left_bi", "uni", "right_gain", "c_token")
 
 
+def corpus_features(sent: DataFrame, uni: DataFrame, bi: DataFrame, style: str = "prefix") -> DataFrame:
+    """``token_features`` with the context table made and written on the way."""
+    return token_features(sent, _stored(context_table(sentence_tokens(sent), uni, bi), "contexts"), style)
+
+
 def target_logprob(kind: str) -> F.Column:
     """U2 over feature rows: the target's log-probability under a mask plan.
     Masked is ``pos .. mask_range_end``, so the left neighbour is always

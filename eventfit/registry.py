@@ -542,6 +542,21 @@ def q_word_score_last(spark, sf_dir):
     return lm.word_scores(cat.lm_sents(spark, sf_dir), _token_scores(spark, sf_dir, "plain"), last=True)
 
 
+@query("pll_adapted_marker")
+def q_pll_adapted_marker(spark, sf_dir):
+    """P11 with pieces in marker style (byte-level models): words are told by
+    the marker of their first piece."""
+    ts = lm.token_scores(cat.lm_feats_marker(spark, sf_dir), "adapted")
+    return lm.sentence_scores(cat.lm_sents_marker(spark, sf_dir), ts).select("sent_id", "score", "n_tokens", "n_words")
+
+
+@query("word_score_at_marker")
+def q_word_score_at_marker(spark, sf_dir):
+    """P13 with pieces in marker style: the word is looked up with the blank before it."""
+    ts = lm.token_scores(cat.lm_feats_marker(spark, sf_dir), "plain")
+    return lm.word_scores(cat.lm_sents_marker(spark, sf_dir), ts, style="marker")
+
+
 @query("ngram_surprisal")
 def q_ngram_surprisal(spark, sf_dir):
     surp = lm.surprisal_table(_feats(spark, sf_dir))

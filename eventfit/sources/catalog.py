@@ -45,6 +45,15 @@ def materialized(spark: SparkSession, sf_dir: str, name: str, build: Callable[[]
     return spark.read.parquet(path)
 
 
+def forget(spark: SparkSession, sf_dir: str | None = None) -> None:
+    """Build the tables of ``sf_dir`` (all if None) anew when they are next
+    asked for, as is needed after its files have changed."""
+    sf_dir = sf_dir and sf_dir.rstrip("/")
+    with _REGISTRY_LOCK:
+        for key in [k for k in _WRITTEN if k[0] == spark.sparkContext.applicationId and sf_dir in (None, k[1])]:
+            del _WRITTEN[key]
+
+
 def _table(name: str, build: Callable[[SparkSession, str], DataFrame]):
     def get(spark: SparkSession, sf_dir: str) -> DataFrame:
         return materialized(spark, sf_dir, name, lambda: build(spark, sf_dir))
@@ -78,18 +87,24 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(table(spark, sf_dir, "documents").select("text"))
 
 
-def _piece_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..plans.lmscore import corpus_piece_bigrams
-    return corpus_piece_bigrams(_docs(spark, sf_dir))
+def _piece_bigrams(style: str):
+    def build(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from ..plans.lmscore import corpus_piece_bigrams
+        return corpus_piece_bigrams(_docs(spark, sf_dir), style)
+    return build
 
 
-def _piece_unigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..plans.lmscore import corpus_piece_unigrams
-    return corpus_piece_unigrams(piece_bigrams(spark, sf_dir), _docs(spark, sf_dir))
+def _piece_unigrams(bi):
+    def build(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from ..plans.lmscore import corpus_piece_unigrams
+        return corpus_piece_unigrams(bi(spark, sf_dir), _docs(spark, sf_dir))
+    return build
 
 
-piece_bigrams = _table("piece_bigrams", _piece_bigrams)
-piece_unigrams = _table("piece_unigrams", _piece_unigrams)
+piece_bigrams = _table("piece_bigrams", _piece_bigrams("prefix"))
+piece_unigrams = _table("piece_unigrams", _piece_unigrams(piece_bigrams))
+piece_bigrams_marker = _table("piece_bigrams_marker", _piece_bigrams("marker"))
+piece_unigrams_marker = _table("piece_unigrams_marker", _piece_unigrams(piece_bigrams_marker))
 
 
 def _lm_sents(style: str):
@@ -160,15 +175,18 @@ def tf_ranked(spark: SparkSession, sf_dir: str, weight: str = "lmi", n: int = TF
     return materialized(spark, sf_dir, f"tf_ranked_{weight}_{n}_{m}", build)
 
 
-def _lm_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..plans import lmscore as lm
-    return lm.context_table(lm.sentence_tokens(lm_sents(spark, sf_dir)), piece_unigrams(spark, sf_dir), piece_bigrams(spark, sf_dir))
+def _lm_contexts(sentences, uni, bi):
+    def build(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from ..plans import lmscore as lm
+        return lm.context_table(lm.sentence_tokens(sentences(spark, sf_dir)), uni(spark, sf_dir), bi(spark, sf_dir))
+    return build
 
 
-def _lm_feats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..plans.lmscore import token_features
-    return token_features(lm_sents(spark, sf_dir), piece_unigrams(spark, sf_dir), piece_bigrams(spark, sf_dir),
-                          contexts=lm_contexts(spark, sf_dir))
+def _lm_feats(sentences, contexts, style: str):
+    def build(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from ..plans.lmscore import token_features
+        return token_features(sentences(spark, sf_dir), contexts(spark, sf_dir), style)
+    return build
 
 
 def _lm_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -181,8 +199,10 @@ def continuation_logits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_bigrams(spark, sf_dir).select("prev", F.col("w").alias("cand"), F.log(F.col("c") + 1).alias("logit"))
 
 
-lm_contexts = _table("lm_contexts", _lm_contexts)
-lm_feats = _table("lm_feats", _lm_feats)
+lm_contexts = _table("lm_contexts", _lm_contexts(lm_sents, piece_unigrams, piece_bigrams))
+lm_contexts_marker = _table("lm_contexts_marker", _lm_contexts(lm_sents_marker, piece_unigrams_marker, piece_bigrams_marker))
+lm_feats = _table("lm_feats", _lm_feats(lm_sents, lm_contexts, "prefix"))
+lm_feats_marker = _table("lm_feats_marker", _lm_feats(lm_sents_marker, lm_contexts_marker, "marker"))
 lm_normaliser = _table("lm_normaliser", _lm_normaliser)
 
 

@@ -19,9 +19,10 @@ scale-growing data:
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.counting import sentence_index
 from ..operators.ranking import dense_index, with_scalars
 from .tables import spread, table
 
@@ -200,26 +201,20 @@ def toks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences ``(sent_id, text, word_pos)`` from ``benchmark`` and
     ``conversations``: blank runs become one blank, the text is split on
-    ``'. '``. ``sent_id`` packs the source (its lowest bit), the source's key
-    and the piece number; turns and pieces of a million or more, which would
-    make two sentences share an id, fail the query instead.
-    ``word_pos`` is the middle word."""
+    ``'. '``. Sentences are numbered in the order of their source, its key, the
+    turn and the piece, whatever the size of those numbers. ``word_pos`` is the
+    middle word."""
     return sentences_of(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "conversations"))
 
 
 def sentences_of(benchmark: DataFrame, conversations: DataFrame) -> DataFrame:
     """``sents`` of the two tables."""
     ws = r"[ \t\n\r]+"
-    room = 1_000_000
-
-    def below(c: Column) -> Column:
-        return F.when((c >= 0) & (c < room), c).otherwise(F.raise_error(F.lit("sentence ids have no room for this turn or piece")))
-
-    bench = benchmark.select(F.lit(0).alias("kind"), F.col("item_id").cast("long").alias("src_key"), "text")
-    conv = conversations.select(F.lit(1).alias("kind"), (F.col("conv_id").cast("long") * room + below(F.col("turn"))).alias("src_key"), "text")
+    bench = benchmark.select(F.lit(0).alias("kind"), F.col("item_id").cast("long").alias("src_key"), F.lit(0).cast("long").alias("turn"), "text")
+    conv = conversations.select(F.lit(1).alias("kind"), F.col("conv_id").cast("long").alias("src_key"), F.col("turn").cast("long"), "text")
     u = spread(bench.unionByName(conv))
-    pieces = u.select("kind", "src_key", F.posexplode(F.split(F.trim(F.regexp_replace("text", ws, " ")), r"\. ")).alias("i", "text"))
-    pieces = pieces.where(F.col("text") != "")
+    key = ["kind", "src_key", "turn"]
+    pieces = u.select(*key, F.posexplode(F.split(F.trim(F.regexp_replace("text", ws, " ")), r"\. ")).alias("i", "text")).where(F.col("text") != "")
+    numbered = sentence_index(pieces, [*key, "i", "text"], "sent_id")
     nwords = F.size(F.split(F.col("text"), " "))
-    return pieces.select(((F.col("src_key") * room + below(F.col("i"))) * 2 + F.col("kind")).alias("sent_id"), "text",
-                         (F.floor(nwords / 2)).cast("int").alias("word_pos"))
+    return numbered.select("sent_id", "text", (F.floor(nwords / 2)).cast("int").alias("word_pos"))

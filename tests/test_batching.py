@@ -81,7 +81,7 @@ def test_features_join_the_tokens_once(spark):
     t = lm.sentence_tokens(s)
     contexts = lm._stored(lm.context_table(t, uni, bi), "test_contexts")
     assert contexts.count() == t.select("prev", "token", "nxt").distinct().count()
-    feats = lm.token_features(s, uni, bi, contexts=contexts)
+    feats = lm.token_features(s, contexts)
     assert feats._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
     c = {(r.prev, r.w): r.c for r in bi.collect()}
     u = {r.w: r.c for r in uni.collect()}
@@ -98,7 +98,7 @@ def test_causal_scores_equal_the_chain_of_predictions(spark):
     uni, bi = lm.corpus_piece_counts(docs)
     s = lm.lm_sentences(spark.createDataFrame([(1, "a b zz", 1), (2, "", 0), (3, "a", 0)], "sent_id long, text string, word_pos int"))
     c, u = {(r.prev, r.w): r.c for r in bi.collect()}, {r.w: r.c for r in uni.collect()}
-    got = {r.sent_id: r for r in lm.causal_scores(s, lm.token_features(s, uni, bi), uni, exact=True).collect()}
+    got = {r.sent_id: r for r in lm.causal_scores(s, lm.corpus_features(s, uni, bi), uni, exact=True).collect()}
     for r in s.collect():
         seq = ["<s>", *r.pcs, "<s>"]
         lp = [np.log((c.get(p, 0) + 1) / (u.get(p[0], 0) + len(u))) for p in zip(seq, seq[1:], strict=False)]

@@ -134,7 +134,7 @@ def test_piece_model_counts_and_surprisal(spark):
     assert {(r.prev, r.w): r.c for r in bi.collect()} == {("<s>", "a"): 1.0, ("a", "b"): 1.0, ("b", "a"): 2.0,
                                                           ("<s>", "b"): 1.0}
     s = lm.lm_sentences(spark.createDataFrame([(1, "a b zz", 1), (2, "", 0)], "sent_id long, text string, word_pos int"))
-    surp = lm.surprisal_table(lm.token_features(s, uni, bi))
+    surp = lm.surprisal_table(lm.corpus_features(s, uni, bi))
     got = {(r.sentence_id, r.token_id): (r.token, r.surprisal) for r in surp.collect()}
     v = 3.0
     assert got[(1, 1)] == ("a", pytest.approx(-math.log2((1 + 1) / (3 + v)), abs=1e-6))
@@ -149,7 +149,7 @@ def test_piece_model_counts_and_surprisal(spark):
 def test_length_normalisation_property(spark):
     s = lm.lm_sentences(spark.createDataFrame([(1, "a b a b", 1), (2, "b", 0)], "sent_id long, text string, word_pos int"))
     uni, bi = lm.corpus_piece_counts(spark.createDataFrame([("a b a",), ("b a",)], "text string"))
-    feats = lm.token_features(s, uni, bi)
+    feats = lm.corpus_features(s, uni, bi)
     sc = lm.sentence_scores(s, lm.token_scores(feats, "plain"))
     for r in sc.collect():
         assert r.score_by_tokens * r.n_tokens == pytest.approx(r.score, abs=1e-5)
@@ -160,7 +160,7 @@ def test_udf_scores_equal_jvm_scores_under_every_plan(spark):
     s = lm.lm_sentences(spark.createDataFrame([(1, "abcdefghij ab. abcdef", 1), (2, "b", 0), (3, "", 0)],
                                               "sent_id long, text string, word_pos int"))
     uni, bi = lm.corpus_piece_counts(spark.createDataFrame([("abcdefghij ab",), ("b abcdef",)], "text string"))
-    feats = lm.token_features(s, uni, bi)
+    feats = lm.corpus_features(s, uni, bi)
     for kind in ("plain", "l2r", "adapted"):
         jvm = {(r.sent_id, r.target_pos): r.logprob for r in lm.token_scores(feats, kind).collect()}
         udf = {(r.sent_id, r.target_pos): r.logprob for r in lm.score_with_udf(lm.sentence_features(feats), kind=kind).collect()}

@@ -40,8 +40,10 @@ def test_sentence_ids_are_distinct(spark):
     assert len(ids) == len(set(ids)) == 1500 + 2 + 3 * 1200 * 2 + 1500
 
 
-def test_sentence_ids_fail_rather_than_collide(spark):
-    bench = spark.createDataFrame([(1, "a")], "item_id long, text string")
-    conv = spark.createDataFrame([(0, 1_000_000, "b")], "conv_id long, turn int, text string")
-    with pytest.raises(Exception, match="no room"):
-        fx.sentences_of(bench, conv).collect()
+def test_sentence_ids_have_no_largest_key(spark):
+    bench = spark.createDataFrame([(10**12, "x. y"), (5, "A. " * 1_000_005 + "end"), (5, "A. " * 3 + "end")], "item_id long, text string")
+    conv = spark.createDataFrame([(10**12, 3_000_000_000, "a. b"), (10**12 + 1, 0, "b"), (4_700_000, 7, "c")], "conv_id long, turn long, text string")
+    got = fx.sentences_of(bench, conv).select("sent_id", "text")
+    n = 2 + 1_000_006 + 4 + 4
+    assert got.agg(F.count_distinct("sent_id"), F.min("sent_id"), F.max("sent_id"), F.count("*")).first() == (n, 0, n - 1, n)
+    assert [r.text for r in got.where(F.col("sent_id") >= n - 4).orderBy("sent_id").collect()] == ["c", "a", "b", "b"]

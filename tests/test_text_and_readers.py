@@ -110,3 +110,79 @@ def test_score_matrix_file_names(spark):
     out = rows(rd.read_score_matrix(spark, base).select("model", "metric", "norm", "score", "n_tokens"))
     assert out == [("bert", "verb-PLL", "none", None, None), ("gpt2", "sentence-LL", "average_byNrWords", -2.5, 4),
                    ("gpt2", "sentence-LL", "none", -5.0, 4)]
+
+
+def _files(spark, folder, files):
+    import os
+    os.makedirs(folder, exist_ok=True)
+    for name, lines_ in files.items():
+        with open(os.path.join(folder, name), "w") as f:
+            f.write("".join(x + "\n" for x in lines_))
+    return folder
+
+
+def test_last_line_wins_over_many_split_files(spark):
+    """Part 100000 follows part 99999, whatever the order of paths, and blocks of a file follow their offset."""
+    keys = [f"key{i:03d}" for i in range(60)]
+    parts = {f"part-{n}-x.txt": [f"{k} N\t{n}.{j:03d}" for j in range(40) for k in keys] for n in (99999, 100000, 9, 10)}
+    folder = _files(spark, scratch_path(spark, "parts"), parts)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        raw = rd.lines(spark, folder)
+        assert raw.rdd.getNumPartitions() > 20
+        assert {r.freq for r in rd.read_lemma_pos(spark, folder).collect()} == {100000.039}
+        back = rd.read_numbered_lines(spark, folder)
+        got = [r.line for r in back.orderBy("line_no").collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert got == [x for n in (9, 10, 99999, 100000) for x in parts[f"part-{n}-x.txt"]]
+    assert sorted(r.line_no for r in back.select("line_no").collect()) == list(range(len(got)))
+
+
+def test_vector_header_is_the_first_line(spark):
+    one = {r.word: r.vec for r in rd.read_vectors(spark, _write(spark, "vec1", ["3 1", "3 1", "7 2", "cop 4"])).collect()}
+    assert one == {"3": [1.0], "7": [2.0], "cop": [4.0]}  # only the first of two equal lines is the header
+    many = _files(spark, scratch_path(spark, "vecs"), {"part-10.txt": ["c 5 6"], "part-9.txt": ["a 3 4"], "part-2.txt": ["2 2", "2 2 1"]})
+    assert {r.word: r.vec for r in rd.read_vectors(spark, many).collect()} == {"c": [5.0, 6.0], "a": [3.0, 4.0], "2": [2.0, 1.0]}
+    import pytest
+    with pytest.raises(ValueError):
+        rd.read_vectors(spark, _write(spark, "vec2", ["cop 1 2"]))
+    assert rd.read_vectors(spark, _write(spark, "vec3", [])).collect() == []
+
+
+def test_score_matrix_reads_only_the_folders_asked_for(spark):
+    base = scratch_path(spark, "tree")
+    rows_ = [("007", "m", f"metric{i}", n, i, f"text {i}", i / 2, 4, 2) for i in range(3) for n in ("none", "byNrWords")]
+    df = spark.createDataFrame(rows_, "dataset string, model string, metric string, norm string, id long, text string, score double, n_tokens int, n_words int")
+    rp.write_sentence_scores(df, base)
+    rp.write_word_scores(df.where("id = 1").withColumn("metric", F.lit("word")), base, mode="append")
+    every = rd.read_score_matrix(spark, base)
+    assert {r.dataset for r in every.collect()} == {"007"}
+    assert rows(every.where("metric = 'word'").select("id", "score", "n_tokens")) == [(1, 0.5, None)] * 2
+    one = every.where("metric = 'metric2' and norm = 'none'")
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "metric2" in plan[plan.index("PartitionFilters"):].split("\n")[0]
+    assert rows(one.select("id", "score", "n_words")) == [(2, 1.0, 2)]
+    assert len(one.inputFiles()) == len(every.inputFiles()) or one.count() == 1
+
+
+def test_ordered_reports_keep_their_order_over_files(spark):
+    df = spark.range(500).selectExpr("(id * 7919) % 500 as k", "concat('line ', (id * 7919) % 500) as t").repartition(5)
+    path = rp.write_ordered(df, F.col("t"), ["k"], scratch_path(spark, "ordered"))
+    back = rd.read_numbered_lines(spark, path)
+    assert rows(back) == [(i, f"line {i}") for i in range(500)]
+
+
+def test_dropped_candidates_are_observed(spark):
+    from pyspark.sql import Observation
+
+    from eventfit.plans import thematic as tf
+    bigrams = spark.createDataFrame([("a@N@OBJ", "v@V@ROOT", 2.0), ("b@N@OBJ", "v@V@ROOT", 1.0), ("c@N@OBJ", "u@V@ROOT", 1.0)],
+                                    "a1 string, a2 string, freq double")
+    freqs = spark.createDataFrame([("a@N", 2.0), ("v@V", 3.0)], "lemma_pos string, freq double")
+    probes = spark.createDataFrame([("v@V@ROOT", "OBJ"), ("u@V@ROOT", "OBJ")], "w string, t_role string")
+    seen = (Observation("p"), Observation("c"))
+    lists = tf.filler_lists(probes, tf.TFInputs(None, bigrams, freqs, None), tf.TFParams(), seen)
+    assert [r.filler for r in lists.collect()] == ["a@N"]
+    assert seen[0].get == {"seen": 2, "dropped": 1} and seen[1].get == {"seen": 2, "dropped": 1}
