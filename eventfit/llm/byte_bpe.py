@@ -14,6 +14,7 @@ from __future__ import annotations
 import heapq
 import json
 import re
+from collections import ChainMap
 from collections.abc import Iterator
 from dataclasses import astuple, dataclass
 
@@ -307,23 +308,24 @@ class Encoder:
             joined = self.find.sub(lambda m: self.marks[m[0]], joined)
         mark, found, buffer = end.encode("utf-8", "surrogatepass"), [], []
         for words in split_words(joined, self.v.classes):
+            met = set(words)
+            if len(self.known) > REMEMBERED:  # words that are still in use stay
+                self.known = self.fixed | {w: self.known[w] for w in met & self.known.keys()}
             known = self.known
-            if len(known) > REMEMBERED:
-                known = self.known = dict(self.fixed)
-            new = list(set(words) - known.keys())
+            new = list(met - known.keys())
             here = dict(zip(new, encode_words(new, self.v), strict=True))
             known.update((w, ids) for w, ids in here.items() if len(w) <= REMEMBERED_BYTES)
-            here = known if all(len(w) <= REMEMBERED_BYTES for w in new) else known | here
+            look = known.__getitem__ if max(map(len, new), default=0) <= REMEMBERED_BYTES else ChainMap(here, known).__getitem__
             at = 0
             while True:
                 try:
                     to = words.index(mark, at)
                 except ValueError:
                     break
-                buffer += [here[w] for w in words[at:to]]
+                buffer.append(b"".join(map(look, words[at:to])))
                 found.append(np.frombuffer(b"".join(buffer), "<i4"))
                 buffer, at = [], to + 1
-            buffer.append(b"".join([here[w] for w in words[at:]]))
+            buffer.append(b"".join(map(look, words[at:])))
         return found
 
 

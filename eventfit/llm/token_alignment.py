@@ -14,8 +14,11 @@ pairs are shuffled to be counted and to fetch the corpus-wide counts.
 from __future__ import annotations
 
 import re
+from array import array
+from collections import ChainMap
 from collections.abc import Iterator
 from dataclasses import astuple
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,43 +29,47 @@ from pyspark.sql import functions as F
 from .byte_bpe import Encoder, Vocabulary, vocabulary
 from .common import settle, slices
 
-#: Characters of a part (a single longer text forms its own), and of a text that are given to the piece library at once.
-PART_CHARS, PIECE_CHARS = 4_000_000, 1_000_000
+#: Characters of a part; a single longer text forms its own.
+PART_CHARS = 2_000_000
+#: Words whose pieces a task remembers, and the longest that it does.
+REMEMBERED, REMEMBERED_CHARS = 150_000, 48
+#: Tokens that the first probe of a stretch compares; the end of a stretch is found among so many one by one.
+FIRST_PROBE = 8
 
 PART_SCHEMA = ("part long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups string, "
-               "pair_at array<int>, pair_n array<int>, a array<int>, b array<int>, n array<long>")
+               "pair_at array<int>, a array<int>, b array<int>, n array<long>")
 _ARROW = pa.schema([*((c, pa.int64()) for c in ("part", "doc_id", "n_a", "n_b", "n_groups", "n_links")), ("groups", pa.string()),
-                    *((c, pa.list_(pa.int32())) for c in ("pair_at", "pair_n", "a", "b")), ("n", pa.list_(pa.int64()))])
+                    *((c, pa.list_(pa.int32())) for c in ("pair_at", "a", "b")), ("n", pa.list_(pa.int64()))])
 
 
-def align(ends_a: list[int], ends_b: list[int]) -> tuple[list[tuple[int, int, int, int]], list[int], list[int]]:
-    """Groups and links of two ascending end arrays with the same last end.
+def align(ends_a: list[int], ends_b: list[int]) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int, int]], list[int], list[int]]:
+    """One-to-one stretches and irregular groups of two ascending end arrays with the same last end.
 
-    A group is ``(i, i_end, j, j_end)``; a one-to-one stretch is a single entry
-    whose two sides are equally long and whose tokens pair up in order, told
-    from an irregular group by equal ends. The links are two lists of places.
+    A stretch is ``(i, j, length)``: its tokens pair up in order. An irregular
+    group is ``(i, i_end, j, j_end)``; the places of its overlapping tokens
+    are appended to the two lists that come last.
     """
-    groups, left, right = [], [], []
+    runs, odd, left, right = [], [], [], []
     i = j = 0
     n, m = len(ends_a), len(ends_b)
     while i < n:
-        i0, j0, k = i, j, 1
-        most = min(n - i, m - j)
-        # the probe doubles while the ends agree at this shift, then halves to the first that differs
-        while k <= most and ends_a[i:i + k] == ends_b[j:j + k]:
-            i, j, most = i + k, j + k, most - k
+        # the probe doubles while the ends agree at this shift, and halves again down to the first size
+        i0, j0, k = i, j, FIRST_PROBE
+        while i + k <= n and j + k <= m and ends_a[i:i + k] == ends_b[j:j + k]:
+            i, j = i + k, j + k
             k *= 2
-        while k > 1:
+        while k > FIRST_PROBE:
             k //= 2
-            if k <= most and ends_a[i:i + k] == ends_b[j:j + k]:
-                i, j, most = i + k, j + k, most - k
+            if i + k <= n and j + k <= m and ends_a[i:i + k] == ends_b[j:j + k]:
+                i, j = i + k, j + k
+        while i < n and j < m and ends_a[i] == ends_b[j]:
+            i, j = i + 1, j + 1
         if i > i0:
-            groups.append((i0, i, j0, j))
-            left += range(i0, i)
-            right += range(j0, j)
-            if i == n:
-                break
-            i0, j0 = i, j
+            runs.append((i0, j0, i - i0))
+        if i == n:
+            break
+        # an irregular group: the side that is behind goes on until both end at the same byte
+        i0, j0 = i, j
         x, y = ends_a[i], ends_b[j]
         left.append(i)
         right.append(j)
@@ -76,19 +83,49 @@ def align(ends_a: list[int], ends_b: list[int]) -> tuple[list[tuple[int, int, in
             left.append(i)
             right.append(j)
         i, j = i + 1, j + 1
-        groups.append((i0, i, j0, j))
-    return groups, left, right
+        odd.append((i0, i, j0, j))
+    return runs, odd, left, right
 
 
-def groups_text(groups: list[tuple[int, int, int, int]], a: list[str], b: list[str], ends_a: list[int], ends_b: list[int]) -> tuple[str, int]:
-    """``a1,a2|b1;a3|b2,b3`` and the number of groups."""
-    out: list[str] = []
-    for i, i_end, j, j_end in groups:
-        if i_end - i == j_end - j and ends_a[i] == ends_b[j]:
-            out += [f"{x}|{y}" for x, y in zip(a[i:i_end], b[j:j_end], strict=True)]
-        else:
-            out.append(f"{','.join(a[i:i_end])}|{','.join(b[j:j_end])}")
-    return ";".join(out), len(out)
+def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The numbers ``start, start + 1, ...`` of each range, one after the other."""
+    return np.repeat(starts - np.r_[0, np.cumsum(lengths)[:-1]], lengths) + np.arange(lengths.sum())
+
+
+def group_ends(runs: list, odd: list) -> tuple[np.ndarray, np.ndarray]:
+    """For every group in order where it ends, in both sequences."""
+    r = np.array(runs, np.int64).reshape(-1, 3)
+    o = np.array(odd, np.int64).reshape(-1, 4)
+    ends = [np.sort(np.concatenate([_ranges(r[:, c] + 1, r[:, 2]), o[:, 2 * c + 1]])) for c in (0, 1)]
+    return ends[0], ends[1]
+
+
+def links(runs: list, left: list[int], right: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """The places of all linked tokens: those of the stretches, then those of the irregular groups."""
+    r = np.array(runs, np.int64).reshape(-1, 3)
+    return tuple(np.concatenate([_ranges(r[:, c], r[:, 2]), np.array(odd, np.int64)]) for c, odd in ((0, left), (1, right)))
+
+
+class GroupWriter:
+    """Writes groups as ``a1,a2|b1;a3|b2,b3``, the digits of all ids at once."""
+
+    def __init__(self, n_ids: int):
+        self.width = len(str(n_ids))
+        self.sizes = np.array([len(str(i)) for i in range(n_ids)])
+        self.digits = np.frombuffer("".join(str(i).ljust(self.width + 1) for i in range(n_ids)).encode(), np.uint8).reshape(n_ids, -1)
+
+    def text(self, a: np.ndarray, b: np.ndarray, ends_a: np.ndarray, ends_b: np.ndarray) -> str:
+        """The text of the groups that end before ``ends_a`` and ``ends_b``."""
+        n = len(a) + len(b)
+        # an A token comes after the B tokens of earlier groups, a B token after the A tokens up to its own group
+        at_a = np.arange(len(a)) + np.repeat(np.r_[0, ends_b[:-1]], np.diff(np.r_[0, ends_a]))
+        at_b = np.arange(len(b)) + np.repeat(ends_a, np.diff(np.r_[0, ends_b]))
+        ids, after = np.empty(n, np.int64), np.full(n, ord(","), np.uint8)
+        ids[at_a], ids[at_b] = a, b
+        after[at_a[ends_a - 1]], after[at_b[ends_b - 1]] = ord("|"), ord(";")
+        table, size = self.digits[ids], self.sizes[ids]
+        table[np.arange(n), size] = after
+        return table[np.arange(self.width + 1) <= size[:, None]].tobytes()[:-1].decode()
 
 
 class PieceEncoder:
@@ -101,37 +138,45 @@ class PieceEncoder:
         pieces = [self.sp.id_to_piece(i) for i in range(self.sp.get_piece_size())]
         self.bytes = [bytes([int(p[3:5], 16)]) if self.sp.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.sizes = np.array([len(p) for p in self.bytes], np.int64)
-        # where no piece reaches across a blank, a long text may be cut there; the blank comes back as the one the model adds
+        self.starts, self.flat = np.r_[0, np.cumsum(self.sizes)[:-1]], np.frombuffer(b"".join(self.bytes), np.uint8)
+        # where no piece reaches across a blank, texts may be cut there; the blank comes back as the one the model adds
         self.cut = None if any("▁" in p.lstrip("▁") for p in pieces) else re.compile("(?<=[^ ▁]) (?=[^ ▁])")
+        self.known: dict[str, bytes] = {}
+
+    def spells(self, ids: np.ndarray, text: bytes) -> bool:
+        """Whether the bytes of the pieces give the text."""
+        sizes = self.sizes[ids]
+        return int(sizes.sum()) == len(text) and bool((self.flat[_ranges(self.starts[ids], sizes)] == np.frombuffer(text, np.uint8)).all())
 
-    def blocks(self, text: str) -> list[str]:
-        found, at = [], 0
-        while self.cut and len(text) - at > PIECE_CHARS:
-            hit = self.cut.search(text, at + PIECE_CHARS)
-            if not hit:
-                break
-            found.append(text[at:hit.start()])
-            at = hit.end()
-        return [*found, text[at:]]
+    def words(self, text: str) -> list[str]:
+        """The text cut at its single blanks, where no piece reaches across."""
+        if not self.cut:
+            return [text]
+        plain = "  " not in text and "▁" not in text and text[:1] != " " and text[-1:] != " "
+        return text.split(" ") if plain else self.cut.split(text)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if all(len(t) <= PIECE_CHARS for t in texts):
-            return [np.array(ids, np.int64) for ids in self.sp.encode(texts, num_threads=1)]
-        return [np.concatenate([np.array(self.sp.encode(b, num_threads=1), np.int64) for b in self.blocks(t)]) for t in texts]
+        """The ids of each text; words met before are not encoded again."""
+        cut = [self.words(t) for t in texts]
+        here = set(chain.from_iterable(cut))
+        if len(self.known) > REMEMBERED:
+            self.known = {w: self.known[w] for w in here & self.known.keys()}
+        new = list(here - self.known.keys())
+        coded = {w: array("i", ids).tobytes() for w, ids in zip(new, self.sp.encode(new, num_threads=1), strict=True)}
+        self.known.update((w, ids) for w, ids in coded.items() if len(w) <= REMEMBERED_CHARS)
+        look = ChainMap(coded, self.known).__getitem__ if any(len(w) > REMEMBERED_CHARS for w in new) else self.known.__getitem__
+        return [np.frombuffer(b"".join(map(look, ws)), np.intc).astype(np.int64) for ws in cut]
 
 
 class _Part:
     """The rows of a part and its distinct pairs."""
 
     def __init__(self, number: int):
-        self.number, self.rows, self.keys, self.counts, self.chars = number, [], [], [], 0
+        self.number, self.rows, self.links, self.chars = number, [], [], 0
 
     def batch(self) -> pa.RecordBatch:
-        sizes = [len(k) for k in self.keys]
-        keys, at = np.unique(np.concatenate([np.zeros(0, np.int64), *self.keys]), return_inverse=True)
-        counts = np.concatenate([np.zeros(0, np.int64), *self.counts])
-        total = np.bincount(at, weights=counts, minlength=len(keys)).astype(np.int64)
-        cuts = np.cumsum([0, *sizes])
+        keys, at, total = np.unique(np.concatenate([np.zeros(0, np.int64), *self.links]), return_inverse=True, return_counts=True)
+        cuts = np.cumsum([0, *map(len, self.links)])
 
         def lists(values: np.ndarray, offsets, kind) -> pa.Array:
             return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, kind))
@@ -140,11 +185,10 @@ class _Part:
         n, own = len(self.rows), [0] * len(self.rows)
         rows = pa.RecordBatch.from_arrays([
             pa.array([self.number] * n, pa.int64()), *(pa.array(c, pa.int64()) for c in doc[:5]), pa.array(doc[5], pa.string()),
-            lists(at, cuts, pa.int32()), lists(counts, cuts, pa.int32()), *(lists([], [*own, 0], pa.int32()) for _ in range(2)), lists([], [*own, 0], pa.int64())],
-            schema=_ARROW)
+            lists(at, cuts, pa.int32()), *(lists([], [*own, 0], pa.int32()) for _ in range(2)), lists([], [*own, 0], pa.int64())], schema=_ARROW)
         none = pa.nulls(1, pa.int64())
         pairs = pa.RecordBatch.from_arrays([
-            pa.array([self.number], pa.int64()), *[none] * 5, pa.nulls(1, pa.string()), *(pa.nulls(1, pa.list_(pa.int32())) for _ in range(2)),
+            pa.array([self.number], pa.int64()), *[none] * 5, pa.nulls(1, pa.string()), pa.nulls(1, pa.list_(pa.int32())),
             lists(keys >> 32, [0, len(keys)], pa.int32()), lists(keys & 0xFFFFFFFF, [0, len(keys)], pa.int32()), lists(total, [0, len(keys)], pa.int64())], schema=_ARROW)
         return pa.Table.from_batches([rows, pairs]).combine_chunks().to_batches()[0]
 
@@ -153,7 +197,7 @@ def _aligner(v, model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         byte_encoder, pieces = Encoder(Vocabulary(*v.value)), PieceEncoder(model.value)
         sizes_a = np.array([len(p) for p in byte_encoder.v.pieces], np.int64)
-        names = [str(i) for i in range(max(len(sizes_a), len(pieces.sizes)))]
+        writer = GroupWriter(max(len(sizes_a), len(pieces.sizes)))
         first = TaskContext.get().partitionId() << 32
         part = _Part(first)
         for rows in slices(batches):
@@ -164,22 +208,18 @@ def _aligner(v, model):
             coded = zip(rows.column("doc_id").to_pylist(), texts, byte_encoder.encode([" " + t for t in texts]), pieces.encode(texts), strict=True)
             for doc_id, text, a, b in coded:
                 want = b" " + text.encode()
-                b_list = b.tolist()
-                if not text or b"".join(map(pieces.bytes.__getitem__, b_list)) != want:
+                if not text or not pieces.spells(b, want):
                     part.rows.append((doc_id, 0, 0, 0, 0, ""))
-                    part.keys.append(np.zeros(0, np.int64))
-                    part.counts.append(np.zeros(0, np.int64))
+                    part.links.append(np.zeros(0, np.int64))
                     continue
-                a_list = a.tolist()
-                if b"".join(map(byte_encoder.v.pieces.__getitem__, a_list)) != want:
-                    raise ValueError("byte-level ids must give back the text")
-                ends_a, ends_b = np.cumsum(sizes_a[a]).tolist(), np.cumsum(pieces.sizes[b]).tolist()
-                groups, left, right = align(ends_a, ends_b)
-                told, n_groups = groups_text(groups, list(map(names.__getitem__, a_list)), list(map(names.__getitem__, b_list)), ends_a, ends_b)
-                key, n = np.unique(a[left].astype(np.int64) << 32 | b[right], return_counts=True)
-                part.rows.append((doc_id, len(a), len(b), n_groups, len(left), told))
-                part.keys.append(key)
-                part.counts.append(n)
+                ends_a, ends_b = np.cumsum(sizes_a[a]), np.cumsum(pieces.sizes[b])
+                if ends_a[-1] != len(want):  # byte-level ids give back every text
+                    raise ValueError("byte-level ids must cover the text")
+                runs, odd, left, right = align(ends_a.tolist(), ends_b.tolist())
+                groups_a, groups_b = group_ends(runs, odd)
+                at_a, at_b = links(runs, left, right)
+                part.rows.append((doc_id, len(a), len(b), len(groups_a), len(at_a), writer.text(a, b, groups_a, groups_b)))
+                part.links.append(a[at_a].astype(np.int64) << 32 | b[at_b])
             part.chars += sum(map(len, texts))
         if part.rows:
             yield part.batch()
@@ -190,8 +230,8 @@ def _aligner(v, model):
 def aligned_parts(docs: DataFrame, byte_file: str, piece_file: str) -> DataFrame:
     """Rows of two kinds, by part: documents with their groups, and one row per part with its distinct pairs.
 
-    A document row has its counts, ``groups`` as text, and ``pair_at``/``pair_n``:
-    numbers of the part's pairs that it links, and how often. A part row (``a``
+    A document row has its counts, ``groups`` as text, and ``pair_at``: of each of
+    its links the number of the pair in its part. A part row (``a``
     is not null and ``n_a`` is) lists the pairs ``a``, ``b`` with their number
     ``n`` in the part. Numbers of parts are those of one run: write the result
     before it is read twice.
@@ -218,10 +258,10 @@ def _scorer(key, docs: pa.Table, found: pa.Table) -> pa.Table:
     if len(found):
         k = found.column("k").to_numpy()
         links[k], best[k] = found.column("links").to_numpy(), found.column("is_best").to_numpy(zero_copy_only=False)
-    at, times = docs.column("pair_at").combine_chunks(), docs.column("pair_n").combine_chunks()
-    flat, n = at.flatten().to_numpy(), times.flatten().to_numpy().astype(np.int64)
+    at = docs.column("pair_at").combine_chunks()
+    flat = at.flatten().to_numpy()
     ends = np.cumsum([0, *pa.compute.list_value_length(at).to_pylist()])
-    sums = [np.r_[0, np.cumsum(v)] for v in (n * best[flat], n * links[flat])] if len(flat) else [np.zeros(1, np.int64)] * 2
+    sums = [np.r_[0, np.cumsum(v[flat], dtype=np.int64)] for v in (best, links)]
     out = docs.select(["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256"])
     for name, s in zip(("n_best", "count_sum"), sums, strict=True):
         out = out.append_column(name, pa.array(s[ends[1:]] - s[ends[:-1]], pa.int64()))
@@ -238,13 +278,13 @@ def align_documents(docs: DataFrame, byte_file: str, piece_file: str) -> DataFra
     null or repeated, each row is answered and counted; ties for an id's
     highest count are all best; other columns, also of clashing names, are
     ignored; an empty table gives an empty result. A very long text is encoded
-    in windows and forms a part of its own, which one task holds.
+    word by word and forms a part of its own, which one task holds.
     """
     parts = aligned_parts(docs, byte_file, piece_file)
     parts = settle(parts.withColumn("groups_sha256", F.when(F.col("groups") == "", "").otherwise(F.sha2(F.col("groups").cast("binary"), 256))).drop("groups"), "aligned")
     counts = pair_counts(parts)
     numbered = parts.where("n_a is null").select("part", F.posexplode(F.arrays_zip("a", "b")).alias("k", "p")).select("part", "k", "p.a", "p.b")
     found = numbered.join(counts, ["a", "b"]).select(F.col("part").alias("of_part"), "k", "links", "is_best")
-    rows = parts.where("n_a is not null").select("part", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pair_at", "pair_n")
+    rows = parts.where("n_a is not null").select("part", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pair_at")
     schema = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, n_best long, count_sum long"
     return rows.groupBy("part").cogroup(found.groupBy("of_part")).applyInArrow(_scorer, schema)

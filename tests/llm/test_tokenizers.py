@@ -139,18 +139,28 @@ def brute_documents(texts):
             if f else (0, 0, 0, 0, 0, 0, "") for f in found]
 
 
-@settings(max_examples=300, deadline=None)
-@given(st.sets(st.integers(1, 60), max_size=30), st.sets(st.integers(1, 60), max_size=30))
-def test_align_equals_common_ends(x, y):
-    ends_a, ends_b = sorted({*x, 61}), sorted({*y, 61})
-    groups, left, right = token_alignment.align(ends_a, ends_b)
-    flat = []
-    for i, i_end, j, j_end in groups:
-        one = i_end - i == j_end - j and ends_a[i] == ends_b[j]
-        flat += [(k + 1, j + k - i + 1) for k in range(i, i_end)] if one else [(i_end, j_end)]
-    assert flat == [(ends_a.index(c) + 1, ends_b.index(c) + 1) for c in sorted(set(ends_a) & set(ends_b))]
+@settings(max_examples=400, deadline=None)
+@given(st.sets(st.integers(1, 90), max_size=60), st.sets(st.integers(1, 90), max_size=60), st.sampled_from([1, 2, 8]), st.booleans())
+def test_align_equals_common_ends(x, y, probe, near):
+    y = (x | {v for v in y if v % 9 == 0}) - {v for v in y if v % 11 == 0} if near else y
+    ends_a, ends_b = sorted({*x, 91}), sorted({*y, 91})
+    token_alignment.FIRST_PROBE, before = probe, token_alignment.FIRST_PROBE
+    try:
+        runs, odd, left, right = token_alignment.align(ends_a, ends_b)
+    finally:
+        token_alignment.FIRST_PROBE = before
+    groups = token_alignment.group_ends(runs, odd)
+    common = sorted(set(ends_a) & set(ends_b))
+    assert [g.tolist() for g in groups] == [[ends.index(c) + 1 for c in common] for ends in (ends_a, ends_b)]
     spans = [[(s, e) for s, e in zip([0, *ends], ends, strict=False)] for ends in (ends_a, ends_b)]
-    assert sorted(zip(left, right, strict=True)) == [(i, j) for i, (s, e) in enumerate(spans[0]) for j, (p, q) in enumerate(spans[1]) if max(s, p) < min(e, q)]
+    got = sorted(zip(*(p.tolist() for p in token_alignment.links(runs, left, right)), strict=True))
+    assert got == [(i, j) for i, (s, e) in enumerate(spans[0]) for j, (p, q) in enumerate(spans[1]) if max(s, p) < min(e, q)]
+    a, b = [7 * i for i in range(len(ends_a))], [10**i % 9973 for i in range(len(ends_b))]
+    text, low = [], (0, 0)
+    for i, j in zip(*(g.tolist() for g in groups), strict=True):
+        text.append(f"{','.join(map(str, a[low[0]:i]))}|{','.join(map(str, b[low[1]:j]))}")
+        low = (i, j)
+    assert token_alignment.GroupWriter(10_000).text(np.array(a), np.array(b), *groups) == ";".join(text)
 
 
 def alignment_rows(df):
@@ -169,12 +179,15 @@ def test_align_documents(spark, monkeypatch, part_chars):
     assert token_alignment.align_documents(docs.limit(0), BYTES, PIECES).collect() == []
 
 
-def test_long_texts_are_cut_for_the_piece_model(monkeypatch):
+def test_words_give_the_pieces_of_the_text(monkeypatch):
     with open(PIECES, "rb") as f:
         encoder = token_alignment.PieceEncoder(f.read())
-    monkeypatch.setattr(token_alignment, "PIECE_CHARS", 50)
-    for text in [*filter(None, ODD), "some words  and   more of them " * 40, "x" * 200 + " y"]:
-        assert encoder.encode([text])[0].tolist() == SP.encode(text)
+    r = random.Random(8)
+    texts = [*filter(None, ODD), "", "some words  and   more of them " * 40, "x" * 200 + " y",
+             *("".join(r.choice([*ALPHABET, " ", " a", "the ", "▁", "  "]) for _ in range(60)) for _ in range(2000))]
+    monkeypatch.setattr(token_alignment, "REMEMBERED", 500)
+    for k in range(0, len(texts), 50):
+        assert [ids.tolist() for ids in encoder.encode(texts[k:k + 50])] == SP.encode(texts[k:k + 50])
 
 
 def test_alignment_query(spark):
