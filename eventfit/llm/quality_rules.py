@@ -169,16 +169,21 @@ def rate_documents(docs: DataFrame) -> DataFrame:
 
     Returns ``doc_id``, the counts, ``base_failed``, ``outside`` and ``kept``.
     Null and empty texts have no words and fail the base rules; null languages
-    and sources are groups of their own; repeated rows are judged alike; other
-    columns are ignored; an empty table gives an empty result.
+    and sources are groups of their own; a value on a fence is kept; repeated
+    rows are judged alike; a very long text is one row's work; other columns
+    are ignored; an empty table gives an empty result.
     """
     counted = settle(measure(docs.select("doc_id", "text", "lang", "source")).drop("text"), "quality_counts")
     return judge(counted, thresholds(counted)).select("doc_id", "counts.*", "base_failed", "outside", "kept")
 
 
 def filter_documents(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are kept, with all their columns as they were."""
-    plain = docs.select("text", "lang", "source")
-    fences = thresholds(settle(measure(plain).drop("text"), "quality_counts"))
+    """The rows of ``docs`` that are kept, with all their columns as they were.
+
+    Each row is judged by itself, as by ``rate_documents``, whatever its id.
+    Texts are measured once: the counts are written beside their rows, and the
+    thresholds are made from the counts alone.
+    """
     whole = docs.select("text", "lang", "source", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole_row"))
-    return judge(measure(whole), fences).where("kept").select("whole_row.*")
+    counted = settle(measure(whole).drop("text"), "quality_counts")
+    return judge(counted, thresholds(counted)).where("kept").select("whole_row.*")
