@@ -166,8 +166,10 @@ def segment_documents(docs: DataFrame, model_file: str, n: int = N_BEST) -> Data
 
     ``segmentations`` holds up to ``n`` id sequences (little-endian unsigned 32
     bits), best first. Null and empty texts have one empty segmentation of
-    score 0. Null and repeated ids are answered row by row; other columns are
-    ignored; an empty table gives an empty result.
+    score 0. Null and repeated ids are answered row by row; segmentations of
+    equal score come in the order of the search; a very long text is one task's
+    work, word by word; other columns are ignored; an empty table gives an
+    empty result.
     """
     spec = docs.sparkSession.sparkContext.broadcast(load_lattice(model_file))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
@@ -190,7 +192,12 @@ def _decoder(spec, column: str):
 
 
 def decode(segmented: DataFrame, model_file: str, column: str) -> DataFrame:
-    """``segmented`` with the text ``decoded`` from the id sequences of a binary column."""
+    """``segmented`` with the text ``decoded`` from the id sequences of a binary column.
+
+    A null sequence gives a null text, an empty one an empty text; rows with
+    null or repeated ids and other columns stay as they are (a column
+    ``decoded`` must not be among them); an empty table stays empty.
+    """
     spec = segmented.sparkSession.sparkContext.broadcast(load_lattice(model_file))
     schema = StructType([*segmented.schema.fields, StructField("decoded", StringType())])
     return segmented.mapInArrow(_decoder(spec, column), schema)

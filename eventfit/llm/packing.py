@@ -202,8 +202,9 @@ def pack_documents(docs: DataFrame, tokenizer_file: str, pattern: str, limit: in
     """``(pieces, places)``: the written pieces with their ids, and each piece's place.
 
     A null text counts as empty and is one piece of one token. Ids may be
-    null or repeated; every row is packed. Other columns are ignored. An empty table gives
-    empty results. ``sequences`` joins the two to whole sequences.
+    null or repeated; every row is packed. Pieces of equal length come in the
+    order in which they meet. A very long text is encoded by one task and cut.
+    Other columns are ignored. An empty table gives empty results. ``sequences`` joins the two to whole sequences.
     """
     pieces = settle(token_pieces(docs, tokenizer_file, pattern, limit), "pieces")
     places = pack_pieces(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "row_key"), limit)

@@ -165,7 +165,8 @@ def score_documents(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_
     Labels are learnt from ``labels(doc_id, quality)`` for ids whose crc32
     modulo 5 is not 0, from ``max_labelled`` documents at most. Null and empty
     texts have statistics of zero and are scored like any other. Null ids are
-    scored and not held out; repeated rows score alike; other columns are
+    scored and not held out; repeated rows score alike, as do texts of
+    equal statistics; a very long text is one task's work; other columns are
     ignored; an empty table gives an empty result, and without any label every score is 0.5.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")

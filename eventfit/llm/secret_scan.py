@@ -210,7 +210,9 @@ def scan_documents(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFram
     """Every row of ``docs(doc_id, text)`` with ``spans``: ``(start, kind, end)`` by start, then kind.
 
     Null and empty texts have an empty array; null or repeated ids get a row
-    each; other columns are ignored; an empty table gives an empty result.
+    each; spans that begin together come in the order of the kinds; a very long
+    text is one row's work; other columns are ignored; an empty table gives an
+    empty result.
     """
     texts, hits = find_secrets(docs.select("doc_id", "text"), rules)
     keys = texts.select("doc_id", "row_key")

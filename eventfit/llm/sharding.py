@@ -94,6 +94,10 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, buc
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:
-    """Write the shards as folders ``shard=N`` in slot order."""
-    n = max(1, sharded.select("shard").distinct().count())
-    sharded.repartition(n, "shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    """Write the shards as folders ``shard=N`` in slot order, one task a shard.
+
+    Nulls, empty texts, repeated rows and further columns are written as they
+    are; an empty table gives an empty folder.
+    """
+    n = 1 + (sharded.agg(F.max("shard")).first()[0] or 0)
+    sharded.repartitionById(n, F.col("shard").cast("int")).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)

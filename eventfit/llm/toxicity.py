@@ -408,7 +408,9 @@ def score_documents(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_
     5 is not 0, from ``max_labelled`` documents at most; the letter model
     counts all texts. Null and empty texts get the score of a text without
     evidence. Null ids are scored and not held out; repeated rows score
-    alike; other columns are ignored; empty tables give an empty result, and without any
+    alike; of words equally frequent with and without a doubled letter the one
+    as written is kept; a very long text is one task's work, token by token;
+    other columns are ignored; empty tables give an empty result, and without any
     label every score is the prior, 0.01.
     """
     spark = docs.sparkSession

@@ -291,6 +291,23 @@ def test_every_secret_fulfils_its_query(rule):
     check()
 
 
+# ---- writing shards -----------------------------------------------------------------------------------------
+
+
+def test_shards_are_written_one_file_each_in_slot_order(spark, tmp_path):
+    docs = odd_docs(spark, [f"text {i}" for i in range(60)])
+    sharded = sharding.shard_documents(docs, 7, bucket_bytes=400)
+    out = str(tmp_path / "shards")
+    sharding.write_shards(sharded.cache(), out)
+    back = spark.read.parquet(out)
+    assert sorted(map(str, back.select(*sharded.columns).collect())) == sorted(map(str, sharded.collect()))
+    for shard in range(7):
+        files = list((tmp_path / "shards" / f"shard={shard}").glob("*.parquet"))
+        assert len(files) == 1
+        slots = [r.slot for r in spark.read.parquet(str(files[0])).collect()]
+        assert slots == list(range(len(slots)))
+
+
 # ---- quality rules ------------------------------------------------------------------------------------------
 
 def brute_counts(text):
