@@ -805,3 +805,7 @@ ORACLE["word_score_at_marker"] = build("""
 SELECT s.sent_id, round(sum(t.logprob) / s.k, 6) AS score
 FROM spans_m s LEFT JOIN ts_plain_m t ON t.sent_id = s.sent_id AND t.target_pos BETWEEN s.start AND s.start + s.k - 1
 GROUP BY s.sent_id, s.k""", "spans_m", "ts_plain_m")
+
+ORACLE["src_role_lists"] = build("""
+SELECT role, string_agg(raw_rel, ',' ORDER BY raw_rel) AS raws, CAST(count(*) AS INTEGER) AS n FROM role_map GROUP BY role""", "role_map")
+ORACLE["src_pair_sum"] = build("SELECT w1, w2, freq, (SELECT sum(freq) FROM pairs) AS n_total FROM pairs", "pairs")

@@ -641,13 +641,23 @@ def q_src_role_items(spark, sf_dir):
     return rd.read_role_items(spark, path)
 
 
-@query("src_role_map")
-def q_src_role_map(spark, sf_dir):
+def _role_file(spark, sf_dir) -> str:
     path = scratch_path(spark, "src_role_map")
     rm = cat.role_map(spark, sf_dir)
     by_role = rm.groupBy("role").agg(F.array_join(F.sort_array(F.collect_list("raw_rel")), ",").alias("raws"))
     rp.write_lines(by_role, F.concat_ws(" ", "role", "raws"), path)
-    return rd.read_role_map(spark, path)
+    return path
+
+
+@query("src_role_map")
+def q_src_role_map(spark, sf_dir):
+    return rd.read_role_map(spark, _role_file(spark, sf_dir))
+
+
+@query("src_role_lists")
+def q_src_role_lists(spark, sf_dir):
+    """S3 forward: the raw labels of each role."""
+    return rd.read_role_lists(spark, _role_file(spark, sf_dir)).select("role", F.array_join("raws", ",").alias("raws"), F.size("raws").alias("n"))
 
 
 @query("src_triples_mapped")
@@ -683,6 +693,15 @@ def q_src_lemma_sum(spark, sf_dir):
     return df.select(F.array_join("words", " ").alias("word"), "freq", "n_total")
 
 
+@query("src_pair_sum")
+def q_src_pair_sum(spark, sf_dir):
+    """S6 with keys of two words: every pair on two lines, which are added."""
+    path = scratch_path(spark, "src_pair_sum")
+    halves = cat.pairs(spark, sf_dir).select("w1", "w2", F.explode(F.array(F.col("freq") - 2, F.lit(2.0))).alias("c"))
+    rp.write_lines(halves, F.concat(F.concat_ws(" ", "w1", "w2"), F.lit("\t"), F.col("c").cast("string")), path, compression="gzip")
+    return rd.read_lemma_sum(spark, path).select(F.get("words", F.lit(0)).alias("w1"), F.get("words", F.lit(1)).alias("w2"), "freq", "n_total")
+
+
 def raw_bigrams(spark, sf_dir):
     """Bigrams with raw relation labels (before mapping): subject-verb for
     subject labels and verb-filler for the others."""

@@ -73,6 +73,15 @@ def read_role_map(spark: SparkSession, path: str) -> DataFrame:
     return inv.groupBy("raw_rel").agg(F.max_by("role", "ord").alias("role"))
 
 
+def read_role_lists(spark: SparkSession, path: str) -> DataFrame:
+    """S3 forward: ``(role, raws array<string>)`` as listed; a role on a later
+    line again is given by that line."""
+    tok = F.split(F.trim(F.col("line")), r"\s+")
+    df = lines(spark, path).where(F.trim("line") != "").select(
+        F.element_at(tok, 1).alias("role"), F.split(F.element_at(tok, 2), ",").alias("raws"), "ord")
+    return df.groupBy("role").agg(F.max_by("raws", "ord").alias("raws"))
+
+
 def read_triples(spark: SparkSession, path: str, role_map: DataFrame, min_freq: float = 0.0) -> DataFrame:
     """``head dep rel \\t freq`` -> ``(head, dep, role, freq)``: minimum
     frequency at the scan, raw relation mapped (unmapped dropped; the map is
