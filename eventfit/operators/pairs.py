@@ -1,14 +1,14 @@
-"""Windowed pair counts with a minimum frequency (A13), in two passes over the pairs.
+"""Windowed pair counts with a minimum frequency.
 
 Tokens are read once: those of the vocabulary get integer ids and go, with
 their positions, to bounded chunks of their document; a token near a chunk's
-beginning also goes to the chunk before. The chunks are written, and both
-passes make the pairs from them without a shuffle.
+beginning also goes to the chunk before. Pairs are made inside the chunks and
+counted as one integer each.
 
-The first pass counts the pairs in a sketch, one row of a count-min sketch
-whose partial counts of all tasks add up: a bucket's count is an upper bound
-for each of its pairs. The second pass counts exactly, and only pairs whose
-bucket reaches the minimum are shuffled.
+Where most pairs are rare, a first pass can count them in a sketch, one row of
+a count-min sketch whose partial counts of all tasks add up: a bucket's count
+is an upper bound for each of its pairs. The second pass then counts exactly,
+and only pairs whose bucket reaches the minimum are shuffled.
 """
 
 from __future__ import annotations
@@ -45,6 +45,8 @@ def chunk_arrays(toks: DataFrame, ids: DataFrame, window: int, chunk: int) -> Da
     near = ((F.col("pos") % chunk) < window) & (F.col("pos") >= chunk)
     t = toks.select("doc_id", "pos", F.col("tok").alias("word")).join(ids, "word")
     t = t.select("doc_id", "pos", "k", F.explode(F.when(near, F.array(c, c - 1)).otherwise(F.array(c))).alias("chunk"))
+    # a number of its own: the pairs are made behind this shuffle, which its small size does not show
+    t = t.repartition(int(toks.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id", "chunk")
     return t.groupBy("doc_id", "chunk").agg(F.sort_array(F.collect_list(F.struct("pos", "k"))).alias("z")).drop("doc_id")
 
 
@@ -85,21 +87,25 @@ def surviving(keys: DataFrame, bitmap: DataFrame, buckets: int) -> DataFrame:
 
 
 def window_pair_counts(toks: DataFrame, vocab: DataFrame | None = None, window: int = 10,
-                       min_freq: int = 1, chunk: int = 1024) -> DataFrame:
+                       min_freq: int = 1, chunk: int = 1024, sketch: bool = False) -> DataFrame:
     """Ordered pairs ``(w1, w2)`` with ``w2`` at most ``window`` tokens
     after ``w1`` in the same document, counted from ``min_freq`` on.
 
     Tokens outside ``vocab`` (all words if it is None) are dropped *before* the
-    pairs are made, keeping their positions. A sketch is only made where it
-    can tell pairs apart, that is, where ``min_freq`` is over 1 and its buckets
-    are not all full on average; the counts are the same without it.
+    pairs are made, keeping their positions. With ``sketch`` rare pairs are not
+    shuffled as pairs; it pays where they are most of all occurrences. A sketch
+    is only made where it can tell pairs apart, that is, where ``min_freq`` is
+    over 1 and its buckets are not all full on average. The counts are the
+    same without it.
     """
     chunk = max(chunk, window)  # a partner must lie in the same or the next chunk
     words = toks.select(F.col("tok").alias("word")) if vocab is None else vocab
     ids = word_ids(words)
-    chunks = _written(chunk_arrays(toks, ids, window, chunk), "chunks")
+    chunks = chunk_arrays(toks, ids, window, chunk)
     keys = pair_keys(chunks, window, chunk)
-    if min_freq > 1:
+    if sketch and min_freq > 1:
+        chunks = _written(chunks, "chunks")
+        keys = pair_keys(chunks, window, chunk)
         pairs = window * (chunks.agg(F.sum(F.size("z"))).first()[0] or 0)
         buckets = buckets_for(pairs)
         if pairs < buckets * min_freq:

@@ -33,7 +33,8 @@ def brute(toks, window, min_freq):
 @pytest.mark.parametrize("min_freq", [1, 2, 5])
 def test_counts_equal_brute_force(spark, toks, monkeypatch, most, min_freq):
     monkeypatch.setattr(pr, "MOST_BUCKETS", most)
-    assert rows(pr.window_pair_counts(toks, None, 6, min_freq, chunk=64)) == brute(toks, 6, min_freq)
+    for sketch in (False, True):
+        assert rows(pr.window_pair_counts(toks, None, 6, min_freq, chunk=64, sketch=sketch)) == brute(toks, 6, min_freq)
 
 
 @pytest.mark.parametrize("buckets", [64 * 1024, 128 * 1024])
@@ -52,7 +53,7 @@ def test_overfull_buckets_still_give_exact_counts(spark, toks, monkeypatch):
     monkeypatch.setattr(pr, "LEAST_BUCKETS", 1 << 16)
     monkeypatch.setattr(pr, "MOST_BUCKETS", 1 << 16)
     monkeypatch.setattr(pr, "bucket_of", lambda key, buckets: F.xxhash64(key).bitwiseAND(F.lit(255)))
-    assert rows(pr.window_pair_counts(toks, None, 6, 5, chunk=64)) == brute(toks, 6, 5)
+    assert rows(pr.window_pair_counts(toks, None, 6, 5, chunk=64, sketch=True)) == brute(toks, 6, 5)
 
 
 def test_tokens_are_scanned_once(spark, toks):
