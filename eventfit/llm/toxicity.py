@@ -314,32 +314,50 @@ def _slice_words(part: pa.RecordBatch, restorer: Restorer, known: dict) -> Itera
         yield out
 
 
-def _term_counter(model):
+def _restored(model):
+    """The distinct restored words of each text, one a line (no word holds white space)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restorer, known, ids = Restorer(*model.value), {}, {}
-        toxic, held = np.zeros(TERMS, np.int32), np.zeros(TERMS, np.int32)
+        restorer, known = Restorer(*model.value), {}
+        schema = pa.schema([("doc_id", pa.int64()), ("y", pa.int32()), ("words", pa.string())])
         for part in slices(batches):
-            for words, y in zip(_slice_words(part, restorer, known), part.column("y").to_pylist(), strict=True):
-                if len(ids) > REMEMBERED:
-                    ids.clear()
-                terms = set()
-                for w in words:
-                    t = ids.get(w)
-                    if t is None:
-                        t = ids[w] = term_ids(w)
-                    terms.update(t)
-                at = np.fromiter(terms, np.int64, len(terms))
-                held[at] += 1
-                toxic[at] += y
-        hit = np.flatnonzero(held)
-        yield pa.RecordBatch.from_arrays([pa.array(hit, pa.int64()), pa.array(toxic[hit], pa.int64()), pa.array(held[hit], pa.int64())],
-                                         names=["term", "toxic", "held"])
+            words = pa.array(["\n".join(w) for w in _slice_words(part, restorer, known)], pa.string())
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("y"), words], schema=schema)
 
     return run
 
 
-def _evidence(model, table):
-    """Features of each text; a training row (``y`` not null) is left out of the shares it is judged by."""
+def _written_words(part: pa.RecordBatch) -> Iterator[set]:
+    """The word sets that ``_restored`` wrote."""
+    for words in part.column("words").to_pylist():
+        yield set(words.split("\n")) if words else set()
+
+
+def _term_counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    ids: dict = {}
+    toxic, held = np.zeros(TERMS, np.int32), np.zeros(TERMS, np.int32)
+    for part in slices(batches, "words"):
+        for words, y in zip(_written_words(part), part.column("y").to_pylist(), strict=True):
+            if len(ids) > REMEMBERED:
+                ids.clear()
+            terms = set()
+            for w in words:
+                t = ids.get(w)
+                if t is None:
+                    t = ids[w] = term_ids(w)
+                terms.update(t)
+            at = np.fromiter(terms, np.int64, len(terms))
+            held[at] += 1
+            toxic[at] += y
+    hit = np.flatnonzero(held)
+    yield pa.RecordBatch.from_arrays([pa.array(hit, pa.int64()), pa.array(toxic[hit], pa.int64()), pa.array(held[hit], pa.int64())],
+                                     names=["term", "toxic", "held"])
+
+
+def _evidence(model, table, column: str):
+    """Features of each row, from its ``text`` or its written ``words``.
+
+    A training row (``y`` not null) is left out of the shares it is judged by.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer, known = Restorer(*model.value), {}
         shares: dict = {None: {}, 0: {}, 1: {}}  # of words, by the label that is left out
@@ -356,9 +374,10 @@ def _evidence(model, table):
                     top = max(top, (toxic + PRIOR * base) / (held + PRIOR))
             return top
 
-        for part in slices(batches):
+        for part in slices(batches, column):
             rows = []
-            for words, y in zip(_slice_words(part, restorer, known), part.column("y").to_pylist(), strict=True):
+            found = _written_words(part) if column == "words" else _slice_words(part, restorer, known)
+            for words, y in zip(found, part.column("y").to_pylist(), strict=True):
                 mine = shares[y]
                 if len(mine) > REMEMBERED:
                     mine.clear()
@@ -416,23 +435,28 @@ def score_documents(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     model = spark.sparkContext.broadcast(letter_model(docs))
-    train = labelled(docs, labels, "toxic", max_labelled)
-    base_row = train.agg(F.avg("y").alias("p")).first()
+    train = labelled(docs, labels, "toxic", max_labelled).select("doc_id", "text", F.col("y").cast("int").alias("y"))
+    # every text is restored once: what the training rows hold is written, and read for counts, fit and scores
+    words = settle(train.mapInArrow(_restored(model), "doc_id long, y int, words string"), "training_words")
+    base_row = words.agg(F.avg("y").alias("p")).first()
     base = min(max(base_row["p"] or 0.01, 0.001), 0.9)
-    counts = (train.select("text", "y").mapInArrow(_term_counter(model), "term long, toxic long, held long")
+    counts = (words.select("words", "y").mapInArrow(_term_counter, "term long, toxic long, held long")
               .groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("held").alias("held"))
               .where(f"held >= 2 and (toxic + {PRIOR * base}) / (held + {PRIOR}) >= {LEAST_SHARE}")).toPandas()
     # at most TERMS entries, whatever the number of documents
     evidence = {t: (x, n) for t, x, n in zip(*(counts[c].tolist() for c in ("term", "toxic", "held")), strict=True)}
     table = spark.sparkContext.broadcast((evidence, base))
     xs = [f"x{i}" for i in range(FEATURES)]
-    trained = settle(train.select("doc_id", "text", F.col("y").cast("int").alias("y"))
-                      .mapInArrow(_evidence(model, table), _EVIDENCE_SCHEMA), "toxicity_training")
+    trained = settle(words.mapInArrow(_evidence(model, table, "words"), _EVIDENCE_SCHEMA), "toxicity_training")
     w = fit_logistic(trained, xs, base)
     z = F.lit(float(w[0]))
     for a, x in zip(w[1:], xs, strict=True):
         z = z + F.lit(float(a)) * F.col(x)
-    rows = docs.select("doc_id", "text", F.lit(None).cast("int").alias("y")).mapInArrow(_evidence(model, table), _EVIDENCE_SCHEMA)
+    # training ids are at most about max_labelled; an id's rows are all training rows or none
+    unlabelled = F.lit(None).cast("int").alias("y")
+    others = docs.join(F.broadcast(words.select("doc_id").distinct()), "doc_id", "left_anti").select("doc_id", "text", unlabelled)
+    rows = (others.mapInArrow(_evidence(model, table, "text"), _EVIDENCE_SCHEMA)
+            .unionAll(words.select("doc_id", "words", unlabelled).mapInArrow(_evidence(model, table, "words"), _EVIDENCE_SCHEMA)))
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
     out = rows.select("doc_id", held_out.alias("held_out"), (1 / (1 + F.exp(-z))).alias("score"))
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

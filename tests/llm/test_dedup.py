@@ -221,7 +221,7 @@ def test_worker_functions_need_no_package(tmp_path):
     functions = [superminhash._sign, superminhash._alike(0.75), superminhash._alike_in_block(0.75), superminhash._confirm(0.75), superminhash._shingle_lists,
                  near_embeddings._coder(2, 2, None), near_embeddings._comparer(0.95), byte_bpe._encode(box), byte_bpe._decode(box, "ids"),
                  token_alignment._aligner(box, box), token_alignment._scorer, filter_audit._flags, filter_audit._audit, nbest._segmenter(box, 3),
-                 nbest._decoder(box, "best"), token_count._counter(box), toxicity._letters_counter, toxicity._term_counter(box), toxicity._evidence(box, box),
+                 nbest._decoder(box, "best"), token_count._counter(box), toxicity._letters_counter, toxicity._term_counter, toxicity._restored(box), toxicity._evidence(box, box, "text"),
                  packing._encoder(box, 2048)]
     (tmp_path / "functions.pickle").write_bytes(cloudpickle.dumps(functions))
     code = "import pickle; print(len(pickle.load(open('functions.pickle', 'rb'))))"

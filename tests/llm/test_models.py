@@ -116,6 +116,21 @@ def docs_of(spark, rows):
     return spark.createDataFrame(rows, "doc_id long, text string, lang string, score string")
 
 
+def test_written_words_give_the_same_evidence():
+    """Training rows are scored from the words that were written, as if their texts had been restored again."""
+    from types import SimpleNamespace
+    texts = ["you are an 1d1ot", None, "", "so i d i o t it is", "  \t\n", "a i-d-i-o-t iidiott", "quiet words\x85here\x1cthere \u2028 end"] * 2
+    model = SimpleNamespace(value=(np.array(restorer(["idiot", "quiet", "words", "here"] * 50).costs), np.ones(toxicity.TERMS, np.int64)))
+    table = SimpleNamespace(value=({t: (3, 4) for t in toxicity.term_ids("idiot")}, 0.02))
+    schema = toxicity.pa.schema([("doc_id", toxicity.pa.int64()), ("text", toxicity.pa.string()), ("y", toxicity.pa.int32())])
+    rows = toxicity.pa.RecordBatch.from_pylist([{"doc_id": i, "text": t, "y": [1, 0, None][i % 3]} for i, t in enumerate(texts)], schema)
+    written = list(toxicity._restored(model)(iter([rows])))
+    from_words = [r for b in toxicity._evidence(model, table, "words")(iter(written)) for r in b.to_pylist()]
+    from_texts = [r for b in toxicity._evidence(model, table, "text")(iter([rows])) for r in b.to_pylist()]
+    assert from_words == from_texts and len(from_texts) == len(texts)
+    assert {r["x0"] for r in from_texts} != {from_texts[1]["x0"]}
+
+
 def test_toxicity_learns_and_generalises(spark):
     rng = random.Random(7)
     word = lambda: "".join(rng.choice("aeiorstln") for _ in range(rng.randrange(2, 8)))
