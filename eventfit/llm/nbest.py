@@ -5,8 +5,10 @@ gives the best score up to every place; they are exact heuristics for an A*
 search that runs backward from the end and completes the paths in order of
 their scores. No piece reaches from one word into the next (a word begins with
 its spaces), so the lattice of a text is a chain of word lattices: words are
-searched on their own, and the N best of the text follow from the words whose
-alternatives cost least.
+treated on their own, and the N best of the text follow from the words whose
+alternatives cost least. The forward pass runs over all new words of a slice at
+once, as arrays; it also gives each word's second score, and so tells which few
+words of a text can change in its N best. Only these are searched backward.
 """
 
 from __future__ import annotations
@@ -26,12 +28,17 @@ from .common import slices
 
 SPACE = "▁"
 N_BEST = 3
-REMEMBERED, REMEMBERED_CHARS = 200_000, 48
+#: Bytes of words that a task remembers; characters in one forward pass; longer words are searched one by one.
+REMEMBERED_BYTES, PASS_CHARS, LONGEST = 48 << 20, 100_000, 48
+#: Characters of the texts that are handled at once.
+TEXT_CHARS = 1_000_000
 _WORD = re.compile(f"{SPACE}+[^{SPACE}]*")
 #: A character that no piece covers is read as its bytes, at the lowest score less this.
 UNKNOWN = 10
 #: Scores below this mark pieces that the vocabulary adds by rule; they count as the lowest one.
 ADDED_BY_RULE = -1e8
+#: The score of a segmentation that does not exist.
+NONE = -(1 << 60)
 
 
 class Lattice:
@@ -45,17 +52,27 @@ class Lattice:
         for p in pieces:
             self.firsts[p[0]] = max(len(p), self.firsts.get(p[0], 0))
 
-    def arcs(self, text: str) -> list[list[tuple[int, tuple[int, ...], int]]]:
-        """For each place the arcs that end there: ``(start, ids, score)``, longest first."""
-        out: list[list[tuple[int, tuple[int, ...], int]]] = [[] for _ in range(len(text) + 1)]
+    def into(self, text: str, end: int) -> list[tuple[int, tuple[int, ...], int]]:
+        """The arcs that end at a place: ``(start, ids, score)``, longest first."""
+        get = self.pieces.get
+        out = [(i, (p[0],), p[1]) for i in range(max(0, end - self.longest), end) if (p := get(text[i:end])) is not None]
+        if not out or out[-1][0] != end - 1:
+            out.append((end - 1, tuple(self.byte_ids[b] for b in text[end - 1].encode("utf-8", "surrogatepass")), self.unknown))
+        return out
+
+    def forward(self, text: str) -> list[int]:
+        """The best score of the text up to every place."""
         get, size = self.pieces.get, len(text)
+        best = [0] + [NONE] * size
         for i, c in enumerate(text):
+            here = best[i]
             for j in range(i + 1, min(size, i + self.firsts.get(c, 1)) + 1):
                 if (p := get(text[i:j])) is not None:
-                    out[j].append((i, (p[0],), p[1]))
-                elif j == i + 1:
-                    out[j].append((i, tuple(self.byte_ids[b] for b in c.encode("utf-8", "surrogatepass")), self.unknown))
-        return out
+                    if here + p[1] > best[j]:
+                        best[j] = here + p[1]
+                elif j == i + 1 and here + self.unknown > best[j]:
+                    best[j] = here + self.unknown
+        return best
 
     def nbest(self, text: str, n: int) -> list[tuple[int, tuple[int, ...]]]:
         """The ``n`` best segmentations as ``(score, ids)``, best first; ties in the order of the search.
@@ -66,10 +83,7 @@ class Lattice:
         """
         if not text:
             return [(0, ())]
-        into = self.arcs(text)
-        best = [0] * (len(text) + 1)
-        for j in range(1, len(text) + 1):
-            best[j] = max(best[i] + s for i, _, s in into[j])
+        best = self.forward(text)
         agenda: list[tuple[int, int, int, int, tuple | None]] = [(-best[-1], 0, len(text), 0, None)]
         done, made = [], 0
         while agenda and len(done) < n:
@@ -81,34 +95,230 @@ class Lattice:
                     path = path[1]
                 done.append((score, tuple(ids)))
                 continue
-            for i, piece, s in into[at]:
+            for i, piece, s in self.into(text, at):
                 made += 1
                 bisect.insort(agenda, (-(best[i] + score + s), made, i, score + s, (piece, path)))
             del agenda[n - len(done):]
         return done
 
 
-def chain_nbest(words: list[list[tuple[int, bytes]]], n: int) -> list[tuple[int, bytes]]:
-    """The ``n`` best of a chain from the n-best lists of its words.
+def prefix_tree(pieces: dict[str, tuple[int, int]]) -> tuple[np.ndarray, ...]:
+    """The pieces as a tree in arrays: ``(characters, edges, children, ids, scores)``.
 
-    The n best change only words among the ``n - 1`` whose second choice
-    costs least; their combinations are searched best first.
+    ``edges`` are the sorted keys ``node * len(characters) + character``; a
+    node that ends no piece has id -1. Node 0 is the root.
+    """
+    chars = sorted({c for p in pieces for c in p})
+    number = {c: i for i, c in enumerate(chars)}
+    children: dict[int, int] = {}
+    ids, scores = [-1], [0]
+    for piece, (i, score) in pieces.items():
+        node = 0
+        for c in piece:
+            key = node * len(chars) + number[c]
+            if key not in children:
+                children[key] = len(ids)
+                ids.append(-1)
+                scores.append(0)
+            node = children[key]
+        ids[node], scores[node] = i, score
+    edges = np.array(sorted(children), np.int64)
+    return (np.array([ord(c) for c in chars], np.uint32), edges, np.array([children[k] for k in edges.tolist()], np.int64),
+            np.array(ids, np.int64), np.array(scores, np.int64))
+
+
+def forward_words(words: list[str], tree: tuple[np.ndarray, ...], unknown: int) -> tuple[np.ndarray, ...]:
+    """Forward Viterbi over the lattices of many words at once.
+
+    Returns per word the best and the second best score (``NONE`` without
+    one), and the arcs of a best segmentation, first to last: ``(best, second,
+    word of arc, arc)``. An arc is a piece's id, or ``-1 - code point`` of a
+    character read as its bytes. Where the two scores are equal the best is
+    one of several.
     """
-    total = sum(w[0][0] for w in words)
-    loss = sorted((w[0][0] - w[1][0], i) for i, w in enumerate(words) if len(w) > 1) if n > 1 else []
-    open_ = [i for _, i in loss[:n - 1]]
-    heap: list[tuple[int, tuple[int, ...]]] = [(-total, (0,) * len(open_))]
+    chars, edges, children, piece_ids, piece_scores = tree
+    size = np.array([len(w) for w in words], np.int64)
+    base = np.cumsum(size + 1) - (size + 1)
+    points = np.frombuffer("\0".join(words).encode("utf-32-le", "surrogatepass") + bytes(4), np.uint32)
+    place = np.arange(len(points)) - np.repeat(base, size + 1)  # in its word; a word's last place follows its last character
+    code = np.minimum(np.searchsorted(chars, points), len(chars) - 1)
+    code = np.where(chars[code] == points, code, -1)
+    code[base + size] = -1
+    # walk the tree from every character at once, a character further each time
+    start = np.flatnonzero(place < np.repeat(size, size + 1))
+    node, depth = np.zeros(len(start), np.int64), 0
+    arcs = []
+    while len(start):
+        c = code[start + depth]
+        key = node * len(chars) + c
+        at = np.minimum(np.searchsorted(edges, key), len(edges) - 1)
+        hit = (c >= 0) & (edges[at] == key)
+        node = np.where(hit, children[at], 0)
+        piece = piece_ids[node]
+        depth += 1
+        if depth == 1:
+            bare = start[piece < 0]
+            arcs.append((bare, bare + 1, -1 - points[bare].astype(np.int64), np.full(len(bare), unknown, np.int64)))
+        use = piece >= 0
+        arcs.append((start[use], start[use] + depth, piece[use], piece_scores[node[use]]))
+        start, node = start[hit], node[hit]
+    from_, to, arc, score = (np.concatenate(x) for x in zip(*arcs, strict=True))
+    # by the place in the word, then the word; of each place the longest first
+    order = np.argsort((place[to] * len(points) + to) * (depth + 1) + depth - (to - from_))
+    from_, to, arc, score = from_[order], to[order], arc[order], score[order]
+    first = np.flatnonzero(np.r_[True, to[1:] != to[:-1]])
+    step = place[to[first]]
+    best, second = np.zeros(len(points), np.int64), np.full(len(points), NONE, np.int64)
+    back = np.zeros(len(points), np.int64)  # the arc taken into each place
+    bounds = np.flatnonzero(np.r_[True, step[1:] != step[:-1], True])
+    for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        a, b = int(first[lo]), int(first[hi]) if hi < len(first) else len(to)
+        heads = first[lo:hi] - a
+        group = np.repeat(np.arange(hi - lo), np.diff(np.r_[heads, b - a]))
+        one, two = best[from_[a:b]] + score[a:b], second[from_[a:b]] + score[a:b]
+        top = np.maximum.reduceat(one, heads)
+        won = np.flatnonzero(one == top[group])
+        won = won[np.r_[True, group[won[1:]] != group[won[:-1]]]]
+        one[won] = NONE
+        ends = to[a + heads]
+        best[ends], second[ends] = top, np.maximum(np.maximum.reduceat(one, heads), np.maximum.reduceat(two, heads))
+        back[ends] = a + won
+    # back from the ends of all words
+    owner, at = np.arange(len(words)), base + size
+    owners, taken = [], []
+    while True:
+        go = at > base[owner]
+        owner, at = owner[go], at[go]
+        if not len(owner):
+            break
+        owners.append(owner)
+        taken.append(arc[back[at]])
+        at = from_[back[at]]
+    owners, taken = np.concatenate([*owners[::-1], np.zeros(0, np.int64)]), np.concatenate([*taken[::-1], np.zeros(0, np.int64)])
+    order = np.argsort(owners, kind="stable")
+    end = base + size
+    return best[end], np.where(second[end] < NONE // 2, NONE, second[end]), owners[order], taken[order]
+
+
+class Words:
+    """The words that a task has met: their two best scores, the ids of their best segmentation, and n-best lists where asked for."""
+
+    def __init__(self, lattice: Lattice, tree: tuple[np.ndarray, ...], n: int):
+        self.lattice, self.tree, self.n = lattice, tree, n
+        self.clear()
+
+    def clear(self) -> None:
+        self.number: dict[str, int] = {}
+        self.names: list[str] = []
+        self.lists: dict[int, list[tuple[int, bytes]]] = {}
+        self.best = self.second = self.start = self.size = np.zeros(0, np.int64)
+        self.ids = np.zeros(0, "<u4")
+        self.bytes = 0
+
+    def add(self, words: set[str]) -> None:
+        """Take up words not met before."""
+        new = sorted(w for w in words if w not in self.number)
+        short = [w for w in new if len(w) <= LONGEST]
+        at = 0
+        while at < len(short):
+            end, chars = at, 0
+            while end < len(short) and (end == at or chars + len(short[end]) <= PASS_CHARS):
+                chars += len(short[end])
+                end += 1
+            self._append(short[at:end], *self._pass(short[at:end]))
+            at = end
+        for w in new:
+            if len(w) > LONGEST:
+                found = self._search(w)
+                second = found[1][0] if len(found) > 1 else NONE
+                self._append([w], np.array([found[0][0]]), np.array([second]), np.array([len(found[0][1]) // 4]), np.frombuffer(found[0][1], "<u4"))
+                self.lists[self.number[w]] = found
+
+    def _search(self, word: str) -> list[tuple[int, bytes]]:
+        return [(s, np.array(ids, "<u4").tobytes()) for s, ids in self.lattice.nbest(word, self.n)]
+
+    def _pass(self, words: list[str]) -> tuple[np.ndarray, ...]:
+        best, second, owner, arc = forward_words(words, self.tree, self.lattice.unknown)
+        # of equal best ones the search decides
+        tied = np.flatnonzero(best == second)
+        if len(tied):
+            found = [self.lattice.nbest(words[t], 1)[0][1] for t in tied.tolist()]
+            rest = ~np.isin(owner, tied)
+            owner = np.concatenate([owner[rest], np.repeat(tied, [len(x) for x in found])])
+            arc = np.concatenate([arc[rest], np.array([i for x in found for i in x], np.int64)])
+            order = np.argsort(owner, kind="stable")
+            owner, arc = owner[order], arc[order]
+        # characters that no piece covers become their bytes
+        bare = np.flatnonzero(arc < 0)
+        points, which = np.unique(-1 - arc[bare], return_inverse=True)
+        raw = [[self.lattice.byte_ids[b] for b in chr(c).encode("utf-8", "surrogatepass")] for c in points.tolist()]
+        wide = np.ones(len(arc), np.int64)
+        wide[bare] = np.array([len(r) for r in raw], np.int64)[which] if len(bare) else 1
+        first = np.cumsum(wide) - wide
+        ids = np.zeros(int(wide.sum()), "<u4")
+        ids[first[arc >= 0]] = arc[arc >= 0]
+        for k, r in enumerate(raw):
+            ids[first[bare[which == k]][:, None] + np.arange(len(r))] = r
+        return best, second, np.bincount(owner, weights=wide, minlength=len(words)).astype(np.int64), ids
+
+    def _append(self, words: list[str], best: np.ndarray, second: np.ndarray, size: np.ndarray, ids: np.ndarray) -> None:
+        for w in words:
+            self.number[w] = len(self.names)
+            self.names.append(w)
+        self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(size) - size])
+        self.best, self.second = np.concatenate([self.best, best]), np.concatenate([self.second, second])
+        self.size, self.ids = np.concatenate([self.size, size]), np.concatenate([self.ids, ids])
+        self.bytes += sum(200 + 4 * len(w) for w in words) + 4 * len(ids)
+
+    def best_lists(self, word: int) -> list[tuple[int, bytes]]:
+        """The n best of a word, searched backward when first asked for."""
+        if word not in self.lists:
+            self.lists[word] = self._search(self.names[word])
+            self.bytes += 300 + 2 * len(self.lists[word]) * len(self.lists[word][0][1])
+        return self.lists[word]
+
+    def chain(self, words: list[str]) -> list[tuple[int, bytes]]:
+        """The n best segmentations of a text of known words.
+
+        They change only words among the ``n - 1`` whose second choice costs least.
+        """
+        at = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+        total, size = int(self.best[at].sum()), self.size[at]
+        end = np.cumsum(size)
+        ids = self.ids[np.repeat(self.start[at] - (end - size), size) + np.arange(int(size.sum()))].tobytes()
+        more = np.flatnonzero(self.second[at] > NONE)
+        if self.n == 1 or not len(more):
+            return [(total, ids)]
+        loss = self.best[at[more]] - self.second[at[more]]
+        if len(loss) >= self.n:
+            near = loss <= np.partition(loss, self.n - 2)[self.n - 2]
+            more, loss = more[near], loss[near]
+        open_ = more[np.argsort(loss, kind="stable")[:self.n - 1]].tolist()
+        lists = [self.best_lists(int(at[i])) for i in open_]
+        out = []
+        for lost, choice in chain_nbest([[s for s, _ in x] for x in lists], self.n):
+            parts, upto = [], 0
+            for i, k, x in sorted(zip(open_, choice, lists, strict=True)):
+                if k:
+                    parts += [ids[4 * upto:4 * int(end[i] - size[i])], x[k][1]]
+                    upto = int(end[i])
+            out.append((total - lost, b"".join([*parts, ids[4 * upto:]])))
+        return out
+
+
+def chain_nbest(words: list[list[int]], n: int) -> list[tuple[int, tuple[int, ...]]]:
+    """The ``n`` best combinations of one choice a word, from the words' descending scores: ``(loss, choices)``, searched best first."""
+    heap: list[tuple[int, tuple[int, ...]]] = [(0, (0,) * len(words))]
     seen, out = {heap[0][1]}, []
     while heap and len(out) < n:
         cost, choice = heapq.heappop(heap)
-        picked = dict(zip(open_, choice, strict=True))
-        out.append((-cost, b"".join([w[picked[i]][1] if i in picked else w[0][1] for i, w in enumerate(words)])))
-        for k, i in enumerate(open_):
-            if choice[k] + 1 < len(words[i]):
+        out.append((cost, choice))
+        for k, scores in enumerate(words):
+            if choice[k] + 1 < len(scores):
                 nxt = (*choice[:k], choice[k] + 1, *choice[k + 1:])
                 if nxt not in seen:
                     seen.add(nxt)
-                    heapq.heappush(heap, (cost + words[i][choice[k]][0] - words[i][choice[k] + 1][0], nxt))
+                    heapq.heappush(heap, (cost + scores[choice[k]] - scores[choice[k] + 1], nxt))
     return out
 
 
@@ -135,25 +345,15 @@ def load_lattice(model_file: str) -> tuple[dict[str, tuple[int, int]], list[int]
 
 def _segmenter(spec, n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, byte_ids, _ = spec.value
-        lattice = Lattice(pieces, byte_ids)
-        known: dict[str, list[tuple[int, bytes]]] = {}
+        pieces, byte_ids, _, tree = spec.value
+        known = Words(Lattice(pieces, byte_ids), tree, n)
         schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("scores", pa.list_(pa.int64())), ("segmentations", pa.list_(pa.binary()))])
-        for part in slices(batches):
-            rows = []
-            for text in part.column("text").to_pylist():
-                words = _WORD.findall(SPACE + text.replace(" ", SPACE)) if text else []
-                found = []
-                for w in words:
-                    got = known.get(w)
-                    if got is None:
-                        got = [(s, np.array(ids, "<u4").tobytes()) for s, ids in lattice.nbest(w, n)]
-                        if len(w) <= REMEMBERED_CHARS:
-                            if len(known) >= REMEMBERED:
-                                known.clear()
-                            known[w] = got
-                    found.append(got)
-                rows.append(chain_nbest(found, n))
+        for part in slices(batches, most=TEXT_CHARS):
+            if known.bytes > REMEMBERED_BYTES:
+                known.clear()
+            texts = [_WORD.findall(SPACE + text.replace(" ", SPACE)) if text else [] for text in part.column("text").to_pylist()]
+            known.add({w for words in texts for w in words})
+            rows = [known.chain(words) for words in texts]
             yield pa.RecordBatch.from_arrays([
                 part.column("doc_id"), part.column("text"), pa.array([[s for s, _ in r] for r in rows], pa.list_(pa.int64())),
                 pa.array([[ids for _, ids in r] for r in rows], pa.list_(pa.binary()))], schema=schema)
@@ -171,7 +371,8 @@ def segment_documents(docs: DataFrame, model_file: str, n: int = N_BEST) -> Data
     work, word by word; other columns are ignored; an empty table gives an
     empty result.
     """
-    spec = docs.sparkSession.sparkContext.broadcast(load_lattice(model_file))
+    lattice = load_lattice(model_file)
+    spec = docs.sparkSession.sparkContext.broadcast((*lattice, prefix_tree(lattice[0])))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
         _segmenter(spec, n), "doc_id long, text string, scores array<long>, segmentations array<binary>")
 

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import random
 import re
 
@@ -157,7 +158,7 @@ def brute_paths(lattice, text):
         return [(0, ())]
     out = []
     for end in range(1, len(text) + 1):
-        for i, ids, s in lattice.arcs(text)[end]:
+        for i, ids, s in lattice.into(text[:end], end):
             if i == 0:
                 out += [(s + s2, ids + rest) for s2, rest in brute_paths(lattice, text[end:])]
     return out
@@ -179,13 +180,52 @@ def test_nbest_equals_enumeration(text, n):
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 9), min_size=1, max_size=4), min_size=0, max_size=5), st.integers(1, 5))
 def test_chain_nbest(scores, n):
-    words = [[(s, bytes([i, j])) for j, s in enumerate(sorted(w, reverse=True)[:n])] for i, w in enumerate(scores)]
+    words = [sorted(w, reverse=True) for w in scores]
+    want = sorted(sum(w[0] - w[k] for w, k in zip(words, ks, strict=True)) for ks in itertools.product(*(range(len(w)) for w in words)))
+    got = nbest.chain_nbest(words, n)
+    assert [loss for loss, _ in got] == want[:n] and len({c for _, c in got}) == len(got)
+    assert all(loss == sum(w[0] - w[k] for w, k in zip(words, c, strict=True)) for loss, c in got)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text(alphabet="abcé🙂", max_size=6), min_size=1, max_size=12))
+def test_forward_pass_over_words_equals_search(words):
+    """Scores of the array pass against the lattice's own two best, also of tied words; ids against the search's first."""
+    known = nbest.Words(SMALL, nbest.prefix_tree(SMALL.pieces), 3)
+    words = ["▁" + w for w in words]
+    for part in (words[:5], words):
+        known.add(set(part))
+    for w in words:
+        want = SMALL.nbest(w, 2)
+        i = known.number[w]
+        assert (known.best[i], known.second[i]) == (want[0][0], want[1][0] if len(want) > 1 else nbest.NONE)
+        assert known.ids[known.start[i]:known.start[i] + known.size[i]].tolist() == list(want[0][1])
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text(alphabet="abcé", max_size=5), min_size=0, max_size=5), st.integers(1, 5), st.booleans())
+def test_text_from_words_equals_whole_lattice(words, n, each_alone):
+    """The n best of a chain of words against every segmentation of the whole text."""
+    words = ["▁" + w for w in words]
+    before, nbest.LONGEST = nbest.LONGEST, 0 if each_alone else nbest.LONGEST
+    try:
+        known = nbest.Words(SMALL, nbest.prefix_tree(SMALL.pieces), n)
+        known.add(set(words))
+        got = known.chain(words)
+    finally:
+        nbest.LONGEST = before
     paths = [(0, b"")]
     for w in words:
-        paths = [(s + s2, ids + i2) for s, ids in paths for s2, i2 in w]
-    got = nbest.chain_nbest(words, n)
+        paths = [(s + s2, ids + np.array(i2, "<u4").tobytes()) for s, ids in paths for s2, i2 in brute_paths(SMALL, w)]
+        paths = sorted(paths, key=lambda p: -p[0])[:2000]
     assert [s for s, _ in got] == sorted((s for s, _ in paths), reverse=True)[:n]
-    assert set(got) <= set(paths) and len(set(got)) == len(got)
+    assert len({ids for _, ids in got}) == len(got)
+    assert all(sum(score_of(i) for i in np.frombuffer(ids, "<u4").tolist()) >= s for s, ids in got)
+
+
+def score_of(piece_id):
+    """An upper bound for bytes (one byte of several counts nothing), the score for pieces."""
+    return {i: s for i, s in SMALL.pieces.values()}.get(piece_id, 0)
 
 
 def test_segment_and_decode(spark):
