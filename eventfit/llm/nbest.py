@@ -16,7 +16,9 @@ from __future__ import annotations
 import bisect
 import heapq
 import re
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +31,7 @@ from .common import slices
 SPACE = "▁"
 N_BEST = 3
 #: Bytes of words that a task remembers; characters in one forward pass; longer words are searched one by one.
-REMEMBERED_BYTES, PASS_CHARS, LONGEST = 48 << 20, 100_000, 48
+REMEMBERED_BYTES, PASS_CHARS, LONGEST = 48 << 20, 40_000, 48
 #: Characters of the texts that are handled at once.
 TEXT_CHARS = 1_000_000
 _WORD = re.compile(f"{SPACE}+[^{SPACE}]*")
@@ -75,7 +77,7 @@ class Lattice:
         return best
 
     def nbest(self, text: str, n: int) -> list[tuple[int, tuple[int, ...]]]:
-        """The ``n`` best segmentations as ``(score, ids)``, best first; ties in the order of the search.
+        """The ``n`` best segmentations as ``(score, ids)``, best first; of equal ones those with longer pieces from the end on.
 
         Open hypotheses stand for disjoint sets of paths, each with a best
         completion whose score is known exactly; so no more than the best
@@ -95,8 +97,8 @@ class Lattice:
                     path = path[1]
                 done.append((score, tuple(ids)))
                 continue
-            for i, piece, s in self.into(text, at):
-                made += 1
+            for i, piece, s in reversed(self.into(text, at)):
+                made -= 1
                 bisect.insort(agenda, (-(best[i] + score + s), made, i, score + s, (piece, path)))
             del agenda[n - len(done):]
         return done
@@ -131,10 +133,10 @@ def forward_words(words: list[str], tree: tuple[np.ndarray, ...], unknown: int)
     """Forward Viterbi over the lattices of many words at once.
 
     Returns per word the best and the second best score (``NONE`` without
-    one), and the arcs of a best segmentation, first to last: ``(best, second,
-    word of arc, arc)``. An arc is a piece's id, or ``-1 - code point`` of a
-    character read as its bytes. Where the two scores are equal the best is
-    one of several.
+    one), and the arcs of the best segmentation, first to last: ``(best,
+    second, word of arc, arc)``. An arc is a piece's id, or ``-1 - code point``
+    of a character read as its bytes. Of equal segmentations it is the one with
+    longer pieces from the end on, as in ``Lattice.nbest``.
     """
     chars, edges, children, piece_ids, piece_scores = tree
     size = np.array([len(w) for w in words], np.int64)
@@ -208,68 +210,66 @@ class Words:
         self.clear()
 
     def clear(self) -> None:
-        self.number: dict[str, int] = {}
+        self.number: defaultdict[str, int] = defaultdict()
+        self.number.default_factory = self.number.__len__  # new words are numbered as they come
         self.names: list[str] = []
         self.lists: dict[int, list[tuple[int, bytes]]] = {}
         self.best = self.second = self.start = self.size = np.zeros(0, np.int64)
         self.ids = np.zeros(0, "<u4")
         self.bytes = 0
 
-    def add(self, words: set[str]) -> None:
-        """Take up words not met before."""
-        new = sorted(w for w in words if w not in self.number)
-        short = [w for w in new if len(w) <= LONGEST]
-        at = 0
-        while at < len(short):
-            end, chars = at, 0
-            while end < len(short) and (end == at or chars + len(short[end]) <= PASS_CHARS):
-                chars += len(short[end])
-                end += 1
-            self._append(short[at:end], *self._pass(short[at:end]))
+    def numbers(self, words: list[str]) -> np.ndarray:
+        """The numbers of a text's words; ``learn`` has to follow before they are used."""
+        return np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+
+    def learn(self) -> None:
+        """Find the scores and best segmentations of the words that are new."""
+        new = list(islice(self.number, len(self.names), None))
+        done = len(self.names)
+        self.names += new
+        chars = np.cumsum([min(len(w), PASS_CHARS) for w in new])
+        found, at = [], 0
+        while at < len(new):
+            if len(new[at]) > LONGEST:
+                end = at + 1
+                self.lists[done + at] = best = self._search(new[at])
+                second = best[1][0] if len(best) > 1 else NONE
+                ids = np.frombuffer(best[0][1], "<u4")
+                found.append((np.array([best[0][0]]), np.array([second]), np.array([len(ids)]), ids))
+            else:
+                end = max(at + 1, int(np.searchsorted(chars, (chars[at - 1] if at else 0) + PASS_CHARS)))
+                end = next((i for i in range(at, min(end, len(new))) if len(new[i]) > LONGEST), end)
+                found.append(self._pass(new[at:end]))
             at = end
-        for w in new:
-            if len(w) > LONGEST:
-                found = self._search(w)
-                second = found[1][0] if len(found) > 1 else NONE
-                self._append([w], np.array([found[0][0]]), np.array([second]), np.array([len(found[0][1]) // 4]), np.frombuffer(found[0][1], "<u4"))
-                self.lists[self.number[w]] = found
+        if not found:
+            return
+        best, second, size, ids = (np.concatenate(x) for x in zip(*found, strict=True))
+        self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(size) - size])
+        self.best, self.second = np.concatenate([self.best, best]), np.concatenate([self.second, second])
+        self.size, self.ids = np.concatenate([self.size, size]), np.concatenate([self.ids, ids])
+        self.bytes += 200 * len(new) + 4 * (sum(map(len, new)) + len(ids))
 
     def _search(self, word: str) -> list[tuple[int, bytes]]:
         return [(s, np.array(ids, "<u4").tobytes()) for s, ids in self.lattice.nbest(word, self.n)]
 
     def _pass(self, words: list[str]) -> tuple[np.ndarray, ...]:
+        """Best and second scores of words, and length and ids of their best segmentations."""
         best, second, owner, arc = forward_words(words, self.tree, self.lattice.unknown)
-        # of equal best ones the search decides
-        tied = np.flatnonzero(best == second)
-        if len(tied):
-            found = [self.lattice.nbest(words[t], 1)[0][1] for t in tied.tolist()]
-            rest = ~np.isin(owner, tied)
-            owner = np.concatenate([owner[rest], np.repeat(tied, [len(x) for x in found])])
-            arc = np.concatenate([arc[rest], np.array([i for x in found for i in x], np.int64)])
-            order = np.argsort(owner, kind="stable")
-            owner, arc = owner[order], arc[order]
         # characters that no piece covers become their bytes
         bare = np.flatnonzero(arc < 0)
+        wide = np.ones(len(arc), np.int64)
         points, which = np.unique(-1 - arc[bare], return_inverse=True)
         raw = [[self.lattice.byte_ids[b] for b in chr(c).encode("utf-8", "surrogatepass")] for c in points.tolist()]
-        wide = np.ones(len(arc), np.int64)
-        wide[bare] = np.array([len(r) for r in raw], np.int64)[which] if len(bare) else 1
+        if raw:
+            wide[bare] = np.array([len(r) for r in raw], np.int64)[which]
         first = np.cumsum(wide) - wide
         ids = np.zeros(int(wide.sum()), "<u4")
         ids[first[arc >= 0]] = arc[arc >= 0]
-        for k, r in enumerate(raw):
-            ids[first[bare[which == k]][:, None] + np.arange(len(r))] = r
+        by_point = np.split(bare[np.argsort(which, kind="stable")], np.cumsum(np.bincount(which, minlength=len(raw)))[:-1]) if raw else []
+        for r, at in zip(raw, by_point, strict=True):
+            ids[first[at][:, None] + np.arange(len(r))] = r
         return best, second, np.bincount(owner, weights=wide, minlength=len(words)).astype(np.int64), ids
 
-    def _append(self, words: list[str], best: np.ndarray, second: np.ndarray, size: np.ndarray, ids: np.ndarray) -> None:
-        for w in words:
-            self.number[w] = len(self.names)
-            self.names.append(w)
-        self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(size) - size])
-        self.best, self.second = np.concatenate([self.best, best]), np.concatenate([self.second, second])
-        self.size, self.ids = np.concatenate([self.size, size]), np.concatenate([self.ids, ids])
-        self.bytes += sum(200 + 4 * len(w) for w in words) + 4 * len(ids)
-
     def best_lists(self, word: int) -> list[tuple[int, bytes]]:
         """The n best of a word, searched backward when first asked for."""
         if word not in self.lists:
@@ -277,12 +277,11 @@ class Words:
             self.bytes += 300 + 2 * len(self.lists[word]) * len(self.lists[word][0][1])
         return self.lists[word]
 
-    def chain(self, words: list[str]) -> list[tuple[int, bytes]]:
-        """The n best segmentations of a text of known words.
+    def chain(self, at: np.ndarray) -> list[tuple[int, bytes]]:
+        """The n best segmentations of a text, given as the numbers of its words.
 
         They change only words among the ``n - 1`` whose second choice costs least.
         """
-        at = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
         total, size = int(self.best[at].sum()), self.size[at]
         end = np.cumsum(size)
         ids = self.ids[np.repeat(self.start[at] - (end - size), size) + np.arange(int(size.sum()))].tobytes()
@@ -351,8 +350,8 @@ def _segmenter(spec, n: int):
         for part in slices(batches, most=TEXT_CHARS):
             if known.bytes > REMEMBERED_BYTES:
                 known.clear()
-            texts = [_WORD.findall(SPACE + text.replace(" ", SPACE)) if text else [] for text in part.column("text").to_pylist()]
-            known.add({w for words in texts for w in words})
+            texts = [known.numbers(_WORD.findall(SPACE + text.replace(" ", SPACE)) if text else []) for text in part.column("text").to_pylist()]
+            known.learn()
             rows = [known.chain(words) for words in texts]
             yield pa.RecordBatch.from_arrays([
                 part.column("doc_id"), part.column("text"), pa.array([[s for s, _ in r] for r in rows], pa.list_(pa.int64())),
@@ -366,8 +365,9 @@ def segment_documents(docs: DataFrame, model_file: str, n: int = N_BEST) -> Data
 
     ``segmentations`` holds up to ``n`` id sequences (little-endian unsigned 32
     bits), best first. Null and empty texts have one empty segmentation of
-    score 0. Null and repeated ids are answered row by row; segmentations of
-    equal score come in the order of the search; a very long text is one task's
+    score 0. Null and repeated ids are answered row by row; of segmentations of
+    a word with equal score those with longer pieces from the end on come first;
+    a very long text is one task's
     work, word by word; other columns are ignored; an empty table gives an
     empty result.
     """

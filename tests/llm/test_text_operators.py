@@ -194,10 +194,10 @@ def test_forward_pass_over_words_equals_search(words):
     known = nbest.Words(SMALL, nbest.prefix_tree(SMALL.pieces), 3)
     words = ["▁" + w for w in words]
     for part in (words[:5], words):
-        known.add(set(part))
-    for w in words:
+        known.numbers(part)
+        known.learn()
+    for w, i in zip(words, known.numbers(words).tolist(), strict=True):
         want = SMALL.nbest(w, 2)
-        i = known.number[w]
         assert (known.best[i], known.second[i]) == (want[0][0], want[1][0] if len(want) > 1 else nbest.NONE)
         assert known.ids[known.start[i]:known.start[i] + known.size[i]].tolist() == list(want[0][1])
 
@@ -210,8 +210,9 @@ def test_text_from_words_equals_whole_lattice(words, n, each_alone):
     before, nbest.LONGEST = nbest.LONGEST, 0 if each_alone else nbest.LONGEST
     try:
         known = nbest.Words(SMALL, nbest.prefix_tree(SMALL.pieces), n)
-        known.add(set(words))
-        got = known.chain(words)
+        at = known.numbers(words)
+        known.learn()
+        got = known.chain(at)
     finally:
         nbest.LONGEST = before
     paths = [(0, b"")]
