@@ -17,7 +17,7 @@ import bisect
 import heapq
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import islice
 
 import numpy as np
@@ -31,9 +31,9 @@ from .common import slices
 SPACE = "▁"
 N_BEST = 3
 #: Bytes of words that a task remembers; characters in one forward pass; longer words are searched one by one.
-REMEMBERED_BYTES, PASS_CHARS, LONGEST = 48 << 20, 40_000, 48
+REMEMBERED_BYTES, PASS_CHARS, LONGEST = 24 << 20, 40_000, 48
 #: Characters of the texts that are handled at once.
-TEXT_CHARS = 1_000_000
+TEXT_CHARS = 500_000
 _WORD = re.compile(f"{SPACE}+[^{SPACE}]*")
 #: A character that no piece covers is read as its bytes, at the lowest score less this.
 UNKNOWN = 10
@@ -218,9 +218,9 @@ class Words:
         self.ids = np.zeros(0, "<u4")
         self.bytes = 0
 
-    def numbers(self, words: list[str]) -> np.ndarray:
+    def numbers(self, words: Iterable[str]) -> np.ndarray:
         """The numbers of a text's words; ``learn`` has to follow before they are used."""
-        return np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+        return np.fromiter(map(self.number.__getitem__, words), np.int64)
 
     def learn(self) -> None:
         """Find the scores and best segmentations of the words that are new."""
@@ -342,29 +342,40 @@ def load_lattice(model_file: str) -> tuple[dict[str, tuple[int, int]], list[int]
     return pieces, byte_ids, text_of
 
 
-def _segmenter(spec, n: int):
+def split_words(text: str) -> Iterable[str]:
+    """The words of a text, each with the blanks before it; of a long text they are made one by one."""
+    text = SPACE + text.replace(" ", SPACE) if text else ""
+    return _WORD.findall(text) if len(text) <= TEXT_CHARS else (m[0] for m in _WORD.finditer(text))
+
+
+def _segmenter(spec, n: int, decoded: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, byte_ids, _, tree = spec.value
+        pieces, byte_ids, text_of, tree = spec.value
         known = Words(Lattice(pieces, byte_ids), tree, n)
         schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("scores", pa.list_(pa.int64())), ("segmentations", pa.list_(pa.binary()))])
+        if decoded:
+            schema = schema.append(pa.field("decoded", pa.string()))
         for part in slices(batches, most=TEXT_CHARS):
             if known.bytes > REMEMBERED_BYTES:
                 known.clear()
-            texts = [known.numbers(_WORD.findall(SPACE + text.replace(" ", SPACE)) if text else []) for text in part.column("text").to_pylist()]
+            texts = [known.numbers(split_words(text or "")) for text in part.column("text").to_pylist()]
             known.learn()
             rows = [known.chain(words) for words in texts]
-            yield pa.RecordBatch.from_arrays([
-                part.column("doc_id"), part.column("text"), pa.array([[s for s, _ in r] for r in rows], pa.list_(pa.int64())),
-                pa.array([[ids for _, ids in r] for r in rows], pa.list_(pa.binary()))], schema=schema)
+            out = [part.column("doc_id"), part.column("text"), pa.array([[s for s, _ in r] for r in rows], pa.list_(pa.int64())),
+                   pa.array([[ids for _, ids in r] for r in rows], pa.list_(pa.binary()))]
+            if decoded:
+                out.append(pa.array([decode_ids(r[0][1], text_of).decode("utf-8", "replace") for r in rows], pa.string()))
+            yield pa.RecordBatch.from_arrays(out, schema=schema)
 
     return run
 
 
-def segment_documents(docs: DataFrame, model_file: str, n: int = N_BEST) -> DataFrame:
+def segment_documents(docs: DataFrame, model_file: str, n: int = N_BEST, decoded: bool = False) -> DataFrame:
     """``doc_id, text, scores, segmentations`` of each row of ``docs(doc_id, text)``.
 
     ``segmentations`` holds up to ``n`` id sequences (little-endian unsigned 32
-    bits), best first. Null and empty texts have one empty segmentation of
+    bits), best first; with ``decoded`` a column of that name holds the text
+    that the best one decodes to, as ``decode`` gives it. Null and empty texts have one empty segmentation of
     score 0. Null and repeated ids are answered row by row; of segmentations of
     a word with equal score those with longer pieces from the end on come first;
     a very long text is one task's
@@ -374,7 +385,8 @@ def segment_documents(docs: DataFrame, model_file: str, n: int = N_BEST) -> Data
     lattice = load_lattice(model_file)
     spec = docs.sparkSession.sparkContext.broadcast((*lattice, prefix_tree(lattice[0])))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        _segmenter(spec, n), "doc_id long, text string, scores array<long>, segmentations array<binary>")
+        _segmenter(spec, n, decoded),
+        "doc_id long, text string, scores array<long>, segmentations array<binary>" + ", decoded string" * decoded)
 
 
 def decode_ids(ids: bytes, text_of: list[bytes]) -> bytes:
@@ -384,10 +396,10 @@ def decode_ids(ids: bytes, text_of: list[bytes]) -> bytes:
 
 def _decoder(spec, column: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        text_of = spec.value[2]
-        for batch in batches:
-            texts = [None if x is None else decode_ids(x, text_of).decode("utf-8", "replace") for x in batch.column(column).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded"])
+        text_of = spec.value
+        for part in slices(batches, column):
+            texts = [None if x is None else decode_ids(x, text_of).decode("utf-8", "replace") for x in part.column(column).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, "decoded"])
 
     return run
 
@@ -399,6 +411,6 @@ def decode(segmented: DataFrame, model_file: str, column: str) -> DataFrame:
     null or repeated ids and other columns stay as they are (a column
     ``decoded`` must not be among them); an empty table stays empty.
     """
-    spec = segmented.sparkSession.sparkContext.broadcast(load_lattice(model_file))
+    spec = segmented.sparkSession.sparkContext.broadcast(load_lattice(model_file)[2])
     schema = StructType([*segmented.schema.fields, StructField("decoded", StringType())])
     return segmented.mapInArrow(_decoder(spec, column), schema)

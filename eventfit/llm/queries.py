@@ -54,10 +54,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document the scores of its best segmentations, a digest of the best, and whether it decodes to the text."""
-    model = public_tokenizers.path(PIECE_MODEL)
-    best = nbest.segment_documents(_docs(spark, sf_dir), model).withColumn("best", F.element_at("segmentations", 1))
-    back = nbest.decode(best.select("doc_id", "text", "scores", "best"), model, "best")
-    return back.select(
+    best = nbest.segment_documents(_docs(spark, sf_dir), public_tokenizers.path(PIECE_MODEL), decoded=True)
+    return best.withColumn("best", F.element_at("segmentations", 1)).select(
         "doc_id", (F.length("best") / 4).cast("long").alias("n_pieces"), F.element_at("scores", 1).alias("best_score"),
         F.size("scores").alias("n_best"), F.array_join(F.transform("scores", lambda s: s.cast("string")), ",").alias("scores"),
         F.crc32("best").alias("ids_crc32"), (F.coalesce("text", F.lit("")) == F.col("decoded")).alias("round_trip"))

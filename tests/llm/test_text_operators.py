@@ -229,8 +229,18 @@ def score_of(piece_id):
     return {i: s for i, s in SMALL.pieces.values()}.get(piece_id, 0)
 
 
+def test_words_of_long_texts(monkeypatch):
+    for text in (t for t in ODD if t is not None):
+        whole = list(nbest.split_words(text))
+        monkeypatch.setattr(nbest, "TEXT_CHARS", 0)
+        assert list(nbest.split_words(text)) == whole and "".join(whole) == ("▁" + text.replace(" ", "▁") if text else "")
+        monkeypatch.undo()
+
+
 def test_segment_and_decode(spark):
     docs = odd_docs(spark)
+    at_once = nbest.segment_documents(docs, PIECES, decoded=True)
+    assert at_once.where("not decoded <=> coalesce(replace(text, '▁', ' '), '')").count() == 0
     best = nbest.segment_documents(docs, PIECES).selectExpr("doc_id", "text", "scores", "segmentations[0] as best")
     lattice = nbest.Lattice(*nbest.load_lattice(PIECES)[:2])
     for r in nbest.decode(best, PIECES, "best").collect():
