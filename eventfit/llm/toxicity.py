@@ -184,7 +184,8 @@ class Restorer:
         if self.words is None or not _DOUBLED.search(token):
             return ""
         places = [m.start() for m in _DOUBLED.finditer(token)]
-        maybe = [self.restore(token)]
+        # the lattice of a word of letters alone holds no other readings than these
+        maybe = [] if len(places) <= DOUBLED_PLACES and token.isalpha() else [self.restore(token)]
         if len(places) <= DOUBLED_PLACES:
             for k in range(1, len(places) + 1):
                 for out in combinations(places, k):

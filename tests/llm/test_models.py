@@ -116,6 +116,18 @@ def docs_of(spark, rows):
     return spark.createDataFrame(rows, "doc_id long, text string, lang string, score string")
 
 
+def test_squeezed_words_hold_the_lattice_reading():
+    """A plain word's lattice reads it with some doubled letters squeezed, and nothing else."""
+    from itertools import combinations
+    r, rng = restorer(["idiot", "moron", "committee", "bookkeeper", "hello"] * 50), random.Random(5)
+    for _ in range(300):
+        token = "".join(c * rng.choice([1, 1, 2]) for c in rng.choice(["idiot", "moron", "comite", "bokeper", "helo", "été"]))
+        places = [m.start() for m in toxicity._DOUBLED.finditer(token)]
+        if token.isalpha() and not toxicity._ODD.search(token):
+            squeezed = {"".join(c for i, c in enumerate(token) if i not in out) for k in range(len(places) + 1) for out in combinations(places, k)}
+            assert r.restore(token) in squeezed
+
+
 def test_written_words_give_the_same_evidence():
     """Training rows are scored from the words that were written, as if their texts had been restored again."""
     from types import SimpleNamespace
