@@ -39,9 +39,12 @@ def test_blocks_count_every_pair_once(monkeypatch, block):
                    key=lambda x: (-1 if x[0] is None else x[0], *x[1:]))
     table = pa.table([pa.array(x) for x in zip(*rows_, strict=True)], names=["doc_id", "chunk", "pos", "k"])
     got = Counter()
-    for b in pr.pair_counter(window, chunk)(iter(table.to_batches(max_chunksize=4))):
-        for key, n in zip(b["key"].to_pylist(), b["n"].to_pylist(), strict=True):
-            got[key >> 32, key & 0xFFFFFFFF] += n
+    for b in pr.pair_counter(window, chunk, 7)(iter(table.to_batches(max_chunksize=4))):
+        for part, data in zip(b["part"].to_pylist(), b["data"].to_pylist(), strict=True):
+            keys, n = pr.unpack(data)
+            assert set(pr.part_of(keys, 7).tolist()) == {part}
+            for key, c in zip(keys.tolist(), n.tolist(), strict=True):
+                got[key >> 32, key & 0xFFFFFFFF] += c
     assert got == brute(toks, window, chunk)
 
 
@@ -49,8 +52,8 @@ def test_distinct_pairs_are_shuffled_not_occurrences(spark):
     """A pair that occurs thousands of times leaves a task once."""
     toks = spark.range(20000).select(F.lit(1).alias("doc_id"), F.col("id").cast("int").alias("pos"), F.lit("w").alias("tok"))
     t = pr.chunk_rows(toks, pr.word_ids(toks.select(F.col("tok").alias("word"))), 10, 1024).select("doc_id", "chunk", "pos", "k").coalesce(1)
-    sent = t.sortWithinPartitions("doc_id", "chunk", "pos", "k").mapInArrow(pr.pair_counter(10, 1024), "key long, n long")
-    assert [r.n for r in sent.collect()] == [sum(20000 - d for d in range(1, 11))]
+    sent = t.sortWithinPartitions("doc_id", "chunk", "pos", "k").mapInArrow(pr.pair_counter(10, 1024, 3), "part int, data binary")
+    assert [pr.unpack(r.data)[1].tolist() for r in sent.collect()] == [[sum(20000 - d for d in range(1, 11))]]
     assert rows(pr.window_pair_counts(toks, None, 10, 1)) == [("w", "w", float(sum(20000 - d for d in range(1, 11))))]
 
 
@@ -58,3 +61,9 @@ def test_merged_counts():
     k, n = pr.merged_counts(np.array([3, 1, 3, 2]), np.array([1, 2, 4, 8]))
     assert k.tolist() == [1, 2, 3] and n.tolist() == [2, 8, 5]
     assert [x.tolist() for x in pr.merged_counts(np.empty(0, np.int64), np.empty(0, np.int64))] == [[], []]
+
+
+def test_pack_and_unpack():
+    keys, n = np.array([0, 5, 1 << 20, (7 << 32) | 9, (1 << 62) + 3]), np.array([1, 2, 300, 1 << 33, 5])
+    assert [x.tolist() for x in pr.unpack(pr.pack(keys, n))] == [keys.tolist(), n.tolist()]
+    assert [x.tolist() for x in pr.unpack(pr.pack(keys[:0], n[:0]))] == [[], []]
