@@ -56,3 +56,36 @@ def test_sentence_queries_shuffle_no_tokens(spark):
         main = plan(entry.queries()[key](spark, SF_SMALL)).split("Subquer")[0]
         assert "Exchange hashpartitioning(sent" not in main, key
     assert cat.lm_feats(spark, SF_SMALL).count() == cat.lm_sents(spark, SF_SMALL).agg(F.sum(F.size("pcs"))).first()[0]
+
+
+def test_sentences_that_hold_much_are_dealt_into_more_buckets(spark, tmp_path, monkeypatch):
+    """A task sorts the pieces of a bucket: its size must not follow the number of shuffle partitions, nor the planner's."""
+    spark.createDataFrame([(1, "abcdefghij ab. abcdef")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "ab abcdef. b")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    talk = [(i, 0, "user", f"abcdefghij ab {i}. abcdef b") for i in range(200)]
+    spark.createDataFrame(talk, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    monkeypatch.setattr(cat, "BUCKET_CHARS", 100)
+    chars = cat.sents(spark, str(tmp_path)).agg(F.sum(F.length("text"))).first()[0]
+    want = -(-chars // 100)
+    assert want > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    feats, sent = cat.lm_feats(spark, str(tmp_path)), cat.lm_sents(spark, str(tmp_path))
+    assert f"SelectedBucketsCount: {want} out of {want}" in plan(feats.groupBy("sent_id").count())
+    assert "Exchange" not in plan(sent.join(feats.hint("merge"), "sent_id"))
+    assert feats.count() == sent.agg(F.sum(F.size("pcs"))).first()[0]
+    pairs, uni = (lm._stored(x, "test_dealt") for x in (cat.lm_pairs(spark, str(tmp_path)), cat.piece_unigrams(spark, str(tmp_path))))
+    assert f", {want}), REPARTITION_BY_NUM" in plan(lm.pair_features(sent, pairs, uni, parts=want))
+    cat.forget(spark, str(tmp_path))
+
+
+def test_score_files_are_named_without_searching_their_paths(spark, tmp_path):
+    """The file's name was searched for by expressions, on every line and key."""
+    from eventfit.sources import readers as rd
+    (tmp_path / "d.m.b.txt.d").mkdir()
+    for name, folder in (("sents.bigram.verb-PLL.txt", tmp_path), ("sents.bigram.PLL.byWords.txt", tmp_path), ("a.b.c.txt", tmp_path / "d.m.b.txt.d")):
+        (folder / name).write_text("1\tx y\t0.5\n")
+    (tmp_path / "s.b.x.norm.txt").mkdir()
+    (tmp_path / "s.b.x.norm.txt" / "part-0").write_text("2\tz\tNone\t3\t4\n")
+    got = rd.read_score_matrix(spark, f"{tmp_path}/*.txt")
+    assert "regexp" not in plan(got).lower().replace("split", "")
+    keys = {(r.dataset, r.model, r.metric, r.norm, r.id) for r in got.collect()}
+    assert keys == {("sents", "bigram", "verb-PLL", "none", 1), ("sents", "bigram", "PLL", "byWords", 1), ("s", "b", "x", "norm", 2)}
