@@ -223,9 +223,11 @@ def read_score_matrix(spark: SparkSession, path: str) -> DataFrame:
     else:
         if not path.endswith(".txt") and not df.inputFiles():
             df = spark.read.text(f"{path.rstrip('/')}/*.txt")
+        # by substring: an expression that searches the whole path, on every line, took most of the time
         fp = F.col("_metadata.file_path")
-        held = F.regexp_extract(fp, r"([^/]*)\.txt/[^/]*$", 1)
-        nm = F.split(F.when(held != "", held).otherwise(F.regexp_extract(fp, r"([^/]*)\.txt$", 1)), r"\.")
+        stem = lambda name: F.when(name.endswith(".txt"), F.left(name, F.length(name) - 4)).otherwise("")
+        held = stem(F.substring_index(F.substring_index(fp, "/", -2), "/", 1))
+        nm = F.split(F.when(held != "", held).otherwise(stem(F.substring_index(fp, "/", -1))), r"\.")
         keys = [F.get(nm, i) for i in range(3)] + [F.coalesce(F.get(nm, 3), F.lit("none"))]
     c = F.split(F.col("value"), "\t")
     return df.where(F.trim("value") != "").select(
