@@ -13,6 +13,7 @@ pairs are shuffled to be counted and to fetch the corpus-wide counts.
 
 from __future__ import annotations
 
+import gc
 import re
 from array import array
 from collections import ChainMap
@@ -33,6 +34,8 @@ from .common import settle, slices
 PART_CHARS = 2_000_000
 #: Words whose pieces a task remembers, and the longest that it does.
 REMEMBERED, REMEMBERED_CHARS = 150_000, 48
+#: Words that are encoded in one text.
+TOGETHER = 256
 #: Tokens that the first probe of a stretch compares; the end of a stretch is found among so many one by one.
 FIRST_PROBE = 8
 
@@ -116,6 +119,10 @@ class GroupWriter:
 
     def text(self, a: np.ndarray, b: np.ndarray, ends_a: np.ndarray, ends_b: np.ndarray) -> str:
         """The text of the groups that end before ``ends_a`` and ``ends_b``."""
+        return self.texts(a, b, ends_a, ends_b, np.array([len(ends_a)]))[0]
+
+    def texts(self, a: np.ndarray, b: np.ndarray, ends_a: np.ndarray, ends_b: np.ndarray, cuts: np.ndarray) -> list[str]:
+        """The same for each of several texts one after the other, which end before the groups ``cuts``."""
         n = len(a) + len(b)
         # an A token comes after the B tokens of earlier groups, a B token after the A tokens up to its own group
         at_a = np.arange(len(a)) + np.repeat(np.r_[0, ends_b[:-1]], np.diff(np.r_[0, ends_a]))
@@ -123,9 +130,10 @@ class GroupWriter:
         ids, after = np.empty(n, np.int64), np.full(n, ord(","), np.uint8)
         ids[at_a], ids[at_b] = a, b
         after[at_a[ends_a - 1]], after[at_b[ends_b - 1]] = ord("|"), ord(";")
+        after[at_b[ends_b[cuts - 1] - 1]] = ord("\n")
         table, size = self.digits[ids], self.sizes[ids]
         table[np.arange(n), size] = after
-        return table[np.arange(self.width + 1) <= size[:, None]].tobytes()[:-1].decode()
+        return table[np.arange(self.width + 1) <= size[:, None]].tobytes()[:-1].decode().split("\n")
 
 
 class PieceEncoder:
@@ -148,6 +156,17 @@ class PieceEncoder:
         sizes = self.sizes[ids]
         return int(sizes.sum()) == len(text) and bool((self.flat[_ranges(self.starts[ids], sizes)] == np.frombuffer(text, np.uint8)).all())
 
+    def spelt(self, ids: list[np.ndarray], texts: list[bytes]) -> list[int]:
+        """Of which texts the bytes of the pieces give back all; none of the texts is empty."""
+        sizes = np.array([len(t) for t in texts], np.int64)
+        given = np.diff(np.r_[0, np.cumsum(self.sizes[np.concatenate([*ids, np.zeros(0, np.int64)])])][np.cumsum([0, *map(len, ids)])])
+        same = np.flatnonzero(sizes == given)
+        if not len(same):
+            return []
+        all_ids = np.concatenate([ids[i] for i in same])
+        wrong = self.flat[_ranges(self.starts[all_ids], self.sizes[all_ids])] != np.frombuffer(b"".join([texts[i] for i in same]), np.uint8)
+        return same[~np.logical_or.reduceat(wrong, np.r_[0, np.cumsum(sizes[same])[:-1]])].tolist()
+
     def words(self, text: str) -> list[str]:
         """The text cut at its single blanks, where no piece reaches across."""
         if not self.cut:
@@ -155,6 +174,25 @@ class PieceEncoder:
         plain = "  " not in text and "▁" not in text and text[:1] != " " and text[-1:] != " "
         return text.split(" ") if plain else self.cut.split(text)
 
+    def code(self, words: list[str]) -> dict[str, bytes]:
+        """The ids of each word. Words without blanks are encoded many in one
+        text, if its pieces give it back: then each blank begins a word's first one."""
+        coded = {}
+        step = TOGETHER if self.cut else 1
+        chunks = [words[i:i + step] for i in range(0, len(words), step)]
+        joined = [" ".join(c) for c in chunks]
+        for chunk, text, ids in zip(chunks, joined, self.sp.encode(joined, num_threads=1), strict=True):
+            flat, want = np.array(ids, np.intc), b" " + text.encode()
+            blanks = np.flatnonzero(np.frombuffer(want, np.uint8) == 32)
+            if len(chunk) > 1 and len(blanks) == len(chunk) and "▁" not in text and "" not in chunk and self.spells(flat, want):
+                sizes = self.sizes[flat]
+                cuts = (4 * np.searchsorted(np.cumsum(sizes) - sizes, blanks)).tolist()
+                raw = flat.tobytes()
+                coded.update((w, raw[s:e]) for w, s, e in zip(chunk, cuts, [*cuts[1:], len(raw)], strict=True))
+            else:
+                coded.update((w, array("i", x).tobytes()) for w, x in zip(chunk, self.sp.encode(chunk, num_threads=1), strict=True))
+        return coded
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text; words met before are not encoded again."""
         cut = [self.words(t) for t in texts]
@@ -162,7 +200,7 @@ class PieceEncoder:
         if len(self.known) > REMEMBERED:
             self.known = {w: self.known[w] for w in here & self.known.keys()}
         new = list(here - self.known.keys())
-        coded = {w: array("i", ids).tobytes() for w, ids in zip(new, self.sp.encode(new, num_threads=1), strict=True)}
+        coded = self.code(new)
         self.known.update((w, ids) for w, ids in coded.items() if len(w) <= REMEMBERED_CHARS)
         look = ChainMap(coded, self.known).__getitem__ if any(len(w) > REMEMBERED_CHARS for w in new) else self.known.__getitem__
         return [np.frombuffer(b"".join(map(look, ws)), np.intc).astype(np.int64) for ws in cut]
@@ -174,6 +212,10 @@ class _Part:
     def __init__(self, number: int):
         self.number, self.rows, self.links, self.chars = number, [], [], 0
 
+    def add(self, doc_ids: list, counts: list[tuple], linked: list[np.ndarray]) -> None:
+        self.rows += [(i, *c) for i, c in zip(doc_ids, counts, strict=True)]
+        self.links += linked
+
     def batch(self) -> pa.RecordBatch:
         keys, at, total = np.unique(np.concatenate([np.zeros(0, np.int64), *self.links]), return_inverse=True, return_counts=True)
         cuts = np.cumsum([0, *map(len, self.links)])
@@ -195,9 +237,44 @@ class _Part:
 
 def _aligner(v, model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()  # nothing here refers to itself; looking for it took a tenth of the time
+        try:
+            yield from parts_of(batches)
+        finally:
+            gc.enable()
+
+    def parts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         byte_encoder, pieces = Encoder(Vocabulary(*v.value)), PieceEncoder(model.value)
         sizes_a = np.array([len(p) for p in byte_encoder.v.pieces], np.int64)
         writer = GroupWriter(max(len(sizes_a), len(pieces.sizes)))
+
+        def aligned(texts: list[str]) -> tuple[list, list]:
+            """Counts, groups and links of each text. Texts are aligned one after the other as one: where a text ends, both tokens do."""
+            a, b = byte_encoder.encode([" " + t for t in texts]), pieces.encode(texts)
+            wants = [b" " + t.encode() for t in texts]
+            counts, linked = [(0, 0, 0, 0, "")] * len(texts), [np.zeros(0, np.int64)] * len(texts)
+            kept = [i for i in pieces.spelt(b, wants) if texts[i]]
+            if not kept:
+                return counts, linked
+            n_a, n_b, sizes = ([len(x[i]) for i in kept] for x in (a, b, wants))
+            a, b = (np.concatenate([x[i] for i in kept]).astype(np.int64) for x in (a, b))
+            ends_a, ends_b, cuts = np.cumsum(sizes_a[a]), np.cumsum(pieces.sizes[b]), np.cumsum(n_a)
+            if (ends_a[cuts - 1] != np.cumsum(sizes)).any():  # byte-level ids give back every text
+                raise ValueError("byte-level ids must cover the text")
+            runs, odd, left, right = align(ends_a.tolist(), ends_b.tolist())
+            # a text's end is a group's end, but a stretch may go on behind it
+            groups_a, groups_b = group_ends(runs, odd)
+            last = np.searchsorted(groups_a, cuts) + 1
+            at_a, at_b = links(runs, left, right)
+            of = np.repeat(np.arange(len(kept), dtype=np.uint16 if len(kept) < 2**16 else np.int64), n_a)[at_a]
+            order = np.argsort(of, kind="stable")
+            n_links = np.bincount(of, minlength=len(kept))
+            pairs = (a[at_a] << 32 | b[at_b])[order]
+            groups = writer.texts(a, b, groups_a, groups_b, last)
+            for i, *row, own in zip(kept, n_a, n_b, np.diff(np.r_[0, last]).tolist(), n_links.tolist(), groups, np.split(pairs, np.cumsum(n_links)[:-1]), strict=True):
+                counts[i], linked[i] = tuple(row), own
+            return counts, linked
+
         first = TaskContext.get().partitionId() << 32
         part = _Part(first)
         for rows in slices(batches):
@@ -205,21 +282,7 @@ def _aligner(v, model):
             if part.rows and part.chars + sum(map(len, texts)) > PART_CHARS:
                 yield part.batch()
                 part = _Part(part.number + 1)
-            coded = zip(rows.column("doc_id").to_pylist(), texts, byte_encoder.encode([" " + t for t in texts]), pieces.encode(texts), strict=True)
-            for doc_id, text, a, b in coded:
-                want = b" " + text.encode()
-                if not text or not pieces.spells(b, want):
-                    part.rows.append((doc_id, 0, 0, 0, 0, ""))
-                    part.links.append(np.zeros(0, np.int64))
-                    continue
-                ends_a, ends_b = np.cumsum(sizes_a[a]), np.cumsum(pieces.sizes[b])
-                if ends_a[-1] != len(want):  # byte-level ids give back every text
-                    raise ValueError("byte-level ids must cover the text")
-                runs, odd, left, right = align(ends_a.tolist(), ends_b.tolist())
-                groups_a, groups_b = group_ends(runs, odd)
-                at_a, at_b = links(runs, left, right)
-                part.rows.append((doc_id, len(a), len(b), len(groups_a), len(at_a), writer.text(a, b, groups_a, groups_b)))
-                part.links.append(a[at_a].astype(np.int64) << 32 | b[at_b])
+            part.add(rows.column("doc_id").to_pylist(), *aligned(texts))
             part.chars += sum(map(len, texts))
         if part.rows:
             yield part.batch()

@@ -269,3 +269,16 @@ def test_tensor_axes():
     assert filter_audit.contract(tensor, chosen["removed"])[at] == 0
     assert filter_audit.contract(tensor, chosen["failing"])[at] == 3
     assert len(steps) == 600
+
+
+def test_piece_encoder_codes_many_words_in_one_call():
+    """Words were encoded one by one; words that the model changes, and those with blanks of their own, still are."""
+    with open(PIECES, "rb") as f:
+        pieces = token_alignment.PieceEncoder(f.read())
+    words = [f"word{i}x" for i in range(600)] + ["Straße", "日本語", "a\u3000b", "ﬁn", "", "a  b", "▁x", "<s>", "e\u0301", "\t", "x" * 300]
+    seen = []
+    encode = pieces.sp.encode
+    pieces.sp.encode = lambda texts, **k: seen.append(len(texts)) or encode(texts, **k)
+    got = pieces.code(words)
+    assert {w: np.frombuffer(got[w], np.intc).tolist() for w in words} == {w: SP.encode(w) for w in words}
+    assert sum(seen) < len(words) / 2
