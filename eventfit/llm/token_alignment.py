@@ -45,14 +45,13 @@ _ARROW = pa.schema([*((c, pa.int64()) for c in ("part", "doc_id", "n_a", "n_b",
                     *((c, pa.list_(pa.int32())) for c in ("pair_at", "a", "b")), ("n", pa.list_(pa.int64()))])
 
 
-def align(ends_a: list[int], ends_b: list[int]) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int, int]], list[int], list[int]]:
+def stretches(ends_a: list[int], ends_b: list[int]) -> tuple[np.ndarray, np.ndarray]:
     """One-to-one stretches and irregular groups of two ascending end arrays with the same last end.
 
-    A stretch is ``(i, j, length)``: its tokens pair up in order. An irregular
-    group is ``(i, i_end, j, j_end)``; the places of its overlapping tokens
-    are appended to the two lists that come last.
+    A stretch is ``i, j, length``: its tokens pair up in order. An irregular
+    group is ``i, i_end, j, j_end``.
     """
-    runs, odd, left, right = [], [], [], []
+    runs, odd = [], []
     i = j = 0
     n, m = len(ends_a), len(ends_b)
     while i < n:
@@ -68,14 +67,12 @@ def align(ends_a: list[int], ends_b: list[int]) -> tuple[list[tuple[int, int, in
         while i < n and j < m and ends_a[i] == ends_b[j]:
             i, j = i + 1, j + 1
         if i > i0:
-            runs.append((i0, j0, i - i0))
+            runs += (i0, j0, i - i0)
         if i == n:
             break
         # an irregular group: the side that is behind goes on until both end at the same byte
         i0, j0 = i, j
         x, y = ends_a[i], ends_b[j]
-        left.append(i)
-        right.append(j)
         while x != y:
             if x < y:
                 i += 1
@@ -83,11 +80,26 @@ def align(ends_a: list[int], ends_b: list[int]) -> tuple[list[tuple[int, int, in
             else:
                 j += 1
                 y = ends_b[j]
-            left.append(i)
-            right.append(j)
         i, j = i + 1, j + 1
-        odd.append((i0, i, j0, j))
-    return runs, odd, left, right
+        odd += (i0, i, j0, j)
+    return np.array(runs, np.int64).reshape(-1, 3), np.array(odd, np.int64).reshape(-1, 4)
+
+
+def overlaps(odd: np.ndarray, ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of the overlapping tokens of the irregular groups, in order: one pair for each byte at which either token ends."""
+    places = [_ranges(odd[:, 2 * c], odd[:, 2 * c + 1] - odd[:, 2 * c]) for c in (0, 1)]
+    ends = np.concatenate([ends_a[places[0]], ends_b[places[1]]])
+    order = np.argsort(ends, kind="stable")  # of two ascending parts
+    ends, of_a = ends[order], order < len(places[0])
+    own = np.r_[True, ends[1:] != ends[:-1]][:len(ends)]  # both end where the group does: one pair
+    return tuple(at[(np.cumsum(of) - of)[own]] for at, of in zip(places, (of_a, ~of_a), strict=True))
+
+
+def align(ends_a: list[int], ends_b: list[int]) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int, int]], list[int], list[int]]:
+    """``stretches`` as lists of tuples, and the places of the irregular groups' overlapping tokens."""
+    runs, odd = stretches(ends_a, ends_b)
+    left, right = overlaps(odd, np.array(ends_a, np.int64), np.array(ends_b, np.int64))
+    return list(map(tuple, runs.tolist())), list(map(tuple, odd.tolist())), left.tolist(), right.tolist()
 
 
 def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -109,12 +121,28 @@ def links(runs: list, left: list[int], right: list[int]) -> tuple[np.ndarray, np
     return tuple(np.concatenate([_ranges(r[:, c], r[:, 2]), np.array(odd, np.int64)]) for c, odd in ((0, left), (1, right)))
 
 
+def ordered_links(runs: np.ndarray, odd: np.ndarray, ends_a: np.ndarray, ends_b: np.ndarray, groups_a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of all linked tokens in the order of the text.
+
+    A group of p and q tokens has p + q - 1 links, so a group's first link comes
+    after as many as there are tokens before it, less the groups before it.
+    """
+    out, places = [], []
+    for i, j, size in ((runs[:, 0], runs[:, 1], runs[:, 2]), (odd[:, 0], odd[:, 2], odd[:, 1] - odd[:, 0] + odd[:, 3] - odd[:, 2] - 1)):
+        places.append(_ranges(i + j - np.searchsorted(groups_a, i, side="right"), size))
+    for c, irregular in enumerate(overlaps(odd, ends_a, ends_b)):
+        at = np.empty(len(ends_a) + len(ends_b) - len(groups_a), np.int64)
+        at[places[0]], at[places[1]] = _ranges(runs[:, c], runs[:, 2]), irregular
+        out.append(at)
+    return out[0], out[1]
+
+
 class GroupWriter:
     """Writes groups as ``a1,a2|b1;a3|b2,b3``, the digits of all ids at once."""
 
     def __init__(self, n_ids: int):
         self.width = len(str(n_ids))
-        self.sizes = np.array([len(str(i)) for i in range(n_ids)])
+        self.sizes = np.array([len(str(i)) for i in range(n_ids)], np.uint8)
         self.digits = np.frombuffer("".join(str(i).ljust(self.width + 1) for i in range(n_ids)).encode(), np.uint8).reshape(n_ids, -1)
 
     def text(self, a: np.ndarray, b: np.ndarray, ends_a: np.ndarray, ends_b: np.ndarray) -> str:
@@ -133,7 +161,7 @@ class GroupWriter:
         after[at_b[ends_b[cuts - 1] - 1]] = ord("\n")
         table, size = self.digits[ids], self.sizes[ids]
         table[np.arange(n), size] = after
-        return table[np.arange(self.width + 1) <= size[:, None]].tobytes()[:-1].decode().split("\n")
+        return table[np.arange(self.width + 1, dtype=np.uint8) <= size[:, None]].tobytes()[:-1].decode().split("\n")
 
 
 class PieceEncoder:
@@ -261,17 +289,16 @@ def _aligner(v, model):
             ends_a, ends_b, cuts = np.cumsum(sizes_a[a]), np.cumsum(pieces.sizes[b]), np.cumsum(n_a)
             if (ends_a[cuts - 1] != np.cumsum(sizes)).any():  # byte-level ids give back every text
                 raise ValueError("byte-level ids must cover the text")
-            runs, odd, left, right = align(ends_a.tolist(), ends_b.tolist())
+            runs, odd = stretches(ends_a.tolist(), ends_b.tolist())
             # a text's end is a group's end, but a stretch may go on behind it
             groups_a, groups_b = group_ends(runs, odd)
             last = np.searchsorted(groups_a, cuts) + 1
-            at_a, at_b = links(runs, left, right)
-            of = np.repeat(np.arange(len(kept), dtype=np.uint16 if len(kept) < 2**16 else np.int64), n_a)[at_a]
-            order = np.argsort(of, kind="stable")
-            n_links = np.bincount(of, minlength=len(kept))
-            pairs = (a[at_a] << 32 | b[at_b])[order]
+            n_groups = np.diff(np.r_[0, last])
+            at_a, at_b = ordered_links(runs, odd, ends_a, ends_b, groups_a)
+            pairs = a[at_a] << 32 | b[at_b]
+            n_links = np.array(n_a) + np.array(n_b) - n_groups
             groups = writer.texts(a, b, groups_a, groups_b, last)
-            for i, *row, own in zip(kept, n_a, n_b, np.diff(np.r_[0, last]).tolist(), n_links.tolist(), groups, np.split(pairs, np.cumsum(n_links)[:-1]), strict=True):
+            for i, *row, own in zip(kept, n_a, n_b, n_groups.tolist(), n_links.tolist(), groups, np.split(pairs, np.cumsum(n_links)[:-1]), strict=True):
                 counts[i], linked[i] = tuple(row), own
             return counts, linked
 

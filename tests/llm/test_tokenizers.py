@@ -163,6 +163,21 @@ def test_align_equals_common_ends(x, y, probe, near):
     assert token_alignment.GroupWriter(10_000).text(np.array(a), np.array(b), *groups) == ";".join(text)
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_links_come_in_the_order_of_the_text_without_being_sorted(seed):
+    """They were listed one by one, stretches first, and sorted by text afterwards."""
+    rng = np.random.default_rng(seed)
+    size = [1, 40, 3000][seed % 3]
+    same = rng.random(size) < [0.2, 0.9][seed % 2]
+    ends = [np.flatnonzero(np.append(same | (rng.random(size) < 0.3), True)) + 1 for _ in range(2)]
+    runs, odd = token_alignment.stretches(*(e.tolist() for e in ends))
+    groups, _ = token_alignment.group_ends(runs, odd)
+    got = token_alignment.ordered_links(runs, odd, *ends, groups)
+    both = np.union1d(*ends)  # one link for each byte at which either token ends
+    for at, e in zip(got, ends, strict=True):
+        assert at.tolist() == np.searchsorted(e, both).tolist()
+
+
 def alignment_rows(df):
     return sorted((str(r.doc_id), r.n_a, r.n_b, r.n_groups, r.n_links, r.n_best, r.count_sum, r.groups_sha256) for r in df.collect())
 
