@@ -40,8 +40,8 @@ HUB_ROUNDS = 2
 BLOCK_ROWS = 512
 #: Shingles of a block, as far as its rows are not longer by themselves.
 BLOCK_SHINGLES = 4_000_000
-#: Characters whose shingles are signed at once: a shingle's shuffle takes a byte per slot.
-SIGN_CHARS = 1_000_000
+#: Characters whose shingles are signed at once: a shingle's shuffle takes a byte per slot, twice while documents leave.
+SIGN_CHARS = 250_000
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 SIGNATURE_SCHEMA = "doc_id long, text_hash long, n_shingles long, set_hash long, bands array<long>, signature binary"

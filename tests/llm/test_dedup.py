@@ -227,3 +227,22 @@ def test_worker_functions_need_no_package(tmp_path):
     code = "import pickle; print(len(pickle.load(open('functions.pickle', 'rb'))))"
     out = subprocess.run([sys.executable, "-I", "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=120)
     assert out.stdout.strip() == str(len(functions)), out.stderr
+
+
+def test_signing_holds_little_at_once():
+    """Shuffles of a million characters' shingles took a worker's largest share of memory."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(1)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 10**6, 300).tolist()) for _ in range(500)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(500), pa.int64())] * 2 + [pa.array(texts)], names=["doc_id", "text_hash", "text"])
+    tracemalloc.start()
+    try:
+        signed = pa.Table.from_batches(list(superminhash._sign(iter([batch]))))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert signed.column("doc_id").to_pylist() == list(range(500)) and signed.column("n_shingles").to_pylist() == [296] * 500
+    assert peak < 20_000_000, peak
