@@ -89,3 +89,15 @@ def test_score_files_are_named_without_searching_their_paths(spark, tmp_path):
     assert "regexp" not in plan(got).lower().replace("split", "")
     keys = {(r.dataset, r.model, r.metric, r.norm, r.id) for r in got.collect()}
     assert keys == {("sents", "bigram", "verb-PLL", "none", 1), ("sents", "bigram", "PLL", "byWords", 1), ("s", "b", "x", "norm", 2)}
+
+
+PIECES = {"abcde fg.": ["abcd", "##e", "fg", "."], "##abcde # abcdefgh": ["#", "#", "abcd", "##e", "#", "abcd", "##efgh"], "a\u0001bc\u0001defg$1 \\": ["abcd", "##efg", "$", "1", "\\"],
+          "ab\U0001d538cdefg\U0001d539": ["ab\U0001d538", "cdef", "##g\U0001d539"], "abcd\U0001d538\U0001d539 \U0001f600a": ["abcd", "##\U0001d538", "\U0001d539", "\U0001f600", "a"],
+          "déjàvú x": ["déjà", "##vu", "́", " ", "x"], "": [], None: None}
+
+
+def test_pieces_are_cut_without_a_function_on_every_piece(spark):
+    from eventfit.operators import tokens as tk
+    df = spark.createDataFrame([(t,) for t in PIECES], "text string").select("text", tk.pieces(F.col("text")).alias("p"))
+    assert {r.text: r.p for r in df.collect()} == PIECES
+    assert "lambda" not in plan(df)
