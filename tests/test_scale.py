@@ -101,3 +101,27 @@ def test_pieces_are_cut_without_a_function_on_every_piece(spark):
     df = spark.createDataFrame([(t,) for t in PIECES], "text string").select("text", tk.pieces(F.col("text")).alias("p"))
     assert {r.text: r.p for r in df.collect()} == PIECES
     assert "lambda" not in plan(df)
+
+
+def test_tokens_travel_by_sentence_with_their_own_counts_only(spark, model):
+    uni, bi, sent = model["prefix"]
+    pairs = lm._stored(lm.pair_table(lm.sentence_tokens(sent), uni, bi), "test_travel")
+    assert pairs.columns == ["prev", "token", "c_pt", "c_token"]
+    lines = lm.pair_features(sent, pairs, uni, parts=7)._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    at = next(i for i, line in enumerate(lines) if "RepartitionByExpression [sent_id" in line)
+    sent_on = lines[at + 1].split("Project [")[1].split("]")[0]
+    assert [c.split("#")[0] for c in sent_on.split(", ")] == ["sent_id", "pos", "token", "c_pt", "c_token"]
+
+
+@pytest.mark.parametrize("style", ["prefix", "marker"])
+def test_sentences_are_cut_behind_the_shuffle(spark, style):
+    """Pieces are several times the bytes of their text."""
+    p = cat._lm_sents(style)(spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < p.index("regexp_extract_all") < p.index("RepartitionByExpression")
+    assert "regexp" not in p[p.index("RepartitionByExpression"):]
+
+
+def test_written_tables_are_packed_and_hold_what_queries_ask_for(spark):
+    for df in (cat.sents(spark, SF_SMALL), cat.lm_feats(spark, SF_SMALL)):
+        assert df.inputFiles() and all(f.endswith(".zstd.parquet") for f in df.inputFiles())
+    assert cat.lm_feats(spark, SF_SMALL).columns == ["sent_id", "pos", "token", "n", "word_end", "prev", "nxt", "left_bi", "right_gain", "c_token"]
