@@ -28,7 +28,7 @@ def settings_array(params: Sequence[TFParams]) -> Column:
 def key_table(keys: DataFrame, attested: DataFrame) -> DataFrame:
     """``(ctx_key, t_role, ws)``: every context key with its attested contexts in order (none: an empty array)."""
     ws = attested.groupBy("ctx_key").agg(F.sort_array(F.collect_list(F.struct("li", "w")))["w"].alias("ws"))
-    return keys.select("ctx_key", "t_role").join(ws, "ctx_key", "left").select(
+    return keys.select("ctx_key", "t_role").join(ws.hint("merge"), "ctx_key", "left").select(
         "ctx_key", "t_role", F.coalesce("ws", F.array().cast("array<string>")).alias("ws"))
 
 

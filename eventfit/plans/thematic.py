@@ -287,12 +287,16 @@ def tf_scores(inp: TFInputs, p: TFParams, pr: Prototypes | None = None) -> DataF
 
 def explain_prototype(pr: Prototypes) -> DataFrame:
     """K7: per item ``fillers`` = ``filler (weight rounded to 2)`` in
-    prototype order, comma separated, and the operation."""
+    prototype order, comma separated, and the operation.
+
+    Items and model lie in small files of many rows: by merge hints neither
+    goes through the driver. Written first, the keys' side is a plain scan, so
+    that the items of a frequent key can be split."""
     lst = pr.chosen.groupBy("ctx_key").agg(F.sort_array(F.collect_list(F.struct("r", "filler", "weight"))).alias("fl"))
     fmt = F.transform("fl", lambda x: F.format_string(FILLER_FORMAT, x["filler"], (F.round(x["weight"], 2) + F.lit(0.0)).cast("string")))
-    per_key = pr.ops.join(lst, "ctx_key", "left").select(
-        "ctx_key", "operation", F.coalesce(F.concat_ws(",", fmt), F.lit("")).alias("fillers"))
-    return pr.item_keys.select("item_id", "ctx_key").join(per_key, "ctx_key").select("item_id", "fillers", "operation")
+    per_key = written(pr.ops.join(lst.hint("merge"), "ctx_key", "left").select(
+        "ctx_key", "operation", F.coalesce(F.concat_ws(",", fmt), F.lit("")).alias("fillers")), "explained_keys")
+    return pr.item_keys.select("item_id", "ctx_key").join(per_key.hint("merge"), "ctx_key").select("item_id", "fillers", "operation")
 
 
 def with_model(inp: TFInputs, p: TFParams, lists: DataFrame, ops: DataFrame, chosen: DataFrame) -> Prototypes:
