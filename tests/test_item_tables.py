@@ -94,7 +94,7 @@ def test_items_of_a_frequent_key_are_split(spark):
     assert {r[1:] for r in got if r[0] % 3 == 0} == {("o0@N (1.5),o1@N (0.5)", "update")}
 
 
-@pytest.mark.parametrize("key", ["explain_prototype"])
+@pytest.mark.parametrize("key", ["explain_tf_file", "explain_prototype"])
 def test_queries_broadcast_no_items(spark, monkeypatch, key):
     monkeypatch.setattr(registry, "_ordered_report", lambda spark, name, df, line, keys: df)
     out = entry.queries()[key](spark, SF_SMALL)
