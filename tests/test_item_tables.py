@@ -11,6 +11,7 @@ from test_skew import SKEW_CONF
 import __spark_entry__ as entry
 from eventfit import registry
 from eventfit.plans import fillers as fl
+from eventfit.plans import ppmi
 from eventfit.plans import thematic as tf
 
 SLOTS = "array<struct<slot:int, lemma:string, pos:string, role:string>>"
@@ -94,7 +95,17 @@ def test_items_of_a_frequent_key_are_split(spark):
     assert {r[1:] for r in got if r[0] % 3 == 0} == {("o0@N (1.5),o1@N (0.5)", "update")}
 
 
-@pytest.mark.parametrize("key", ["explain_tf_file", "explain_prototype"])
+def test_reported_items_are_not_broadcast(spark, items):
+    triples = stored(spark, [("v0@V", "s0@N", "NSUBJ", 3.0), ("v1@V", "o2@N", "OBJ", 2.0)], "head string, dep string, role string, freq double", "triples")
+    rep = ppmi.report_ppmi(items, triples)
+    assert not [x for x in broadcast_scans(rep) if "slots" in x]
+    got = [tuple(r) for r in rep.collect()]
+    # three lines share an id: each has the parts of all, as before
+    assert sum(r[0] == 7 for r in got) == 3 and {len(r[2].split(",")) for r in got if r[0] == 7} == {6}
+    assert len(got) == items.count() - 1 and {r[1] for r in got if r[0] == 0} == {"s0 v0 o0"}
+
+
+@pytest.mark.parametrize("key", ["explain_tf_file", "explain_prototype", "report_ppmi"])
 def test_queries_broadcast_no_items(spark, monkeypatch, key):
     monkeypatch.setattr(registry, "_ordered_report", lambda spark, name, df, line, keys: df)
     out = entry.queries()[key](spark, SF_SMALL)
