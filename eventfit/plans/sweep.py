@@ -85,7 +85,11 @@ def scores(item_keys: DataFrame, model: DataFrame, vectors: DataFrame, with_pos:
     """``(item_id, setting, score)``.
 
     A prototype is named by its size and fillers, so equal ones are summed
-    once; cosines are taken once per prototype and target word.
+    once; cosines are taken once per prototype and target word. The items meet
+    the scores of their (context key, target word) in one join at the end:
+    long names of prototypes do not travel with them. Their files are small
+    and their rows are not, so merge hints keep them, and their distinct
+    pairs, from going through the driver.
     """
     name = F.concat_ws("\t", F.col("n_centroid").cast("string"), F.col("exact_mean").cast("string"),
                        F.transform("chosen", lambda x: filler_vkey(x["filler"], with_pos)))
@@ -98,8 +102,13 @@ def scores(item_keys: DataFrame, model: DataFrame, vectors: DataFrame, with_pos:
     total = vx.vec_sum(F.transform("rv", lambda x: x["vec"]))
     div = F.when(F.col("exact"), F.col("n").cast("double")).otherwise(F.col("m"))
     cents = g.select("proto", F.when(F.col("n") == 1, F.element_at("rv", 1)["vec"]).otherwise(vx.scale(total, div)).alias("centroid"))
-    items = item_keys.select("item_id", "ctx_key", vx.vec_key(F.col("t_lemma"), F.col("t_pos"), with_pos).alias("tkey")).join(named, "ctx_key")
-    pairs = items.select("proto", "tkey").distinct().join(cents, "proto", "left").join(
+    items = item_keys.select("item_id", "ctx_key", vx.vec_key(F.col("t_lemma"), F.col("t_pos"), with_pos).alias("tkey"))
+    asked = items.select("ctx_key", "tkey").distinct().join(named.hint("merge"), "ctx_key")
+    pairs = asked.select("proto", "tkey").distinct().join(cents, "proto", "left").join(
         vectors.select(F.col("word").alias("tkey"), F.col("vec").alias("tvec")), "tkey", "left")
     score = F.when(F.col("centroid").isNull(), F.lit(0.0)).otherwise(F.round(vx.cosine(F.col("tvec"), F.col("centroid")), 6))
-    return items.join(pairs.select("proto", "tkey", score.alias("score")), ["proto", "tkey"], "left").select("item_id", "setting", "score")
+    scored = asked.join(pairs.select("proto", "tkey", score.alias("score")), ["proto", "tkey"], "left").select(
+        F.col("ctx_key").alias("_key"), F.col("tkey").alias("_tkey"), "setting", "score")
+    # an item without a target word keeps its row
+    return items.join(scored.hint("merge"), (F.col("ctx_key") == F.col("_key")) & F.col("tkey").eqNullSafe(F.col("_tkey"))).select(
+        "item_id", "setting", "score")

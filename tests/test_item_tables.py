@@ -11,7 +11,7 @@ from test_skew import SKEW_CONF
 import __spark_entry__ as entry
 from eventfit import registry
 from eventfit.plans import fillers as fl
-from eventfit.plans import ppmi
+from eventfit.plans import ppmi, sweep
 from eventfit.plans import thematic as tf
 
 SLOTS = "array<struct<slot:int, lemma:string, pos:string, role:string>>"
@@ -50,6 +50,11 @@ def items(spark):
     return stored(spark, made, f"item_id long, slots {SLOTS}", "items")
 
 
+@pytest.fixture(scope="module")
+def vectors(spark):
+    return stored(spark, [(f"o{i}", [1.0 + i, 2.0, 0.5 * i]) for i in range(4)], "word string, vec array<double>", "vectors")
+
+
 def model_of(spark, items, only=("s0", "s1")):
     """Keys of ``s2`` have no prototype; two settings."""
     keys = sorted({r.ctx_key for r in tf.item_keys(items).select("ctx_key").collect()})
@@ -105,8 +110,34 @@ def test_reported_items_are_not_broadcast(spark, items):
     assert len(got) == items.count() - 1 and {r[1] for r in got if r[0] == 0} == {"s0 v0 o0"}
 
 
-@pytest.mark.parametrize("key", ["explain_tf_file", "explain_prototype", "report_ppmi"])
+@pytest.mark.parametrize("key", ["explain_tf_file", "explain_prototype", "report_ppmi", "tf_param_sweep"])
 def test_queries_broadcast_no_items(spark, monkeypatch, key):
     monkeypatch.setattr(registry, "_ordered_report", lambda spark, name, df, line, keys: df)
     out = entry.queries()[key](spark, SF_SMALL)
     assert not [x for x in broadcast_scans(out) if "slots" in x or "item_id" in x]
+
+
+def test_scored_items_are_not_broadcast_and_travel_once(spark, items, vectors):
+    model = model_of(spark, items)
+    out = sweep.scores(tf.item_keys(items), model, vectors)
+    assert not [x for x in broadcast_scans(out) if "slots" in x]
+    last = out._jdf.queryExecution().optimizedPlan().toString().split("Join Inner")[1]
+    moved = re.search(r"Project \[(.*)\]", last)[1]
+    assert moved.startswith("item_id") and "proto" not in moved and "setting" not in moved
+    for setting in (0, 1):
+        p = tf.TFParams(n_centroid=2 - setting)
+        one = model.where(F.col("setting") == setting)
+        pr = tf.Prototypes(None, tf.item_keys(items), None, None, None, one.select("ctx_key", F.inline("chosen")), None)
+        text = lambda df: sorted(map(repr, df.select("item_id", "score").collect()))
+        want = text(tf.tf_scores(tf.TFInputs(items, None, None, vectors), p, pr))
+        assert text(out.where(F.col("setting") == setting)) == want and len(want) == items.count()
+    assert [r.score for r in out.where("item_id = 100").collect()] == [None, None]
+
+
+def test_parts_are_not_broadcast_and_base_is_counted_once(spark):
+    from eventfit.sources import catalog as cat
+    from eventfit.sources import fixtures as fx
+    assert not [x for x in broadcast_scans(fx.base_counts(spark, SF_SMALL)) if "p_partkey" in x]
+    kept = fx.bigrams_from(cat.base_counts(spark, SF_SMALL), cat.role_map(spark, SF_SMALL))
+    assert "l_partkey" not in plan(kept)
+    assert rows(cat.bigrams(spark, SF_SMALL)) == rows(fx.bigrams(spark, SF_SMALL))
