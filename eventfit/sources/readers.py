@@ -10,13 +10,12 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.counting import sentence_index
 from ..operators.ranking import with_scalars
-from ..session import written
+from ..session import scratch_path, written
 
 SENTENCE_SCHEMA = T.StructType([T.StructField("sent_id", T.LongType()), T.StructField("text", T.StringType()),
                                 T.StructField("word_pos", T.IntegerType())])
@@ -38,8 +37,17 @@ def lines(spark: SparkSession, path: str, **opts) -> DataFrame:
 
 def read_numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """``(line_no, line)``: the lines of a report numbered from 0 in file
-    order, by range partitions and offsets (no task sees them all)."""
-    return sentence_index(lines(spark, path), ["ord"], "line_no").select("line_no", "line")
+    order. One packed copy keeps each line's place, so no line is shuffled:
+    its number is its place in its block plus the lines of all earlier blocks
+    (a table with one row per block)."""
+    copy = scratch_path(spark, "numbered_lines")
+    lines(spark, path).select("line", "ord.*").write.parquet(copy, compression="zstd")
+    kept = spark.read.schema("line string, folder string, number long, name string, block long, row long").parquet(copy)
+    block = ["folder", "name", "block"]  # the number is part of the name
+    per = kept.groupBy(*block, "number").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("first"))
+    earlier = F.sum("n").over(Window.orderBy("folder", "number", "name", "block").rowsBetween(Window.unboundedPreceding, -1))
+    at = per.select(*block, (F.coalesce(earlier, F.lit(0)) - F.col("first")).alias("shift"))
+    return kept.join(F.broadcast(at), block).select((F.col("row") + F.col("shift")).alias("line_no"), "line")
 
 
 def read_sentences(spark: SparkSession, path: str) -> DataFrame:

@@ -110,7 +110,7 @@ def test_reported_items_are_not_broadcast(spark, items):
     assert len(got) == items.count() - 1 and {r[1] for r in got if r[0] == 0} == {"s0 v0 o0"}
 
 
-@pytest.mark.parametrize("key", ["explain_tf_file", "explain_prototype", "report_ppmi", "tf_param_sweep"])
+@pytest.mark.parametrize("key", ["explain_tf_file", "report_ppmi_file", "explain_prototype", "report_ppmi", "tf_param_sweep"])
 def test_queries_broadcast_no_items(spark, monkeypatch, key):
     monkeypatch.setattr(registry, "_ordered_report", lambda spark, name, df, line, keys: df)
     out = entry.queries()[key](spark, SF_SMALL)
@@ -141,3 +141,22 @@ def test_parts_are_not_broadcast_and_base_is_counted_once(spark):
     kept = fx.bigrams_from(cat.base_counts(spark, SF_SMALL), cat.role_map(spark, SF_SMALL))
     assert "l_partkey" not in plan(kept)
     assert rows(cat.bigrams(spark, SF_SMALL)) == rows(fx.bigrams(spark, SF_SMALL))
+
+
+def test_lines_are_numbered_without_a_shuffle_of_lines(spark, tmp_path):
+    from eventfit.sources import readers as rd
+    for name, n in (("part-99999.txt", 700), ("part-100000.txt", 3), ("part-00002.txt", 0), ("notes.txt", 2)):
+        (tmp_path / name).write_text("".join(f"{name} {i}\n" for i in range(n)))
+    (tmp_path / "part-00007.txt").write_text("\nx\nx\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")  # blocks inside a file
+        out = rd.read_numbered_lines(spark, str(tmp_path))
+        got = dict(out.collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    want = [f"notes.txt {i}" for i in range(2)] + ["", "x", "x"] + [f"part-99999.txt {i}" for i in range(700)] + [f"part-100000.txt {i}" for i in range(3)]
+    assert got == dict(enumerate(want))
+    assert dict(out.dtypes) == {"line_no": "bigint", "line": "string"}
+    moved = [line for line in out._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Repartition" in line or "Sort" in line]
+    assert not moved and "LogicalRDD" not in plan(out) and "Scan ExistingRDD" not in plan(out)
